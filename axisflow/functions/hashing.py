@@ -27,10 +27,10 @@ def normal(*keys, seed: int = 0) -> Column:
 def poisson_one(*keys, seed: int = 0) -> Column:
     """A Poisson(1) count by inversion, exact to the double it is drawn from."""
     u = uniform(*keys, seed=seed)
-    out, cumulative, p = F.lit(0), 0.0, math.exp(-1.0)
-    expr = out
-    for k in range(0, 18):
+    steps, cumulative, p = [], 0.0, math.exp(-1.0)
+    for k in range(18):
         cumulative += p
-        expr = F.when(u > F.lit(cumulative), F.lit(k + 1)).otherwise(expr)
+        steps.append(F.lit(cumulative))
         p /= k + 1
-    return expr.cast("int")
+    # the count is the number of cumulative steps below u
+    return (F.array_position(F.sort_array(F.array_append(F.array(*steps), u)), u) - 1).cast("int")

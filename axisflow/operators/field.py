@@ -45,7 +45,7 @@ def biased_velocity(velocity: DataFrame, cells: DataFrame, terminal: Column, str
     df = velocity.select("cell_id", "v").join(cells.select("cell_id", "t", "x"), "cell_id")
     df = df.withColumn("_term", terminal).withColumn("_dir", sub("_term", "x"))
     if progenitor is not None:
-        df = df.withColumn("_ax", sub(F.col("_term"), progenitor)).withColumn("_ax", unit("_ax"))
+        df = df.withColumn("_prog", progenitor).withColumn("_ax", unit(sub("_term", "_prog")))
         df = df.withColumn("_p", dot("_dir", "_ax")).withColumn("_dir", F.transform("_ax", lambda a: a * F.col("_p")))
     df = df.withColumn("_n", norm("_dir") + F.lit(1e-8))
     pull = F.transform("_dir", lambda a: a / F.col("_n") * F.col("t") * F.lit(float(strength)))

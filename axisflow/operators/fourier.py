@@ -45,9 +45,11 @@ def split_bands(spectra: DataFrame, n_coef: int, splits: tuple[float, float] = (
     k1, k2 = int(n_coef * splits[0]), int(n_coef * splits[1])
     limits = {"low": (0, k1), "mid": (k1, k2), "high": (k2, n_coef)}
     cols = {}
+    def keep(a: int, b: int):
+        return lambda v, i: F.when((i >= a) & (i < b), v).otherwise(F.lit(0.0))
     for name, (a, b) in limits.items():
         for part in ("re", "im"):
-            cols[f"{part}_{name}"] = F.transform(part, lambda v, i, a=a, b=b: F.when((i >= a) & (i < b), v).otherwise(F.lit(0.0)))
+            cols[f"{part}_{name}"] = F.transform(part, keep(a, b))
     return spectra.withColumns(cols)
 
 

@@ -117,7 +117,7 @@ def knn(refs: DataFrame, k: int, queries: DataFrame | None = None, key: str = "c
     folded = _fold_copies(refs, key, vec, need).cache()
     n = folded.count()
     pivots = _pivots(folded, n)
-    assigned = _assign(folded, pivots)
+    assigned = _assign(folded, pivots).cache()
     count, lo, hi, cover = _summaries(assigned, len(pivots), need)
     blocks = np.maximum(1, np.ceil(count / block_rows)).astype(int)
     n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("pivot") + 1)

@@ -44,6 +44,9 @@ def bridge_feature_scores(table: DataFrame, projected: DataFrame, lam: DataFrame
     return a.join(b, [*keys, "feature"], "full").select(*keys, "feature", F.greatest("a", "b").alias("score"))
 
 
+TIE_DIGITS = 12  # contributions closer than this count as equal, whatever the order of summation
+
+
 def _shared(scores: DataFrame, network: DataFrame, keys: list[str]) -> DataFrame:
     """Network edges whose target is scored: one row per edge and key."""
     s = scores.select(*keys, F.col("feature").alias("target"), F.abs("score").alias("score"))
@@ -132,7 +135,7 @@ def top_contributors(scores: DataFrame, network: DataFrame, keys: list[str] = ()
     """
     keys = list(keys)
     s = _shared(scores, network, keys).withColumnRenamed("source", "regulator")
-    order = [F.col("contribution").desc(), F.col("target")]
+    order = [F.round("contribution", TIE_DIGITS).desc(), F.col("target")]
     few = ranking.top_n(s, n, order, [*keys, "regulator"], "_r").groupBy(*keys, "regulator").agg(
         F.sort_array(F.collect_list(F.struct("_r", "target"))).alias("_l"))
     return few.select(*keys, "regulator", F.array_join(F.col("_l.target"), ", ").alias("top_targets"))
@@ -141,7 +144,7 @@ def top_contributors(scores: DataFrame, network: DataFrame, keys: list[str] = ()
 def ranked_targets(scores: DataFrame, network: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Long form of the full target list: (keys, regulator, target, contribution, position)."""
     keys = list(keys)
-    s = _shared(scores, network, keys).withColumnRenamed("source", "regulator").withColumn("_neg", -F.col("contribution"))
+    s = _shared(scores, network, keys).withColumnRenamed("source", "regulator").withColumn("_neg", -F.round("contribution", TIE_DIGITS))
     pre = ranking.prefix_counts(s, [*keys, "regulator"], "_neg", tie="target")
     pos = pre.select(*keys, "regulator", "_neg", "target", (F.col("before") + 1).alias("position"))
     return s.join(pos, [*keys, "regulator", "_neg", "target"]).select(*keys, "regulator", "target", "contribution", "position")
