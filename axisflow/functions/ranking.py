@@ -72,12 +72,16 @@ def quantile_scalar(df: DataFrame, value: str, q: float) -> Column:
     return quantiles(df, value, {"q": q}).scalar()
 
 
-def average_ranks(df: DataFrame, value: str, keys: list[str] = (), out: str = "rank") -> DataFrame:
-    """Add the 1-based average rank of ``value`` within ``keys`` (ties share their mean rank)."""
-    keys = list(keys)
-    r = prefix_counts(df, keys, value)
-    r = r.select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
-    return df.join(r, [*keys, value])
+def average_ranks(df: DataFrame, columns: dict[str, str], keys: list[str] = ()) -> DataFrame:
+    """Add 1-based average ranks (ties share their mean rank) within ``keys``: {value column: rank column}.
+
+    Each rank table is built from ``df`` itself and joined back, one row per distinct value.
+    """
+    keys, out = list(keys), df
+    for value, rank in columns.items():
+        r = prefix_counts(df, keys, value)
+        out = out.join(r.select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(rank)), [*keys, value])
+    return out
 
 
 def row_positions(df: DataFrame, value: str, tie: str, keys: list[str] = (), out: str = "pos",

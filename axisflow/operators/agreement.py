@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, ranking
 from ..functions.vectors import dot, norm
+from ..session import cut_lineage
 
 
 def pattern_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -130,18 +131,17 @@ def spearman_pairs(long: DataFrame, item: str, method: str = "method", value: st
     keys = list(keys)
     a = long.select(*keys, item, F.col(method).alias("m1"), F.col(value).alias("v1")).where(F.col("v1").isNotNull())
     b = long.select(*keys, item, F.col(method).alias("m2"), F.col(value).alias("v2")).where(F.col("v2").isNotNull())
-    j = a.join(b, [*keys, item]).where(F.col("m1") < F.col("m2"))
     on = [*keys, "m1", "m2"]
-    r = ranking.average_ranks(j, "v1", on, "r1")
-    r = ranking.average_ranks(r, "v2", on, "r2")
+    j = cut_lineage(a.join(b, [*keys, item]).where(F.col("m1") < F.col("m2")).select(*on, "v1", "v2"))
+    r = ranking.average_ranks(j, {"v1": "r1", "v2": "r2"}, on)
     s = r.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.corr("r1", "r2").alias("rho"))
     return s.where(F.col("n") >= min_n) if min_n else s
 
 
 def spearman_two(df: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFrame:
     """Spearman correlation of two columns per key: (keys, n, rho)."""
-    r = ranking.average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, list(keys), "_r1")
-    r = ranking.average_ranks(r, b, list(keys), "_r2")
+    both = cut_lineage(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b))
+    r = ranking.average_ranks(both, {a: "_r1", b: "_r2"}, list(keys))
     return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_r1", "_r2").alias("rho"))
 
 

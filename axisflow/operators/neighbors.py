@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 512
-_SLACK = 1e-7
+_SLACK = 1e-6  # times the scale of the data: covers rounding in the pivot distances
 
 
 def _fold_copies(df: DataFrame, key: str, vec: str, keep: int) -> DataFrame:
@@ -72,6 +72,8 @@ def _summaries(assigned: DataFrame, n_pivots: int, need: int):
 def _route(queries: DataFrame, pivots, lo, hi, cover, probes: int | None) -> DataFrame:
     """Add ``visit``: the pivots a query has to look at."""
     between = _dist_to(pivots, pivots)
+    reach = hi[np.isfinite(hi)].max() if np.isfinite(hi).any() else 0.0
+    slack = _SLACK * (1e-3 + np.sqrt((pivots * pivots).sum(1)).max() + reach)
 
     @F.pandas_udf("array<int>")
     def visit(x: pd.Series) -> pd.Series:
@@ -79,7 +81,7 @@ def _route(queries: DataFrame, pivots, lo, hi, cover, probes: int | None) -> Dat
         own = d.argmin(axis=1)
         if probes is not None:
             return pd.Series([np.argsort(r)[:probes].astype("int32") for r in d])
-        bound = (d + cover[None, :]).min(axis=1)[:, None] + _SLACK
+        bound = (d + cover[None, :]).min(axis=1)[:, None] + slack
         ok = (d - hi[None, :] <= bound) & (lo[None, :] - d <= bound)
         own_d = d[np.arange(len(d)), own][:, None]
         gap = np.where(between[own] > 0, (d ** 2 - own_d ** 2) / (2.0 * np.maximum(between[own], 1e-300)), 0.0)
@@ -95,11 +97,13 @@ def _block_search(k: int):
             for qv, qx, rv, rx in zip(pdf["q_ids"], pdf["q_x"], pdf["r_ids"], pdf["r_x"]):
                 q, r = np.stack(qx), np.stack(rx)
                 rv, qv = np.asarray(rv), np.asarray(qv)
-                d2 = (q * q).sum(1)[:, None] - 2.0 * q @ r.T + (r * r).sum(1)[None, :]
+                qq, rr = (q * q).sum(1), (r * r).sum(1)
+                d2 = qq[:, None] - 2.0 * q @ r.T + rr[None, :]
+                tol = 1e-11 * (qq.max() + rr.max())
                 kk = min(k, len(rv)) - 1
                 kth = np.partition(d2, kk, axis=1)[:, kk]
                 # keep everything within rounding of the k-th, then measure exactly
-                i, j = np.nonzero(d2 <= kth[:, None] + 1e-9 * (1.0 + np.abs(kth[:, None])))
+                i, j = np.nonzero(d2 <= kth[:, None] + tol)
                 exact = np.sqrt(((q[i] - r[j]) ** 2).sum(1))
                 yield pd.DataFrame({"qid": qv[i], "rid": rv[j], "dist": exact})
     return run

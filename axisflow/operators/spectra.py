@@ -119,6 +119,8 @@ def semi_nmf(rows: DataFrame, rank: int, width: int, iters: int = 100, restarts:
     Given H, a row's weights depend on that row only, so a round is one pass that rebuilds W and sums W'W and
     W'M; all restarts share the pass and no lineage grows. Only the K x K and K x width sums reach the driver.
     """
+    rows = cut_lineage(rows)  # every round reads it
+
     def solve_h(wtw, wtm):
         return np.linalg.solve(wtw + 1e-6 * np.eye(rank), wtm)
 

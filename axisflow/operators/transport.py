@@ -146,6 +146,7 @@ def sample_coupling(plan: DataFrame, n: int, seed: int = 0, buckets: int = 256)
     Cumulative mass is built per source and then inside the source; draws and mass intervals meet on equal
     slices of the unit interval, so a heavy source is spread over the slices it covers.
     """
+    plan = cut_lineage(plan.select("i", "j", "p"))
     mass = plan.groupBy("i").agg(F.sum("p").alias("p"))
     outer = ranking.prefix_counts(mass, [], "i", weight="p").select("i", F.col("before").alias("b0"), F.col("total").alias("tot"))
     inner = ranking.prefix_counts(plan, ["i"], "j", weight="p").join(outer, "i")
