@@ -10,10 +10,10 @@ from ..sources import assemble, readers, writers
 from .base import R, Tables, query, rounded, vec_long, with_
 
 
-def staged_text(lines: DataFrame, name: str, single: bool = False) -> str:
-    """Write one text column below the shared folder; formats whose line order matters get one file."""
+def staged_text(lines: DataFrame, name: str) -> str:
+    """Write one text column below the shared folder."""
     path = staging_path(lines.sparkSession, name)
-    (lines.coalesce(1) if single else lines).write.text(path)
+    lines.write.text(path)
     return path
 
 
@@ -72,7 +72,7 @@ def _(t: Tables):
     f.select("v").coalesce(1).write.text(f"{folder}/features.tsv")
     head = t.spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, "%"), (2, "1 1 1")], "o long, v string")
     body = t.expr.select(F.lit(3).cast("long").alias("o"), F.concat_ws(" ", (F.col("feature") + 1).cast("string"), (F.col("cell_id") + 1).cast("string"), F.col("value").cast("string")).alias("v"))
-    head.union(body).coalesce(1).sortWithinPartitions("o").select("v").write.text(f"{folder}/matrix.mtx")
+    head.union(body).repartition(1).sortWithinPartitions("o").select("v").write.text(f"{folder}/matrix.mtx")
     return readers.read_matrix_triplets(t.spark, folder)
 
 
@@ -83,8 +83,8 @@ def _(t: Tables):
     row = F.concat_ws("\t", F.col("feature").cast("string"), F.array_join(F.transform("names", lambda c: F.coalesce(F.col("m")[c], F.lit(0.0)).cast("string")), "\t"))
     head = t.supplier.agg(F.sort_array(F.collect_list("s_suppkey")).alias("s")).select(
         F.concat(F.lit("GENE\t"), F.array_join(F.transform("s", lambda c: F.concat(F.lit("c"), c.cast("string"))), "\t")).alias("v"), F.lit(0).alias("o"))
-    lines = head.union(wide.select(row.alias("v"), F.lit(1).alias("o"))).coalesce(1).sortWithinPartitions("o").select("v")
-    return readers.gene_major_to_long(t.spark, staged_text(lines, "wide", single=True))
+    lines = head.union(wide.select(row.alias("v"), F.lit(1).alias("o"))).repartition(1).sortWithinPartitions("o").select("v")
+    return readers.gene_major_to_long(t.spark, staged_text(lines, "wide"))
 
 
 @query("stratified_sample")
@@ -98,9 +98,9 @@ def _(t: Tables):
 def _(t: Tables):
     seg = t.customer.where(F.col("c_mktsegment") != "MACHINERY").groupBy("c_mktsegment").agg(F.collect_list(F.col("c_custkey").cast("string")).alias("m"))
     top = t.customer.where(F.col("c_acctbal") > 9000).agg(F.collect_list(F.col("c_custkey").cast("string")).alias("m")).select(F.lit("top").alias("c_mktsegment"), "m")
-    lines = (seg.withColumn("o", F.lit(0)).unionByName(top.withColumn("o", F.lit(1))).coalesce(1).sortWithinPartitions("o")
+    lines = (seg.withColumn("o", F.lit(0)).unionByName(top.withColumn("o", F.lit(1))).repartition(1).sortWithinPartitions("o")
              .select(F.concat_ws("\t", "c_mktsegment", F.lit("a set"), F.array_join("m", "\t"))))
-    sets = readers.read_set_file(t.spark, staged_text(lines, "sets", single=True))
+    sets = readers.read_set_file(t.spark, staged_text(lines, "sets"))
     cells = t.customer.select(F.col("c_custkey").cast("string").alias("cell"))
     return readers.label_by_set(cells, sets).select(F.col("cell").cast("long").alias("cell"), "label")
 

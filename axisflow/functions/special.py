@@ -28,16 +28,37 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def hypergeometric_tail(hits: Column, drawn: Column, good: Column, total: Column) -> Column:
-    """P(X >= hits) for ``drawn`` items out of ``total`` of which ``good`` are marked."""
-    top = F.least(drawn, good)
-    d, g, n = drawn.cast("double"), good.cast("double"), total.cast("double")
-    terms = F.transform(F.sequence(hits, F.greatest(top, hits)), lambda x: F.when(
-        (x <= top) & (drawn - x <= total - good),
-        F.exp(log_choose(g, x.cast("double")) + log_choose(n - g, d - x.cast("double")) - log_choose(n, d))).otherwise(F.lit(0.0)))
-    return F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda a, v: a + v))
+    """P(X >= hits) for ``drawn`` items out of ``total`` of which ``good`` are marked.
+
+    One log-probability starts the sum and the rest follow from the ratio of neighbouring terms. The sum runs
+    away from the mean (upward above it, downward and subtracted from 1 below it), so it stays below a few units.
+    """
+    h, d, g, n = (c.cast("double") for c in (hits, drawn, good, total))
+    lowest = F.greatest(F.lit(0.0), d + g - n)
+    top = F.least(d, g)
+
+    def log_p(x: Column) -> Column:
+        return log_choose(g, x) + log_choose(n - g, d - x) - log_choose(n, d)
+
+    def run(steps: Column, start: Column, ratio) -> Column:
+        zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+        def step(acc, i):
+            term = acc["term"] * ratio(start, i.cast("double"))
+            return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        return F.aggregate(steps, zero, step, lambda acc: acc["total"])
+    none = F.array().cast("array<int>")
+    count = lambda c: F.when(c >= 1, F.sequence(F.lit(1), c.cast("int"))).otherwise(none)
+    up = run(count(top - h), h, lambda s, i: (g - (s + i - 1)) * (d - (s + i - 1)) / ((s + i) * (n - g - d + s + i)))
+    s0 = h - 1
+    down = run(count(s0 - lowest), s0, lambda s, i: (s - i + 1) * (n - g - d + s - i + 1) / ((g - (s - i)) * (d - (s - i))))
+    upper = F.when(h > top, 0.0).otherwise(F.exp(log_p(F.least(h, top))) * up)
+    lower = 1.0 - F.exp(log_p(F.greatest(s0, lowest))) * down
+    tail = F.when(h <= lowest, 1.0).when(h >= d * g / n, upper).otherwise(lower)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))
 
 
-def t_two_sided(t: Column, df: Column, steps: int = 400) -> Column:
+def t_two_sided(t: Column, df: Column, steps: int = 1000) -> Column:
     """Two-sided tail of Student's t by Simpson's rule over theta = atan(t / sqrt(df)).
 
     With that substitution the density becomes cos(theta)^(df-1), which is smooth and bounded.

@@ -18,6 +18,15 @@ def dot(a, b) -> Column:
     return vec_sum(F.zip_with(_c(a), _c(b), lambda p, q: p * q))
 
 
+def dot_fixed(a, b, dim: int) -> Column:
+    """Dot product of known width as plain arithmetic, which stays inside generated code."""
+    x, y = _c(a), _c(b)
+    out = x.getItem(0) * y.getItem(0)
+    for i in range(1, dim):
+        out = out + x.getItem(i) * y.getItem(i)
+    return out
+
+
 def norm(a) -> Column:
     return F.sqrt(vec_sum(F.transform(_c(a), lambda p: p * p)))
 

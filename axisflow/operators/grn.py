@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking
 from ..functions.scalars import stat
-from ..functions.vectors import cosine, dot, norm
+from ..functions.vectors import cosine, dot_fixed
 from ..session import cut_lineage
 from .spectra import svd_modes
 from .windows import bin_index, gaussian_filter
@@ -44,24 +44,28 @@ def peak_prior(motif: DataFrame, access: DataFrame, min_score: float | None = No
     return out.where(F.col("prior") >= min_score) if min_score is not None else out
 
 
-def pullback(operators: DataFrame, decode: DataFrame, encode: DataFrame, dim: int, tfs: DataFrame | None = None, keys: list[str] = ("bin",)) -> DataFrame:
+def pullback(operators: DataFrame, decode: DataFrame, encode: DataFrame, dim: int, tfs: DataFrame | None = None, keys: list[str] = ("bin",),
+             pairs: DataFrame | None = None) -> DataFrame:
     """J_x = D . J_z . E in long form: (keys, tf, gene, v) with v = sum_ij D[gene,i] J[i,j] E[j,tf].
 
     ``operators`` is (keys, j array D*D), ``decode`` (gene, d array), ``encode`` (tf, e array). The regulator
-    filter is applied first, then J_z meets the encoder (one row per key and regulator) and the result meets the genes.
+    filter is applied first, then J_z meets the encoder (one row per key and regulator) and the result meets the
+    genes. ``pairs`` (tf, gene) asks for those entries only, so the dense product is never formed.
     """
     keys = list(keys)
     enc = encode.join(tfs.select("tf"), "tf", "left_semi") if tfs is not None else encode
     ops = operators.agg(F.collect_list(F.struct(*keys, "j")).alias("o")).scalar()  # one row per grid point
-    je = enc.withColumn("_o", ops).select("tf", "e", F.explode("_o").alias("q"))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.slice("j", i * dim + 1, dim))
-    je = je.select(*[F.col(f"q.{k}").alias(k) for k in keys], "tf", "e", F.col("q.j").alias("j"))
-    je = je.withColumn("_r", rows).select(*keys, "tf", F.transform("_r", lambda r: F.aggregate(
-        F.zip_with(r, F.col("e"), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)).alias("u"))
-    return _outer_dot(decode, je, keys)
+    q = enc.withColumn("_o", ops).select("tf", "e", F.explode("_o").alias("q"))
+    entry = lambda i, k: F.col("q.j").getItem(i * dim + k) * F.col("e").getItem(k)
+    je = F.array(*[sum((entry(i, k) for k in range(1, dim)), entry(i, 0)) for i in range(dim)])
+    vectors = q.select(*[F.col(f"q.{k}").alias(k) for k in keys], "tf", je.alias("u"))
+    if pairs is not None:
+        j = pairs.select("tf", "gene").join(vectors, "tf").join(decode, "gene")
+        return j.select(*keys, "tf", "gene", dot_fixed("d", "u", dim).alias("v"))
+    return _outer_dot(decode, vectors, keys, dim)
 
 
-def _outer_dot(decode: DataFrame, vectors: DataFrame, keys: list[str], block: int = 256) -> DataFrame:
+def _outer_dot(decode: DataFrame, vectors: DataFrame, keys: list[str], dim: int, block: int = 256) -> DataFrame:
     """d . u for every gene and every (keys, tf): the dense product is the result itself.
 
     The vectors travel in packed blocks; genes carry a salt, so each (block, salt) key is small whatever the
@@ -74,8 +78,8 @@ def _outer_dot(decode: DataFrame, vectors: DataFrame, keys: list[str], block: in
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     genes = (decode.select("gene", "d", F.pmod(F.xxhash64("gene"), F.lit(salts)).cast("int").alias("_salt"))
              .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
-    j = genes.join(packed, ["_b", "_salt"]).select("gene", "d", F.explode("_q").alias("q"))
-    return j.select(*[F.col(f"q.{k}").alias(k) for k in keys], F.col("q.tf").alias("tf"), "gene", dot("d", "q.u").alias("v"))
+    j = genes.repartition(salts, "_b", "_salt").join(packed, ["_b", "_salt"]).select("gene", "d", F.explode("_q").alias("q"))
+    return j.select(*[F.col(f"q.{k}").alias(k) for k in keys], F.col("q.tf").alias("tf"), "gene", dot_fixed("d", "q.u", dim).alias("v"))
 
 
 def binned_operator(operators: DataFrame, n_bins: int, dim: int) -> DataFrame:
@@ -84,9 +88,10 @@ def binned_operator(operators: DataFrame, n_bins: int, dim: int) -> DataFrame:
     return operators.withColumn("bin", bin_index("t", n_bins, upper=False)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.array(*j).alias("j"))
 
 
-def binned_pullback(operators: DataFrame, decode: DataFrame, encode: DataFrame, n_bins: int, dim: int, tfs: DataFrame | None = None) -> DataFrame:
+def binned_pullback(operators: DataFrame, decode: DataFrame, encode: DataFrame, n_bins: int, dim: int, tfs: DataFrame | None = None,
+                    pairs: DataFrame | None = None) -> DataFrame:
     """Linear maps commute with the mean: operators are averaged per bin before the single product per bin."""
-    return pullback(binned_operator(operators, n_bins, dim).select("bin", "j"), decode, encode, dim, tfs)
+    return pullback(binned_operator(operators, n_bins, dim).select("bin", "j"), decode, encode, dim, tfs, pairs=pairs)
 
 
 def soft_threshold(grn: DataFrame, lam: float, mask: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, ranking
 from ..functions.gram import second_moments, summed
-from ..functions.vectors import dot, literal, norm
+from ..functions.vectors import dot, dot_fixed
 from ..session import cut_lineage
 
 _SPECTRUM = "struct<re:array<double>,im:array<double>,lam:double,v:array<double>>"
@@ -259,7 +259,7 @@ def project_features(vectors: DataFrame, loadings: DataFrame, dim: int, keys: li
     """
     packed = vectors.agg(F.collect_list(F.struct(*keys, "v")).alias("p")).scalar()
     e = loadings.withColumn("_p", packed).select("feature", "w", F.explode("_p").alias("q"))
-    return e.select(*[F.col(f"q.{k}").alias(k) for k in keys], "feature", dot("w", "q.v").alias("score"))
+    return e.select(*[F.col(f"q.{k}").alias(k) for k in keys], "feature", dot_fixed("w", "q.v", dim).alias("score"))
 
 
 def _n_sensitive(lam: DataFrame, thr: float, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranking
-from ..functions.vectors import dot
+from ..functions.vectors import dot_fixed
 from ..operators.field import local_linear_operator
 from ..operators.spectra import operator_spectrum, sign_align
 
@@ -25,7 +25,7 @@ def drift_by_branch(cells: DataFrame, loadings: DataFrame, dim: int, grid: list[
     packed = sens.agg(F.collect_list(F.struct("branch", "t_idx", "v")).alias("p")).scalar()
     n = sens.groupBy("branch").agg(F.count(F.lit(1)).alias("n"))
     e = loadings.withColumn("_p", packed).select("feature", "w", F.explode("_p").alias("q"))
-    s = e.groupBy(F.col("q.branch").alias("branch"), "feature").agg(F.sum(F.abs(dot("w", "q.v"))).alias("s")).join(n, "branch")
+    s = e.groupBy(F.col("q.branch").alias("branch"), "feature").agg(F.sum(F.abs(dot_fixed("w", "q.v", dim))).alias("s")).join(n, "branch")
     feats = ranking.top_n(s.select("branch", "feature", (F.col("s") / F.col("n")).alias("mean_score")), top,
                           [F.col("mean_score").desc(), F.col("feature")], ["branch"])
     return {"operators": sp, "curve": aligned.select("branch", "t_idx", "t", "lam"), "features": feats}

@@ -22,7 +22,9 @@ def hybrid_grn(operators: DataFrame, decode: DataFrame, encode: DataFrame, genes
                        network.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")))
     dec = decode.join(genes.select("gene"), "gene", "left_semi").withColumn("gene", F.col("gene").cast("string"))
     enc = encode.withColumn("tf", F.col("tf").cast("string"))
-    j = cut_lineage(binned_pullback(operators, dec, enc, n_bins, dim, tfs.select(F.col("tf").cast("string").alias("tf"))))
+    # with L1 alone the entries outside the mask cannot influence the others, so only masked pairs are formed
+    closed = not any(penalties.get(p) for p in ("lam_temporal", "lam_local", "lam_prior"))
+    j = cut_lineage(binned_pullback(operators, dec, enc, n_bins, dim, tfs.select(F.col("tf").cast("string").alias("tf")), mask if closed else None))
     x_tf = dx = None
     if expression is not None:
         m = bin_mean(expression, n_bins, ["gene"]).withColumn("gene", F.col("gene").cast("string"))
