@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stat
 from ..functions.vectors import vec_sum
+from ..session import cut_lineage
 from ..operators.windows import bin_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,17 +199,18 @@ class Tables:
     @cached_property
     def nn(self) -> DataFrame:
         from ..operators.neighbors import knn
-        return knn(self.emb, 10)
+        return cut_lineage(knn(self.emb, 10))
 
     @cached_property
     def nnf(self) -> DataFrame:
         from ..operators.neighbors import knn
-        return knn(self.fold, 10)
+        return cut_lineage(knn(self.fold, 10))
 
     @cached_property
     def net(self) -> DataFrame:
         s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-        return self.lineitem.groupBy(s.alias("source"), F.col("l_partkey").alias("target")).agg(F.avg("l_discount").alias("weight"))
+        net = self.lineitem.groupBy(s.alias("source"), F.col("l_partkey").alias("target")).agg(F.avg("l_discount").alias("weight"))
+        return cut_lineage(net)  # stands in for a stored table that is read many times
 
     @cached_property
     def gs(self) -> DataFrame:
@@ -243,7 +245,7 @@ class Tables:
     @cached_property
     def grn(self) -> DataFrame:
         j = self._shipb.join(self.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        return j.groupBy(F.col("t_idx").alias("bin"), F.col("l_suppkey").alias("tf"), F.col("p_brand").alias("gene")).agg((F.avg("l_discount") - 0.05).alias("v"))
+        return cut_lineage(j.groupBy(F.col("t_idx").alias("bin"), F.col("l_suppkey").alias("tf"), F.col("p_brand").alias("gene")).agg((F.avg("l_discount") - 0.05).alias("v")))
 
     @cached_property
     def xtf(self) -> DataFrame:

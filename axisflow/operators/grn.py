@@ -140,7 +140,8 @@ def refine_grn(j: DataFrame, n_steps: int, lr: float = 0.1, lam_sparse: float =
         if positive:
             v = F.greatest(v, F.lit(0.0))
         k = k.withColumn("v", v).drop("_g")
-        if (step + 1) % checkpoint_every == 0:
+        # the local term reads the table twice per round, so it is materialised every round
+        if lam_local or (step + 1) % checkpoint_every == 0:
             k = cut_lineage(k)
     return k.where((F.col("allowed") > 0) & (F.col("v") != 0)).select("bin", "tf", "gene", "v")
 
