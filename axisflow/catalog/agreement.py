@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import agreement as a
-from ..operators import spectra as sp
 from ..operators import windows as w
 from .base import R, Tables, query, rounded, with_
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import literal
 from ..operators import field as f
 from ..operators import neighbors as nb
 from .base import R, Tables, query, rounded, vec_long, with_

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing
 from ..operators import nulls as n
 from ..operators import windows as w
 from .base import N_T, R, Tables, query, rounded, with_
@@ -144,7 +143,7 @@ _Y = {"sy": "SELECT 'lam' AS tr, t_idx, lam AS v FROM lam", **_acf("sy", "tr", "
 _NE = {**_SER, **_acf("ser", "k", "af"), **_Y, "ab": "SELECT k, af.lag, af.rho AS rx, ay.rho AS ry FROM af JOIN ay USING (lag) WHERE lag >= 1",
        "ct": "SELECT k, coalesce(min(CASE WHEN abs(rx) < 2 / sqrt(40e0) AND abs(ry) < 2 / sqrt(40e0) THEN lag END), 10) AS cut FROM ab GROUP BY 1",
        "nb": "SELECT k, 40e0 / greatest(1 + 2 * sum(CASE WHEN lag <= cut THEN (1 - lag / 40e0) * rx * ry ELSE 0 END), 1 / 40e0) AS nb FROM ab JOIN ct USING (k) GROUP BY 1",
-       "na": "SELECT k, 40e0 * greatest(least((1 - lag1 * ly) / (1 + lag1 * ly + 1e-12), 1e0), 1 / 40e0) AS na FROM l1, ly",
+       "na": "SELECT k, n, n * greatest(least((1 - lag1 * ly) / (1 + lag1 * ly + 1e-12), 1e0), 1e0 / n) AS na FROM l1, ly",
        "co": "SELECT k, corr(a, lam) AS r FROM act JOIN lam USING (t_idx) GROUP BY 1"}
 
 
@@ -178,7 +177,7 @@ def _(t: Tables):
     return rounded(s)
 
 
-@query("corrected_correlations", with_("act", "lam", extra=_NE, body=f"SELECT k, 'lam' AS track, {R('r')} AS r, 40::BIGINT AS n, {R('na')} AS neff_ar1, {R('nb')} AS neff_bartlett FROM co JOIN na USING (k) JOIN nb USING (k)"))
+@query("corrected_correlations", with_("act", "lam", extra=_NE, body=f"SELECT k, 'lam' AS track, {R('r')} AS r, n, {R('na')} AS neff_ar1, {R('nb')} AS neff_bartlett FROM co JOIN na USING (k) JOIN nb USING (k)"))
 def _(t: Tables):
     curves = t.act.select(F.lit("all").alias("branch"), "k", "t_idx", "a")
     tracks = t.lam.select(F.lit("all").alias("branch"), F.lit("lam").alias("track"), "t_idx", F.col("lam").alias("v"))

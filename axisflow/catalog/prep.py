@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, vec_sum
 from ..operators import prep
 from .base import R, Tables, query, rounded, vec_long, with_
 

@@ -7,7 +7,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import mean_vectors, norm, sub, sum_vectors
 from ..session import cut_lineage
 from .prep import standardize
 from .regimes import METRICS

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stat
-from ..functions.vectors import add, dot, literal, mean_vectors, norm, scale, sub, sum_vectors, unit, vec_sum
+from ..functions.vectors import add, dot, literal, mean_vectors, norm, sub, sum_vectors, unit, vec_sum
 
 
 def _divide(df: DataFrame, col: str, by: Column) -> DataFrame:

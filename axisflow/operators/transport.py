@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing, ranking
-from ..functions.vectors import add, dot, norm, scale, sub, sum_vectors
+from ..functions.vectors import norm, sub, sum_vectors
 from ..session import cut_lineage
 from .neighbors import knn
 
