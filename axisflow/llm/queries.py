@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linededup import line_dedup
+from .packing import pack
+from .tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +49,13 @@ SELECT doc_id, len(lines)::BIGINT AS n_lines,
 FROM flagged""")
 def _op1(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query("op8_token_counts")
+def _op8(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op10_packing")
+def _op10(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
