@@ -15,7 +15,9 @@ from ..session import cut_lineage
 from .common import columns_of
 from .tokens import VOCAB, id_bytes
 
-GRAIN = 8           # tokens a length class is wide
+GRAIN = 16          # tokens a length class is wide
+COLUMNS = 40        # patterns that one pricing adds at most
+GAP = 1e-3          # relative distance from the lower bound at which the linear program is good enough
 PER_BUCKET = 20_000  # pieces that are ranked together
 
 
@@ -40,31 +42,44 @@ def token_pieces(docs: DataFrame, capacity: int, vocab: str, end_id: int | None,
     return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def best_pattern(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming; ``values[s - 1]`` is the worth of an item of size ``s``."""
+def best_patterns(values: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """Unbounded knapsack by dynamic programming: for every item size, the best pattern that has it, best first.
+
+    ``values[s - 1]`` is the worth of an item of size ``s``. Patterns worth no more than 1 are left out.
+    """
     best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
         gain = best[room - 1::-1][:room] + values[:room]
-        s = int(np.argmax(gain))
+        s = int(gain.argmax())
         if gain[s] > best[room - 1] + 1e-12:
             best[room], take[room] = gain[s], s + 1
         else:
             best[room] = best[room - 1]
-    pattern, room = np.zeros(capacity, np.int64), capacity
-    while room > 0:
-        if take[room]:
-            pattern[take[room] - 1] += 1
-            room -= take[room]
-        else:
-            room -= 1
-    return float(best[capacity]), pattern
-
-
-def fractional_plan(demand: np.ndarray, max_columns: int = 4000) -> tuple[list[np.ndarray], np.ndarray]:
+    worth = values + best[capacity - 1::-1]
+    found = []
+    for s in np.argsort(-worth, kind="stable"):
+        if worth[s] <= 1 + 1e-7 or len(found) == COLUMNS:
+            break
+        if values[s] <= 0:
+            continue
+        pattern, room = np.zeros(capacity, np.int64), capacity - s - 1
+        pattern[s] = 1
+        while room > 0:
+            if take[room]:
+                pattern[take[room] - 1] += 1
+                room -= take[room]
+            else:
+                room -= 1
+        found.append(pattern)
+    return found
+
+
+def fractional_plan(demand: np.ndarray, max_pivots: int = 20_000) -> tuple[list[np.ndarray], np.ndarray]:
     """Column generation for ``min sum(x)`` with patterns that meet the demand of every length class.
 
     ``demand[s - 1]`` items of size ``s`` go into bins of ``len(demand)``. The basis starts with one pattern per
-    class; duals price a new pattern by knapsack; a pivot replaces a basic pattern until none is worth more than 1.
+    class; duals price new patterns by knapsack; each pivots in while its worth is above 1. It ends when no pattern
+    is, or when the sum is within ``GAP`` of a lower bound: all sizes over the capacity, or the sum over the best worth.
     """
     capacity = len(demand)
     rows = np.flatnonzero(demand)
@@ -76,28 +91,37 @@ def fractional_plan(demand: np.ndarray, max_columns: int = 4000) -> tuple[list[n
     if not patterns:
         return [], np.zeros(0)
     inverse = np.diag([1.0 / p[s] for p, s in zip(patterns, rows)])
-    x = inverse @ demand[rows]
-    for step in range(max_columns):
+    need = demand[rows].astype(float)
+    x, pivots = inverse @ need, 0
+    low = float(((np.arange(capacity) + 1) * demand).sum()) / capacity
+    while pivots < max_pivots and x.sum() > low * (1 + GAP):
         duals = inverse.sum(axis=0)
         values = np.zeros(capacity)
         values[rows] = np.maximum(duals, 0)
-        worth, pattern = best_pattern(values, capacity)
-        if worth <= 1 + 1e-7:
-            break
-        column = inverse @ pattern[rows]
-        ahead = column > 1e-9
-        ratio = np.full(len(x), np.inf)
-        ratio[ahead] = np.maximum(x[ahead], 0) / column[ahead]
-        out = int(np.argmin(ratio))
-        if not np.isfinite(ratio[out]):
+        new = best_patterns(values, capacity)
+        if not new:
             break
-        inverse[out] /= column[out]
-        others = np.arange(len(x)) != out
-        inverse[others] -= np.outer(column[others], inverse[out])
-        patterns[out] = pattern
-        if step % 200 == 199:  # fresh inverse against rounding drift
-            inverse = np.linalg.inv(np.stack([p[rows] for p in patterns], axis=1).astype(float))
-        x = inverse @ demand[rows]
+        low = max(low, x.sum() / float(new[0] @ values))
+        for pattern in new:
+            if float(pattern[rows] @ duals) <= 1 + 1e-7:
+                continue
+            column = inverse @ pattern[rows]
+            ahead = column > 1e-9
+            if not ahead.any():
+                continue
+            ratio = np.full(len(x), np.inf)
+            ratio[ahead] = np.maximum(x[ahead], 0) / column[ahead]
+            out = int(ratio.argmin())
+            line = inverse[out] / column[out]
+            column[out] = 0
+            inverse -= np.outer(column, line)
+            inverse[out] = line
+            patterns[out] = pattern
+            pivots += 1
+            if pivots % 300 == 0:  # a fresh inverse against rounding drift
+                inverse = np.linalg.inv(np.stack([p[rows] for p in patterns], axis=1).astype(float))
+            x = inverse @ need
+            duals = inverse.sum(axis=0)
     return patterns, np.maximum(x, 0)
 
 

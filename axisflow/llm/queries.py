@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .htmltext import main_text
 from .linededup import line_dedup
 from .packing import pack
+from .secrets import secret_scan
 from .tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +53,16 @@ def _op1(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+@query("op3_html_text")
+def _op3(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op4_secret_scan")
+def _op4(spark, sf_dir):
+    return secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @query("op8_token_counts")
 def _op8(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
