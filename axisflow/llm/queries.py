@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .htmltext import main_text
 from .linededup import line_dedup
 from .packing import pack
+from .quality import quality_classifier
 from .secrets import secret_scan
 from .tokens import token_counts
 
@@ -63,6 +64,12 @@ def _op4(spark, sf_dir):
     return secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op5_quality")
+def _op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 @query("op8_token_counts")
 def _op8(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import columns_of, put
 
 VOCAB = "word_bpe_49k.json"
-CACHE = 400_000     # pieces a worker keeps
+CACHE = 500_000     # pieces a worker keeps, and as many of their parts
+MARKS = ".,;:!?%$*#&|()-"  # closing marks that are neither letters, digits, apostrophes nor part of a special string
 LONGEST = 200       # bytes of the longest piece that is kept
 FREQUENT = 20_000   # pieces of the broadcast table
 
@@ -62,24 +63,63 @@ def pieces(text: bytes) -> list[bytes]:
     return text.replace(b"\n", b" ").split(b" ")
 
 
-class _Cache(dict):
-    """Values of pieces; a miss is encoded, and kept while there is room."""
+class _Letters(dict):
+    """Values of runs of letters and of runs of marks, encoded on a miss."""
+
+    def __init__(self, value):
+        super().__init__()
+        self.value = value
+
+    def __missing__(self, run: str):
+        got = self.value(run)
+        if len(run) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[run] = got
+        return got
+
+
+class PieceCache(dict):
+    """Values of pieces. A missing piece of letters and closing marks is put together from the two, others are encoded.
+
+    The vocabulary splits letters from marks, so the parts of such a piece are encoded apart by the library too.
+    """
 
     def __init__(self, value, known=()):
         super().__init__(known)
-        self.value, self.kept = value, 0
+        self[b""] = self.empty = value("")
+        self.value, self.parts = value, _Letters(value)
 
     def __missing__(self, piece: bytes):
-        got = self.value(piece.decode("utf-8", "replace"))
+        text = piece.decode("utf-8", "replace")
+        head = text.rstrip(MARKS)
+        low = head.lower()
+        if low.isalpha() and head.isalpha():
+            got = self.parts[low if head.isascii() else head]
+            if len(head) < len(text):
+                got = got + self.parts[text[len(head):]]
+        else:
+            got = self.value(text)
         if len(piece) <= LONGEST:
-            if self.kept >= CACHE:
+            if len(self) >= CACHE:
                 self.clear()
-                self.kept = 0
+                self[b""] = self.empty
             self[piece] = got
-            self.kept += 1
         return got
 
 
+_caches: dict[tuple[str, str], PieceCache] = {}  # of this worker, kept from task to task
+
+
+def cache_of(vocab: str, kind: str) -> PieceCache:
+    """Lengths of pieces (``count``) or their ids as little-endian unsigned 32-bit numbers (``ids``)."""
+    if (vocab, kind) not in _caches:
+        encode = Encoder.of(vocab).ids
+        value = (lambda text: len(encode(text))) if kind == "count" else (lambda text: np.asarray(encode(text), "<u4").tobytes())
+        _caches[vocab, kind] = PieceCache(value)
+    return _caches[vocab, kind]
+
+
 def _raw(column: pa.Array) -> Iterator[bytes]:
     for x in column.cast(pa.large_binary()):
         yield x.as_py() or b""
@@ -127,7 +167,7 @@ def token_counts(docs: DataFrame, vocab: str = VOCAB, limit: int = 2048, by_piec
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = Encoder.of(vocab).ids
         first = tier.value
-        misses = _Cache(lambda text: len(encode(text)))
+        misses = cache_of(vocab, "count") if by_piece else None
 
         class _Tiers(dict):
             def __missing__(self, piece):
@@ -146,9 +186,8 @@ def token_counts(docs: DataFrame, vocab: str = VOCAB, limit: int = 2048, by_piec
 
 def id_bytes(vocab: str = VOCAB, by_piece: bool = True):
     """A function from text to its ids as little-endian unsigned 32-bit numbers."""
-    encode = Encoder.of(vocab).ids
-    value = lambda text: np.asarray(encode(text), "<u4").tobytes()
     if not by_piece:
-        return value
-    cache = _Cache(value, {b"": b""})
-    return lambda text: b"".join(map(cache.__getitem__, pieces(text.encode())))
+        encode = Encoder.of(vocab).ids
+        return lambda text: np.asarray(encode(text), "<u4").tobytes()
+    ids = cache_of(vocab, "ids").__getitem__
+    return lambda text: b"".join(map(ids, pieces(text.encode())))
