@@ -92,7 +92,8 @@ def fractional_plan(demand: np.ndarray, max_pivots: int = 20_000) -> tuple[list[
         return [], np.zeros(0)
     inverse = np.diag([1.0 / p[s] for p, s in zip(patterns, rows)])
     need = demand[rows].astype(float)
-    x, pivots = inverse @ need, 0
+    times = lambda v: (inverse * v).sum(axis=1)  # noqa: E731  small products stay off threaded libraries
+    x, pivots = times(need), 0
     low = float(((np.arange(capacity) + 1) * demand).sum()) / capacity
     while pivots < max_pivots and x.sum() > low * (1 + GAP):
         duals = inverse.sum(axis=0)
@@ -105,7 +106,7 @@ def fractional_plan(demand: np.ndarray, max_pivots: int = 20_000) -> tuple[list[
         for pattern in new:
             if float(pattern[rows] @ duals) <= 1 + 1e-7:
                 continue
-            column = inverse @ pattern[rows]
+            column = times(pattern[rows])
             ahead = column > 1e-9
             if not ahead.any():
                 continue
@@ -118,9 +119,7 @@ def fractional_plan(demand: np.ndarray, max_pivots: int = 20_000) -> tuple[list[
             inverse[out] = line
             patterns[out] = pattern
             pivots += 1
-            if pivots % 300 == 0:  # a fresh inverse against rounding drift
-                inverse = np.linalg.inv(np.stack([p[rows] for p in patterns], axis=1).astype(float))
-            x = inverse @ need
+            x = times(need)
             duals = inverse.sum(axis=0)
     return patterns, np.maximum(x, 0)
 
