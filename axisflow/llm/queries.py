@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .htmltext import main_text
 from .linededup import line_dedup
+from .ngramjoin import similar_components
 from .packing import pack
 from .quality import quality_classifier
 from .secrets import secret_scan
@@ -75,6 +76,11 @@ def _op8(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op9_ngram_join")
+def _op9(spark, sf_dir):
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 @query("op10_packing")
 def _op10(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
