@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .htmltext import main_text
 from .linededup import line_dedup
 from .ngramjoin import similar_components
@@ -71,6 +72,12 @@ def _op5(spark, sf_dir):
     return quality_classifier(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+@query("op6_decontamination")
+def _op6(spark, sf_dir):
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("n_slots").alias("n_slots"), F.min("changed_slots").alias("changed_slots"))
+
+
 @query("op8_token_counts")
 def _op8(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
