@@ -13,6 +13,7 @@ from .linededup import line_dedup
 from .ngramjoin import similar_components
 from .packing import pack
 from .quality import quality_classifier
+from .rules import BASE, quality_rules
 from .secrets import secret_scan
 from .tokens import token_counts
 
@@ -56,6 +57,11 @@ def _op1(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+@query("op2_quality_rules")
+def _op2(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept")
+
+
 @query("op3_html_text")
 def _op3(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
