@@ -19,6 +19,18 @@ def put(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*rest, *[v.alias(k) for k, v in columns.items()])
 
 
+def run_hashes(words: Column, size: int, short: bool = False) -> Column:
+    """Hashes of all runs of ``size`` elements of an array; with ``short``, of a shorter array as a whole, else none of it.
+
+    The array is bound to a lambda variable, so it is made once a row wherever the optimizer moves the expression.
+    """
+    def runs(w):
+        whole = F.when(F.size(w) > 0, F.array(F.xxhash64(w))) if short else F.when(F.lit(False), F.array(F.lit(0).cast("long")))
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
+        return F.when(F.size(w) >= size, each).otherwise(F.coalesce(whole, F.array().cast("array<bigint>")))
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; a missing one is an error that says so."""
     have = {c.lower(): c for c in df.columns}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import columns_of, put, small
+from .common import columns_of, run_hashes, small
 
 WINDOW = 5        # words of a template window
 COVER = 0.8       # share of an item's words that matched windows must cover
@@ -52,16 +52,10 @@ def _templates(words: Column) -> Column:
     return F.transform(words, template_of)
 
 
-def _windows(words: str, size: int) -> str:
-    """SQL of the hashes of all runs of ``size`` template words; of all words as one run if there are fewer."""
-    many = ", ".join(f"get({words}, i + {j})" for j in range(size))
-    return f"CASE WHEN size({words}) >= {size} THEN transform(sequence(0, size({words}) - {size}), i -> xxhash64({many})) WHEN size({words}) > 0 THEN array(xxhash64({words})) ELSE array() END"
-
-
 def _item_table(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     items = columns_of(benchmark, id_col, text_col).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).agg(F.count("*").alias("_n"))
     items = items.withColumn("words", words_of(F.col("text"))).withColumn("w", _templates(F.col("words"))).where(F.size("w") > 0)
-    return items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "words", F.size("w").alias("n_words"), F.expr(_windows("w", size)).alias("h"))
+    return items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "words", F.size("w").alias("n_words"), run_hashes(F.col("w"), size, True).alias("h"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER, consistent: float = CONSISTENT, id_col: str = "doc_id", text_col: str = "text",
@@ -84,8 +78,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cove
     ident, text = F.col(f"`{have[id_col.lower()]}`"), F.col(f"`{have[text_col.lower()]}`")
     source = docs.select(ident.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
-    words = source.select("doc_id", "mark", _templates(words_of(F.col("text"))).alias("w"))
-    seen = words.select("doc_id", "mark", F.explode(F.array_distinct(F.expr(_windows("w", size)))).alias("h"))
+    seen = source.select("doc_id", "mark", F.explode(F.array_distinct(run_hashes(_templates(words_of(F.col("text"))), size, True))).alias("h"))
     met = seen.join(small(places), "h").select("doc_id", "mark", "item", "n_words", F.explode("places").alias("p"))
     # words of the item under matched windows: each place adds the words after the reach of the place before it
     spots = met.groupBy("doc_id", "mark", "item").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("p")).alias("p"))
@@ -97,8 +90,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cove
     # slots, only of documents that may match: the first place of a window in the document beside its places in the item
     want = small(near.select("doc_id", "mark").distinct().select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")))
     held = source.join(want, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))).dropDuplicates(["doc_id", "mark"])
-    held = held.select("doc_id", "mark", words_of(F.col("text")).alias("words")).withColumn("w", _templates(F.col("words")))
-    shown = held.select("doc_id", "mark", "words", F.posexplode(F.expr(_windows("w", size))).alias("q", "h"))
+    held = held.select("doc_id", "mark", words_of(F.col("text")).alias("words"))
+    shown = held.select("doc_id", "mark", "words", F.posexplode(run_hashes(_templates(F.col("words")), size, True)).alias("q", "h"))
     shown = shown.select("doc_id", "mark", "h", F.struct("q", F.slice("words", F.col("q") + 1, size).alias("v")).alias("s")).groupBy("doc_id", "mark", "h").agg(F.min("s").alias("s"))
     sides = shown.join(small(places.select("h", "item", F.explode("places").alias("p"))), "h")
     pair = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")) & (F.col("item") == F.col("_i"))

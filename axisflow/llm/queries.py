@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .htmltext import main_text
+from .licenses import license_scan
 from .linededup import line_dedup
 from .ngramjoin import similar_components
 from .packing import pack
@@ -84,6 +85,11 @@ def _op6(spark, sf_dir):
     return found.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("n_slots").alias("n_slots"), F.min("changed_slots").alias("changed_slots"))
 
 
+@query("op7_license_scan")
+def _op7(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 @query("op8_token_counts")
 def _op8(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import SPACES, columns_of, put, small
+from .common import SPACES, columns_of, put, run_hashes, small
 
 BINS = 24          # thresholds per feature
 MAX_RULES = 12
@@ -53,8 +53,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(f"`{next(c for c in docs.columns if c.lower() == text_col.lower())}`"), F.lit(""))
     df = put(docs, _text=text)
     df = put(df, _words=F.filter(F.split("_text", f"[{SPACES}]+", -1), lambda w: w != ""), _lines=F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(f"[^{SPACES}]")))
-    df = put(df, _n=F.size("_words"), _runs=F.expr("CASE WHEN size(_words) >= 8 THEN transform(sequence(0, size(_words) - 8), i -> xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2), "
-                                                  "get(_words, i + 3), get(_words, i + 4), get(_words, i + 5), get(_words, i + 6), get(_words, i + 7))) END"))
+    df = put(df, _n=F.size("_words"), _runs=run_hashes(F.col("_words"), 8))
     # only texts that repeat a run go further: their runs in order of hash, neighbours that are equal, their places in order
     df = put(df, _sorted=F.expr("CASE WHEN size(_runs) > size(array_distinct(_runs)) THEN array_sort(transform(_runs, (h, i) -> struct(h AS h, i AS i))) END"))
     df = put(df, _places=F.expr("CASE WHEN _sorted IS NOT NULL THEN array_sort(array_distinct(flatten(zip_with(slice(_sorted, 1, size(_sorted) - 1), slice(_sorted, 2, size(_sorted) - 1), "
