@@ -9,6 +9,8 @@ from ..session import cut_lineage
 
 BROADCAST_ROWS = 2_000_000  # rows of a few machine words each; beyond it a shuffled join is used
 
+EDGES_PER_TASK = 50_000
+
 SPACES = "\\x20\\x09-\\x0D"  # the six ASCII white-space characters, for a character class
 
 
@@ -57,17 +59,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
-    before = None
+    tasks = max(1, -(-e.count() // EDGES_PER_TASK))  # rounds over a few edges need not fill a cluster's partitions
+    e, before = e.coalesce(tasks), None
     for _ in range(max_rounds):
         # large star: neighbours greater than the node go to the least of its neighbourhood
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks)
+        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(tasks)
         # small star: smaller neighbours and the node itself go to the least of them
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = down.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut_lineage(hung.union(least.select("u", F.col("m").alias("v"))).distinct())
+        e = cut_lineage(hung.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break

@@ -338,8 +338,10 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
     shared = signed.where("prefix is not null").select("class", "n", F.explode("prefix").alias("token"))
     by_token = Window.partitionBy("token").orderBy("n", "class")
-    near = shared.select("token", "class", "n", F.lag("class").over(by_token).alias("_b"), F.lead("class").over(by_token).alias("_a"), F.row_number().over(by_token).alias("_r"))
-    near = near.where((F.col("_b") != F.col("class")) | (F.col("_a") != F.col("class"))).withColumn("block", F.expr(f"cast((_r - 1) div {group} as int)"))
+    near = shared.select("token", "class", "n", F.lag(F.struct("class", "n")).over(by_token).alias("_b"), F.lead(F.struct("class", "n")).over(by_token).alias("_a"), F.row_number().over(by_token).alias("_r"))
+    # in order of size: if neither neighbour is near enough in size, no class of the group is
+    fits = (F.col("_b.class") != F.col("class")) & (100 * F.col("_b.n") >= percent * F.col("n")) | (F.col("_a.class") != F.col("class")) & (100 * F.col("n") >= percent * F.col("_a.n"))
+    near = near.where(F.coalesce(fits, F.lit(False))).withColumn("block", F.expr(f"cast((_r - 1) div {group} as int)"))
     near = cut_lineage(near.select("token", "block", "class"))
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = cut_lineage(classes)
@@ -394,12 +396,12 @@ def drop_similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_c
     stay. Rows without an id stay only if they have no words.
     """
     found = similar_components(docs, size, percent, id_col, text_col)
-    kept = cut_lineage(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_keep"), F.count("*").alias("_n")).where("_keep").select(F.col("doc_id").alias("_kid"), F.col("_n").cast("int").alias("_n")))
+    kept = cut_lineage(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_drop_similar_keep"), F.count("*").alias("_drop_similar_n")).where("_drop_similar_keep").select(F.col("doc_id").alias("_drop_similar_id"), F.col("_drop_similar_n").cast("int").alias("_drop_similar_n")))
     have = {c.lower(): c for c in docs.columns}
     ident, text = F.col(f"`{have[id_col.lower()]}`"), F.col(f"`{have[text_col.lower()]}`")
     blank = ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    joined = docs.join(small(kept), ident.cast("long") == F.col("_kid"), "left").where(F.col("_kid").isNotNull() | blank)
-    once = joined.where("_n is null or _n = 1").drop("_kid", "_n")
-    repeated = joined.where("_n > 1")
-    numbered = repeated.withColumn("_r", F.row_number().over(Window.partitionBy("_kid", text).orderBy(text)))
-    return once.unionByName(numbered.where((F.col("_r") == 1) | blank).drop("_kid", "_n", "_r"))
+    joined = docs.join(small(kept), ident.cast("long") == F.col("_drop_similar_id"), "left").where(F.col("_drop_similar_id").isNotNull() | blank)
+    once = joined.where("_drop_similar_n is null or _drop_similar_n = 1").drop("_drop_similar_id", "_drop_similar_n")
+    repeated = joined.where("_drop_similar_n > 1")
+    numbered = repeated.withColumn("_drop_similar_r", F.row_number().over(Window.partitionBy("_drop_similar_id", text).orderBy(text)))
+    return once.unionByName(numbered.where((F.col("_drop_similar_r") == 1) | blank).drop("_drop_similar_id", "_drop_similar_n", "_drop_similar_r"))
