@@ -112,7 +112,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cove
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; columns stay as they are."""
-    found = cut_lineage(contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).distinct())
+    found = cut_lineage(contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_bench_doc"), F.col("mark").alias("_bench_mark")).distinct())
     have = {c.lower(): c for c in docs.columns}
     ident, text = F.col(f"`{have[id_col.lower()]}`"), F.col(f"`{have[text_col.lower()]}`")
-    return docs.join(small(found), ident.cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_m")), "left_anti")
+    return docs.join(small(found), ident.cast("long").eqNullSafe(F.col("_bench_doc")) & (F.xxhash64(text) == F.col("_bench_mark")), "left_anti")

@@ -255,8 +255,8 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
         @F.pandas_udf("array<struct<host:long,subtree:long>>")
         def own(urls: pd.Series, sources: pd.Series) -> pd.Series:
             return pd.Series([[{"host": _h(host_of(u)), "subtree": t[0]} for t in Page(s or "").subtrees()] for u, s in zip(urls, sources)])
-        mark = put(pages, _a=F.xxhash64(url, source), _b=F.xxhash64(source, F.lit(3), url))
-        parts = mark.select("_a", "_b", F.explode(own(url, source)).alias("t")).select("_a", "_b", "t.host", "t.subtree").distinct()
-        gone = parts.join(found, ["host", "subtree"]).groupBy("_a", "_b").agg(F.collect_set("subtree").alias("_gone"))
-        done = mark.join(gone, ["_a", "_b"], "left").withColumn("_main_text", joined(source, F.col("_gone")))
+        mark = put(pages, _html_a=F.xxhash64(url, source), _html_b=F.xxhash64(source, F.lit(3), url))
+        parts = mark.select("_html_a", "_html_b", F.explode(own(url, source)).alias("t")).select("_html_a", "_html_b", "t.host", "t.subtree").distinct()
+        gone = parts.join(found, ["host", "subtree"]).groupBy("_html_a", "_html_b").agg(F.collect_set("subtree").alias("_html_gone"))
+        done = mark.join(gone, ["_html_a", "_html_b"], "left").withColumn("_main_text", joined(source, F.col("_html_gone")))
     return put(done, text=F.col("_main_text"), n_chars=F.length("_main_text").cast("long")).select(*[F.col(f"`{c}`") for c in order], "text", "n_chars")

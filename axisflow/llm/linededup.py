@@ -270,15 +270,15 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fir
         known = docs.sparkSession.sparkContext.broadcast(known)
         done = docs.withColumn("_line_dedup", _drop_known(suspects, known, min_chars, keep_first)(text, ident))
     else:
-        mark = put(docs, _mark=F.xxhash64(text, F.lit(1)), _mark2=F.xxhash64(F.lit(7), text), _id=ident)
-        lines = mark.select("_id", "_mark", "_mark2", F.explode(_suspected(suspects, min_chars)(text)).alias("s")).select("_id", "_mark", "_mark2", "s.line", "s.key")
+        mark = put(docs, _line_mark=F.xxhash64(text, F.lit(1)), _line_mark2=F.xxhash64(F.lit(7), text), _line_id=ident)
+        lines = mark.select("_line_id", "_line_mark", "_line_mark2", F.explode(_suspected(suspects, min_chars)(text)).alias("s")).select("_line_id", "_line_mark", "_line_mark2", "s.line", "s.key")
         hit = lines.join(found.select("key", "first_id"), "key")
         if keep_first:
-            first = hit.where(F.col("first_id").eqNullSafe(F.col("_id")) & F.col("_id").isNotNull()).groupBy("_id", "_mark", "_mark2", "key").agg(F.min("line").alias("line"))
-            hit = hit.join(first, (hit["_id"] == first["_id"]) & (hit["_mark"] == first["_mark"]) & (hit["_mark2"] == first["_mark2"]) & (hit["key"] == first["key"]) & (hit["line"] == first["line"]), "left_anti")
-        gone = hit.groupBy("_id", "_mark", "_mark2").agg(F.collect_set("line").alias("_gone")).select(*[F.col(c).alias(f"{c}r") for c in ("_id", "_mark", "_mark2")], "_gone")
-        joined = mark.join(gone, F.col("_id").eqNullSafe(F.col("_idr")) & (F.col("_mark") == F.col("_markr")) & (F.col("_mark2") == F.col("_mark2r")), "left")
-        done = joined.withColumn("_line_dedup", _drop_lines()(text, F.col("_gone"))).drop("_id", "_mark", "_mark2", "_idr", "_markr", "_mark2r", "_gone")
+            first = hit.where(F.col("first_id").eqNullSafe(F.col("_line_id")) & F.col("_line_id").isNotNull()).groupBy("_line_id", "_line_mark", "_line_mark2", "key").agg(F.min("line").alias("line"))
+            hit = hit.join(first, (hit["_line_id"] == first["_line_id"]) & (hit["_line_mark"] == first["_line_mark"]) & (hit["_line_mark2"] == first["_line_mark2"]) & (hit["key"] == first["key"]) & (hit["line"] == first["line"]), "left_anti")
+        gone = hit.groupBy("_line_id", "_line_mark", "_line_mark2").agg(F.collect_set("line").alias("_line_gone")).select(*[F.col(c).alias(f"{c}r") for c in ("_line_id", "_line_mark", "_line_mark2")], "_line_gone")
+        joined = mark.join(gone, F.col("_line_id").eqNullSafe(F.col("_line_idr")) & (F.col("_line_mark") == F.col("_line_markr")) & (F.col("_line_mark2") == F.col("_line_mark2r")), "left")
+        done = joined.withColumn("_line_dedup", _drop_lines()(text, F.col("_line_gone"))).drop("_line_id", "_line_mark", "_line_mark2", "_line_idr", "_line_markr", "_line_mark2r", "_line_gone")
     order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     done = put(done, **{have[text_col.lower()]: F.col("_line_dedup.text"), "n_lines": F.col("_line_dedup.n_lines"), "n_dropped": F.col("_line_dedup.n_dropped")})
     return done.select(*[F.col(f"`{c}`") for c in order], "n_lines", "n_dropped")

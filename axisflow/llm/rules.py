@@ -51,20 +51,20 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     has twice or more. A null text has no words. Columns of these names in ``docs`` give way.
     """
     text = F.coalesce(F.col(f"`{next(c for c in docs.columns if c.lower() == text_col.lower())}`"), F.lit(""))
-    df = put(docs, _text=text)
-    df = put(df, _words=F.filter(F.split("_text", f"[{SPACES}]+", -1), lambda w: w != ""), _lines=F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(f"[^{SPACES}]")))
-    df = put(df, _n=F.size("_words"), _runs=run_hashes(F.col("_words"), 8))
+    df = put(docs, _stat_text=text)
+    df = put(df, _stat_words=F.filter(F.split("_stat_text", f"[{SPACES}]+", -1), lambda w: w != ""), _stat_lines=F.filter(F.split("_stat_text", "\n", -1), lambda x: x.rlike(f"[^{SPACES}]")))
+    df = put(df, _stat_n=F.size("_stat_words"), _stat_runs=run_hashes(F.col("_stat_words"), 8))
     # only texts that repeat a run go further: their runs in order of hash, neighbours that are equal, their places in order
-    df = put(df, _sorted=F.expr("CASE WHEN size(_runs) > size(array_distinct(_runs)) THEN array_sort(transform(_runs, (h, i) -> struct(h AS h, i AS i))) END"))
-    df = put(df, _places=F.expr("CASE WHEN _sorted IS NOT NULL THEN array_sort(array_distinct(flatten(zip_with(slice(_sorted, 1, size(_sorted) - 1), slice(_sorted, 2, size(_sorted) - 1), "
+    df = put(df, _stat_sorted=F.expr("CASE WHEN size(_stat_runs) > size(array_distinct(_stat_runs)) THEN array_sort(transform(_stat_runs, (h, i) -> struct(h AS h, i AS i))) END"))
+    df = put(df, _stat_places=F.expr("CASE WHEN _stat_sorted IS NOT NULL THEN array_sort(array_distinct(flatten(zip_with(slice(_stat_sorted, 1, size(_stat_sorted) - 1), slice(_stat_sorted, 2, size(_stat_sorted) - 1), "
                                 "(a, b) -> CASE WHEN a.h = b.h THEN array(a.i, b.i) ELSE cast(array() AS array<int>) END)))) END"))
-    df = put(df, _repeat=F.expr("CASE WHEN _places IS NOT NULL THEN 8 + aggregate(zip_with(slice(_places, 1, size(_places) - 1), slice(_places, 2, size(_places) - 1), "
+    df = put(df, _stat_repeat=F.expr("CASE WHEN _stat_places IS NOT NULL THEN 8 + aggregate(zip_with(slice(_stat_places, 1, size(_stat_places) - 1), slice(_stat_places, 2, size(_stat_places) - 1), "
                                 "(a, b) -> least(8, b - a)), 0, (s, x) -> s + x) ELSE 0 END"))
-    own = F.col("_text")
-    return put(df, n_words=F.col("_n").cast("long"), word_chars=F.length(F.translate(own, WHITE, "")).cast("long"), n_symbols=_count(own, SYMBOLS),
-               n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), n_repeat_words=F.col("_repeat").cast("long"), n_lines=F.size("_lines").cast("long"),
-               n_distinct_words=F.size(F.array_distinct("_words")).cast("long"), n_upper=_count(own, UPPER), n_marks=_count(own, MARKS), n_digits=_count(own, DIGITS)
-               ).drop("_text", "_words", "_lines", "_n", "_runs", "_sorted", "_places", "_repeat")
+    own = F.col("_stat_text")
+    return put(df, n_words=F.col("_stat_n").cast("long"), word_chars=F.length(F.translate(own, WHITE, "")).cast("long"), n_symbols=_count(own, SYMBOLS),
+               n_dup_lines=(F.size("_stat_lines") - F.size(F.array_distinct("_stat_lines"))).cast("long"), n_repeat_words=F.col("_stat_repeat").cast("long"), n_lines=F.size("_stat_lines").cast("long"),
+               n_distinct_words=F.size(F.array_distinct("_stat_words")).cast("long"), n_upper=_count(own, UPPER), n_marks=_count(own, MARKS), n_digits=_count(own, DIGITS)
+               ).drop("_stat_text", "_stat_words", "_stat_lines", "_stat_n", "_stat_runs", "_stat_sorted", "_stat_places", "_stat_repeat")
 
 
 Condition = tuple[str, str, float]  # feature, "<=" or ">", threshold
