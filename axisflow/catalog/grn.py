@@ -99,14 +99,17 @@ def _dx(t: Tables):
     return t.grn.groupBy("bin", "gene").agg((F.avg("v") * 10).alias("dx"))
 
 
+_DENSE = "SELECT bin, tf, gene, coalesce(v, 0e0) AS v FROM (SELECT DISTINCT tf, gene FROM grn) CROSS JOIN (SELECT unnest(range((SELECT min(bin) FROM grn), (SELECT max(bin) FROM grn) + 1))::INT AS bin) LEFT JOIN grn USING (bin, tf, gene)"
+
+
 def _prox_sql(steps: int) -> dict[str, str]:
     """lr 0.1, L1 0.002, temporal 0.2, prior 0.3, local 0.05."""
-    out = {**_GENES, **_SIGN, "dxs": "SELECT bin, gene, avg(v) * 10 AS dx FROM grn GROUP BY 1, 2",
-           "k0": "SELECT bin, tf, gene, grn.v AS j, grn.v, CASE WHEN pairs.tf IS NULL THEN 0e0 ELSE 1e0 END AS al, coalesce(sg.sign, 0) AS sign, coalesce(x, 0e0) AS x FROM grn LEFT JOIN pairs USING (tf, gene) LEFT JOIN sg USING (tf, gene) LEFT JOIN xtf USING (bin, tf)"}
+    out = {**_GENES, **_SIGN, "dxs": "SELECT bin, gene, avg(v) * 10 AS dx FROM grn GROUP BY 1, 2", "dense": _DENSE,
+           "k0": "SELECT bin, tf, gene, grn.v AS j, grn.v, CASE WHEN pairs.tf IS NULL THEN 0e0 ELSE 1e0 END AS al, coalesce(sg.sign, 0) AS sign, coalesce(x, 0e0) AS x FROM dense AS grn LEFT JOIN pairs USING (tf, gene) LEFT JOIN sg USING (tf, gene) LEFT JOIN xtf USING (bin, tf)"}
     for s in range(steps):
         out[f"r{s}"] = f"SELECT bin, gene, sum(v * x) - any_value(dx) AS res FROM k{s} JOIN dxs USING (bin, gene) GROUP BY 1, 2"
         out[f"h{s}"] = (f"SELECT k{s}.*, v - 0.1e0 * (2 * (v - j) + 0.4e0 * (coalesce(v - lag(v) OVER w, 0) + coalesce(v - lead(v) OVER w, 0)) + 0.6e0 * ((1 - al) * v + CASE WHEN sign > 0 AND v < 0 THEN v WHEN sign < 0 AND v > 0 THEN v ELSE 0 END)"
-                        f" + 0.1e0 * res * x) AS mv FROM k{s} JOIN r{s} USING (bin, gene) WINDOW w AS (PARTITION BY tf, gene ORDER BY bin)")
+                        f" + 0.1e0 * coalesce(res, 0) * x) AS mv FROM k{s} LEFT JOIN r{s} USING (bin, gene) WINDOW w AS (PARTITION BY tf, gene ORDER BY bin)")
         out[f"k{s + 1}"] = f"SELECT bin, tf, gene, j, sign(mv) * greatest(abs(mv) - 0.1e0 * 0.002e0, 0) AS v, al, sign, x FROM h{s}"
     return out
 
@@ -117,11 +120,11 @@ def _(t: Tables):
 
 
 @query("grn_objective", with_("grn", "xtf", extra={**_GENES, **_SIGN, "kk": "SELECT bin, tf, gene, v AS j, sign(v) * greatest(abs(v) - 0.005e0, 0) AS k FROM grn", "dxs": "SELECT bin, gene, avg(v) * 10 AS dx FROM grn GROUP BY 1, 2",
-    "d": "SELECT kk.*, k - lag(k) OVER (PARTITION BY tf, gene ORDER BY bin) AS d FROM kk"},
+    "dense": _DENSE, "d": "SELECT k - lag(k) OVER (PARTITION BY tf, gene ORDER BY bin) AS d FROM (SELECT bin, tf, gene, sign(v) * greatest(abs(v) - 0.005e0, 0) AS k FROM dense)"},
     body=f"""SELECT {R('avg((k - j) ** 2)', 9)} AS fit, {R('avg(abs(k))', 9)} AS sparse, {R('avg(CASE WHEN pairs.tf IS NULL THEN k * k END)', 9)} AS forbidden,
-    {R('coalesce(avg(CASE WHEN sg.sign > 0 THEN greatest(-k, 0) ** 2 END), 0) + coalesce(avg(CASE WHEN sg.sign < 0 THEN greatest(k, 0) ** 2 END), 0)', 9)} AS sign, {R('avg(d * d)', 9)} AS temporal,
+    {R('coalesce(avg(CASE WHEN sg.sign > 0 THEN greatest(-k, 0) ** 2 END), 0) + coalesce(avg(CASE WHEN sg.sign < 0 THEN greatest(k, 0) ** 2 END), 0)', 9)} AS sign, {R('(SELECT avg(d * d) FROM d)', 9)} AS temporal,
     {R('(SELECT avg((coalesce(p, 0) - dx) ** 2) FROM dxs LEFT JOIN (SELECT bin, gene, sum(k * x) AS p FROM kk JOIN xtf USING (bin, tf) GROUP BY 1, 2) USING (bin, gene))', 9)} AS "local"
-    FROM d LEFT JOIN pairs USING (tf, gene) LEFT JOIN sg USING (tf, gene)"""))
+    FROM kk LEFT JOIN pairs USING (tf, gene) LEFT JOIN sg USING (tf, gene)"""))
 def _(t: Tables):
     return rounded(k.grn_objective(k.soft_threshold(t.grn, 0.01), t.grn, _mask(t), _signs(t), t.xtf, _dx(t)), 9)
 

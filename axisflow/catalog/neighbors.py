@@ -144,7 +144,7 @@ def _(t: Tables):
     return rounded(vec_long(g.interaction_term(_lift(t), t.fold, 8, 0.5), "u", "src"))
 
 
-_ROUNDS = 4
+_ROUNDS = 40  # more than the longest shortest path has edges; further rounds change nothing
 
 
 def _bfs_sql() -> dict[str, str]:
@@ -159,7 +159,7 @@ def _bfs_sql() -> dict[str, str]:
     {R(f'(coalesce(d, (SELECT quantile_cont(d, 0.5) FROM d{_ROUNDS})) - (SELECT min(d) FROM d{_ROUNDS})) / ((SELECT max(d) FROM d{_ROUNDS}) - (SELECT min(d) FROM d{_ROUNDS}) + 1e-8)')} AS t FROM d{_ROUNDS}"""))
 def _(t: Tables):
     root = t.fold.where(F.col("cluster") == 0).agg(F.min("cell_id").alias("r")).scalar()
-    return rounded(g.graph_pseudotime(t.nnf, root, _ROUNDS, t.fold))
+    return rounded(g.graph_pseudotime(t.nnf, root, t.fold))
 
 
 @query("root_cell", with_("emb", extra={"c": "SELECT cluster, i, avg(x[i]) AS m FROM emb, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2"},
@@ -184,16 +184,17 @@ def _(t: Tables):
 _ABS = {"fw": """SELECT src, dst, exp(-dist) / sum(exp(-dist)) OVER (PARTITION BY src) AS w FROM nnf JOIN fold a ON a.cell_id = src JOIN fold b ON b.cell_id = dst
         WHERE b.t > a.t AND src NOT IN (SELECT cell_id FROM fold WHERE t >= 0.7)""",
         "p0": "SELECT cell_id, CASE WHEN cluster < 5 THEN 'low' ELSE 'high' END AS branch, 1e0 AS prob FROM fold WHERE t >= 0.7"}
-for _i in range(5):
+_STEPS = 60  # more than the longest forward walk has edges
+for _i in range(_STEPS):
     _ABS[f"p{_i + 1}"] = f"SELECT * FROM p0 UNION ALL SELECT src, branch, sum(w * prob) FROM fw JOIN p{_i} ON dst = cell_id GROUP BY 1, 2"
 
 
 @query("absorb_probabilities", with_("nnf", extra=_ABS, body=f"""SELECT cell_id, branch, {R('prob')} AS prob,
-    {R('sum(CASE WHEN prob > 0 THEN -prob * ln(prob) ELSE 0 END) OVER (PARTITION BY cell_id)')} AS entropy FROM p5"""))
+    {R('sum(CASE WHEN prob > 0 THEN -prob * ln(prob) ELSE 0 END) OVER (PARTITION BY cell_id)')} AS entropy FROM p{_STEPS}"""))
 def _(t: Tables):
     from ..operators.prep import branch_entropy
     term = t.fold.where(F.col("t") >= 0.7).select("cell_id", F.when(F.col("cluster") < 5, "low").otherwise("high").alias("branch"))
-    p = g.absorb_probabilities(t.nnf.select("src", "dst", F.exp(-F.col("dist")).alias("w")), t.fold, term, 5)
+    p = g.absorb_probabilities(t.nnf.select("src", "dst", F.exp(-F.col("dist")).alias("w")), t.fold, term)
     return rounded(p.join(branch_entropy(p), "cell_id"))
 
 

@@ -27,11 +27,11 @@ def _(t: Tables):
 
 
 @query("highly_variable", with_("expr", extra={**_NORM_SQL,
-    "m0": "SELECT feature, sum(value) / n AS mean, sum(value * value) / n - (sum(value) / n) * (sum(value) / n) AS var, n FROM nrm, (SELECT count(DISTINCT cell_id)::DOUBLE AS n FROM expr) GROUP BY feature, n",
+    "m0": "SELECT feature, sum(value) / n AS mean, sum(value * value) / n - (sum(value) / n) * (sum(value) / n) AS var, n FROM (SELECT cell_id, feature, exp(value) - 1 AS value FROM nrm), (SELECT count(DISTINCT cell_id)::DOUBLE AS n FROM expr) GROUP BY feature, n",
     "m1": "SELECT feature, ln(1 + mean) AS mean, ln((var * n / (n - 1) + 1e-12) / mean) AS dispersion FROM m0 WHERE mean > 0",
-    "m2": "SELECT *, least(floor((mean - (SELECT min(mean) FROM m1)) / (((SELECT max(mean) FROM m1) - (SELECT min(mean) FROM m1) + 1e-12) / 20e0)), 19) AS bin FROM m1",
-    "b": "SELECT bin, avg(dispersion) AS bm, coalesce(stddev_samp(dispersion), 0) AS bs FROM m2 GROUP BY 1",
-    "z": "SELECT feature, mean, dispersion, CASE WHEN bs > 0 THEN (dispersion - bm) / bs ELSE 0e0 END AS score FROM m2 JOIN b USING (bin)"},
+    "m2": "SELECT *, least(greatest(ceil((mean - (SELECT min(mean) FROM m1)) / (((SELECT max(mean) FROM m1) - (SELECT min(mean) FROM m1) + 1e-12) / 20e0)) - 1, 0), 19) AS bin FROM m1",
+    "b": "SELECT bin, avg(dispersion) AS bm, stddev_samp(dispersion) AS bs, count(*) AS bn FROM m2 GROUP BY 1",
+    "z": "SELECT feature, mean, dispersion, CASE WHEN bn = 1 THEN 1e0 WHEN bs > 0 THEN (dispersion - bm) / bs ELSE 0e0 END AS score FROM m2 JOIN b USING (bin)"},
     body=f"SELECT feature, {R('mean')} AS mean, {R('dispersion')} AS dispersion, {R('score')} AS score, row_number() OVER (ORDER BY score DESC, feature)::INT AS rank FROM z QUALIFY rank <= 200"))
 def _(t: Tables):
     return rounded(prep.highly_variable(prep.normalize_total(t.expr), 200, t.n_cells.cast("double")))
@@ -79,7 +79,7 @@ def _(t: Tables):
     "ctl": "SELECT feature FROM bins WHERE bin IN (SELECT bin FROM ins) AND feature NOT IN (SELECT feature FROM sets)"},
     body=f"""SELECT cell_id, 'S' AS set_name, {R('vs / ns - vc / nc')} AS score FROM (SELECT cell_id, sum(CASE WHEN i.feature IS NOT NULL THEN value ELSE 0 END) AS vs,
     sum(CASE WHEN c.feature IS NOT NULL THEN value ELSE 0 END) AS vc FROM nrm LEFT JOIN ins i ON i.feature = nrm.feature LEFT JOIN ctl c ON c.feature = nrm.feature
-    WHERE i.feature IS NOT NULL OR c.feature IS NOT NULL GROUP BY 1), (SELECT count(*) AS ns FROM ins), (SELECT count(*) AS nc FROM ctl)"""))
+    GROUP BY 1), (SELECT count(*) AS ns FROM ins), (SELECT count(*) AS nc FROM ctl)"""))
 def _(t: Tables):
     sets = t.part.where(F.col("p_brand") == "Brand#3").select(F.lit("S").alias("set_name"), F.col("p_partkey").alias("feature"))
     return rounded(prep.gene_set_score(prep.normalize_total(t.expr), sets, n_bins=5, ctrl_size=10**9))

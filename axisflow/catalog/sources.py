@@ -50,11 +50,11 @@ def _(t: Tables):
     return readers.read_base_grn_csv(t.spark, path)
 
 
-@query("feature_table", """SELECT 'o' || (o_orderkey % 9000)::VARCHAR AS feature_id, min({'start': o_custkey, 'end': o_custkey + 100}).start AS start,
-    min(o_custkey) + 100 AS "end", count(*) AS n FROM orders GROUP BY 1""".replace("min({'start': o_custkey, 'end': o_custkey + 100}).start", "min(o_custkey)"))
+@query("feature_table", """SELECT 'o' || (o_orderkey % 9000)::VARCHAR AS feature_id, arg_min(o_custkey, o_orderkey) AS start,
+    arg_min(o_custkey, o_orderkey) + 100 AS "end", count(*) AS n FROM orders GROUP BY 1""")
 def _(t: Tables):
     fid = F.concat(F.lit("o"), (F.col("o_orderkey") % 9000).cast("string"))
-    lines = t.orders.select(F.concat_ws("\t", fid, F.lit("name"), F.lit("Gene Expression"), "o_orderpriority",
+    lines = t.orders.orderBy("o_orderkey").select(F.concat_ws("\t", fid, F.concat(F.lit("n"), fid), F.lit("Gene Expression"), "o_orderpriority",
                                         F.col("o_custkey").cast("string"), (F.col("o_custkey") + 100).cast("string")))
     path = staged_text(lines, "features")
     n = t.orders.groupBy(fid.alias("feature_id")).agg(F.count(F.lit(1)).alias("n"))

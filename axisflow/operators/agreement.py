@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,19 +54,51 @@ def match_summary(matched: DataFrame, keys: list[str] = ()) -> DataFrame:
     return matched.groupBy(*keys).agg(F.percentile("cosine", 0.5).alias("median_cosine"), F.min("cosine").alias("min_cosine"))
 
 
+def _assignment_total(value: np.ndarray) -> float:
+    """Greatest sum of one entry per row and column: shortest augmenting paths with row and column prices."""
+    cost = -value
+    k = len(cost)
+    row_price, col_price = np.zeros(k), np.zeros(k + 1)
+    owner = np.full(k + 1, -1)  # row that holds a column; the last column is the start of a path
+    for row in range(k):
+        owner[k] = row
+        column, least, back, done = k, np.full(k, np.inf), np.full(k, k), np.zeros(k + 1, bool)
+        while owner[column] >= 0:
+            done[column] = True
+            slack = cost[owner[column]] - row_price[owner[column]] - col_price[:k]
+            closer = ~done[:k] & (slack < least)
+            least[closer], back[closer] = slack[closer], column
+            free = np.where(done[:k], np.inf, least)
+            nearest = int(free.argmin())
+            step = free[nearest]
+            held = np.flatnonzero(done)
+            row_price[owner[held]] += step
+            col_price[held] -= step
+            least[~done[:k]] -= step
+            column = nearest
+        while column != k:
+            owner[column] = owner[back[column]]
+            column = back[column]
+    return float(sum(value[owner[c], c] for c in range(k)))
+
+
 def best_match(corr: DataFrame, k: int, keys: list[str] = ()) -> DataFrame:
     """Largest mean over all one-to-one assignments of a K x K matrix (ka, kb in 0..k-1, c): (keys, mean_matched).
 
-    All K! assignments are tried (K <= 6, at most 720) as an array expression on one row per key.
+    One matrix of K x K numbers per key is solved in a task; a missing or null entry makes the result null.
     """
-    if k > 6:
-        raise ValueError("best_match enumerates assignments; use greedy_match beyond six archetypes")
     keys = list(keys)
-    cells = [F.max(F.when((F.col("ka") == i) & (F.col("kb") == j), F.col("c"))) for i in range(k) for j in range(k)]
-    m = corr.groupBy(*keys).agg(F.array(*cells).alias("m"))
-    combos = F.array(*[F.array(*[F.lit(i * k + p[i]) for i in range(k)]) for p in permutations(range(k))])
-    total = F.transform(combos, lambda c: F.aggregate(F.transform(c, lambda i: F.get("m", i)), F.lit(0.0), lambda a, v: a + v))
-    return m.select(*keys, (F.array_max(total) / k).alias("mean_matched"))
+    types = dict(corr.dtypes)
+    cells = corr.groupBy(*keys, "ka", "kb").agg(F.max("c").alias("c"))
+    src = cells if keys else cells.withColumn("_g", F.lit(0))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.full((k, k), np.nan)
+        m[pdf["ka"].to_numpy(), pdf["kb"].to_numpy()] = pdf["c"].to_numpy(float)
+        best = None if np.isnan(m).any() else _assignment_total(m) / k
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in keys), best]], columns=[*keys, "mean_matched"])
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "mean_matched double"])
+    return src.groupBy(*(keys or ["_g"])).applyInPandas(run, schema)
 
 
 def peak_overlap(peaks: DataFrame, window: float = 0.1, keys: list[str] = ()) -> DataFrame:

@@ -95,7 +95,7 @@ def grid_flow(points: DataFrame, bins: int = 20, min_rows: int = 3) -> DataFrame
     """Mean 2-D velocity on a regular grid over (px, py, vx, vy); cells with fewer rows are left out."""
     s = stat(points, x0=F.min("px"), x1=F.max("px"), y0=F.min("py"), y1=F.max("py"))
     def cell(p, lo, hi):
-        return F.least(F.floor((F.col(p) - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
+        return F.least(F.floor(F.coalesce(F.try_divide(F.col(p) - lo, hi - lo), F.lit(0.0)) * F.lit(bins)), F.lit(bins - 1)).cast("int")
     df = points.select("vx", "vy", cell("px", s["x0"], s["x1"]).alias("ix"), cell("py", s["y0"], s["y1"]).alias("iy"))
     return (df.groupBy("ix", "iy").agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"), F.count(F.lit(1)).alias("n"))
             .where(F.col("n") >= min_rows))

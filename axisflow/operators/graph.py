@@ -23,7 +23,7 @@ def graph_laplacian(graph: DataFrame) -> DataFrame:
     deg = graph.groupBy("src").agg(F.sum("w").alias("deg"))
     off = (graph.where(F.col("src") != F.col("dst")).join(deg.withColumnRenamed("deg", "ds"), "src")
            .join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("dd")), "dst")
-           .select("src", "dst", (-F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")))
+           .select("src", "dst", F.coalesce(F.try_divide(-F.col("w"), F.sqrt(F.col("ds") * F.col("dd"))), F.lit(0.0)).alias("w")))
     return off.union(deg.select("src", F.col("src").alias("dst"), F.when(F.col("deg") > 0, 1.0).otherwise(0.0).alias("w")))
 
 
@@ -103,11 +103,12 @@ def root_cell(latent: DataFrame, dim: int, by: str = "cluster") -> DataFrame:
     return d.groupBy(by).agg(F.min(F.struct("d2", "cell_id")).alias("m")).select(by, F.col("m.cell_id").alias("root"))
 
 
-def graph_pseudotime(edges: DataFrame, root, rounds: int, cells: DataFrame | None = None, weight: str = "dist",
+def graph_pseudotime(edges: DataFrame, root, cells: DataFrame | None = None, weight: str = "dist",
                      checkpoint_every: int = 4) -> DataFrame:
-    """Ordering by shortest path length from the root, relaxed for a fixed number of rounds.
+    """Ordering by shortest path length from the root, relaxed until no distance changes.
 
-    Unreached rows take the median, then the axis is min-max scaled: (cell_id, dist, t).
+    Rows without a path to the root keep a null distance and take the median on the axis, which is then
+    min-max scaled: (cell_id, d, t).
     """
     e = symmetric_graph(edges, weight)
     nodes = (cells.select("cell_id") if cells is not None
@@ -116,21 +117,33 @@ def graph_pseudotime(edges: DataFrame, root, rounds: int, cells: DataFrame | Non
     out_edges = edges.select("src", "dst", F.col(weight).alias("w"))
     both = out_edges.union(out_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     both = cut_lineage(both.groupBy("src", "dst").agg(F.min("w").alias("w")))
-    for i in range(rounds):
+    before, i = None, 0
+    while True:
         step = (both.join(d.where(F.col("d").isNotNull()).withColumnRenamed("cell_id", "src"), "src")
                 .groupBy(F.col("dst").alias("cell_id")).agg(F.min(F.col("d") + F.col("w")).alias("nd")))
         d = d.join(step, "cell_id", "left").select("cell_id", F.least("d", "nd").alias("d"))
-        if (i + 1) % checkpoint_every == 0:
+        i += 1
+        if i % checkpoint_every == 0:
             d = cut_lineage(d)
+            state = _state(d, "d", "cell_id")
+            if state == before:
+                break
+            before = state
     med = ranking.quantile_scalar(d, "d", 0.5)
     s = stat(d, lo=F.min("d"), hi=F.max("d"))
     full = F.coalesce(F.col("d"), med)
     return d.select("cell_id", "d", ((full - s["lo"]) / (s["hi"] - s["lo"] + F.lit(1e-8))).alias("t"))
 
 
+def _state(df: DataFrame, value: str, *keys: str) -> tuple:
+    """Count and a hash sum of a table, equal for equal tables whatever their partitions."""
+    seen = df.where(F.col(value).isNotNull())
+    return tuple(seen.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, value).cast("decimal(38,0)"))).first())
+
+
 def _row_normalise(edges: DataFrame) -> DataFrame:
     tot = edges.groupBy("src").agg(F.sum("w").alias("_t"))
-    return edges.join(tot, "src").select("src", "dst", (F.col("w") / F.col("_t")).alias("w"))
+    return edges.join(tot, "src").select("src", "dst", F.coalesce(F.try_divide(F.col("w"), F.col("_t")), F.lit(0.0)).alias("w"))
 
 
 def graph_smooth(edges: DataFrame, values: DataFrame, rounds: int, keep: float = 0.0, checkpoint_every: int = 4) -> DataFrame:
@@ -150,9 +163,10 @@ def graph_smooth(edges: DataFrame, values: DataFrame, rounds: int, keep: float =
     return out
 
 
-def absorb_probabilities(edges: DataFrame, axis: DataFrame, terminals: DataFrame, rounds: int,
-                         checkpoint_every: int = 4) -> DataFrame:
-    """Branch probabilities by walking forward along the axis until a terminal row is met.
+def absorb_probabilities(edges: DataFrame, axis: DataFrame, terminals: DataFrame, checkpoint_every: int = 4, digits: int = 12) -> DataFrame:
+    """Branch probabilities by walking forward along the axis until a terminal row is met, for walks of any length.
+
+    Edges only lead forward, so the walks end; it stops when no probability changes in ``digits`` digits.
 
     ``edges`` (src, dst, w), ``axis`` (cell_id, t), ``terminals`` (cell_id, branch). Only edges to a
     later row are used and terminals keep their label: (cell_id, branch, prob).
@@ -164,14 +178,18 @@ def absorb_probabilities(edges: DataFrame, axis: DataFrame, terminals: DataFrame
            .join(terminals.select(F.col("cell_id").alias("src")), "src", "left_anti"))
     fwd = cut_lineage(_row_normalise(fwd))
     fixed = terminals.select("cell_id", "branch", F.lit(1.0).alias("prob"))
-    p = fixed
-    for i in range(rounds):
+    p, before, i = fixed, None, 0
+    while True:
         step = (fwd.join(p.select(F.col("cell_id").alias("dst"), "branch", "prob"), "dst")
                 .groupBy(F.col("src").alias("cell_id"), "branch").agg(F.sum(F.col("w") * F.col("prob")).alias("prob")))
         p = fixed.union(step)
-        if (i + 1) % checkpoint_every == 0:
+        i += 1
+        if i % checkpoint_every == 0:
             p = cut_lineage(p)
-    return p
+            state = _state(p.withColumn("prob", F.round("prob", digits)), "prob", "cell_id", "branch")
+            if state == before:
+                return p
+            before = state
 
 
 def target_edge_filter(network: DataFrame, genes: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def peak_prior(motif: DataFrame, access: DataFrame, min_score: float | None = No
     """sum over peaks of motif(tf, peak) * access(peak, gene), divided by the maximum."""
     s = motif.join(access, "peak").groupBy("tf", "gene").agg(F.sum(F.col("motif") * F.col("access")).alias("s"))
     top = stat(s, m=F.max("s"))
-    out = s.select("tf", "gene", (F.col("s") / top["m"]).alias("prior"))
+    out = s.select("tf", "gene", F.coalesce(F.try_divide(F.col("s"), top["m"]), F.lit(0.0)).alias("prior"))
     return out.where(F.col("prior") >= min_score) if min_score is not None else out
 
 
@@ -101,17 +101,25 @@ def soft_threshold(grn: DataFrame, lam: float, mask: DataFrame | None = None) ->
     return out.withColumn("v", v).where(F.col("v") != 0)
 
 
+def every_bin(grn: DataFrame) -> DataFrame:
+    """A row for each listed pair and each bin between the first and the last, zeros where none is listed."""
+    s = stat(grn, lo=F.min("bin"), hi=F.max("bin"))
+    pairs = grn.select("tf", "gene").distinct().withColumn("bin", F.explode(F.sequence(s["lo"], s["hi"])))
+    return pairs.join(grn.select("bin", "tf", "gene", "v"), ["bin", "tf", "gene"], "left").na.fill(0.0, ["v"])
+
+
 def refine_grn(j: DataFrame, n_steps: int, lr: float = 0.1, lam_sparse: float = 0.0, lam_temporal: float = 0.0, lam_local: float = 0.0,
                lam_prior: float = 0.0, x_tf: DataFrame | None = None, dx: DataFrame | None = None, mask: DataFrame | None = None,
                signs: DataFrame | None = None, positive: bool = False, checkpoint_every: int = 3) -> DataFrame:
     """Fixed-step proximal gradient on fit + L1 + prior + sign + local-dynamics + temporal penalties, then the hard mask.
 
-    Each round is a lag/lead over bins, one residual aggregate by (bin, gene) and a join back. With every
-    penalty but L1 off the closed form is used.
+    Bins of a pair that are not listed are zeros. Each round is a lag/lead over bins, one residual aggregate by
+    (bin, gene) and a join back. With every penalty but L1 off the closed form is used.
     """
     if not (lam_temporal or lam_local or lam_prior):
-        return soft_threshold(j, lam_sparse, mask)
-    base = j.select("bin", "tf", "gene", F.col("v").alias("j"))
+        done = soft_threshold(j, lam_sparse, mask)
+        return done.where(F.col("v") > 0) if positive else done
+    base = every_bin(j).select("bin", "tf", "gene", F.col("v").alias("j"))
     if mask is not None:
         base = base.join(mask.withColumn("_m", F.lit(1.0)), ["tf", "gene"], "left")
     base = base.withColumn("allowed", F.coalesce("_m", F.lit(0.0)) if mask is not None else F.lit(1.0))
@@ -148,7 +156,7 @@ def refine_grn(j: DataFrame, n_steps: int, lr: float = 0.1, lam_sparse: float =
 
 def grn_objective(k: DataFrame, j: DataFrame, mask: DataFrame | None = None, signs: DataFrame | None = None,
                   x_tf: DataFrame | None = None, dx: DataFrame | None = None) -> DataFrame:
-    """Value of each penalty, one row: fit, sparse, forbidden, sign, local, temporal (means over the listed entries)."""
+    """Value of each penalty, one row: fit, sparse, forbidden, sign, local, temporal (means over the listed entries; temporal steps over every bin)."""
     on = ["bin", "tf", "gene"]
     both = j.select(*on, F.col("v").alias("j")).join(k.select(*on, F.col("v").alias("k")), on, "full").na.fill(0.0, ["j", "k"])
     if mask is not None:
@@ -157,15 +165,16 @@ def grn_objective(k: DataFrame, j: DataFrame, mask: DataFrame | None = None, sig
         both = both.withColumn("_m", F.lit(1))
     both = both.join(signs, ["tf", "gene"], "left") if signs is not None else both.withColumn("sign", F.lit(0))
     w = W.partitionBy("tf", "gene").orderBy("bin")  # one row per bin
-    both = both.withColumn("_d", F.col("k") - F.lag("k").over(w))
+    listed = j.select(*on).union(k.select(*on)).distinct().withColumn("v", F.lit(0.0))
+    steps = every_bin(listed).drop("v").join(k.select(*on, "v"), on, "left").na.fill(0.0, ["v"])
+    temporal = steps.select((F.col("v") - F.lag("v").over(w)).alias("_d")).agg(F.coalesce(F.avg(F.col("_d") * F.col("_d")), F.lit(0.0))).scalar()
     forb = F.when(F.col("_m").isNull(), F.col("k") * F.col("k"))
     act = F.when(F.col("sign") > 0, F.pow(F.greatest(-F.col("k"), F.lit(0.0)), 2))
     rep = F.when(F.col("sign") < 0, F.pow(F.greatest(F.col("k"), F.lit(0.0)), 2))
     zero = F.lit(0.0)
     out = both.agg(F.avg(F.pow(F.col("k") - F.col("j"), 2)).alias("fit"), F.avg(F.abs("k")).alias("sparse"),
                    F.coalesce(F.avg(forb), zero).alias("forbidden"),
-                   (F.coalesce(F.avg(act), zero) + F.coalesce(F.avg(rep), zero)).alias("sign"),
-                   F.coalesce(F.avg(F.col("_d") * F.col("_d")), zero).alias("temporal"))
+                   (F.coalesce(F.avg(act), zero) + F.coalesce(F.avg(rep), zero)).alias("sign")).withColumn("temporal", temporal)
     if x_tf is not None and dx is not None:
         pred = k.join(x_tf, ["bin", "tf"]).groupBy("bin", "gene").agg(F.sum(F.col("v") * F.col("x")).alias("p"))
         r = dx.join(pred, ["bin", "gene"], "left").agg(F.avg(F.pow(F.coalesce("p", zero) - F.col("dx"), 2)).alias("l")).scalar()

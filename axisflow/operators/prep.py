@@ -28,7 +28,7 @@ def needs_normalising(expr: DataFrame, threshold: float = RAW_COUNT_MAX) -> Data
 def normalize_total(expr: DataFrame, target: float = LIBRARY_TARGET, log1p: bool = True) -> DataFrame:
     """Scale each cell to ``target`` total, then log(1+x). Totals are aggregated map-side and joined."""
     totals = expr.groupBy("cell_id").agg(F.sum("value").alias("_tot"))
-    v = F.col("value") * F.lit(target) / F.col("_tot")
+    v = F.coalesce(F.try_divide(F.col("value") * F.lit(target), F.col("_tot")), F.lit(0.0))
     return expr.join(totals, "cell_id").select("cell_id", "feature", (F.log1p(v) if log1p else v).alias("value"))
 
 
@@ -47,18 +47,21 @@ def feature_moments(expr: DataFrame, n_cells: Column | int) -> DataFrame:
 
 
 def highly_variable(expr: DataFrame, n_top: int, n_cells: Column | int, n_bins: int = 20) -> DataFrame:
-    """Dispersion ranking inside equal-width mean bins; rows (feature, mean, dispersion, score, rank)."""
+    """Dispersion ranking inside equal-width mean bins; rows (feature, mean, dispersion, score, rank).
+
+    ``expr`` holds log(1 + x); moments are those of x. Bins are closed on the right. A bin with one member scores it 1.
+    """
     n = n_cells if isinstance(n_cells, Column) else F.lit(n_cells)
-    m = feature_moments(expr, n)
+    m = feature_moments(expr.withColumn("value", F.expm1("value")), n)
     m = m.where(F.col("mean") > 0).select(
         "feature", F.log1p("mean").alias("mean"),
         F.log((F.col("var") * n / (n - 1) + F.lit(1e-12)) / F.col("mean")).alias("dispersion"))
     s = stat(m, lo=F.min("mean"), hi=F.max("mean"))
     width = (s["hi"] - s["lo"] + F.lit(1e-12)) / F.lit(float(n_bins))
-    m = m.withColumn("bin", F.least(F.floor((F.col("mean") - s["lo"]) / width), F.lit(n_bins - 1)))
+    m = m.withColumn("bin", F.least(F.greatest(F.ceil((F.col("mean") - s["lo"]) / width) - 1, F.lit(0)), F.lit(n_bins - 1)))
     # at most ``n_bins`` rows, so the join side is small by construction
-    per_bin = m.groupBy("bin").agg(F.avg("dispersion").alias("bm"), F.coalesce(F.stddev_samp("dispersion"), F.lit(0.0)).alias("bs"))
-    z = F.when(F.col("bs") > 0, (F.col("dispersion") - F.col("bm")) / F.col("bs")).otherwise(F.lit(0.0))
+    per_bin = m.groupBy("bin").agg(F.avg("dispersion").alias("bm"), F.stddev_samp("dispersion").alias("bs"), F.count(F.lit(1)).alias("bn"))
+    z = F.when(F.col("bn") == 1, F.lit(1.0)).when(F.col("bs") > 0, (F.col("dispersion") - F.col("bm")) / F.col("bs")).otherwise(F.lit(0.0))
     scored = m.join(F.broadcast(per_bin), "bin").select("feature", "mean", "dispersion", z.alias("score"))
     return ranking.top_n(scored, n_top, [F.col("score").desc(), F.col("feature")])
 
@@ -70,7 +73,7 @@ def tfidf(expr: DataFrame, n_cells: Column | int, scale: float = 1e4) -> DataFra
     df_ = expr.where(F.col("value") > 0).groupBy("feature").agg(F.count(F.lit(1)).alias("_df"))
     idf = F.log(F.lit(1.0) + n / (F.lit(1.0) + F.col("_df")))
     return (expr.join(totals, "cell_id").join(df_, "feature")
-            .select("cell_id", "feature", F.log1p(F.col("value") / F.col("_tot") * idf * F.lit(scale)).alias("value")))
+            .select("cell_id", "feature", F.log1p(F.coalesce(F.try_divide(F.col("value"), F.col("_tot")), F.lit(0.0)) * idf * F.lit(scale)).alias("value")))
 
 
 def top_variable(expr: DataFrame, n: int, n_cells: Column | int) -> DataFrame:
@@ -89,7 +92,8 @@ def gene_set_score(expr: DataFrame, sets: DataFrame, n_bins: int = 25, ctrl_size
     """Per cell and set: mean over the set minus mean over expression-matched control features.
 
     ``sets`` is (set_name, feature). For every mean-expression bin touched by a set, the control is the
-    ``ctrl_size`` bin members with the smallest hash that are not in the set.
+    ``ctrl_size`` bin members with the smallest hash that are not in the set. Every cell of ``expr`` has a row per set,
+    also without a value of its features.
     """
     means = expr.groupBy("feature").agg(F.sum("value").alias("m"))
     pre = ranking.prefix_counts(means, [], "m")
@@ -108,7 +112,10 @@ def gene_set_score(expr: DataFrame, sets: DataFrame, n_bins: int = 25, ctrl_size
         F.sum(F.when(F.col("role") == "set", F.col("value")).otherwise(0.0)).alias("vs"),
         F.sum(F.when(F.col("role") == "ctrl", F.col("value")).otherwise(0.0)).alias("vc"))
     score = F.col("vs") / F.col("ns") - F.coalesce(F.col("vc") / F.nullif(F.col("nc"), F.lit(0)), F.lit(0.0))
-    return part.join(sizes, "set_name").select("cell_id", "set_name", score.alias("score"))
+    names = sizes.where(F.col("ns") > 0).agg(F.array_sort(F.collect_set("set_name"))).scalar()
+    cells = expr.select("cell_id").distinct().withColumn("set_name", F.explode(names))
+    full = cells.join(part, ["cell_id", "set_name"], "left").na.fill(0.0, ["vs", "vc"])
+    return full.join(sizes, "set_name").select("cell_id", "set_name", score.alias("score"))
 
 
 def phase_label(scores: DataFrame, first: str = "S", second: str = "G2M", neither: str = "G1") -> DataFrame:

@@ -211,7 +211,7 @@ def bin_mean_std(rows: DataFrame, n_bins: int) -> DataFrame:
     """Mean and population std per bin between min and max of t; every bin half-open, the maximum is left out."""
     s = stat(rows, lo=F.min("t"), hi=F.max("t"))
     width = (s["hi"] - s["lo"]) / F.lit(float(n_bins))
-    df = rows.withColumn("t_idx", F.floor((F.col("t") - s["lo"]) / width).cast("int")).where(F.col("t_idx") < n_bins)
+    df = rows.withColumn("t_idx", F.floor(F.try_divide(F.col("t") - s["lo"], width)).cast("int")).where(F.col("t_idx") < n_bins)
     return df.groupBy("t_idx").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n"))
 
 
@@ -236,12 +236,13 @@ def rolling_mean(rows: DataFrame, size: int, tie: str = "cell_id", block: int =
     """Centred moving average of ``value`` along the rows sorted by (t, tie); the frame is cut at the ends.
 
     Rows get their global position, are cut into blocks of positions, and each block also receives the
-    few rows beyond its edges, so the frame never needs the whole axis in one task.
+    few rows beyond its edges, so the frame never needs the whole axis in one task. A block is at least a
+    frame wide, so a row goes to three blocks at most.
     """
-    before, after = size // 2, size - 1 - size // 2
+    before, after, block = size // 2, size - 1 - size // 2, max(block, size)
     pos = ranking.row_positions(rows, "t", tie)
     home = F.floor(F.col("pos") / block)
-    near = F.array_distinct(F.array(home, F.floor((F.col("pos") + before) / block), F.floor(F.greatest(F.col("pos") - after, F.lit(0)) / block)))
+    near = F.sequence(F.floor(F.greatest(F.col("pos") - after, F.lit(0)) / block), F.floor((F.col("pos") + before) / block))
     halo = pos.withColumn("_home", home).withColumn("_b", F.explode(near))
     w = W.partitionBy("_b").orderBy("pos").rowsBetween(-before, after)
     return halo.withColumn("smooth", F.avg("value").over(w)).where(F.col("_b") == F.col("_home")).drop("_b", "_home")
@@ -331,9 +332,9 @@ def interior_peak(curve: DataFrame, value: str, interior: tuple[float, float] =
 
 
 def weighted_centre(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Mean position weighted by the clipped value: (keys, centre)."""
+    """Mean position weighted by the clipped value: (keys, centre); null where no value is positive."""
     e = F.greatest(F.col("value"), F.lit(0.0))
-    return rows.groupBy(*keys).agg((F.sum(F.col("t") * e) / F.sum(e)).alias("centre"))
+    return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col("t") * e), F.sum(e)).alias("centre"))
 
 
 def resample_to_grid(curve: DataFrame, grid: list[float], value: str, keys: list[str] = ()) -> DataFrame:
