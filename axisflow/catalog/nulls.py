@@ -21,14 +21,6 @@ def _(t: Tables):
     return rounded(shuffle_null(_operator_rows(t), 3, 64, n_rep=2, iters=6))
 
 
-@query("smooth_null")
-def _(t: Tables):
-    from ..plans.null_factor import smooth_null
-    # as many grid points as the event curve has
-    n_t = t.lam.count()
-    return rounded(smooth_null(t.spark, n_t, 4, 3, n_rep=2, iters=6))
-
-
 def _operator_rows(t: Tables):
     cols = [f"v{i}" for i in range(64)]
     rows = t.embt.select("t", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)])
@@ -75,11 +67,6 @@ def _(t: Tables):
     return rounded(n.peak_stats(n.peak_table(n.peak_resample_null(t.act, N_T, 20), ["rep"]), ["rep"]))
 
 
-@query("random_profile_null")
-def _(t: Tables):
-    return rounded(n.peak_stats(n.peak_table(n.random_profile_null(t.act, 20), ["rep"]), ["rep"]))
-
-
 @query("empirical_p", f"""WITH u AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY 1, 2), o AS (SELECT event_type, avg(value) + 1 AS obs FROM events GROUP BY 1)
     SELECT event_type, {R('obs')} AS obs, {R('(1 + sum(CASE WHEN v >= obs THEN 1 ELSE 0 END)) / (1 + count(*))')} AS p_greater, {R('(1 + sum(CASE WHEN v <= obs THEN 1 ELSE 0 END)) / (1 + count(*))')} AS p_less, {R('avg(v)')} AS null_mean,
     {R('stddev_samp(v)')} AS null_sd, {R('quantile_cont(v, 0.05)')} AS q05, {R('quantile_cont(v, 0.5)')} AS q50, {R('quantile_cont(v, 0.95)')} AS q95, count(*) AS n_null, {R('obs / greatest(avg(v), 1e-9)')} AS fold FROM u JOIN o USING (event_type) GROUP BY event_type, obs""")

@@ -1,7 +1,7 @@
 """Ranks, quantiles and row positions without collecting a key into one task.
 
-Rows are first reduced to one per distinct value (partial aggregation), the value axis is cut into a
-fixed number of segments, and positions inside a segment are added to the segment's offset. A key
+Rows are first reduced to one per distinct value (partial aggregation), the value axis is cut into
+segments whose number grows with the rows, and positions inside a segment are added to the segment's offset. A key
 holding a third of all rows is spread over the segments like any other.
 """
 
@@ -11,18 +11,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SEGMENTS = 64
+SEGMENTS = 64            # at least
+MOST_SEGMENTS = 4096     # at most, and at most four for each core of the cluster
+PER_SEGMENT = 1_000_000  # rows a segment is meant to hold
 
 
 def _splits(df: DataFrame, value: str, segments: int) -> Column:
-    probs = [i / segments for i in range(1, segments)]
-    return df.agg(F.percentile_approx(value, probs, 10 * segments).alias("s")).scalar()
+    """Split points of the value axis as a scalar: ``segments``, doubled until a segment holds PER_SEGMENT rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    doubled = [segments << i for i in range(20) if segments << i <= max(min(MOST_SEGMENTS, 4 * cores), segments)]
+    most = doubled[-1]
+    many = F.lit(most)
+    for s in reversed(doubled[:-1]):
+        many = F.when(F.col("n") <= s * PER_SEGMENT, s).otherwise(many)
+    a = df.agg(F.percentile_approx(value, [i / most for i in range(1, most)], 10 * most).alias("s"), F.count(value).alias("n"))
+    return a.withColumn("m", many).select(F.filter("s", lambda _, i: (i + 1) % (F.lit(most) / F.col("m")).cast("int") == 0)).scalar()
 
 
-def segment_of(value: str, splits: Column) -> Column:
-    """How many split points lie below the value (0 if there are none)."""
-    below = F.array_position(F.sort_array(F.array_append(splits, F.col(value))), F.col(value)) - 1
-    return F.coalesce(below, F.lit(0)).cast("int")
+def with_segment(df: DataFrame, value: str, out: str, splits: Column) -> DataFrame:
+    """Add how many split points lie below the value (0 if there are none), by halving the range of split points.
+
+    The scalar becomes a column first, since a scalar subquery may not stand inside a lambda.
+    """
+    return df.withColumn("_splits", splits).withColumn(out, _below(value, F.col("_splits"))).drop("_splits")
+
+
+def _below(value: str, splits: Column) -> Column:
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.coalesce(F.get(splits, middle) < F.col(value), F.lit(False))
+        searching = s["lo"] < s["hi"]
+        return F.struct(F.when(searching & below, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(searching & ~below, middle).otherwise(s["hi"]).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.greatest(F.coalesce(F.size(splits), F.lit(0)), F.lit(0)).alias("hi"))
+    rounds = F.array(*[F.lit(i) for i in range(MOST_SEGMENTS.bit_length())])
+    return F.aggregate(rounds, start, halve)["lo"]
 
 
 def prefix_counts(df: DataFrame, keys: list[str], value: str, tie: str | None = None,
@@ -35,7 +57,7 @@ def prefix_counts(df: DataFrame, keys: list[str], value: str, tie: str | None =
     src = df.where(F.col(value).isNotNull())
     order = [value] + ([tie] if tie else [])
     freq = src.groupBy(*keys, *order).agg(mass.alias("n"))
-    freq = freq.withColumn("_seg", segment_of(value, _splits(src, value, segments)))
+    freq = with_segment(freq, value, "_seg", _splits(src, value, segments))
     # one row per key and segment: at most ``segments`` rows per key
     seg = freq.groupBy(*keys, "_seg").agg(F.sum("n").alias("_sn"))
     part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
@@ -92,7 +114,7 @@ def row_positions(df: DataFrame, value: str, tie: str, keys: list[str] = (), out
     rows does not end in one task. ``tie`` must be unique and numeric.
     """
     keys = list(keys)
-    cut = df.withColumn("_sub", segment_of(tie, _splits(df, tie, segments)))
+    cut = with_segment(df, tie, "_sub", _splits(df, tie, segments))
     pre = prefix_counts(cut, keys, value, tie="_sub", segments=segments)
     inside = W.partitionBy(*keys, value, "_sub").orderBy(tie)
     return (cut.withColumn("_rn", F.row_number().over(inside) - 1)

@@ -12,21 +12,46 @@ from pyspark.sql import functions as F
 LOW_END, MID_END = 0.2, 0.6
 
 
+def _by_length(x: pd.Series):
+    """(length, positions) of the non-null, non-empty arrays of a series."""
+    sizes = np.array([0 if v is None else len(v) for v in x])
+    return [(int(n), np.flatnonzero(sizes == n)) for n in np.unique(sizes) if n]
+
+
 def dft(rows: DataFrame, col: str = "x") -> DataFrame:
-    """Add ``re`` and ``im`` (rfft of the array column). Rows are independent: no shuffle."""
+    """Add ``re`` and ``im`` (real transform of the array column). Rows are independent: no shuffle.
+
+    Rows of one length are one matrix, multiplied by the cosines and sines of that length.
+    """
     @F.pandas_udf("struct<re:array<double>,im:array<double>>")
-    def rfft(x: pd.Series) -> pd.DataFrame:
-        z = [np.fft.rfft(v) for v in x]
-        return pd.DataFrame({"re": [v.real for v in z], "im": [v.imag for v in z]})
-    return rows.withColumn("_z", rfft(col)).select(*rows.columns, "_z.re", "_z.im")
+    def transform(x: pd.Series) -> pd.DataFrame:
+        out: list = [(None, None)] * len(x)
+        for n, at in _by_length(x):
+            phase = 2 * np.pi / n * (np.outer(np.arange(n), np.arange(n // 2 + 1)) % n)
+            m = np.stack([np.asarray(x.iloc[i], float) for i in at])
+            for i, re, im in zip(at, m @ np.cos(phase), -(m @ np.sin(phase))):
+                out[i] = (re, im)
+        return pd.DataFrame(out, columns=["re", "im"])
+    return rows.withColumn("_z", transform(col)).select(*rows.columns, "_z.re", "_z.im")
 
 
 def idft(spectra: DataFrame, n: int, out: str = "x_back") -> DataFrame:
-    """Inverse of :func:`dft` back to length ``n``."""
+    """Inverse of :func:`dft` back to length ``n``, as one product per batch."""
+    k = np.arange(n // 2 + 1)
+    phase = 2 * np.pi / n * (np.outer(k, np.arange(n)) % n)
+    twice = np.where((k == 0) | (2 * k == n), 1.0, 2.0)[:, None] / n
+    cos, sin = twice * np.cos(phase), twice * np.sin(phase)
+
     @F.pandas_udf("array<double>")
-    def irfft(re: pd.Series, im: pd.Series) -> pd.Series:
-        return pd.Series([np.fft.irfft(np.asarray(a) + 1j * np.asarray(b), n=n) for a, b in zip(re, im)])
-    return spectra.withColumn(out, irfft("re", "im"))
+    def back(re: pd.Series, im: pd.Series) -> pd.Series:
+        result: list = [None] * len(re)
+        for size, at in _by_length(re):
+            use = min(size, len(k))
+            a, b = (np.stack([np.asarray(c.iloc[i], float)[:use] for i in at]) for c in (re, im))
+            for i, v in zip(at, a @ cos[:use] - b @ sin[:use]):
+                result[i] = v
+        return pd.Series(result)
+    return spectra.withColumn(out, back("re", "im"))
 
 
 def to_long(spectra: DataFrame, key: str = "cell_id") -> DataFrame:

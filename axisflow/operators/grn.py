@@ -273,7 +273,7 @@ def regulon_correlation(signal: DataFrame, access: DataFrame, cells: DataFrame,
     both = (signal.select("cell_id", "tf", F.col("value").alias("s"), F.lit(0.0).alias("a"))
             .unionByName(access.select("cell_id", "tf", F.lit(0.0).alias("s"), F.col("score").alias("a"))))
     sums = both.join(c, "cell_id").groupBy("tf", "branch", "t_idx").agg(F.sum("s").alias("s"), F.sum("a").alias("a"))
-    names = F.broadcast(size.groupBy("branch").agg(F.sum("n").alias("n_rows"), F.collect_list(F.struct("t_idx", "n")).alias("bins")))
+    names = size.groupBy("branch").agg(F.sum("n").alias("n_rows"), F.collect_list(F.struct("t_idx", "n")).alias("bins"))
     frame = (sums.select("tf", "branch").distinct().join(names, "branch")
              .select("tf", "branch", "n_rows", F.explode("bins").alias("b")).select("tf", "branch", "n_rows", "b.t_idx", "b.n"))
     m = frame.join(sums, ["tf", "branch", "t_idx"], "left").na.fill(0.0, ["s", "a"])

@@ -140,7 +140,7 @@ def block_permutation(curve: DataFrame, n: int, block: int, n_rep: int, seed: in
     b = curve.sparkSession.range(full).select(F.col("id").cast("int").alias("b"))
     order = replicates(b, n_rep).withColumn("to", F.row_number().over(W.partitionBy("rep").orderBy(hashing.uniform("rep", "b", seed=seed), "b")) - 1)
     c = replicates(curve, n_rep).withColumn("b", F.floor(F.col("t_idx") / block).cast("int"))
-    j = c.join(F.broadcast(order), ["rep", "b"], "left")  # blocks x replicates rows
+    j = c.join(order, ["rep", "b"], "left")
     to = F.when(F.col("b") < full, F.col("to") * block + F.col("t_idx") % block).otherwise(F.col("t_idx"))
     return j.withColumn("t_idx", to.cast("int")).drop("b", "to")
 

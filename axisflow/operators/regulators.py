@@ -97,7 +97,7 @@ def archetype_specificity(scores: DataFrame, network: DataFrame, track: DataFram
     keys = list(keys)
     on = act.where(F.col("a") > thr).select(*keys, "k", "t_idx")
     n_on = on.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n_on"))
-    feat = track.join(F.broadcast(on), [*keys, "t_idx"]).groupBy(*keys, "k", "feature").agg(F.sum(F.abs("score")).alias("s"))
+    feat = track.join(on, [*keys, "t_idx"]).groupBy(*keys, "k", "feature").agg(F.sum(F.abs("score")).alias("s"))
     edges = _shared(scores, network, keys).select(*keys, F.col("source").alias("regulator"), F.col("target").alias("feature"))
     n_edges = edges.groupBy(*keys, "regulator").agg(F.count(F.lit(1)).alias("n_edges"))
     per = (edges.join(feat, [*keys, "feature"]).groupBy(*keys, "regulator", "k").agg(F.sum("s").alias("s"))

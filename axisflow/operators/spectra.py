@@ -340,7 +340,7 @@ def bridge_feature_table(track: DataFrame, act: DataFrame, lam: DataFrame, n: in
     use = a.where(F.when(F.col("_n_on") > 0, on).otherwise(s))
     st = use.groupBy("direction", "k").agg(F.avg("lam").alias("mean_sensitivity"), F.count(F.lit(1)).alias("_n"))
     pk = act.groupBy("direction", "k").agg(F.max_by("t", F.struct("a", -F.col("t_idx"))).alias("peak_t"))
-    sc = (track.join(F.broadcast(use.select("direction", "k", "t_idx")), ["direction", "t_idx"])
+    sc = (track.join(use.select("direction", "k", "t_idx"), ["direction", "t_idx"])
           .groupBy("direction", "k", "feature").agg(F.sum(F.abs("score")).alias("_s")).join(st, ["direction", "k"])
           .select("direction", "k", "feature", "mean_sensitivity", (F.col("_s") / F.col("_n")).alias("score")))
     top = ranking.top_n(sc, n, [F.col("score").desc(), F.col("feature")], ["direction", "k"])

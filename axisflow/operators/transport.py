@@ -140,13 +140,15 @@ def sinkhorn_divergence(x: DataFrame, y: DataFrame, eps: float, iters: int) -> D
     return one.select(total[0].alias("ot_xy"), (total[0] - 0.5 * (total[1] + total[2])).alias("divergence"))
 
 
-def sample_coupling(plan: DataFrame, n: int, seed: int = 0, buckets: int = 256) -> DataFrame:
+def sample_coupling(plan: DataFrame, n: int, seed: int = 0, per_slice: int = 20_000) -> DataFrame:
     """``n`` pairs drawn in proportion to p, with replacement: (draw, i, j).
 
     Cumulative mass is built per source and then inside the source; draws and mass intervals meet on equal
-    slices of the unit interval, so a heavy source is spread over the slices it covers.
+    slices of the unit interval, so a heavy source is spread over the slices it covers. There are as many
+    slices as put about ``per_slice`` draws and pairs on each.
     """
     plan = cut_lineage(plan.select("i", "j", "p"))
+    buckets = max(256, (n + plan.count()) // per_slice)
     mass = plan.groupBy("i").agg(F.sum("p").alias("p"))
     outer = ranking.prefix_counts(mass, [], "i", weight="p").select("i", F.col("before").alias("b0"), F.col("total").alias("tot"))
     inner = ranking.prefix_counts(plan, ["i"], "j", weight="p").join(outer, "i")
