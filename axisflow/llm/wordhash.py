@@ -117,10 +117,11 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def per_text(column: pa.Array, lower: bool = True) -> Iterator[np.ndarray]:
-    """The word hashes of each text of a column."""
-    data, offsets = text_bytes(column)
-    h, s, _ = words(data, offsets, lower)
-    at = np.searchsorted(s, offsets)
-    for i in range(len(offsets) - 1):
-        yield h[at[i]:at[i + 1]]
+def per_text(column: pa.Array, lower: bool = True, texts: int = 256) -> Iterator[np.ndarray]:
+    """The word hashes of each text of a column; those of at most ``texts`` texts are held at once."""
+    for begin in range(0, len(column), texts):
+        data, offsets = text_bytes(column.slice(begin, texts))
+        h, s, _ = words(data, offsets, lower)
+        at = np.searchsorted(s, offsets)
+        for i in range(len(offsets) - 1):
+            yield h[at[i]:at[i + 1]]
