@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import SPACES, columns_of, put, run_hashes, small
 
-BINS = 24          # thresholds per feature
+BINS = 64          # quantiles per feature; thresholds lie halfway between those that differ
 MAX_RULES = 12
 MAX_CONDITIONS = 4
 PRECISION = 0.85   # of a rule on the rows it is pruned on
@@ -73,8 +73,9 @@ Rule = list[Condition]
 
 def _thresholds(rows: DataFrame) -> dict[str, list[float]]:
     shares = [i / BINS for i in range(1, BINS)]
-    got = rows.agg(*[F.percentile_approx(f, shares, 2000).alias(f) for f in FEATURES]).first()
-    return {f: sorted(set(got[f] or [])) for f in FEATURES}
+    got = rows.agg(*[F.array_append(F.array_append(F.percentile_approx(f, shares, 2000), F.min(f)), F.max(f)).alias(f) for f in FEATURES]).first()
+    values = {f: sorted(set(got[f] or [])) for f in FEATURES}
+    return {f: [(a + b) / 2 for a, b in zip(v, v[1:])] for f, v in values.items()}
 
 
 def _rule_sql(rule: Rule) -> str:
