@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import vec_sum
 from ..operators import fourier as fr
 from ..operators import spectra as s
+from ..session import cut_lineage
 from .base import N_T, R, Tables, query, rounded, vec_long, with_
 
 
@@ -91,7 +92,7 @@ def _(t: Tables):
 
 @query("dominant_eigenvalue", with_(extra=_MODE, body=f"SELECT {R('sum(v * p.x * q.x) / (SELECT sum(x * x) FROM x6)')} AS lambda FROM e JOIN x6 p ON p.i = e.i JOIN x6 q ON q.i = e.j"))
 def _(t: Tables):
-    e = _brand_edges(t).cache()
+    e = cut_lineage(_brand_edges(t))
     return rounded(s.rayleigh(e, s.dominant_mode(e, 6)))
 
 
@@ -106,14 +107,14 @@ def _sequence(t: Tables):
 
 @query("semi_nmf")
 def _(t: Tables):
-    seq = _sequence(t).cache()
+    seq = cut_lineage(_sequence(t))
     fit, h, err = s.semi_nmf(seq, 3, 64, iters=15, restarts=2)
     return rounded(s.activations(fit, 3).groupBy("k").agg(F.min("a").alias("lowest"), F.max("a").alias("peak"), F.lit(float(err)).alias("error")))
 
 
 @query("semi_nmf_r2")
 def _(t: Tables):
-    seq = _sequence(t).cache()
+    seq = cut_lineage(_sequence(t))
     fit, h, _ = s.semi_nmf(seq, 3, 64, iters=15, restarts=2)
     hat = F.array(*[sum((F.col("w")[k] * float(h[k, d]) for k in range(3)), F.lit(0.0)) for d in range(64)])
     obs = fit.select("t_idx", F.posexplode("m").alias("d", "v"))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 512
 _SLACK = 1e-6  # times the scale of the data: covers rounding in the pivot distances
@@ -117,10 +119,10 @@ def knn(refs: DataFrame, k: int, queries: DataFrame | None = None, key: str = "c
     """
     itself = queries is None
     need = k + 1 if itself else k
-    folded = _fold_copies(refs, key, vec, need).cache()
+    folded = cut_lineage(_fold_copies(refs, key, vec, need))
     n = folded.count()
     pivots = _pivots(folded, n)
-    assigned = _assign(folded, pivots).cache()
+    assigned = cut_lineage(_assign(folded, pivots))
     count, lo, hi, cover = _summaries(assigned, len(pivots), need)
     blocks = np.maximum(1, np.ceil(count / block_rows)).astype(int)
     n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("pivot") + 1)
