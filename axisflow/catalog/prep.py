@@ -32,7 +32,7 @@ def _(t: Tables):
     "m2": "SELECT *, least(greatest(ceil((mean - (SELECT min(mean) FROM m1)) / (((SELECT max(mean) FROM m1) - (SELECT min(mean) FROM m1) + 1e-12) / 20e0)) - 1, 0), 19) AS bin FROM m1",
     "b": "SELECT bin, avg(dispersion) AS bm, stddev_samp(dispersion) AS bs, count(*) AS bn FROM m2 GROUP BY 1",
     "z": "SELECT feature, mean, dispersion, CASE WHEN bn = 1 THEN 1e0 WHEN bs > 0 THEN (dispersion - bm) / bs ELSE 0e0 END AS score FROM m2 JOIN b USING (bin)"},
-    body=f"SELECT feature, {R('mean')} AS mean, {R('dispersion')} AS dispersion, {R('score')} AS score, row_number() OVER (ORDER BY score DESC, feature)::INT AS rank FROM z QUALIFY rank <= 200"))
+    body=f"SELECT feature, {R('mean')} AS mean, {R('dispersion')} AS dispersion, {R('score')} AS score, row_number() OVER (ORDER BY round(score, 9) DESC, feature)::INT AS rank FROM z QUALIFY rank <= 200"))
 def _(t: Tables):
     return rounded(prep.highly_variable(prep.normalize_total(t.expr), 200, t.n_cells.cast("double")))
 

@@ -50,6 +50,7 @@ def highly_variable(expr: DataFrame, n_top: int, n_cells: Column | int, n_bins:
     """Dispersion ranking inside equal-width mean bins; rows (feature, mean, dispersion, score, rank).
 
     ``expr`` holds log(1 + x); moments are those of x. Bins are closed on the right. A bin with one member scores it 1.
+    Scores that agree in nine digits are ranked by feature.
     """
     n = n_cells if isinstance(n_cells, Column) else F.lit(n_cells)
     m = feature_moments(expr.withColumn("value", F.expm1("value")), n)
@@ -63,7 +64,7 @@ def highly_variable(expr: DataFrame, n_top: int, n_cells: Column | int, n_bins:
     per_bin = m.groupBy("bin").agg(F.avg("dispersion").alias("bm"), F.stddev_samp("dispersion").alias("bs"), F.count(F.lit(1)).alias("bn"))
     z = F.when(F.col("bn") == 1, F.lit(1.0)).when(F.col("bs") > 0, (F.col("dispersion") - F.col("bm")) / F.col("bs")).otherwise(F.lit(0.0))
     scored = m.join(F.broadcast(per_bin), "bin").select("feature", "mean", "dispersion", z.alias("score"))
-    return ranking.top_n(scored, n_top, [F.col("score").desc(), F.col("feature")])
+    return ranking.top_n(scored, n_top, [F.round("score", 9).desc(), F.col("feature")])
 
 
 def tfidf(expr: DataFrame, n_cells: Column | int, scale: float = 1e4) -> DataFrame:
