@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import columns_of, components, small
+from .common import columns_of, components, release, small
 from .wordhash import per_text, shingles
 
 SIZE = 3          # words of a shingle
@@ -345,6 +345,8 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     near = cut_lineage(near.select("token", "block", "class"))
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = cut_lineage(classes)
+    del shared
+    release(docs.sparkSession)
     grouped = near.join(classes.select("class", "n", "bits"), "class").select("token", "block", "class", "n", "bits")
     grouped = grouped.repartition("token", "block").sortWithinPartitions("token", "block")
     edges = grouped.mapInArrow(_candidates(percent), "a long, b long")
@@ -355,6 +357,8 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         near.where("block = 0").join(firsts.where("block = 1").select("token"), "token", "left_semi").join(firsts.where("block = 0").select("token", "a"), "token").select("a", F.col("class").alias("b")))
     clusters = components(edges.union(chain).union(inside)).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     members = cut_lineage(clusters.join(classes.select("class", "doc_id"), "class"))
+    del grouped, edges, firsts, chain, inside, clusters
+    release(docs.sparkSession)
 
     counted = members.groupBy("cluster").agg(F.count("*").alias("_n")).where("_n > 1")
     members = cut_lineage(members.join(counted, "cluster").withColumn("blocks", F.expr(f"cast((_n + {cluster - 1}) div {cluster} as int)")))
@@ -365,6 +369,7 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     spread = anchors.select("cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "class", "doc_id")
     dealt = dealt.union(spread).distinct().withColumn("part", F.lit(None).cast("long"))
     links = cut_lineage(_check(docs, dealt, size, percent))
+    release(docs.sparkSession)
     if not large.isEmpty():
         # what is outside a large cluster's greatest component meets everything, block by block
         parts = components(links)
