@@ -52,6 +52,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_held: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator; taking it drops what others have kept.
+
+    Workers are reused by later stages, so without this their memory would be the sum over operators.
+    """
+    for other in [k for k in _held if k != owner]:
+        del _held[other]
+    return _held.setdefault(owner, {})
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import columns_of, put
+from .common import columns_of, put, worker_cache
 
 SPACE = b" \t\n\x0b\x0c\r"
 SEGMENTS = 256            # slices of the hash range; each has its own pair of filters
@@ -33,6 +33,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _keys(text: bytes, min_chars: int) -> list[bytes]:
     """A key for each line; an empty key for lines that are too short to count."""
+    worker_cache("linededup")
     keys = list(map(line_key, text.split(b"\n")))
     if min_chars > 1:
         keys = [k if len(k) >= min_chars and len(k.decode("utf-8", "replace")) >= min_chars else b"" for k in keys]

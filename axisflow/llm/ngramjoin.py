@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import columns_of, components, release, small
+from .common import columns_of, components, release, small, worker_cache
 from .wordhash import per_text, shingles
 
 SIZE = 3          # words of a shingle
@@ -33,6 +33,7 @@ HELD = 1 << 21    # shingles that a task holds before it counts them
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    worker_cache("ngramjoin")
     for h in per_text(column):
         yield np.unique(shingles(h, size))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, put, small
+from .common import columns_of, put, small, worker_cache
 from .wordhash import mix, text_bytes, words
 
 BITS = 18             # log2 of the number of hashed features
@@ -65,6 +65,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def text_features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Features of a column, some texts at a time: the index of the first, text indices from there, features."""
+    worker_cache("quality")
     for begin in range(0, len(column), BATCH):
         data, offsets = text_bytes(column.slice(begin, BATCH))
         yield begin, *_features(data, offsets)

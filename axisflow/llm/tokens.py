@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, put
+from .common import columns_of, put, worker_cache
 
 VOCAB = "word_bpe_49k.json"
-CACHE = 500_000     # pieces a worker keeps, and as many of their parts
+CACHE = 300_000     # pieces a worker keeps, and as many of their parts
 MARKS = ".,;:!?%$*#&|()-"  # closing marks that are neither letters, digits, apostrophes nor part of a special string
 LONGEST = 200       # bytes of the longest piece that is kept
 FREQUENT = 20_000   # pieces of the broadcast table
@@ -108,16 +108,14 @@ class PieceCache(dict):
         return got
 
 
-_caches: dict[tuple[str, str], PieceCache] = {}  # of this worker, kept from task to task
-
-
 def cache_of(vocab: str, kind: str) -> PieceCache:
     """Lengths of pieces (``count``) or their ids as little-endian unsigned 32-bit numbers (``ids``)."""
-    if (vocab, kind) not in _caches:
+    caches = worker_cache("tokens")  # kept from task to task
+    if (vocab, kind) not in caches:
         encode = Encoder.of(vocab).ids
         value = (lambda text: len(encode(text))) if kind == "count" else (lambda text: np.asarray(encode(text), "<u4").tobytes())
-        _caches[vocab, kind] = PieceCache(value)
-    return _caches[vocab, kind]
+        caches[vocab, kind] = PieceCache(value)
+    return caches[vocab, kind]
 
 
 def _raw(column: pa.Array) -> Iterator[bytes]:
