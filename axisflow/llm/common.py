@@ -60,11 +60,33 @@ def worker_cache(owner: str) -> dict:
 
     Workers are reused by later stages, so without this their memory would be the sum over operators.
     """
-    for other in [k for k in _held if k != owner]:
+    others = [k for k in _held if k != owner]
+    for other in others:
         del _held[other]
+    if others:
+        give_back()
     return _held.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers in batches of ``rows``, unless the session asks for fewer; the setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more.
 

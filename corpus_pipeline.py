@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisflow.llm.common import put
+from axisflow.llm.common import put, small_batches
 from axisflow.llm.decontaminate import drop_contaminated
 from axisflow.llm.linededup import line_dedup
 from axisflow.llm.ngramjoin import drop_similar
@@ -21,12 +21,14 @@ from axisflow.session import staging_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones."""
+    small_batches(spark)
     judged = quality_classifier(put(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("predicted = 1").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten documents or more stay in the first of them; documents that lose all their words go."""
+    small_batches(spark)
     done = line_dedup(docs, min_docs=10, keep_first=True)
     done = done.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return put(done, n_chars=F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
@@ -34,6 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, a similarity of 0.8."""
+    small_batches(spark)
     return drop_similar(docs, size=5, percent=80).select(*docs.columns)
 
 
@@ -44,6 +47,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in sequences of 4096 tokens."""
+    small_batches(spark)
     return pack(docs)
 
 
