@@ -5,7 +5,7 @@ Everything is DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -65,6 +65,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cove
     Numbers, units after numbers and capitalised words inside a sentence become placeholders; a window is ``size`` such
     words. A document matches an item if windows that both have cover at least ``cover`` of the item's words, and if at
     least ``consistent`` of the item's slot values in matched windows stand for one value of the document each, and back.
+    Both are asked of an alignment, and any that fulfils them will do: windows at one shift against the item, at shifts
+    near each other, or anywhere in the document, each place of the item beside that of its longest run of windows.
     ``changed_slots`` of them differ in value: the question was re-parameterised.
 
     Items of fewer words are one window and match only texts of just those words. Null and empty texts, and items
@@ -87,24 +89,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cove
         (s["n"] + x + length - F.greatest(s["end"], x)).cast("int").alias("n"), (x + length).cast("int").alias("end")))["n"]
     near = cut_lineage(spots.withColumn("covered", reach / F.col("n_words")).where(F.col("covered") >= cover).select("doc_id", "mark", "item", "covered"))
 
-    # slots, only of documents that may match: the first place of a window in the document beside its places in the item
+    # slots, only of documents that may match: every place of a window in the document beside its places in the item
     want = small(near.select("doc_id", "mark").distinct().select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")))
     held = source.join(want, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))).dropDuplicates(["doc_id", "mark"])
-    held = held.select("doc_id", "mark", words_of(F.col("text")).alias("words"))
-    shown = held.select("doc_id", "mark", "words", F.posexplode(run_hashes(_templates(F.col("words")), size, True)).alias("q", "h"))
-    shown = shown.select("doc_id", "mark", "h", F.struct("q", F.slice("words", F.col("q") + 1, size).alias("v")).alias("s")).groupBy("doc_id", "mark", "h").agg(F.min("s").alias("s"))
-    sides = shown.join(small(places.select("h", "item", F.explode("places").alias("p"))), "h")
+    held = cut_lineage(held.select("doc_id", "mark", words_of(F.col("text")).alias("words")))
+    shown = held.select("doc_id", "mark", F.posexplode(run_hashes(_templates(F.col("words")), size, True)).alias("q", "h"))
+    sides = shown.join(small(places.select("h", "item", "n_words", F.explode("places").alias("p"))), "h")
     pair = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")) & (F.col("item") == F.col("_i"))
     sides = sides.join(near.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("item").alias("_i")), pair, "left_semi")
-    own = sides.join(small(items.select("item", "words")), "item")
-    slot = own.select("doc_id", "mark", "item", F.explode(F.arrays_zip(F.slice("words", F.col("p") + 1, size).alias("a"), F.col("s.v").alias("b"))).alias("z")).select("doc_id", "mark", "item", "z.a", "z.b")
-    slot = slot.where(F.col("a").startswith("§") | F.col("a").startswith("¤")).distinct()
-    both = slot.groupBy("doc_id", "mark", "item", "a").agg(F.min("b").alias("b"), F.count("*").alias("to"))
-    back = both.groupBy("doc_id", "mark", "item", "b").agg(F.count("*").alias("of"), F.sum((F.col("to") == 1).cast("int")).alias("single"), F.sum((F.col("a") != F.col("b")).cast("int")).alias("changed"))
-    judged = back.groupBy("doc_id", "mark", "item").agg(F.sum("of").alias("n_slots"), F.sum(F.when(F.col("of") == 1, F.col("single")).otherwise(0)).alias("good"), F.sum("changed").alias("changed_slots"))
-    judged = judged.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("item").alias("_i"), "n_slots", "good", "changed_slots")
-    out = near.join(judged, pair, "left")
-    out = out.where(F.coalesce(F.col("good") >= F.lit(consistent) * F.col("n_slots"), F.lit(True)))
+    # the run of windows that a pair of places is in: equal shifts of the document against the item, one place after the other
+    whose = ["doc_id", "mark", "item"]
+    sides = sides.select(*whose, "n_words", "p", (F.col("q") - F.col("p")).alias("d"))
+    sides = sides.withColumn("_r", F.col("p") - F.row_number().over(Window.partitionBy(*whose, "d").orderBy("p")))
+    sides = sides.withColumn("run", F.count("*").over(Window.partitionBy(*whose, "d", "_r")))
+    # alignments: one shift, shifts near each other (words put in or left out), the whole document; each place of the item
+    # takes the place of its longest run
+    near_by = F.floor(F.col("d") / F.col("n_words")).cast("int")
+    ways = F.array(*[F.struct(F.lit(k).alias("kind"), at.cast("int").alias("at")) for k, at in ((0, F.col("d")), (1, near_by), (1, near_by - 1), (2, F.lit(0)))])
+    taken = sides.withColumn("way", F.explode(ways)).groupBy(*whose, "n_words", "way", "p").agg(F.min(F.struct((-F.col("run")).alias("run"), "d")).alias("b"))
+    lined = taken.groupBy(*whose, "n_words", "way").agg(F.sort_array(F.collect_list(F.struct("p", "b.d"))).alias("pd")).withColumn("p", F.col("pd.p"))
+    lined = lined.withColumn("covered", reach / F.col("n_words")).where(F.col("covered") >= cover).groupBy(*whose, "pd").agg(F.max("covered").alias("covered"))
+    lined = cut_lineage(lined.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "item", "covered", F.xxhash64("pd").alias("way"), "pd"))
+    own = held.join(lined, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))).join(small(items.select("item", F.col("words").alias("own"))), "item")
+    beside = F.flatten(F.transform("pd", lambda x: F.arrays_zip(F.slice("own", x["p"] + 1, size).alias("a"), F.slice("words", x["p"] + x["d"] + 1, F.least(F.lit(size), F.size("own"))).alias("b"))))
+    slots = F.array_distinct(F.filter(beside, lambda z: z["a"].startswith("§") | z["a"].startswith("¤")))
+    slot = own.select(*whose, "way", "covered", F.explode_outer(slots).alias("z")).select(*whose, "way", "covered", "z.a", "z.b")
+    both = slot.groupBy(*whose, "way", "covered", "a").agg(F.min("b").alias("b"), F.count("*").alias("to"))
+    back = both.groupBy(*whose, "way", "covered", "b").agg(F.count("a").alias("of"), F.sum((F.col("to") == 1).cast("int")).alias("single"), F.sum((F.col("a") != F.col("b")).cast("int")).alias("changed"))
+    out = back.groupBy(*whose, "way", "covered").agg(F.sum("of").alias("n_slots"), F.sum(F.when(F.col("of") == 1, F.col("single")).otherwise(0)).alias("good"), F.sum("changed").alias("changed_slots"))
+    out = out.where(F.col("good") >= F.lit(consistent) * F.col("n_slots"))
     named = out.join(small(items.select("item", "item_id")), "item")
     zero = F.lit(0).cast("long")
     return named.groupBy("doc_id", "item_id", "mark").agg(F.max("covered").alias("covered"), F.max(F.coalesce("n_slots", zero)).alias("n_slots"), F.min(F.coalesce("changed_slots", zero)).alias("changed_slots"))

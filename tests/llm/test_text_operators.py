@@ -241,3 +241,16 @@ def test_every_verbatim_item_is_found(spark):
     want = {(r.doc_id, i) for r in docs.collect() for i, t in known if t in flat(r.text)}
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()}
     assert want <= got and len(got) <= len(want) + 3
+
+
+SEQUENCE = "Which number comes next in the sequence 2, 4, 6, 8, 10, 12, 14?"
+FRUIT = "Anna has 3 apples and 2 pears, Ben has 5 apples and 7 pears, who has more fruit in the end?"
+
+
+def test_repeated_template_windows_are_aligned(spark):
+    items = spark.createDataFrame([(1, SEQUENCE), (2, FRUIT)], "item_id long, text string")
+    docs = [(1, "He asked. " + SEQUENCE), (2, "List 90, 80, 70, 60, 50, 40, 30 first. " + SEQUENCE), (3, FRUIT + " Say."), (4, FRUIT.replace("pears, Ben", "pears, but then Ben")),
+            (5, SEQUENCE.replace("4, 6, 8, 10, 12, 14", "2, 2, 2, 2, 2, 2")), (6, FRUIT.replace("3 apples", "4 apples").replace("7 pears", "9 pears"))]
+    got = {(r.doc_id, r.item_id): r for r in contaminated(spark.createDataFrame(docs, DOCS), items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (6, 2)}
+    assert [got[k].changed_slots for k in ((1, 1), (2, 1), (3, 2), (4, 2), (6, 2))] == [0, 0, 0, 0, 2] and got[2, 1].covered == 1 and got[1, 1].n_slots == 7
