@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import put
+from .common import put, small
 
 MIN_CONTEXTS = 10      # places between different neighbours at which a subtree is a template
-MIN_VARIETY = 0.3      # of its pages; copies of one article repeat the same neighbours
+MIN_VARIETY = 0.3      # of its distinct pages; near copies of one article repeat the same neighbours
 MAX_TEMPLATES = 1_000_000  # templates that are broadcast as pairs of hashes; beyond it they are joined
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -167,8 +167,8 @@ class Page:
                 continue
             self._open(tag, rest)
 
-    def subtrees(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(hash, first block, block after the last, hash before, hash after) of every removable subtree of the main part."""
+    def subtrees(self) -> Iterator[tuple[int, int, int]]:
+        """(hash, first block, block after the last) of every removable subtree of the main part."""
         top = max(self.level, default=0)
         own = [_h(b) for b in self.blocks]
         met = set()
@@ -176,16 +176,14 @@ class Page:
             if (first, end) in met or self.level[first] < top or (plain and top > 0) or (tag in ("article", "main") and top > 0):
                 continue
             met.add((first, end))
-            before = own[first - 1] if first else 0
-            after = own[end] if end < len(own) else 0
-            yield _h(f"{tag}:" + ",".join(map(str, own[first:end]))), first, end, before, after
+            yield _h(f"{tag}:" + ",".join(map(str, own[first:end]))), first, end
 
     def text(self, templates=frozenset()) -> str:
         """The blocks of the best main part there is, without the subtrees whose hashes are templates."""
         top = max(self.level, default=0)
         gone: set[int] = set()
         if templates:
-            for h, first, end, _, _ in self.subtrees():
+            for h, first, end in self.subtrees():
                 if h in templates:
                     gone.update(range(first, end))
         return " ".join(b for i, b in enumerate(self.blocks) if self.level[i] == top and i not in gone)
@@ -199,12 +197,40 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+LAID = "host long, content long, blocks array<long>, subtree array<long>, first array<int>, after array<int>"
+
+
+def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as hashes: their host, whole content, blocks and subtrees."""
     for batch in batches:
         rows = []
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-            host = _h(host_of(url))
-            rows += [(host, h, before, after) for h, _, _, before, after in Page(source.as_py() or "").subtrees()]
+            page = Page(source.as_py() or "")
+            trees = list(page.subtrees())
+            if trees:
+                blocks = [_h(b) for b in page.blocks]
+                rows.append((_h(host_of(url)), _h(repr((blocks, trees))), blocks, *map(list, zip(*trees))))
+        cols = list(zip(*rows)) or [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "content", "blocks", "subtree", "first", "after"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, subtree, before, after) of the subtrees that are left, between the nearest blocks that are left."""
+    for batch in batches:
+        rows = []
+        for host, blocks, trees, firsts, ends, gone in zip(*(c.to_pylist() for c in batch.columns)):
+            known = frozenset(gone or ())
+            left = [True] * len(blocks)
+            for h, first, end in zip(trees, firsts, ends):
+                if h in known:
+                    left[first:end] = [False] * (end - first)
+            before, after = [0] * (len(blocks) + 1), [0] * (len(blocks) + 1)
+            for i, b in enumerate(blocks):
+                before[i + 1] = b if left[i] else before[i]
+            for i in range(len(blocks) - 1, -1, -1):
+                after[i] = blocks[i] if left[i] else after[i + 1]
+            rows += [(host, h, before[first], after[end]) for h, first, end in zip(trees, firsts, ends) if any(left[first:end])]
         cols = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["host", "subtree", "before", "after"])
 
@@ -212,13 +238,27 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_templates(pages: DataFrame, min_contexts: int = MIN_CONTEXTS, min_variety: float = MIN_VARIETY) -> DataFrame:
     """(host, subtree) hashes of subtrees that recur on a host between many different neighbours.
 
-    Counted by (host, subtree, neighbours) first, so copies of one page are one row a task and a host of a third of all
-    pages is spread by its subtrees. Pages that only copy an article repeat its neighbours and make no template of it.
+    Pages of a host with the same blocks count once, so pages that only copy an article neither make a template of it nor
+    outvote the templates around it. Neighbours are the nearest blocks outside templates that are known already;
+    rounds go on until none is added, so of adjacent templates the outer ones follow those that touch the article.
+    A host of a third of all pages is spread by its subtrees.
     """
-    seen = pages.mapInArrow(_subtrees, "host long, subtree long, before long, after long")
-    placed = seen.groupBy("host", "subtree", "before", "after").agg(F.count("*").alias("n"))
-    counted = placed.groupBy("host", "subtree").agg(F.count("*").alias("contexts"), F.sum("n").alias("pages"))
-    return cut_lineage(counted.where((F.col("contexts") >= min_contexts) & (F.col("contexts") >= min_variety * F.col("pages"))).select("host", "subtree"))
+    laid = cut_lineage(pages.mapInArrow(_laid, LAID).dropDuplicates(["host", "content"]))
+    found, n = None, 0
+    while True:
+        if found is None:
+            known = laid.withColumn("gone", F.lit(None).cast("array<long>"))
+        else:
+            parts = laid.select("host", "content", F.explode("subtree").alias("subtree")).join(small(found), ["host", "subtree"])
+            known = laid.join(parts.groupBy("host", "content").agg(F.collect_set("subtree").alias("gone")), ["host", "content"], "left")
+        seen = known.select("host", "blocks", "subtree", "first", "after", "gone").mapInArrow(_neighbours, "host long, subtree long, before long, after long")
+        placed = seen.groupBy("host", "subtree", "before", "after").agg(F.count("*").alias("n"))
+        counted = placed.groupBy("host", "subtree").agg(F.count("*").alias("contexts"), F.sum("n").alias("pages"))
+        more = counted.where((F.col("contexts") >= min_contexts) & (F.col("contexts") >= min_variety * F.col("pages"))).select("host", "subtree")
+        found = cut_lineage(more if found is None else found.union(more).distinct())
+        before, n = n, found.count()
+        if n == before:
+            return found
 
 
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_contexts: int = MIN_CONTEXTS, max_broadcast: int = MAX_TEMPLATES) -> DataFrame:

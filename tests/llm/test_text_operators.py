@@ -188,6 +188,17 @@ def test_site_templates_go_and_articles_stay(spark, limit):
     assert main_text(df.where("false")).collect() == []
 
 
+def test_adjacent_templates_and_hosts_of_copies(spark):
+    soup = "<body><div>Site name</div><div>Slogan</div><div>{0}</div><div>{1}</div><div>Contact</div><div>Imprint</div><div>Rights</div></body>"
+    pages = [(i, f"http://a.org/{i}", soup.format(f"Text {i}", f"Own {i}")) for i in range(30)]
+    pages += [(100 + i, f"http://b.org/{i}", soup.format(f"Text {i}", f"Own {i}")) for i in range(20)]
+    pages += [(200 + i, f"http://b.org/copy/{i}", soup.format("Copied", f"Copy {i % 2}")) for i in range(100)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert all(got[i] == f"Text {i} Own {i}" for i in range(30)) and all(got[100 + i] == f"Text {i} Own {i}" for i in range(20))
+    assert all(got[200 + i] == f"Copied Copy {i % 2}" for i in range(100))
+
+
 # ---------------------------------------------------------------- licenses
 
 def test_license_bands_keep_their_promise():
