@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,52 +47,49 @@ def _mixed(s: str) -> bool:
     return any(c.islower() for c in s) and any(c.isupper() for c in s) and any(c.isdigit() for c in s)
 
 
-def _near(part: tuple[int, int], starts: list[int], others: list[tuple[int, int]], scope) -> int | None:
-    """Index of the closest of ``others`` (ordered by start) within reach and in the same scope, by interval distance."""
-    at, best = bisect_left(starts, part[0]), None
-    for j in (at - 1, at):
-        if 0 <= j < len(others):
-            o = others[j]
-            gap = max(o[0] - part[1], part[0] - o[1], 0)
-            if gap <= REACH and scope(o[0]) == scope(part[0]) and (best is None or gap < best[0]):
-                best = (gap, j)
-    return None if best is None else best[1]
+def _within_reach(others: list[tuple[int, int]], scope):
+    """Whether any of ``others`` is within reach of a part and in its scope, as a function of the part."""
+    starts: dict[int, list[int]] = {}
+    ends: dict[int, list[int]] = {}  # greatest end up to each start
+    for s, e in sorted(others):
+        at = scope(s)
+        starts.setdefault(at, []).append(s)
+        upto = ends.setdefault(at, [])
+        upto.append(max(e, upto[-1]) if upto else e)
+
+    def near(part: tuple[int, int]) -> bool:
+        at = scope(part[0])
+        n = bisect_right(starts.get(at, ()), part[1] + REACH)
+        return n > 0 and ends[at][n - 1] >= part[0] - REACH
+    return near
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Parts of multipart credentials: an identifier or endpoint beside a secret, and a weak secret beside either.
 
-    Intervals of the three part kinds are joined by position inside a scope (text between blank lines), each part with
-    its closest neighbour of another kind, so a text with many parts never forms all pairs.
+    Intervals of the three part kinds meet by position inside a scope (text between blank lines). Every part asks whether
+    any complementary part is within reach, so all partners count and a text with many parts never forms all pairs.
     """
     low = text.lower()
-    if ":" not in text and "=" not in text:
+    if ":" not in text and "=" not in text and "AKIA" not in text:  # without a sign only an access key can have a partner
         return []
     taken = [(s, e) for s, _, e in base]
     free = lambda s, e: not any(a < e and s < b for a, b in taken[max(0, bisect_left(taken, (s, s)) - 1):bisect_left(taken, (e, e)) + 1])
     ids = [(m.start(), m.end()) for m in IDENTIFIER.finditer(text)] if any(w in low for w in ("user", "login", "account", "client", "access", "tenant")) else []
     ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)] if any(w in low for w in ("://", "host", "endpoint", "server")) else []
     ids = [p for p in ids if free(*p)]
-    sure_ids = sorted(ids + [(s, e) for s, k, e in base if k == 1])
+    sure_ids = ids + [(s, e) for s, k, e in base if k == 1]
     if not sure_ids and not ends:
         return []
     weak = [(m.start(), m.end()) for m in WEAK.finditer(text) if m.group(3) is None or _mixed(m.group(3))]
     weak = [p for p in weak if free(*p) and p not in ids]
-    secret = sorted(weak + [(s, e) for s, k, e in base if k != 1])
+    secret = weak + [(s, e) for s, k, e in base if k != 1]
     blanks = [m.start() for m in BLANK.finditer(text)]
     scope = lambda at: bisect_left(blanks, at)
-    found: set[Span] = set()
-    known_ids, known_weak = set(ids), set(weak)
-    for others, kind in ((sure_ids, 3), (ends, 5)):
-        starts = [o[0] for o in others]
-        for part in secret:
-            j = _near(part, starts, others, scope)
-            if j is None:
-                continue
-            if part in known_weak:
-                found.add((part[0], 4, part[1]))
-            if kind == 5 or others[j] in known_ids:
-                found.add((others[j][0], kind, others[j][1]))
+    near_partner, near_secret = _within_reach(sure_ids + ends, scope), _within_reach(secret, scope)
+    found = {(s, 4, e) for s, e in weak if near_partner((s, e))}
+    found |= {(s, 3, e) for s, e in ids if near_secret((s, e))}
+    found |= {(s, 5, e) for s, e in ends if near_secret((s, e))}
     return sorted(found)
 
 

@@ -141,6 +141,18 @@ def test_weak_parts_need_a_complement():
     assert secrets_of("user: anna " + "x" * REACH + " pwd: abc1")[3] == 0, "out of reach"
 
 
+def test_every_partner_within_reach_is_marked():
+    bare = "aB3" + "x" * 37
+    text = "Access key ID,Secret access key\nAKIA" + "B" * 16 + "," + bare
+    s = text.index(bare)
+    assert f"weak:{s}:{s + 40}" in secrets_of(text)[5]
+    got = secrets_of("user=anna account=shop1 pwd=abc1")[5]
+    assert got.count("identifier:") == 2 and got.count("weak:") == 1
+    assert secrets_of("see https://a.example.org/x https://b.example.org/y pwd=abc1 z")[5].count("endpoint:") == 2
+    assert secrets_of("user=anna pwd=abc1 login=berta pass=abc2")[5].count("identifier:") == 2
+    assert secrets_of("user=anna\n\naccount=shop1 pwd=abc1 " + "x" * REACH + " login=berta")[5].count("identifier:") == 1
+
+
 def test_secret_scan_table(spark):
     docs = spark.createDataFrame([(1, "user: anna\npwd: abc1"), (1, "user: anna\npwd: abc1"), (None, None), (2, ""), (3, "a: b " * 30_000 + f"token={HEXES}")], DOCS).withColumn("Spans", F.lit(0))
     got = secret_scan(docs)
