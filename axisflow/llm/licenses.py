@@ -98,8 +98,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, conta
     a band with a template is verified: at least ``contained`` of the template's shingles are in it. Windows are made of
     texts that share a shingle with some template; others can hold none.
 
-    ``containment`` is the best of the windows, ``first_word`` where the first of those begins. Of templates of a class
-    that fit within one reach, only those with the best containment are returned. Null and empty texts and
+    ``containment`` is the best of the windows, ``first_word`` where the first of those begins. A window does not count for
+    a template if at least half of the words it matched there are matched by another template of the class with a higher
+    containment; notices beside each other are all returned. Null and empty texts and
     those below five words have no notice. Rows equal in id and text give one row per license; other columns are not read;
     an empty table gives an empty table.
     """
@@ -120,17 +121,20 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, conta
     for reach in reaches:
         step, width = max(1, reach // 8), reach + reach // 4 - SHINGLE + 1
         made = near.select("doc_id", "mark", F.lit(reach).alias("reach"), "s", F.explode(F.expr(f"sequence(0, greatest(size(s) - {reach - SHINGLE + 1}, 0) + {step - 1}, {step})")).alias("at"))
-        made = made.select("doc_id", "mark", "reach", "at", F.array_distinct(F.slice("s", F.col("at") + 1, width)).alias("window")).where(F.size("window") > 0)
+        made = made.select("doc_id", "mark", "reach", "at", F.slice("s", F.col("at") + 1, width).alias("window")).where(F.size("window") > 0)
         parts = made if parts is None else parts.union(made)
     parts = parts.where(F.arrays_overlap("window", literal))
     keyed = parts.withColumn("key", F.explode(_bands(F.col("window")))).select("doc_id", "mark", "reach", "at", "window", "key.band", "key.value")
     bands = known.withColumn("key", F.explode(_bands(F.col("shingles")))).select("license", "reach", "shingles", "key.band", "key.value")
     found = keyed.join(F.broadcast(bands), ["reach", "band", "value"])  # templates times bands: a parameter
     share = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
-    found = found.select("doc_id", "mark", "license", "reach", "at", share.alias("containment")).where(F.col("containment") >= contained)
-    best = found.groupBy("doc_id", "mark", "license", "reach").agg(F.max(F.struct("containment", (-F.col("at")).alias("at"))).alias("b"))
-    # of templates that fit one place, such as two versions of a notice, only the best stay
-    group = best.groupBy("doc_id", "mark", "reach").agg(F.collect_list(F.struct("license", F.col("b.containment").alias("c"), (-F.col("b.at")).alias("at"))).alias("g"))
-    better = "filter(g, x -> NOT exists(g, y -> y.c > x.c AND abs(y.at - x.at) <= reach))"
-    out = group.select("doc_id", F.explode(F.expr(better)).alias("x"))
-    return out.select("doc_id", "x.license", F.col("x.c").alias("containment"), F.col("x.at").cast("long").alias("first_word"))
+    places = F.expr("filter(transform(window, (v, i) -> IF(array_contains(shingles, v), at + i, NULL)), v -> v IS NOT NULL)")
+    found = found.withColumn("containment", share).where(F.col("containment") >= contained).select("doc_id", "mark", "license", "reach", "at", "containment", places.alias("places"))
+    found = found.groupBy("doc_id", "mark", "license", "reach", "at").agg(F.max("containment").alias("c"), F.max("places").alias("places"))  # once, however many bands agree
+    # of templates that match the same words, such as two versions of a notice, only the best stay
+    group = found.groupBy("doc_id", "mark", "reach").agg(F.collect_list(F.struct("license", "c", "at", "places")).alias("g"))
+    better = """filter(g, x -> NOT exists(g, y -> y.c > x.c AND y.license <> x.license AND abs(y.at - x.at) <= 2 * reach
+        AND 2 * size(array_intersect(x.places, y.places)) >= size(x.places)))"""
+    left = group.select("doc_id", "mark", F.explode(F.expr(better)).alias("x"))
+    best = left.groupBy("doc_id", "mark", "x.license").agg(F.max(F.struct("x.c", (-F.col("x.at")).alias("at"))).alias("b"))
+    return best.select("doc_id", "license", F.col("b.c").alias("containment"), (-F.col("b.at")).cast("long").alias("first_word"))

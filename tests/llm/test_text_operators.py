@@ -232,6 +232,21 @@ def test_licenses_are_found_whole_and_changed(spark):
     assert license_scan(df.where("false")).collect() == [] and license_scan(df, templates={}).collect() == []
 
 
+def test_notices_beside_each_other_stay(spark):
+    mit, gpl2 = TEMPLATES["mit"].replace("hereby", "herewith"), TEMPLATES["gpl-2-or-later"].replace("redistribute", "share")
+    disclaimer = TEMPLATES["mit-disclaimer"].replace("AUTHORS", "WRITERS")
+    docs = [(1, TEMPLATES["apache-2.0"] + " Or: " + mit), (2, TEMPLATES["mit"] + " " + disclaimer), (3, "x y z " + TEMPLATES["gpl-3-or-later"] + " end of it"),
+            (4, TEMPLATES["gpl-3-or-later"] + " " + gpl2), (5, TEMPLATES["gpl-3-or-later"] + " word" * 70 + " " + gpl2)]
+    got = {}
+    for r in license_scan(spark.createDataFrame(docs, DOCS)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.containment
+    assert {"apache-2.0", "mit"} <= set(got[1]) and got[1]["apache-2.0"] == 1 and 0.9 < got[1]["mit"] < 1
+    assert {"mit", "mit-disclaimer"} <= set(got[2]) and 0.9 < got[2]["mit-disclaimer"] < 1
+    assert set(got[3]) == {"gpl-3-or-later"}
+    assert {"gpl-2-or-later", "gpl-3-or-later"} <= set(got[5]) and got[5]["gpl-3-or-later"] == 1
+    assert {"gpl-2-or-later", "gpl-3-or-later"} <= set(got[4])
+
+
 # ---------------------------------------------------------------- decontamination
 
 ITEM = "If Anna walks 12 km in 3 hours and Anna rests for 20 minutes how far does Bob go"
