@@ -339,7 +339,8 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
     shared = signed.where("prefix is not null").select("class", "n", F.explode("prefix").alias("token"))
     by_token = Window.partitionBy("token").orderBy("n", "class")
-    near = shared.select("token", "class", "n", F.lag(F.struct("class", "n")).over(by_token).alias("_b"), F.lead(F.struct("class", "n")).over(by_token).alias("_a"), F.row_number().over(by_token).alias("_r"))
+    near = shared.select("token", "class", "n", F.lag(F.struct("class", "n")).over(by_token).alias("_b"), F.lead(F.struct("class", "n")).over(by_token).alias("_a"), F.dense_rank().over(by_token).alias("_r"))
+    # a class has one rank, however many tasks emit it, so blocks are of distinct classes
     # in order of size: if neither neighbour is near enough in size, no class of the group is
     fits = (F.col("_b.class") != F.col("class")) & (100 * F.col("_b.n") >= percent * F.col("n")) | (F.col("_a.class") != F.col("class")) & (100 * F.col("n") >= percent * F.col("_a.n"))
     near = near.where(F.coalesce(fits, F.lit(False))).withColumn("block", F.expr(f"cast((_r - 1) div {group} as int)"))

@@ -172,6 +172,22 @@ def test_other_sizes_and_empty(spark, families):
     assert sorted(map(tuple, similar_components(few).collect())) == [(1, 0, 1), (2, 1, 2), (3, 2, 3)]
 
 
+def test_a_class_of_many_tasks_takes_one_place_in_its_group(spark):
+    import pyarrow as pa
+
+    import xxhash
+    names = [f"w{i}" for i in range(400)]
+    names.sort(key=lambda w: shingles(next(iter(per_text(pa.array([w])))), 1)[0])
+    least, rest = names[0], names[1:]
+    known = lambda ws: xxhash.xxh3_64_intdigest(np.unique(shingles(next(iter(per_text(pa.array([" ".join(ws)])))), 1)).tobytes()) - (1 << 63)
+    a = [least, *rest[:8]]
+    hot = next(h for h in ([least, *rest[20 + 8 * i:28 + 8 * i]] for i in range(40)) if known(h) > known(a))
+    docs = [(1, " ".join(a)), (2, " ".join([*a, rest[15]])), *((10 + i, " ".join(hot)) for i in range(12))]
+    df = spark.sparkContext.parallelize(docs, len(docs)).toDF(DOCS)  # a task for each text
+    got = {r.doc_id: r.component_id for r in similar_components(df, size=1, percent=90, group=2).collect()}
+    assert got == {1: 1, 2: 1, **{10 + i: 10 for i in range(12)}}
+
+
 def test_one_of_each_group_stays(spark, families):
     docs = spark.createDataFrame(families, DOCS).withColumn("_n", F.lit("mine"))
     kept = drop_similar(docs)
