@@ -127,8 +127,8 @@ def _signatures(size: int, percent: int, heavy):
                     first = s[:k]
                 prefixes.append(first.view(np.int64))
                 maps.append(bitmap(s, bits_for(n)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                                             ["doc_id", "n", "class", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary()), batch.column(2)],
+                                             ["doc_id", "n", "class", "prefix", "bits", "mark"])
     return run
 
 
@@ -332,10 +332,15 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     Rows that repeat an id are texts of their own; ids that are null never name a component (it is null if there is no
     other id). Sets are compared by 64-bit hashes. Other input columns are not returned; an empty table gives an empty table.
     """
+    return _labelled(docs, size, percent, id_col, text_col, group, cluster).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, group: int = GROUP, cluster: int = CLUSTER) -> DataFrame:
+    """(doc_id, mark, n_shingles, root, component_id) for every row: a hash of its text and the class that names its component."""
     docs = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     context = docs.sparkSession.sparkContext
     heavy = context.broadcast(heavy_shingles(docs.select("text"), size))
-    signed = cut_lineage(docs.mapInArrow(_signatures(size, percent, heavy), "doc_id long, n long, class long, prefix array<long>, bits binary"))
+    signed = cut_lineage(docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_signatures(size, percent, heavy), "doc_id long, n long, class long, prefix array<long>, bits binary, mark long"))
 
     shared = signed.where("prefix is not null").select("class", "n", F.explode("prefix").alias("token"))
     by_token = Window.partitionBy("token").orderBy("n", "class")
@@ -391,24 +396,28 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     root = components(links).select(F.col("node").alias("class"), "root")
     named = classes.select("class", "doc_id").join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = cut_lineage(named.join(least, "root").select("class", "component_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "class").join(small(labels), "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    labels = cut_lineage(named.join(least, "root").select("class", "root", "component_id"))
+    out = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "class").join(small(labels), "class", "left")
+    return out.select("doc_id", "mark", "n_shingles", "root", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the least id; columns stay as they are.
+    """``docs`` with one row of each component, the one with the least id; columns stay as they are.
 
-    Rows of one id are one document: if the id stays, its distinct texts stay, equal rows of it once. Texts without words
-    stay. Rows without an id stay only if they have no words.
+    Rows without an id come after all others; of rows of one id the one with the least hash of its text stays, of equal
+    rows one. Texts without words stay.
     """
-    found = similar_components(docs, size, percent, id_col, text_col)
-    kept = cut_lineage(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_drop_similar_keep"), F.count("*").alias("_drop_similar_n")).where("_drop_similar_keep").select(F.col("doc_id").alias("_drop_similar_id"), F.col("_drop_similar_n").cast("int").alias("_drop_similar_n")))
+    found = cut_lineage(_labelled(docs, size, percent, id_col, text_col).where("root is not null").select("doc_id", "mark", "root"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("w"))
+    first = cut_lineage(first.select(F.col("w.doc_id").alias("_drop_similar_id"), F.col("w.mark").alias("_drop_similar_mark")))
+    key = ["_drop_similar_id", "_drop_similar_mark"]
+    same = found.join(small(first), F.col("doc_id").eqNullSafe(F.col(key[0])) & (F.col("mark") == F.col(key[1])))
+    kept = cut_lineage(same.groupBy(*key).agg(F.count("*").alias("_drop_similar_n")))
     have = {c.lower(): c for c in docs.columns}
     ident, text = F.col(f"`{have[id_col.lower()]}`"), F.col(f"`{have[text_col.lower()]}`")
     blank = ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    joined = docs.join(small(kept), ident.cast("long") == F.col("_drop_similar_id"), "left").where(F.col("_drop_similar_id").isNotNull() | blank)
-    once = joined.where("_drop_similar_n is null or _drop_similar_n = 1").drop("_drop_similar_id", "_drop_similar_n")
-    repeated = joined.where("_drop_similar_n > 1")
-    numbered = repeated.withColumn("_drop_similar_r", F.row_number().over(Window.partitionBy("_drop_similar_id", text).orderBy(text)))
-    return once.unionByName(numbered.where((F.col("_drop_similar_r") == 1) | blank).drop("_drop_similar_id", "_drop_similar_n", "_drop_similar_r"))
+    met = ident.cast("long").eqNullSafe(F.col(key[0])) & (F.xxhash64(text.cast("string")) == F.col(key[1]))
+    joined = docs.join(small(kept), met, "left").where(F.col("_drop_similar_n").isNotNull() | blank)
+    once = joined.where("_drop_similar_n is null or _drop_similar_n = 1").drop(*key, "_drop_similar_n")
+    repeated = joined.where("_drop_similar_n > 1").withColumn("_drop_similar_r", F.row_number().over(Window.partitionBy(*key).orderBy(text)))
+    return once.unionByName(repeated.where("_drop_similar_r = 1").drop(*key, "_drop_similar_n", "_drop_similar_r"))

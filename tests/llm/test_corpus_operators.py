@@ -198,6 +198,15 @@ def test_one_of_each_group_stays(spark, families):
     assert drop_similar(docs.where("false")).collect() == []
 
 
+def test_null_and_repeated_ids_lose_only_copies(spark):
+    text = lambda i: " ".join(f"t{i}w{j}" for j in range(30))
+    docs = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(1) + " end"), (1, text(2)), (1, text(3)), (1, text(3) + " end"), (2, text(4)), (3, text(4)), (3, text(5)), (3, text(5)), (None, text(5)), (None, None)]
+    got = [(r.doc_id, r.text) for r in drop_similar(spark.createDataFrame(docs, DOCS)).collect()]
+    assert len(got) == 7 and (None, None) in got and (None, text(0)) in got
+    assert {i for i, x in got if x and x.startswith("t1w0")} == {None} and {i for i, x in got if x and x.startswith("t3w0")} == {1}
+    assert {(1, text(2)), (2, text(4)), (3, text(5))} <= set(got)
+
+
 def test_tree_never_prunes_a_similar_pair():
     rng = np.random.default_rng(5)
     sets = []
