@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .frames import fill_in_middle, frame_store
 from .htmltext import main_text
 from .licenses import license_scan
 from .linededup import line_dedup
 from .ngramjoin import similar_components
 from .packing import pack
+from .pii import personal_data
 from .quality import quality_classifier
 from .rules import BASE, quality_rules
 from .secrets import secret_scan
@@ -103,3 +105,26 @@ def _op9(spark, sf_dir):
 @query("op10_packing")
 def _op10(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op11_personal_data")
+def _op11(spark, sf_dir):
+    return personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op12_fill_in_middle", """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+g AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || x[1:8])::UBIGINT AS h1, ('0x' || x[9:16])::UBIGINT AS h2, ('0x' || x[17:24])::UBIGINT AS h3, ('0x' || x[25:32])::UBIGINT AS h4 FROM h),
+c AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p""")
+def _op12(spark, sf_dir):
+    made = fill_in_middle(frame_store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
