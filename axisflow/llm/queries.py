@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .frames import fill_in_middle, frame_store
 from .htmltext import main_text
+from .lexsearch import ranked_search
 from .licenses import license_scan
 from .linededup import line_dedup
 from .ngramjoin import similar_components
@@ -128,3 +129,23 @@ FROM p""")
 def _op12(spark, sf_dir):
     made = fill_in_middle(frame_store(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op13_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, list_distinct({TERMS}) AS w FROM benchmark),
+total AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY ALL),
+asked AS (SELECT iid, item_id, unnest(w) AS term FROM i),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+scored AS (
+  SELECT iid, any_value(item_id) AS item_id, rid, any_value(doc_id) AS doc_id,
+    sum(weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.w) * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN d USING (rid), total GROUP BY iid, rid)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""")
+def _op13(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
