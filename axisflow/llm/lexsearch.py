@@ -27,10 +27,10 @@ from ..session import cut_lineage, staging_path
 from .common import columns_of
 
 K1000, B100 = 8, 90             # saturation by length: tf / (tf + 0.8 * relative length), nine tenths of it by length
-SEGMENT_DOCS = 4_096            # documents of a segment at most
-SEGMENT_POSTINGS = 400_000      # postings of a segment at most, but for one longer document
-SHORT = 96                      # posting lists up to this are one block without a summary
-BLOCK = 512                     # documents of a block at most
+SEGMENT_DOCS = 8_192            # documents of a segment at most
+SEGMENT_POSTINGS = 1_000_000      # postings of a segment at most, but for one longer document
+SHORT = 256                     # posting lists up to this are one block without a summary
+BLOCK = 1_024                   # documents of a block at most
 DIMS = 64                       # of the sketches that documents are compared by
 CENTRES = 64                    # documents of a segment that blocks gather around
 VOCABULARY = 2_000_000          # query terms, and
@@ -85,14 +85,9 @@ def _vocabulary(asked: DataFrame):
 
 # ---------------------------------------------------------------- segments
 
-SEGMENT = T.StructType([
-    T.StructField("terms", T.ArrayType(T.StringType())),
-    *[T.StructField(c, T.ArrayType(t())) for c, t in [
-        ("doc_ids", T.LongType), ("no_id", T.BooleanType), ("ptr", T.IntegerType), ("cols", T.IntegerType), ("impacts", T.IntegerType),
-        ("list_blocks", T.IntegerType), ("block_ptr", T.IntegerType), ("block_docs", T.IntegerType), ("block_max", T.IntegerType),
-        ("sum_ptr", T.IntegerType), ("sum_cols", T.IntegerType), ("sum_max", T.IntegerType)]]])
-
-DTYPES = {"doc_ids": np.int64, "no_id": np.bool_}
+SEGMENT = "n_docs int, n_postings int, n_blocks int, segment binary"
+ARRAYS = ("doc_ids", "no_id", "ptr", "cols", "impacts", "list_blocks", "block_ptr", "block_docs", "block_max", "sum_ptr", "sum_cols", "sum_max")
+KINDS = {"doc_ids": np.int64, "no_id": np.bool_}
 
 
 @dataclass
@@ -118,17 +113,24 @@ class Segment:
         self.place = {t: i for i, t in enumerate(self.terms)}
 
     def row(self) -> pa.RecordBatch:
-        named = {f.name: getattr(self, f.name) for f in SEGMENT.fields}
-        arrays = []
-        for name, values in named.items():
-            flat = pa.array(values, pa.string()) if name == "terms" else pa.array(values.astype(DTYPES.get(name, np.int32)))
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
-        return pa.RecordBatch.from_arrays(arrays, names=list(named))
+        """One row of the index: the arrays as a compressed Arrow stream, so a reader holds them packed until it needs them."""
+        lists = [pa.array([self.terms], pa.list_(pa.string()))]
+        for name in ARRAYS:
+            flat = pa.array(getattr(self, name).astype(KINDS.get(name, np.int32)))
+            lists.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+        packed, out = pa.RecordBatch.from_arrays(lists, names=["terms", *ARRAYS]), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, packed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(packed)
+        sizes = [len(self.doc_ids), len(self.cols), len(self.block_max)]
+        return pa.RecordBatch.from_arrays([*[pa.array([n], pa.int32()) for n in sizes], pa.array([out.getvalue().to_pybytes()], pa.binary())],
+                                          names=["n_docs", "n_postings", "n_blocks", "segment"])
 
     @classmethod
-    def read(cls, batch: pa.RecordBatch, i: int) -> "Segment":
-        get = lambda name: batch.column(batch.schema.get_field_index(name))[i].values
-        return cls(terms=get("terms").to_pylist(), **{f.name: get(f.name).to_numpy(zero_copy_only=False) for f in SEGMENT.fields[1:]})
+    def read(cls, packed: bytes) -> "Segment":
+        with pa.ipc.open_stream(packed) as stream:
+            batch = stream.read_next_batch()
+        get = lambda name: batch.column(name)[0].values
+        return cls(terms=get("terms").to_pylist(), **{name: get(name).to_numpy(zero_copy_only=False) for name in ARRAYS})
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,8 +339,8 @@ def _search(asked, k: int):
         queries = asked.value
         best = [Best(k) for _ in queries]
         for batch in batches:
-            for i in range(batch.num_rows):
-                seg = Segment.read(batch, i)
+            for packed in batch.column("segment"):
+                seg = Segment.read(packed.as_buffer())
                 for query, kept in zip(queries, best):
                     search_segment(seg, query, kept)
         rows = [(q, -i if has else None, s) for q, kept in enumerate(best) for s, has, i in kept.heap]
