@@ -16,15 +16,14 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..session import cut_lineage, staging_path
-from .common import columns_of
+from .common import columns_of, give_back
 
 K1000, B100 = 8, 90             # saturation by length: tf / (tf + 0.8 * relative length), nine tenths of it by length
 SEGMENT_DOCS = 8_192            # documents of a segment at most
@@ -48,30 +47,37 @@ def terms_of(text: str | None) -> list[bytes]:
 
 # ---------------------------------------------------------------- documents as term counts
 
-FORWARD = "n long, terms array<string>, tfs array<int>"
-
-
-def _counted(text: Column, vocabulary) -> Column:
-    @F.pandas_udf(FORWARD)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _counted(vocabulary):
+    """Rows (id, text) to (id, n, terms, tfs): the terms of a text in all, and its distinct ones of the vocabulary with their counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if vocabulary is None else vocabulary.value
-        for texts in parts:
-            ns, terms, tfs = [], [], []
-            for x in texts:
-                found = terms_of(x)
+        for batch in batches:
+            ns, flat, tfs, ends = [], [], [], [0]
+            for x in batch.column(1):
+                found = terms_of(x.as_py())
                 counts = Counter(found)
                 hits = sorted(counts if wanted is None else counts.keys() & wanted)
                 ns.append(len(found))
-                terms.append([t.decode() for t in hits])
-                tfs.append([counts[t] for t in hits])
-            yield pd.DataFrame({"n": ns, "terms": terms, "tfs": tfs})
-    return run(text)
+                flat += hits
+                tfs += [counts[t] for t in hits]
+                ends.append(len(flat))
+            at = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat, pa.string())), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))],
+                                             names=["id", "n", "terms", "tfs"])
+        give_back()
+    return run
+
+
+def counted(df: DataFrame, id_col: str, text_col: str, vocabulary=None) -> DataFrame:
+    """(id, n, terms, tfs) of each row."""
+    rows = columns_of(df, id_col, text_col)
+    kind = dict(rows.dtypes)[id_col]
+    return rows.mapInArrow(_counted(vocabulary), f"id {kind}, n long, terms array<string>, tfs array<int>")
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query, terms): the distinct terms of each query row."""
-    found = columns_of(queries, id_col, text_col).withColumn("_c", _counted(F.col(text_col), None))
-    return found.select(F.col(id_col).alias("query"), F.col("_c.terms").alias("terms"))
+    return counted(queries, id_col, text_col).select(F.col("id").alias("query"), "terms")
 
 
 def _vocabulary(asked: DataFrame):
@@ -233,9 +239,22 @@ def _segments(docs: int, length: int):
             held.append(batch.slice(start))
         if n_docs:
             yield made()
+        give_back()
     return run
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """At most ``rows`` rows go to Python at once while a plan runs; the session's setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 @dataclass
 class Index:
     """A written index: its folder, the number of documents with a term, their terms in all, and the terms it is limited to."""
@@ -259,13 +278,15 @@ def build_index(docs: DataFrame, vocabulary=None, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     at = staging_path(spark, "lexical")
-    rows = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), _counted(F.col(text_col), vocabulary).alias("_c"))
-    rows.select("doc_id", "_c.*").write.parquet(f"{at}/counts")
+    rows = columns_of(docs, id_col, text_col).withColumn(id_col, F.col(id_col).cast("long"))
+    with batches_of(spark, 1_000):
+        counted(rows, id_col, text_col, vocabulary).withColumnRenamed("id", "doc_id").write.parquet(f"{at}/counts")
     counts = spark.read.parquet(f"{at}/counts")
     total = counts.where("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).first()
     counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{at}/frequencies")
     held = counts.where(F.size("terms") > 0)
-    held.mapInArrow(_segments(total["docs"], total["length"]), SEGMENT).write.parquet(f"{at}/segments")
+    with batches_of(spark, 1_000):
+        held.mapInArrow(_segments(total["docs"], total["length"]), SEGMENT).write.parquet(f"{at}/segments")
     return Index(spark, at, total["docs"], total["length"])
 
 
@@ -343,24 +364,13 @@ def _search(asked, k: int):
                 seg = Segment.read(packed.as_buffer())
                 for query, kept in zip(queries, best):
                     search_segment(seg, query, kept)
+                del seg
         rows = [(q, -i if has else None, s) for q, kept in enumerate(best) for s, has, i in kept.heap]
         nos, ids, scores = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(nos, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_no", "doc_id", "score"])
     return run
 
 
-@contextmanager
-def single_rows(spark: SparkSession):
-    """Rows go to Python one by one while a plan of large rows runs; the session's setting comes back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "1")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was)
-
-
 def top(hits: DataFrame, k: int, *keys: str) -> DataFrame:
     """The k best rows of each key with their rank; shares of a key are thinned out first, so no task holds all of them."""
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
@@ -388,7 +398,7 @@ def search(index: Index, asked: DataFrame, k: int = 10) -> DataFrame:
         words = spark.createDataFrame(lines, "query_no int, term string").select("term").distinct()
         known = {r.term: int(r.weight) for r in weights.join(words, "term").collect()}
         asking = spark.sparkContext.broadcast([[(t, known[t]) for t in r["terms"] if known.get(t, 0) > 0] for r in some])
-        with single_rows(spark):
+        with batches_of(spark, 1):
             hits = cut_lineage(index.segments().mapInArrow(_search(asking, k), HITS))
         names = spark.createDataFrame([(no, r["query"]) for no, r in enumerate(some)], T.StructType([T.StructField("query_no", T.IntegerType()), T.StructField("query", kind)]))
         found.append(top(hits, k, "query_no").join(names, "query_no").select("query", "rank", "doc_id", "score"))
