@@ -190,7 +190,7 @@ def build(doc_ids, no_id, ns, terms: pa.Array, tfs: np.ndarray, sizes: np.ndarra
     by_term, impact_by_term = owner[order], impacts[order]
     near = _similarities(ptr, cols, impacts, len(names)) if len(names) and np.diff(lists).max() > SHORT else None
 
-    own = np.zeros(len(names), np.int64)
+    own = np.zeros(len(names), impacts.dtype)
     list_blocks, blocks, block_max, sum_size, sum_cols, sum_max = [0], [], [], [], [], []
     for t in range(len(names)):
         members = by_term[lists[t]:lists[t + 1]]
@@ -207,8 +207,8 @@ def build(doc_ids, no_id, ns, terms: pa.Array, tfs: np.ndarray, sizes: np.ndarra
                 blocks.append(some)
                 block_max.append(own[t])
                 sum_size.append(len(held))
-                sum_cols.append(held)
-                sum_max.append(own[held])
+                sum_cols.append(held.astype(np.int32))
+                sum_max.append(own[held].astype(np.int32))
         list_blocks.append(len(blocks))
     joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return Segment(names, np.asarray(doc_ids), np.asarray(no_id), ptr, cols, impacts, np.array(list_blocks), np.cumsum([0, *map(len, blocks)]), joined(blocks),
@@ -222,6 +222,7 @@ def _segments(docs: int, length: int):
 
         def made() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             one = lambda c: table.column(c).chunk(0)
             ids, lists = one("doc_id"), one("terms")
             sizes = np.diff(lists.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -234,7 +235,8 @@ def _segments(docs: int, length: int):
                 if n_docs and (n_docs >= SEGMENT_DOCS or n_postings + size > SEGMENT_POSTINGS):
                     held.append(batch.slice(start, i - start))
                     yield made()
-                    held, n_docs, n_postings, start = [], 0, 0, i
+                    give_back()
+                    n_docs, n_postings, start = 0, 0, i
                 n_docs, n_postings = n_docs + 1, n_postings + int(size)
             held.append(batch.slice(start))
         if n_docs:
@@ -365,6 +367,7 @@ def _search(asked, k: int):
                 for query, kept in zip(queries, best):
                     search_segment(seg, query, kept)
                 del seg
+                give_back()
         rows = [(q, -i if has else None, s) for q, kept in enumerate(best) for s, has, i in kept.heap]
         nos, ids, scores = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(nos, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_no", "doc_id", "score"])
