@@ -26,9 +26,9 @@ from ..session import cut_lineage, staging_path
 from .common import columns_of, give_back
 
 K1000, B100 = 8, 90             # saturation by length: tf / (tf + 0.8 * relative length), nine tenths of it by length
-SEGMENT_DOCS = 8_192            # documents of a segment at most
-SEGMENT_POSTINGS = 1_000_000      # postings of a segment at most, but for one longer document
-SHORT = 256                     # posting lists up to this are one block without a summary
+SEGMENT_DOCS = 4_096            # documents of a segment at most
+SEGMENT_POSTINGS = 500_000      # postings of a segment at most, but for one longer document
+SHORT = 512                     # posting lists up to this are one block without a summary
 BLOCK = 1_024                   # documents of a block at most
 DIMS = 64                       # of the sketches that documents are compared by
 CENTRES = 64                    # documents of a segment that blocks gather around
