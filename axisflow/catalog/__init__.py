@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-_FAMILIES = ("sources", "prep", "neighbors", "field", "windows", "spectra", "transport", "regulators", "grn", "regimes", "nulls", "agreement")
+_FAMILIES = ("sources", "prep", "neighbors", "field", "windows", "spectra", "transport", "regulators", "grn", "regimes", "nulls", "agreement", "streaming")
 
 
 def load() -> tuple[dict, dict]:

@@ -253,8 +253,12 @@ class Tables:
 
     @cached_property
     def met(self) -> DataFrame:
+        return self.metrics_of(self.customer)
+
+    def metrics_of(self, customer: DataFrame) -> DataFrame:
+        """Stability metrics of customers, of the table or a stream of it."""
         k = F.col("c_custkey")
-        return self.customer.select(
+        return customer.select(
             k.alias("cell_id"), F.col("c_mktsegment").alias("cell_type"), F.col("c_nationkey").alias("condition"),
             (F.col("c_acctbal") / 10000.0 - 0.4).alias("lambda_max"), (-((k * 7919) % 1000).cast("double") / 600.0).alias("lambda_min"),
             (((k * 31) % 100).cast("double") / 100.0).alias("plasticity"), ((k * 17) % 9).cast("double").alias("stable_dim"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import nulls as n
 from ..operators import windows as w
+from ..operators.kernels import bootstrap_curves
+from .windows import _draws
 from .base import N_T, R, Tables, query, rounded, with_
 
 
@@ -18,7 +20,7 @@ def _(t: Tables):
 @query("shuffle_null")
 def _(t: Tables):
     from ..plans.null_factor import shuffle_null
-    return rounded(shuffle_null(_operator_rows(t), 3, 64, n_rep=2, iters=6))
+    return rounded(shuffle_null(_operator_rows(t), 3, 64))
 
 
 def _operator_rows(t: Tables):
@@ -76,10 +78,20 @@ def _(t: Tables):
     return rounded(n.empirical_p(null, obs, ["event_type"]))
 
 
-@query("bootstrap_curves")
+@query("bootstrap_curves", with_("ax", extra={**_draws(20), "g": "SELECT i::INT AS t_idx, 0.05e0 + 0.9e0 * i / 18 AS g FROM (SELECT unnest(range(19)) AS i)"},
+    body=f"""SELECT rep::INT AS rep, t_idx, {R('g')} AS t, {R('sum(m * k * value) / sum(m * k)')} AS mean, {R('sum(m * k) ** 2 / sum(m * k * k)')} AS n_eff
+    FROM (SELECT rep, t_idx, g, m, value, exp(-0.5e0 * ((g - t) / 0.05e0) ** 2) AS k FROM bt, g) GROUP BY rep, t_idx, g"""))
 def _(t: Tables):
-    b = n.bootstrap_weights(t.ax, "cell_id", 4)
-    c = w.kernel_smooth(b, w.linspace(0.05, 0.95, 19), 0.05, "w", ["rep"])
+    rows = t.ax.withColumn("value", F.col("value") / 10.0 - 4.5)
+    return rounded(bootstrap_curves(rows, w.linspace(0.05, 0.95, 19), 0.05, 20))
+
+
+@query("bootstrap_correlation", with_("ax", extra={**_draws(20), "g": "SELECT i::INT AS t_idx, 0.05e0 + 0.9e0 * i / 18 AS g FROM (SELECT unnest(range(19)) AS i)",
+    "c": "SELECT rep, t_idx, sum(m * k * value) / sum(m * k) AS mean FROM (SELECT rep, t_idx, m, value, exp(-0.5e0 * ((g - t) / 0.05e0) ** 2) AS k FROM bt, g WHERE rep >= 0) GROUP BY rep, t_idx"},
+    body=f"SELECT 0 AS g, {R('avg(r)')} AS mean_r FROM (SELECT corr(x.mean, y.mean) AS r FROM c x JOIN c y ON x.t_idx = y.t_idx AND x.rep < y.rep GROUP BY x.rep, y.rep)"))
+def _(t: Tables):
+    rows = t.ax.withColumn("value", F.col("value") / 10.0 - 4.5)
+    c = bootstrap_curves(rows, w.linspace(0.05, 0.95, 19), 0.05, 20).where(F.col("rep") >= 0)
     return rounded(n.mean_pairwise_correlation(c.withColumn("g", F.lit(0)), ["g"], "rep", "t_idx", "mean"))
 
 
@@ -95,7 +107,7 @@ def _(t: Tables):
 
 @query("block_permutation")
 def _(t: Tables):
-    return rounded(n.block_permutation(t.lam, N_T, 7, 5).groupBy("rep").agg(F.count_distinct("t_idx").alias("n"), F.sum("lam").alias("total")))
+    return rounded(n.block_permutation(t.lam, N_T, 7, 5).select("rep", "t_idx", "lam"))
 
 
 def _pairs(t: Tables):

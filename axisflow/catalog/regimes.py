@@ -172,7 +172,7 @@ def _(t: Tables):
 def _(t: Tables):
     oper = t.fold.select("cell_id", F.transform("x", lambda v: v * v).alias("x"))
     truth = t.emb.select("cell_id", F.col("cluster").alias("truth"))
-    return rounded(c.alpha_search(t.fold, oper, truth, 10, 8, 8, alphas=(0.0, 0.5, 1.0)))
+    return rounded(c.alpha_search(t.fold, oper, truth, 10, 8, 8))
 
 
 _PUR = {"k": "SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2", "p": "SELECT source, sum(n)::BIGINT AS size, first(lang ORDER BY n DESC, lang) AS dominant, max(n) / sum(n) AS purity FROM k GROUP BY 1"}

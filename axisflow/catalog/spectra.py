@@ -54,14 +54,22 @@ def _(t: Tables):
 @query("operator_embedding")
 def _(t: Tables):
     z, model = s.operator_embedding(_ops(t), "pca", 6, 64)
-    return rounded(z.agg(*[F.var_pop(F.col("z")[i]).alias(f"var{i}") for i in range(6)], F.lit(float(model["ratio"].sum())).alias("explained")))
+    return rounded(z.select("cell_id", F.posexplode("z").alias("i", "z")).withColumn("explained", F.lit(float(model["ratio"].sum()))))
 
 
 @query("operator_embedding_spectrum")
 def _(t: Tables):
     sp = s.spectrum_features(s.operator_spectrum(_ops(t), 8))
     z, model = s.operator_embedding(sp, "spectrum", 4, 16)
-    return rounded(z.agg(*[F.var_pop(F.col("z")[i]).alias(f"var{i}") for i in range(4)], F.lit(float(model["ratio"].sum())).alias("explained")))
+    return rounded(z.select("cell_id", F.posexplode("z").alias("i", "z")).withColumn("explained", F.lit(float(model["ratio"].sum()))))
+
+
+# operators of 64 x 64, the outer products of the vectors: 4,096 columns by a randomised range
+@query("operator_embedding_wide")
+def _(t: Tables):
+    outer = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b)))
+    z, model = s.operator_embedding(t.emb.select("cell_id", outer.alias("j")), "pca", 6, 4096)
+    return rounded(z.select("cell_id", F.posexplode("z").alias("i", "z")).withColumn("explained", F.lit(float(model["ratio"].sum()))))
 
 
 # on four metrics the total variance is kept and the raw metrics are returned for n >= 4
@@ -80,20 +88,20 @@ def _brand_edges(t: Tables):
 
 _MODE = {"a": "SELECT p_brand AS i, p_type AS ty, sum(l_quantity) / 10000e0 AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2",
          "e": "SELECT x.i AS i, y.i AS j, sum(x.q * y.q) AS v FROM a x JOIN a y USING (ty) GROUP BY 1, 2", "x0": "SELECT DISTINCT i, 1e0 AS x FROM e"}
-for _r in range(6):
+for _r in range(25):
     _MODE[f"y{_r}"] = f"SELECT e.i, sum(v * x) AS x FROM e JOIN x{_r} ON x{_r}.i = e.j GROUP BY 1"
     _MODE[f"x{_r + 1}"] = f"SELECT i, x / (SELECT sqrt(sum(x * x)) FROM y{_r}) AS x FROM y{_r}"
 
 
-@query("dominant_mode", with_(extra=_MODE, body=f"SELECT i, {R('x')} AS x FROM x6"))
+@query("dominant_mode", with_(extra=_MODE, body=f"SELECT i, {R('x')} AS x FROM x25"))
 def _(t: Tables):
-    return rounded(s.dominant_mode(_brand_edges(t), 6))
+    return rounded(s.dominant_mode(_brand_edges(t)))
 
 
-@query("dominant_eigenvalue", with_(extra=_MODE, body=f"SELECT {R('sum(v * p.x * q.x) / (SELECT sum(x * x) FROM x6)')} AS lambda FROM e JOIN x6 p ON p.i = e.i JOIN x6 q ON q.i = e.j"))
+@query("dominant_eigenvalue", with_(extra=_MODE, body=f"SELECT {R('sum(v * p.x * q.x) / (SELECT sum(x * x) FROM x25)')} AS lambda FROM e JOIN x25 p ON p.i = e.i JOIN x25 q ON q.i = e.j"))
 def _(t: Tables):
     e = cut_lineage(_brand_edges(t))
-    return rounded(s.rayleigh(e, s.dominant_mode(e, 6)))
+    return rounded(s.rayleigh(e, s.dominant_mode(e)))
 
 
 def _sequence(t: Tables):
@@ -108,14 +116,14 @@ def _sequence(t: Tables):
 @query("semi_nmf")
 def _(t: Tables):
     seq = cut_lineage(_sequence(t))
-    fit, h, err = s.semi_nmf(seq, 3, 64, iters=15, restarts=2)
-    return rounded(s.activations(fit, 3).groupBy("k").agg(F.min("a").alias("lowest"), F.max("a").alias("peak"), F.lit(float(err)).alias("error")))
+    fit, h, err = s.semi_nmf(seq, 3, 64)
+    return rounded(s.activations(fit, 3).withColumn("error", F.lit(float(err))))
 
 
 @query("semi_nmf_r2")
 def _(t: Tables):
     seq = cut_lineage(_sequence(t))
-    fit, h, _ = s.semi_nmf(seq, 3, 64, iters=15, restarts=2)
+    fit, h, _ = s.semi_nmf(seq, 3, 64)
     hat = F.array(*[sum((F.col("w")[k] * float(h[k, d]) for k in range(3)), F.lit(0.0)) for d in range(64)])
     obs = fit.select("t_idx", F.posexplode("m").alias("d", "v"))
     return rounded(s.reconstruction_r2(obs, fit.select("t_idx", F.posexplode(hat).alias("d", "v_hat")), ["t_idx", "d"]))

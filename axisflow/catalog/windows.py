@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import windows as w
+from ..operators.kernels import POISSON
 from .base import N_T, R, Tables, query, rounded, with_
 
 _N, _OV = 50, 0.8
@@ -197,10 +198,31 @@ def _(t: Tables):
     return rounded(w.bandwidth_shape(out, ["h"]))
 
 
-@query("bandwidth_score")
+# replicate counts as SQL: the same arithmetic as kernels.poisson_counts, seed 0
+_DRAWS = {"dr": "SELECT cell_id, t, value / 10e0 - 4.5e0 AS value, r AS rep, cell_id % 2147483647 AS h0, ((cell_id % 2147483647) * 48271 + (r + 1) * 40692) % 2147483647 AS h1 FROM ax, (SELECT unnest(range({n}))::BIGINT AS r)",
+          "du": "SELECT cell_id, t, value, rep, ((h3 * h3 + h1) % 2147483647 + 0.5e0) / 2147483647e0 AS u FROM (SELECT *, (((h1 * h1 + h0) % 2147483647) * 40014 + rep + 1) % 2147483647 AS h3 FROM dr)",
+          "bt": "SELECT t, value, rep, m FROM (SELECT *, list_sum([(u > c)::INT FOR c IN [" + ", ".join(f"{float(c)!r}::DOUBLE" for c in POISSON) + "]]) AS m FROM du) WHERE m > 0 UNION ALL SELECT t, value / 10e0 - 4.5e0, -1, 1 FROM ax"}
+
+
+def _draws(n: int) -> dict[str, str]:
+    return {k: v.replace("{n}", str(n)) for k, v in _DRAWS.items()}
+
+
+_FULL = w.linspace(0.02, 0.98, 200)  # the default grid, bandwidths and replicates
+_SCORE = {**_draws(20), "g": "SELECT unnest(range(200))::INT AS t_idx, unnest([" + ", ".join(repr(g) + "::DOUBLE" for g in _FULL) + "]) AS g, ",
+          "hh": f"SELECT unnest([{', '.join(f'{h}::DOUBLE' for h in w.BANDWIDTHS)}]) AS h"}
+_SCORE["g"] = _SCORE["g"].rstrip(", ")
+_SCORE |= {"cb": "SELECT h, rep, t_idx, g, sum(m * k * value) / greatest(sum(m * k), 1e-12) AS m, sum(m * k) ** 2 / greatest(sum(m * k * k), 1e-12) AS n_eff FROM (SELECT h, rep, t_idx, g, m, value, exp(-0.5e0 * ((g - t) / h) ** 2) AS k FROM bt, hh, g) GROUP BY 1, 2, 3, 4",
+           "cv": "SELECT h, t_idx, g, m FROM cb WHERE rep = -1", **{k: _SHAPE[k] for k in ("pk", "ed", "sh")},
+           "inn": "SELECT h, min(n_eff) AS ne FROM cb WHERE rep = -1 AND g >= 0.1 AND g <= 0.9 GROUP BY 1",
+           "rr": "SELECT h, avg(r) AS r FROM (SELECT x.h AS h, corr(x.m, y.m) AS r FROM cb x JOIN cb y ON x.h = y.h AND x.t_idx = y.t_idx AND x.rep >= 0 AND y.rep > x.rep GROUP BY x.h, x.rep, y.rep) GROUP BY 1",
+           "al": "SELECT h, c, CASE WHEN fwhm IS NULL OR fwhm <= 0 THEN 0e0 ELSE top / greatest(fwhm, 1e-6) END AS l, ne, r FROM sh JOIN inn USING (h) JOIN rr USING (h)"}
+
+
+@query("bandwidth_score", with_("ax", extra=_SCORE, body=f"SELECT h, {R('c')} AS c, {R('l')} AS l, {R('ne')} AS n_eff_interior_min, {R('r')} AS r, {R('r * c * l')} AS s, ne >= 30 AS valid FROM al"))
 def _(t: Tables):
     rows = t.ax.withColumn("value", F.col("value") / 10.0 - 4.5)
-    return rounded(w.bandwidth_score(rows, _GRID, [0.02, 0.05, 0.1], n_boot=6))
+    return rounded(w.bandwidth_score(rows, _FULL))
 
 
 @query("select_bandwidth", f"""WITH s AS (SELECT c_custkey AS h, c_acctbal / 1000e0 AS s, c_nationkey >= 5 AS valid FROM customer)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.gram import summed
 from ..session import cut_lineage
 from .prep import standardize
 from .regimes import METRICS
@@ -60,23 +63,24 @@ def label_propagation(graph: DataFrame, rounds: int = 10, checkpoint_every: int
     return lab
 
 
-def ari_nmi(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index and normalised mutual information (arithmetic).
+def ari_nmi(df: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFrame:
+    """Adjusted Rand index and normalised mutual information (arithmetic), per key.
 
     Both need only the sums of n(n-1)/2 and n ln n over the contingency table and its two margins, so the
     counted table is rolled up by grouping sets in one pass and never joined with itself.
     """
-    c = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    g = c.groupingSets([["a", "b"], ["a"], ["b"]], "a", "b").agg(F.grouping_id("a", "b").alias("g"), F.sum("n").alias("n"))
+    keys = list(keys)
+    c = df.groupBy(*keys, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    g = c.groupingSets([[*keys, "_a", "_b"], [*keys, "_a"], [*keys, "_b"]], *keys, "_a", "_b").agg(F.grouping_id(*keys, "_a", "_b").alias("g"), F.sum("n").alias("n"))
     level = {"ab": 0, "a": 1, "b": 2}
     at = lambda name, e: F.sum(F.when(F.col("g") == level[name], e))
     pairs, nln = F.col("n") * (F.col("n") - 1) / 2, F.col("n") * F.log("n")
-    s = g.agg(at("ab", F.col("n")).alias("t"), *[at(k, pairs).alias(f"p_{k}") for k in level], *[at(k, nln).alias(f"e_{k}") for k in level])
+    s = g.groupBy(*keys).agg(at("ab", F.col("n")).alias("t"), *[at(k, pairs).alias(f"p_{k}") for k in level], *[at(k, nln).alias(f"e_{k}") for k in level])
     t = F.col("t")
     h = {k: F.log(t) - F.col(f"e_{k}") / t for k in level}
     expected, top = F.col("p_a") * F.col("p_b") / (t * (t - 1) / 2), (F.col("p_a") + F.col("p_b")) / 2
     mi = F.greatest(h["a"] + h["b"] - h["ab"], F.lit(0.0))
-    return s.select(F.when(top == expected, 1.0).otherwise((F.col("p_ab") - expected) / (top - expected)).alias("ari"),
+    return s.select(*keys, F.when(top == expected, 1.0).otherwise((F.col("p_ab") - expected) / (top - expected)).alias("ari"),
                     F.when(h["a"] + h["b"] <= 0, 1.0).otherwise(mi / ((h["a"] + h["b"]) / 2)).alias("nmi"))
 
 
@@ -86,8 +90,6 @@ def silhouette(df: DataFrame, label: str, dim: int, block_rows: int = 512) -> Da
     Packed blocks of rows meet packed blocks of rows; a task returns one distance sum per row and cluster, so
     pairs are never written out. Singleton clusters score 0.
     """
-    import numpy as np
-    import pandas as pd
     n = df.count()
     blocks = max(1, -(-n // block_rows))
     packed = cut_lineage(df.select("cell_id", "x", F.col(label).cast("string").alias("l"))
@@ -129,17 +131,86 @@ def clustering_report(df: DataFrame, truth: str, labels: list[str], dim: int) ->
     return out
 
 
+SAMPLE = 2_000  # rows, drawn by a hash of their id, that the first centres are chosen from
+
+
+def _first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each further centre is drawn in proportion to the squared distance to those before."""
+    at = [int(rng.integers(len(x)))]
+    d = ((x - x[at[0]]) ** 2).sum(1)
+    while len(at) < min(k, len(x)):
+        at.append(int(rng.choice(len(x), p=d / d.sum())) if d.sum() > 0 else int(rng.integers(len(x))))
+        d = np.minimum(d, ((x - x[at[-1]]) ** 2).sum(1))
+    return x[at]
+
+
+def _nearest_centre(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(1)[None, :] - 2.0 * x @ c.T).argmin(1)
+
+
+def kmeans_models(df: DataFrame, spaces: list, k: int, iters: int = 30, tol: float = 1e-4, seed: int = 0) -> tuple[list[np.ndarray], int]:
+    """Centres of one k-means per entry of ``spaces``, functions from a batch (a, b) to its points; all share every pass.
+
+    ``df`` is (cell_id, a, b). Sums keyed by model and cluster reach the driver; a model whose centres move by less than
+    ``tol`` leaves the pass. A cluster that loses all rows keeps its centre.
+    """
+    some = df.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(SAMPLE).toPandas()
+    a, b = np.stack(some["a"]), np.stack(some["b"])
+    centres = [_first_centres(f(a, b), k, np.random.default_rng(seed)) for f in spaces]
+    open_, rounds = list(range(len(spaces))), 0
+    while open_ and rounds < iters:
+        sizes = [c.shape for c in centres]
+
+        def step(pdf: pd.DataFrame, open_=tuple(open_), centres=centres) -> np.ndarray:
+            a, b, out = np.stack(pdf["a"]), np.stack(pdf["b"]), []
+            for m in open_:
+                x = spaces[m](a, b)
+                one = np.eye(len(centres[m]))[_nearest_centre(x, centres[m])]
+                out += [one.sum(0), (one.T @ x).ravel()]
+            return np.concatenate(out)
+        sums = summed(df.select("a", "b"), step, sum(sizes[m][0] * (1 + sizes[m][1]) for m in open_))
+        going, at = [], 0
+        for m in open_:
+            rows, dim = sizes[m]
+            n, total = sums[at:at + rows], sums[at + rows:at + rows * (1 + dim)].reshape(rows, dim)
+            at += rows * (1 + dim)
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1.0)[:, None], centres[m])
+            if np.sqrt(((new - centres[m]) ** 2).sum(1)).max() > tol:
+                going.append(m)
+            centres[m] = new
+        open_, rounds = going, rounds + 1
+    return centres, rounds
+
+
+def _mixed(alpha: float, same: bool):
+    def space(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (1.0 - alpha) * a + alpha * b if same else np.hstack([(1.0 - alpha) * a, alpha * b])
+    return space
+
+
+def alpha_labels(expr: DataFrame, oper: DataFrame, k: int, dim_e: int, dim_o: int, alphas: tuple[float, ...], seed: int = 0) -> DataFrame:
+    """(cell_id, alpha, cluster) of the joint clustering for each mixing weight, all fitted in the same passes."""
+    a = standardize_vectors(expr.select("cell_id", "x"), dim_e).withColumnRenamed("x", "a")
+    b = standardize_vectors(oper.select("cell_id", "x"), dim_o).withColumnRenamed("x", "b")
+    both = cut_lineage(a.join(b, "cell_id").select("cell_id", "a", "b"))
+    spaces = [_mixed(float(x), dim_e == dim_o) for x in alphas]
+    centres, _ = kmeans_models(both, spaces, k, seed=seed)
+
+    @F.pandas_udf("array<int>")
+    def labels(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = np.stack(a.to_numpy()), np.stack(b.to_numpy())
+        return pd.Series(list(np.stack([_nearest_centre(f(x, y), c) for f, c in zip(spaces, centres)], 1).astype("int32")))
+    named = F.arrays_zip(F.array(*[F.lit(float(x)) for x in alphas]).alias("alpha"), labels("a", "b").alias("cluster"))
+    return both.select("cell_id", F.explode(named).alias("z")).select("cell_id", "z.alpha", "z.cluster")
+
+
 def alpha_search(expr: DataFrame, oper: DataFrame, truth: DataFrame, k: int, dim_e: int, dim_o: int,
                  alphas: tuple[float, ...] = tuple(i / 10 for i in range(11)), seed: int = 0) -> DataFrame:
-    """ARI of the joint clustering for each mixing weight, best flagged."""
-    out = None
-    for a in alphas:
-        space = cut_lineage(joint_space(expr, oper, a, dim_e, dim_o))  # KMeans passes over it many times
-        lab = kmeans(space, k, seed).join(truth, "cell_id")
-        row = ari_nmi(lab, "truth", "cluster").withColumn("alpha", F.lit(float(a)))
-        out = row if out is None else out.unionByName(row)
-    out = cut_lineage(out)
-    return out.withColumn("best", F.col("ari") == out.agg(F.max("ari").alias("m")).scalar())
+    """(alpha, ari, nmi, n_clusters, best) of the joint clustering for each mixing weight; best is the first of highest ARI."""
+    lab = cut_lineage(alpha_labels(expr, oper, k, dim_e, dim_o, alphas, seed).join(truth.select("cell_id", "truth"), "cell_id"))
+    out = cut_lineage(ari_nmi(lab, "truth", "cluster", ["alpha"]).join(lab.groupBy("alpha").agg(F.count_distinct("cluster").alias("n_clusters")), "alpha"))
+    top = out.agg(F.max_by("alpha", F.struct("ari", -F.col("alpha"))).alias("a")).scalar()
+    return out.select("alpha", "ari", "nmi", "n_clusters", (F.col("alpha") == top).alias("best"))
 
 
 def cluster_purity(df: DataFrame, cluster: str, label: str) -> DataFrame:

@@ -101,21 +101,44 @@ def grid_flow(points: DataFrame, bins: int = 20, min_rows: int = 3) -> DataFrame
             .where(F.col("n") >= min_rows))
 
 
-def _weighted_moments(grid: np.ndarray, h: float, dim: int):
-    """Per Arrow batch: kernel-weighted sums for all grid points, one row per grid point and partition."""
+HELD_MOMENTS = 4_000_000  # numbers of all keys that a task adds up before it hands them on
+
+
+def _moments(pdf: pd.DataFrame, grid: np.ndarray, h: float, dim: int) -> np.ndarray:
+    """Kernel-weighted sums of a batch for all grid points."""
+    x, v = np.stack(pdf["x"]), np.stack(pdf["v"])
+    w = np.exp(-0.5 * ((grid[:, None] - pdf["t"].to_numpy()[None, :]) / h) ** 2)
+    n = len(pdf)
+    block = np.concatenate([np.ones((n, 1)), x, v,
+                            (x[:, :, None] * x[:, None, :]).reshape(n, -1),
+                            (x[:, :, None] * v[:, None, :]).reshape(n, -1)], axis=1)
+    return w @ block
+
+
+def _weighted_moments(grid: np.ndarray, h: float, dim: int, keys: list[str] = ()):
+    """Sums per task: one row per key and grid point. A task with very many keys hands on what it has and goes on."""
+    shape = (len(grid), 1 + 2 * dim + 2 * dim * dim)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((len(grid), 1 + 2 * dim + 2 * dim * dim))
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for key, acc in held.items():
+                names = {c: [k] * len(grid) for c, k in zip(keys, key)}
+                yield pd.DataFrame({**names, "t_idx": np.arange(len(grid), dtype="int32"), "m": list(acc)})
+            held.clear()
+
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x, v = np.stack(pdf["x"]), np.stack(pdf["v"])
-            w = np.exp(-0.5 * ((grid[:, None] - pdf["t"].to_numpy()[None, :]) / h) ** 2)
-            n = len(pdf)
-            block = np.concatenate([np.ones((n, 1)), x, v,
-                                    (x[:, :, None] * x[:, None, :]).reshape(n, -1),
-                                    (x[:, :, None] * v[:, None, :]).reshape(n, -1)], axis=1)
-            acc += w @ block
-        yield pd.DataFrame({"t_idx": np.arange(len(grid), dtype="int32"), "m": list(acc)})
+            groups = pdf.groupby(list(keys), sort=False, dropna=False) if keys else [((), pdf)]
+            for key, part in groups:
+                if not len(part):
+                    continue
+                if key not in held:
+                    if (len(held) + 1) * shape[0] * shape[1] > HELD_MOMENTS:
+                        yield from out()
+                    held[key] = np.zeros(shape)
+                held[key] += _moments(part, grid, h, dim)
+        yield from out()
     return run
 
 
@@ -139,27 +162,12 @@ def local_linear_operator(cells: DataFrame, grid: list[float], h: float, dim: in
     g = np.asarray(grid, dtype=float)
     keys = list(keys)
     cols = [*keys, "t", "x", "v"]
-    if keys:
-        moments = _keyed_moments(cells.select(*cols), keys, g, h, dim)
-    else:
-        moments = cells.select(*cols).mapInPandas(_weighted_moments(g, h, dim), "t_idx int, m array<double>")
+    kinds = dict(cells.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "t_idx int, m array<double>"])
+    moments = cells.select(*cols).mapInPandas(_weighted_moments(g, h, dim, keys), schema)
     return _solve_moments(moments, [*keys, "t_idx"], dim, ridge, {i: float(v) for i, v in enumerate(g)})
 
 
-def _keyed_moments(cells: DataFrame, keys: list[str], g: np.ndarray, h: float, dim: int) -> DataFrame:
-    schema = ", ".join(f"{k} {dict(cells.dtypes)[k]}" for k in keys) + ", t_idx int, m array<double>"
-    one = _weighted_moments(g, h, dim)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False):
-                out = next(one(iter([part])))
-                for name, val in zip(keys, key):
-                    out[name] = val
-                yield out[[*keys, "t_idx", "m"]]
-    return cells.mapInPandas(run, schema)
-
-
 def _solve_moments(moments: DataFrame, by: list[str], dim: int, ridge: float, at: dict[int, float] | None) -> DataFrame:
     width = 1 + 2 * dim + 2 * dim * dim
     summed = (moments.select(*by, F.posexplode("m").alias("pos", "val")).groupBy(*by, "pos").agg(F.sum("val").alias("val")))

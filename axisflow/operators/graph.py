@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking
 from ..functions.scalars import stat
 from ..functions.vectors import mean_vectors, sq_dist, sub, sum_vectors
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_to_table
 
 
 def symmetric_graph(edges: DataFrame, weight: str = "dist") -> DataFrame:
@@ -103,44 +103,58 @@ def root_cell(latent: DataFrame, dim: int, by: str = "cluster") -> DataFrame:
     return d.groupBy(by).agg(F.min(F.struct("d2", "cell_id")).alias("m")).select(by, F.col("m.cell_id").alias("root"))
 
 
-def graph_pseudotime(edges: DataFrame, root, cells: DataFrame | None = None, weight: str = "dist",
-                     checkpoint_every: int = 4) -> DataFrame:
+MERGE = 8      # rounds of arrivals that are added up at once
+BUCKETS = 8    # mean edge weights that a distance bucket spans
+
+
+def _near_first(both: DataFrame, d: DataFrame, changed: DataFrame, limit: float) -> DataFrame:
+    """Relax the edges of changed rows nearer than ``limit``: (cell_id, d, open), open if a row has changed now or still waits."""
+    now = changed.where(F.col("d") < limit)
+    step = both.join(now.withColumnRenamed("cell_id", "src"), "src").groupBy(F.col("dst").alias("cell_id")).agg(F.min(F.col("d") + F.col("w")).alias("nd"))
+    whole = d.join(step, "cell_id", "left").withColumn("_new", F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d"))))
+    waiting = changed.where(F.col("d") >= limit).select("cell_id", F.lit(True).alias("_wait"))
+    whole = whole.join(waiting, "cell_id", "left").select("cell_id", F.when(F.col("_new"), F.col("nd")).otherwise(F.col("d")).alias("d"), (F.col("_new") | F.coalesce("_wait", F.lit(False))).alias("open"))
+    return whole
+
+
+def graph_pseudotime(edges: DataFrame, root, cells: DataFrame | None = None, weight: str = "dist", log: list | None = None) -> DataFrame:
     """Ordering by shortest path length from the root, relaxed until no distance changes.
 
+    Only edges of rows whose distance has changed are looked at, nearest rows first: rows beyond the current distance
+    bucket wait until nothing nearer changes, so that few distances are set twice. ``log`` takes the number of open
+    rows before each round.
+
     Rows without a path to the root keep a null distance and take the median on the axis, which is then
     min-max scaled: (cell_id, d, t).
     """
     e = symmetric_graph(edges, weight)
     nodes = (cells.select("cell_id") if cells is not None
              else e.select(F.col("src").alias("cell_id")).union(e.select("dst")).distinct())
-    d = nodes.withColumn("d", F.when(F.col("cell_id") == root, 0.0).cast("double"))
     out_edges = edges.select("src", "dst", F.col(weight).alias("w"))
     both = out_edges.union(out_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    both = cut_lineage(both.groupBy("src", "dst").agg(F.min("w").alias("w")))
-    before, i = None, 0
+    both = cut_lineage(both.groupBy("src", "dst").agg(F.min("w").alias("w")).repartition("src"))
+    mean = both.agg(F.avg("w")).first()[0] or 0.0
+    first = F.col("cell_id") == root
+    state = cut_to_table(nodes.select("cell_id", F.when(first, 0.0).cast("double").alias("d"), F.coalesce(first, F.lit(False)).alias("open")))
+    limit = BUCKETS * mean
     while True:
-        step = (both.join(d.where(F.col("d").isNotNull()).withColumnRenamed("cell_id", "src"), "src")
-                .groupBy(F.col("dst").alias("cell_id")).agg(F.min(F.col("d") + F.col("w")).alias("nd")))
-        d = d.join(step, "cell_id", "left").select("cell_id", F.least("d", "nd").alias("d"))
-        i += 1
-        if i % checkpoint_every == 0:
-            d = cut_lineage(d)
-            state = _state(d, "d", "cell_id")
-            if state == before:
-                break
-            before = state
+        seen = state.agg(F.sum(F.when(F.col("open"), 1).otherwise(0)).alias("n"), F.min(F.when(F.col("open"), F.col("d"))).alias("lo")).first()
+        if log is not None:
+            log.append(seen["n"] or 0)
+        if not seen["n"]:
+            break
+        if mean <= 0:
+            limit = float("inf")
+        elif seen["lo"] >= limit:
+            limit = seen["lo"] + BUCKETS * mean
+        state = cut_to_table(_near_first(both, state.select("cell_id", "d"), state.where("open").select("cell_id", "d"), limit))
+    d = state.select("cell_id", "d")
     med = ranking.quantile_scalar(d, "d", 0.5)
     s = stat(d, lo=F.min("d"), hi=F.max("d"))
     full = F.coalesce(F.col("d"), med)
     return d.select("cell_id", "d", ((full - s["lo"]) / (s["hi"] - s["lo"] + F.lit(1e-8))).alias("t"))
 
 
-def _state(df: DataFrame, value: str, *keys: str) -> tuple:
-    """Count and a hash sum of a table, equal for equal tables whatever their partitions."""
-    seen = df.where(F.col(value).isNotNull())
-    return tuple(seen.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, value).cast("decimal(38,0)"))).first())
-
-
 def _row_normalise(edges: DataFrame) -> DataFrame:
     tot = edges.groupBy("src").agg(F.sum("w").alias("_t"))
     return edges.join(tot, "src").select("src", "dst", F.coalesce(F.try_divide(F.col("w"), F.col("_t")), F.lit(0.0)).alias("w"))
@@ -163,10 +177,11 @@ def graph_smooth(edges: DataFrame, values: DataFrame, rounds: int, keep: float =
     return out
 
 
-def absorb_probabilities(edges: DataFrame, axis: DataFrame, terminals: DataFrame, checkpoint_every: int = 4, digits: int = 12) -> DataFrame:
+def absorb_probabilities(edges: DataFrame, axis: DataFrame, terminals: DataFrame, log: list | None = None) -> DataFrame:
     """Branch probabilities by walking forward along the axis until a terminal row is met, for walks of any length.
 
-    Edges only lead forward, so the walks end; it stops when no probability changes in ``digits`` digits.
+    A round moves only the probability that arrived in the round before, back over the edges that lead there; edges
+    lead forward, so it ends with the longest walk. ``log`` takes the rows still moving after each round.
 
     ``edges`` (src, dst, w), ``axis`` (cell_id, t), ``terminals`` (cell_id, branch). Only edges to a
     later row are used and terminals keep their label: (cell_id, branch, prob).
@@ -176,20 +191,21 @@ def absorb_probabilities(edges: DataFrame, axis: DataFrame, terminals: DataFrame
            .join(a.select(F.col("cell_id").alias("dst"), F.col("t").alias("td")), "dst")
            .where(F.col("td") > F.col("ts")).select("src", "dst", "w")
            .join(terminals.select(F.col("cell_id").alias("src")), "src", "left_anti"))
-    fwd = cut_lineage(_row_normalise(fwd))
-    fixed = terminals.select("cell_id", "branch", F.lit(1.0).alias("prob"))
-    p, before, i = fixed, None, 0
-    while True:
-        step = (fwd.join(p.select(F.col("cell_id").alias("dst"), "branch", "prob"), "dst")
-                .groupBy(F.col("src").alias("cell_id"), "branch").agg(F.sum(F.col("w") * F.col("prob")).alias("prob")))
-        p = fixed.union(step)
-        i += 1
-        if i % checkpoint_every == 0:
-            p = cut_lineage(p)
-            state = _state(p.withColumn("prob", F.round("prob", digits)), "prob", "cell_id", "branch")
-            if state == before:
-                return p
-            before = state
+    fwd = cut_lineage(_row_normalise(fwd).repartition("dst"))
+    moving = cut_lineage(terminals.select("cell_id", "branch", F.lit(1.0).alias("prob")))
+    arrived, left = moving, True
+    while left:
+        for _ in range(MERGE):
+            moving = cut_to_table(fwd.join(moving.withColumnRenamed("cell_id", "dst"), "dst").groupBy(F.col("src").alias("cell_id"), "branch")
+                                 .agg(F.sum(F.col("w") * F.col("prob")).alias("prob")))
+            left = moving.count()
+            if log is not None:
+                log.append(left)
+            if not left:
+                break
+            arrived = arrived.unionAll(moving)
+        arrived = cut_lineage(arrived.groupBy("cell_id", "branch").agg(F.sum("prob").alias("prob")))
+    return arrived
 
 
 def target_edge_filter(network: DataFrame, genes: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Exact and probing nearest neighbours between vector tables.
-
-Copies of a vector are folded first (a vector needs at most k+1 of its row ids). Distinct vectors are
-assigned to pivots, queries get an upper bound on their k-th distance from the pivot summaries, and the
-triangle and bisector bounds drop pivots that cannot hold a neighbour. The rest is an equi-join of
-packed query blocks with packed reference blocks: the join key is (pivot, block), so a crowded pivot is
-spread over many keys, and only k rows per query and block leave a task.
+"""Exact and approximate nearest neighbours between vector tables.
+
+Copies of a vector are folded first (a vector needs at most k+1 of its row ids). Distinct vectors are given to the fine
+pivots of a two-level index (:mod:`pivots`), which bounds every query's k-th distance and drops pivots that cannot
+hold a neighbour. The rest is an equi-join of packed query blocks with packed reference blocks: the join key is
+(pivot, block), so a crowded pivot is spread over many keys, and only k rows per query and block leave a task. The
+approximate form looks into the nearest pivots only and compares codes of one byte a component, residuals from the
+pivot, before the best candidates are measured exactly.
 """
 
 from __future__ import annotations
@@ -13,81 +14,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .pivots import PivotIndex, distances, wanted_pivots
 
-MAX_PIVOTS = 1024
 BLOCK_ROWS = 512
-_SLACK = 1e-6  # times the scale of the data: covers rounding in the pivot distances
+CODE = 127      # steps of a component to either side
+REFINE = 5      # candidates by code for each neighbour wanted
+TUNING = 256    # rows whose exact neighbours say how many pivots to look into
+TARGET = 0.97   # share of those neighbours that must lie in them
+
+
+def _vector_key(vec: str) -> list[Column]:
+    """Two independent hashes of a vector, 128 bits that stand for it as a key."""
+    return [F.xxhash64(vec).alias("h1"), F.xxhash64(F.reverse(vec), F.lit(7)).alias("h2")]
 
 
 def _fold_copies(df: DataFrame, key: str, vec: str, keep: int) -> DataFrame:
-    """One row per distinct vector with its ``keep`` smallest ids: (vid, x, ids)."""
-    w = W.partitionBy("x").orderBy("id")
-    few = (df.select(F.col(key).alias("id"), F.col(vec).alias("x"))
+    """One row per distinct vector with its ``keep`` smallest ids: (h1, h2, vid, x, ids)."""
+    w = W.partitionBy("h1", "h2").orderBy("id")
+    few = (df.select(F.col(key).alias("id"), F.col(vec).alias("x"), *_vector_key(vec))
            .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep))
-    return few.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("vid", F.col("ids")[0])
+    return few.groupBy("h1", "h2").agg(F.min_by("x", "id").alias("x"), F.sort_array(F.collect_list("id")).alias("ids")).withColumn("vid", F.col("ids")[0])
 
 
 def _pivots(folded: DataFrame, n: int) -> np.ndarray:
-    count = max(1, min(MAX_PIVOTS, int(np.sqrt(n) / 1.5)))
-    rows = folded.orderBy(F.xxhash64("vid"), "vid").limit(count).select("x").collect()
-    return np.array([r[0] for r in rows], dtype=float)
-
-
-def _dist_to(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    d2 = (x * x).sum(1)[:, None] - 2.0 * x @ p.T + (p * p).sum(1)[None, :]
-    return np.sqrt(np.maximum(d2, 0.0))
+    """Vectors of the data, drawn by a hash of their id: about the wanted number, whatever the number of rows."""
+    first = folded.select("x").first()
+    count = wanted_pivots(n, len(first[0]))
+    share = min(1.0, (count + 3.0 * np.sqrt(count) + 3.0) / n)
+    drawn = folded.where(F.pmod(F.xxhash64("vid", F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40)))
+    rows = drawn.orderBy(F.xxhash64("vid"), "vid").limit(count).select("x").collect()
+    return np.array([r[0] for r in rows] or [first[0]], dtype=float)
 
 
-def _assign(folded: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _assign(folded: DataFrame, index) -> DataFrame:
     @F.pandas_udf("struct<pivot:int,d:double>")
-    def nearest(x: pd.Series) -> pd.DataFrame:
-        d = _dist_to(np.stack(x.to_numpy()), pivots)
-        j = d.argmin(axis=1)
-        return pd.DataFrame({"pivot": j.astype("int32"), "d": d[np.arange(len(j)), j]})
-    return folded.withColumn("_a", nearest("x")).select("vid", "x", "ids", "_a.pivot", "_a.d")
+    def nearest(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            own, d = index.value.nearest(np.stack(x.to_numpy()))
+            yield pd.DataFrame({"pivot": own.astype("int32"), "d": d})
+    return folded.withColumn("_a", nearest("x")).select("h1", "h2", "vid", "x", "ids", "_a.pivot", "_a.d")
 
 
 def _summaries(assigned: DataFrame, n_pivots: int, need: int):
-    """Per pivot: vectors, nearest and farthest member, distance covering ``need`` row ids (driver, bounded)."""
+    """Per pivot: vectors, nearest and farthest member, distance covering ``need`` row ids (driver, bounded by the pivots)."""
     stats = assigned.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
     w = W.partitionBy("pivot").orderBy("d", "vid")
     near = assigned.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= need)
-    near = near.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("d", F.size("ids").alias("m")))).alias("near"))
-    n, lo, hi, cover = (np.zeros(n_pivots, int), np.full(n_pivots, np.inf), np.full(n_pivots, -np.inf), np.full(n_pivots, np.inf))
-    for r in stats.join(near, "pivot").collect():
+    upto = W.partitionBy("pivot").orderBy("d", "vid").rowsBetween(W.unboundedPreceding, 0)
+    cover = near.withColumn("_m", F.sum(F.size("ids")).over(upto)).where(F.col("_m") >= need).groupBy("pivot").agg(F.min("d").alias("cover"))
+    n, lo, hi, held = (np.zeros(n_pivots, int), np.full(n_pivots, np.inf), np.full(n_pivots, -np.inf), np.full(n_pivots, np.inf))
+    for r in stats.join(cover, "pivot", "left").collect():
         n[r["pivot"]], lo[r["pivot"]], hi[r["pivot"]] = r["n"], r["lo"], r["hi"]
-        seen = 0
-        for s in r["near"]:
-            seen += s["m"]
-            if seen >= need:
-                cover[r["pivot"]] = s["d"]
-                break
-    return n, lo, hi, cover
+        held[r["pivot"]] = np.inf if r["cover"] is None else r["cover"]
+    return n, lo, hi, held
 
 
-def _route(queries: DataFrame, pivots, lo, hi, cover, probes: int | None) -> DataFrame:
+def _route(queries: DataFrame, index, probes: int | None, need: int) -> DataFrame:
     """Add ``visit``: the pivots a query has to look at."""
-    between = _dist_to(pivots, pivots)
-    reach = hi[np.isfinite(hi)].max() if np.isfinite(hi).any() else 0.0
-    slack = _SLACK * (1e-3 + np.sqrt((pivots * pivots).sum(1)).max() + reach)
-
     @F.pandas_udf("array<int>")
-    def visit(x: pd.Series) -> pd.Series:
-        d = _dist_to(np.stack(x.to_numpy()), pivots)
-        own = d.argmin(axis=1)
-        if probes is not None:
-            return pd.Series([np.argsort(r)[:probes].astype("int32") for r in d])
-        bound = (d + cover[None, :]).min(axis=1)[:, None] + slack
-        ok = (d - hi[None, :] <= bound) & (lo[None, :] - d <= bound)
-        own_d = d[np.arange(len(d)), own][:, None]
-        gap = np.where(between[own] > 0, (d ** 2 - own_d ** 2) / (2.0 * np.maximum(between[own], 1e-300)), 0.0)
-        ok &= gap <= bound
-        return pd.Series([np.flatnonzero(r).astype("int32") for r in ok])
+    def visit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts:
+            v = np.stack(x.to_numpy())
+            yield pd.Series(index.value.visit(v) if probes is None else index.value.probe(v, probes, need))
     return queries.withColumn("visit", visit("x"))
 
 
@@ -110,49 +103,96 @@ def _block_search(k: int):
     return run
 
 
+def _code_search(k: int, index):
+    """As the block search, on codes: the reference vectors of a block as bytes with one scale each."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for pivot, qv, qx, rv, codes, scale in zip(pdf["pivot"], pdf["q_ids"], pdf["q_x"], pdf["r_ids"], pdf["r_codes"], pdf["r_scale"]):
+                rv, qv = np.asarray(rv), np.asarray(qv)
+                r = np.stack([np.frombuffer(c, dtype=np.int8) for c in codes]).astype(float) * np.asarray(scale)[:, None]
+                q = np.stack(qx) - index.value.pivots[pivot]
+                d2 = (q * q).sum(1)[:, None] - 2.0 * q @ r.T + (r * r).sum(1)[None, :]
+                kk = min(k, len(rv)) - 1
+                part = np.argpartition(d2, kk, axis=1)[:, :kk + 1]
+                i = np.repeat(np.arange(len(qv)), kk + 1)
+                yield pd.DataFrame({"qid": qv[i], "rid": rv[part.ravel()], "dist": np.sqrt(np.maximum(d2[i, part.ravel()], 0.0))})
+    return run
+
+
+def _coded(assigned: DataFrame, index) -> DataFrame:
+    """Add ``code`` and ``scale``: the vector less its pivot, a byte a component."""
+    @F.pandas_udf("struct<code:binary,scale:double>")
+    def code(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for x, pivot in parts:
+            rest = np.stack(x.to_numpy()) - index.value.pivots[pivot.to_numpy()]
+            scale = np.maximum(np.abs(rest).max(1), 1e-300) / CODE
+            steps = np.rint(rest / scale[:, None]).astype(np.int8)
+            yield pd.DataFrame({"code": [c.tobytes() for c in steps], "scale": scale})
+    return assigned.withColumn("_c", code("x", "pivot")).select("vid", "pivot", "_c.code", "_c.scale")
+
+
+def _measured(found: DataFrame, queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """Candidates (qid, rid) with the exact distance; the vectors come by row id."""
+    @F.pandas_udf("double")
+    def dist(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.sqrt(((np.stack(a.to_numpy()) - np.stack(b.to_numpy())) ** 2).sum(1))) if len(a) else pd.Series([], dtype=float)
+    q, r = queries.select(F.col("vid").alias("qid"), F.col("x").alias("_q")), refs.select(F.col("vid").alias("rid"), F.col("x").alias("_x"))
+    return found.select("qid", "rid").join(q, "qid").join(r, "rid").select("qid", "rid", dist("_q", "_x").alias("dist"))
+
+
 def knn(refs: DataFrame, k: int, queries: DataFrame | None = None, key: str = "cell_id", vec: str = "x",
-        probes: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        probes: int | None = None, block_rows: int = BLOCK_ROWS, refine: int = REFINE) -> DataFrame:
     """k nearest reference rows of every query row by Euclidean distance: (src, dst, dist, rnk).
 
-    Without ``queries`` the table is searched against itself and a row is not its own neighbour. Ties go
-    to the smaller id. ``probes`` limits the search to that many nearest pivots and makes it approximate.
+    Without ``queries`` the table is searched against itself and a row is not its own neighbour. Ties go to the smaller
+    id. ``probes`` limits the search to that many nearest pivots, and to more where those hold too few rows, and makes
+    it approximate: the best ``refine`` * k rows by their codes are measured exactly. Fewer than k rows come back only
+    if the table has no more.
     """
     itself = queries is None
     need = k + 1 if itself else k
+    spark = refs.sparkSession
     folded = cut_lineage(_fold_copies(refs, key, vec, need))
     n = folded.count()
-    pivots = _pivots(folded, n)
-    assigned = cut_lineage(_assign(folded, pivots))
-    count, lo, hi, cover = _summaries(assigned, len(pivots), need)
-    blocks = np.maximum(1, np.ceil(count / block_rows)).astype(int)
-    n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("pivot") + 1)
-
-    ref_blocks = (assigned.withColumn("rb", F.pmod(F.xxhash64("vid"), n_blocks).cast("int"))
-                  .groupBy("pivot", "rb").agg(F.collect_list(F.struct("vid", "x")).alias("r"))
-                  .select("pivot", "rb", F.col("r.vid").alias("r_ids"), F.col("r.x").alias("r_x")))
-
-    q = folded.select("vid", "x") if itself else _fold_copies(queries, key, vec, 1).select("vid", "x")
-    q_count = n if itself else q.count()
-    q_blocks = max(1, int(np.ceil(q_count / block_rows)))
-    routed = _route(q, pivots, lo, hi, cover, probes)
+    if not n:
+        ids = dict(refs.dtypes)[key]
+        return spark.createDataFrame([], f"src {ids}, dst {ids}, dist double, rnk int")
+    made = PivotIndex(_pivots(folded, n))
+    assigned = cut_lineage(_assign(folded, spark.sparkContext.broadcast(made)))
+    made.bound(*_summaries(assigned, len(made.pivots), need))
+    index = spark.sparkContext.broadcast(made)
+    blocks = spark.createDataFrame([(i, int(b)) for i, b in enumerate(np.maximum(1, -(-made.count // block_rows)))], "pivot int, n_blocks int")
+    placed = assigned if probes is None else _coded(assigned, index)
+    columns = ["vid", "x"] if probes is None else ["vid", "code", "scale"]
+    rb = F.pmod(F.xxhash64("vid"), F.col("n_blocks")).cast("int")
+    ref_blocks = placed.join(blocks, "pivot").withColumn("rb", rb).groupBy("pivot", "rb").agg(F.collect_list(F.struct(*columns)).alias("r"))
+    ref_blocks = ref_blocks.select("pivot", "rb", F.col("r.vid").alias("r_ids"), *([F.col("r.x").alias("r_x")] if probes is None else [F.col("r.code").alias("r_codes"), F.col("r.scale").alias("r_scale")]))
+
+    q = folded.select("h1", "h2", "vid", "x") if itself else cut_lineage(_fold_copies(queries, key, vec, 1)).select("h1", "h2", "vid", "x")
+    q_blocks = max(1, -(-(n if itself else q.count()) // block_rows))
+    routed = _route(q, index, probes, refine * need)
     packed = (routed.withColumn("qb", F.pmod(F.xxhash64("vid", F.lit(7)), F.lit(q_blocks)))
               .select("vid", "x", "qb", F.explode("visit").alias("pivot"))
               .groupBy("pivot", "qb").agg(F.collect_list(F.struct("vid", "x")).alias("q"))
-              .select("pivot", "qb", F.col("q.vid").alias("q_ids"), F.col("q.x").alias("q_x"))
-              .withColumn("rb", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int")))))
-    pairs = packed.join(ref_blocks, ["pivot", "rb"]).select("q_ids", "q_x", "r_ids", "r_x")
+              .select("pivot", F.col("q.vid").alias("q_ids"), F.col("q.x").alias("q_x")).join(blocks, "pivot")
+              .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))))
+    pairs = packed.join(ref_blocks, ["pivot", "rb"])
     key_t = dict(refs.dtypes)[key]
-    found = pairs.mapInPandas(_block_search(need), f"qid {key_t}, rid {key_t}, dist double")
-
+    schema = f"qid {key_t}, rid {key_t}, dist double"
     w = W.partitionBy("qid").orderBy("dist", "rid")
-    best = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= need).drop("_r")
+    first = lambda found, m: found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= m).drop("_r")
+    if probes is None:
+        found = pairs.select("q_ids", "q_x", "r_ids", "r_x").mapInPandas(_block_search(need), schema)
+    else:
+        by_code = pairs.select("pivot", "q_ids", "q_x", "r_ids", "r_codes", "r_scale").mapInPandas(_code_search(refine * need, index), schema)
+        found = _measured(first(by_code, refine * need), q, folded)
     # at most ``need`` vectors with ``need`` ids each per query vector
-    best = best.join(folded.select(F.col("vid").alias("rid"), "ids"), "rid")
+    best = first(found, need).join(folded.select(F.col("vid").alias("rid"), "ids"), "rid")
     lists = best.groupBy("qid").agg(F.sort_array(F.flatten(F.collect_list(
         F.transform("ids", lambda i: F.struct(F.col("dist").alias("dist"), i.alias("dst")))))).alias("nb"))
     lists = lists.withColumn("nb", F.slice("nb", 1, need))
-    members = (refs if itself else queries).select(F.col(key).alias("src"), F.col(vec).alias("x"))
-    members = members.join(q.withColumnRenamed("vid", "qid"), "x").select("src", "qid")
+    members = (refs if itself else queries).select(F.col(key).alias("src"), *_vector_key(vec))
+    members = members.join(q.select("h1", "h2", F.col("vid").alias("qid")), ["h1", "h2"]).select("src", "qid")
     out = members.join(lists, "qid")
     if itself:
         out = out.withColumn("nb", F.slice(F.filter("nb", lambda s: s["dst"] != F.col("src")), 1, k))
@@ -160,9 +200,43 @@ def knn(refs: DataFrame, k: int, queries: DataFrame | None = None, key: str = "c
             .select("src", F.col("s.dst").alias("dst"), F.col("s.dist").alias("dist"), (F.col("p") + 1).cast("int").alias("rnk")))
 
 
-def knn_approx(refs: DataFrame, k: int, probes: int = 4, **kw) -> DataFrame:
-    """Neighbours among the nearest few pivots only; :func:`recall` measures the loss."""
-    return knn(refs, k, probes=probes, **kw)
+def tuned_probes(refs: DataFrame, k: int, key: str = "cell_id", vec: str = "x", target: float = TARGET, rows: int = TUNING) -> int:
+    """How many nearest pivots hold ``target`` of the exact neighbours of ``rows`` rows, which are drawn by a hash of their id."""
+    spark = refs.sparkSession
+    folded = cut_lineage(_fold_copies(refs, key, vec, 1))
+    n = folded.count()
+    if not n:
+        return 1
+    index = spark.sparkContext.broadcast(PivotIndex(_pivots(folded, n)))
+    some = folded.orderBy(F.xxhash64("vid", F.lit(9)), "vid").limit(rows).select(F.col("vid").alias("_id"), F.col("x").alias("_x"))
+    asked = cut_lineage(some.withColumnsRenamed({"_id": key, "_x": vec}))
+    true = knn(folded.select(F.col("vid").alias(key), F.col("x").alias(vec)), k + 1, asked, key, vec)
+    pairs = (true.join(asked.select(F.col(key).alias("src"), F.col(vec).alias("_q")), "src").join(folded.select(F.col("vid").alias("dst"), F.col("x").alias("_x")), "dst")
+             .where(F.col("src") != F.col("dst")))
+
+    @F.pandas_udf("int")
+    def place(q: pd.Series, x: pd.Series) -> pd.Series:
+        if not len(q):
+            return pd.Series([], dtype="int32")
+        pivots = index.value.pivots
+        own, _ = index.value.nearest(np.stack(x.to_numpy()))
+        to = distances(np.stack(q.to_numpy()), pivots)
+        return pd.Series((to < to[np.arange(len(own)), own][:, None]).sum(1) + 1)
+    places = pairs.select(place("_q", "_x").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # a row per pivot at most
+    total, seen = sum(r["n"] for r in places), 0
+    for r in places:
+        seen += r["n"]
+        if seen >= target * total:
+            return int(r["p"])
+    return 1
+
+
+def knn_approx(refs: DataFrame, k: int, probes: int | None = None, key: str = "cell_id", vec: str = "x", **kw) -> DataFrame:
+    """Neighbours among the nearest few pivots by residual codes; without ``probes`` their number is tuned on a bounded sample.
+
+    :func:`recall` measures what is lost.
+    """
+    return knn(refs, k, key=key, vec=vec, probes=probes or tuned_probes(refs, k, key, vec), **kw)
 
 
 def recall(exact: DataFrame, approx: DataFrame) -> DataFrame:

@@ -88,20 +88,6 @@ def peak_resample_null(act: DataFrame, n: int, n_rep: int, seed: int = 0) -> Dat
     return roll(act, replicates(pk, n_rep).select("k", "rep", (target - F.col("_pk")).alias("shift")), n)
 
 
-def random_profile_null(act: DataFrame, n_rep: int, seed: int = 0) -> DataFrame:
-    """Random bumps with a slow wave for every archetype, min-max scaled over t: (rep, k, t_idx, t, a)."""
-    names = replicates(act.select("k").distinct(), n_rep)
-    u = lambda s, lo, hi: F.lit(lo) + F.lit(hi - lo) * hashing.uniform("rep", "k", seed=seed + s)
-    par = names.withColumns({"c": u(1, 0.05, 0.95), "w": u(2, 0.055, 0.22), "f": u(3, 0.5, 2.5), "ph": u(4, 0.0, 1.0)})
-    grid = act.select("t_idx", "t").distinct().agg(F.sort_array(F.collect_list(F.struct("t_idx", "t"))).alias("g")).scalar()
-    e = par.withColumn("_g", F.explode(grid)).withColumns({"t_idx": F.col("_g.t_idx"), "t": F.col("_g.t")})
-    raw = F.exp(-0.5 * F.pow((F.col("t") - F.col("c")) / F.col("w"), 2)) + 0.2 * F.sin(F.lit(6.283185307179586) * (F.col("f") * F.col("t") + F.col("ph")))
-    e = e.withColumn("a", raw)
-    part = W.partitionBy("rep", "k")
-    lo, hi = F.min("a").over(part), F.max("a").over(part)
-    return e.select("rep", "k", "t_idx", "t", ((F.col("a") - lo) / (hi - lo + F.lit(1e-8))).alias("a"))
-
-
 def empirical_p(null: DataFrame, observed: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Add-one empirical p on both sides, mean, sample std, 5/50/95 % quantiles and fold over the null mean.
 

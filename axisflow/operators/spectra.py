@@ -52,15 +52,44 @@ def spectrum_features(spectra: DataFrame) -> DataFrame:
     return spectra.withColumn("features", F.concat(pairs["re"], pairs["im"]))
 
 
-def fit_embedding(df: DataFrame, col: str, dim: int, n: int) -> dict:
-    """PCA of flattened operators or spectrum features; {'mean', 'components', 'ratio'}."""
-    rows, total, xx = second_moments(df, col, dim)
-    mean = total / rows
-    vals, vecs = np.linalg.eigh(xx / rows - np.outer(mean, mean))
-    order = np.argsort(vals)[::-1][:n]
-    comp = vecs[:, order].T
-    comp *= np.sign(comp[np.arange(len(comp)), np.abs(comp).argmax(axis=1)])[:, None]
-    return {"mean": mean, "components": comp, "ratio": vals[order] / max(vals.sum(), 1e-300)}
+EXACT_WIDTH = 64  # widths up to this take all second moments, beyond it a randomised range
+OVERSAMPLE = 10
+
+
+def fit_embedding(df: DataFrame, col: str, dim: int, n: int, exact_width: int = EXACT_WIDTH, passes: int = 40, tol: float = 1e-9, seed: int = 0) -> dict:
+    """PCA of flattened operators or spectrum features; {'mean', 'components', 'ratio'}.
+
+    Wide columns are fitted by subspace iteration from a random range: a pass sums dim x (n + oversampling) products and
+    not dim x dim, and passes end when the variances of the n components settle.
+    """
+    n = min(n, dim)
+    if dim <= exact_width:
+        rows, total, xx = second_moments(df, col, dim)
+        mean = total / rows
+        vals, vecs = np.linalg.eigh(xx / rows - np.outer(mean, mean))
+        order = np.argsort(vals)[::-1][:n]
+        comp, top, whole = vecs[:, order].T, vals[order], vals.sum()
+    else:
+        data = cut_lineage(df.select(col))
+        base = summed(data, lambda pdf: np.concatenate([[len(pdf)], np.stack(pdf[col]).sum(0), (np.stack(pdf[col]) ** 2).sum(0)]), 1 + 2 * dim)
+        rows, mean = base[0], base[1:1 + dim] / base[0]
+        whole = (base[1 + dim:] / rows - mean * mean).sum()
+        width = min(dim, n + OVERSAMPLE)
+        q, before = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, width)))[0], None
+        for _ in range(passes):
+            def product(pdf: pd.DataFrame, q=q) -> np.ndarray:
+                x = np.stack(pdf[col]) - mean
+                return (x.T @ (x @ q)).ravel()
+            cq = summed(data, product, dim * width).reshape(dim, width) / rows
+            small = q.T @ cq
+            vals, vecs = np.linalg.eigh((small + small.T) / 2)
+            order = np.argsort(vals)[::-1][:n]
+            comp, top = (q @ vecs[:, order]).T, vals[order]
+            if before is not None and np.abs(top - before).max() <= tol * max(top.max(), 1e-300):
+                break
+            before, q = top, np.linalg.qr(cq)[0]
+    comp = comp * np.sign(comp[np.arange(len(comp)), np.abs(comp).argmax(axis=1)])[:, None]
+    return {"mean": mean, "components": comp, "ratio": top / max(whole, 1e-300)}
 
 
 def embed(df: DataFrame, col: str, model: dict, out: str = "z") -> DataFrame:
@@ -89,19 +118,104 @@ def operator_embedding(df: DataFrame, method: str, n: int, dim: int) -> tuple[Da
     return embed(df, col, model), model
 
 
-def dominant_mode(edges: DataFrame, rounds: int, checkpoint_every: int = 4) -> DataFrame:
-    """Power iteration on a sparse square operator (i, j, v): (i, x) after a fixed number of rounds, unit norm.
+def _block_step(edges: DataFrame, basis: DataFrame, width: int, last: int) -> DataFrame:
+    """(i, v, w): the basis with the operator's image of its last ``last`` columns."""
+    cols = [F.col("v")[width - last + k].alias(f"_c{k}") for k in range(last)]
+    image = (edges.join(basis.select(F.col("i").alias("j"), *cols), "j").groupBy("i")
+             .agg(F.array(*[F.sum(F.col("v") * F.col(f"_c{k}")) for k in range(last)]).alias("w")))
+    return basis.join(image, "i", "left").select("i", "v", F.coalesce("w", F.array(*[F.lit(0.0)] * last)).alias("w"))
+
+
+def _gram(df: DataFrame, width: int) -> np.ndarray:
+    def part(pdf: pd.DataFrame) -> np.ndarray:
+        z = np.hstack([np.stack(pdf["v"]), np.stack(pdf["w"])])
+        return (z.T @ z).ravel()
+    return summed(df.select("v", "w"), part, width * width).reshape(width, width)
 
-    Works where the matrix does not fit one host; the mode is dominant by modulus.
+
+def _combined(df: DataFrame, keep: np.ndarray, new: np.ndarray, out: str) -> DataFrame:
+    """Column ``out`` = v @ keep + w @ new."""
+    @F.pandas_udf("array<double>")
+    def apply(v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(v.to_numpy()) @ keep + np.stack(w.to_numpy()) @ new))
+    return df.withColumn(out, apply("v", "w"))
+
+
+def leading_modes(edges: DataFrame, n: int = 2, block: int = 4, steps: int = 6, restarts: int = 20, tol: float = 1e-8, seed: int = 0) -> tuple[DataFrame, list[dict]]:
+    """Leading eigenpairs by modulus of a sparse square operator (i, j, v) that need not fit one host.
+
+    Block Krylov steps build an orthonormal basis that stays distributed; only its small projected matrix reaches the
+    driver. Complex pairs come out as such. Returns (i, mode, re, im), each mode of unit norm with its largest entry
+    real and positive, and per mode {'re', 'im', 'residual'}, the residual relative to the modulus; it restarts from
+    the modes found until all residuals are at most ``tol``.
     """
-    x = edges.select(F.col("i")).union(edges.select(F.col("j"))).distinct().withColumn("x", F.lit(1.0))
-    for r in range(rounds):
-        y = edges.join(x.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
-        if (r + 1) % checkpoint_every == 0 or r + 1 == rounds:
-            y = cut_lineage(y)
-        size = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n")).scalar()
-        x = y.select("i", (F.col("x") / size).alias("x"))
-    return x
+    edges = cut_lineage(edges.groupBy("i", "j").agg(F.sum("v").alias("v")))
+    nodes = edges.select("i").union(edges.select("j")).distinct()
+    start = F.array(*[hashing.normal(F.col("i").cast("string"), F.lit(k), seed=seed) for k in range(block)])
+    basis = cut_lineage(nodes.select("i", F.array().cast("array<double>").alias("v"), start.alias("w")))
+    found: list[dict] = []
+    for _ in range(restarts):
+        width, h = 0, np.zeros((0, 0))
+        sizes, coupling = [], None
+        for step in range(steps + 1):
+            fresh = basis.select(F.size("w").alias("s")).first()["s"]
+            c_all, r_all = np.zeros((width, fresh)), np.eye(fresh)
+            for _ in range(2):  # twice, so that rounding leaves no trace of the old columns
+                g = _gram(basis, width + fresh)
+                c, rest = g[:width, width:], g[width:, width:] - g[:width, width:].T @ g[:width, width:]
+                vals, vecs = np.linalg.eigh((rest + rest.T) / 2)
+                held = vals > 1e-20 * max(np.trace(g[width:, width:]), 1e-300)
+                c_all = c_all + c @ r_all
+                if not held.any():
+                    break
+                scale = vecs[:, held] / np.sqrt(vals[held])
+                r_all = (np.sqrt(vals[held])[:, None] * vecs[:, held].T) @ r_all
+                basis = cut_lineage(_combined(basis, -c @ scale, scale, "w").select("i", "v", "w"))
+                fresh = int(held.sum())
+            done = not held.any()
+            if sizes:  # the image of the last block in terms of the basis
+                grown = np.zeros((width + (0 if done else fresh), width))
+                grown[:h.shape[0], :h.shape[1]] = h
+                grown[:width, width - sizes[-1]:] = c_all
+                if not done:
+                    grown[width:, width - sizes[-1]:] = r_all
+                h, coupling = grown, (np.zeros((1, sizes[-1])) if done else r_all)
+            if done or step == steps:
+                break
+            basis = basis.select("i", F.concat("v", "w").alias("v"))
+            width += fresh
+            sizes.append(fresh)
+            basis = cut_lineage(_block_step(edges, basis, width, fresh))
+        vals, vecs = np.linalg.eig(h[:width, :width])
+        order = sorted(range(len(vals)), key=lambda k: (-round(abs(vals[k]), 9), -vals[k].real, -vals[k].imag))[:n]
+        found = [{"re": float(vals[k].real), "im": float(vals[k].imag),
+                  "residual": float(np.linalg.norm(coupling @ vecs[width - sizes[-1]:, k]) / max(abs(vals[k]), 1e-300))} for k in order]
+        parts = np.concatenate([np.stack([vecs[:, k].real, vecs[:, k].imag], 1) for k in order], 1)
+        if all(f["residual"] <= tol for f in found):
+            break
+        again = [parts[:, c] for c in range(parts.shape[1]) if np.linalg.norm(parts[:, c]) > 1e-12][:max(block, 2 * n)]
+        mix = np.stack(again, 1)
+        basis = cut_lineage(_combined(basis.select("i", "v", F.array(F.lit(0.0)).alias("w")), mix, np.zeros((1, mix.shape[1])), "z").select("i", F.array().cast("array<double>").alias("v"), F.col("z").alias("w")))
+    at = _combined(basis.select("i", "v", F.array(F.lit(0.0)).alias("w")), parts, np.zeros((1, parts.shape[1])), "z")
+    pairs = F.array(*[F.struct(F.lit(m).alias("mode"), F.col("z")[2 * m].alias("a"), F.col("z")[2 * m + 1].alias("b")) for m in range(len(order))])
+    long = cut_lineage(at.select("i", F.explode(pairs).alias("p")).select("i", "p.mode", "p.a", "p.b"))
+    size = F.col("a") * F.col("a") + F.col("b") * F.col("b")
+    top = long.groupBy("mode").agg(F.max_by(F.struct("a", "b"), F.struct(F.round(size, 12), F.col("i"))).alias("t"), F.sqrt(F.sum(size)).alias("n"))
+    unit = F.sqrt(F.col("t.a") * F.col("t.a") + F.col("t.b") * F.col("t.b")) * F.col("n")
+    re = (F.col("a") * F.col("t.a") + F.col("b") * F.col("t.b")) / unit  # turned by the conjugate of the largest entry
+    im = (F.col("b") * F.col("t.a") - F.col("a") * F.col("t.b")) / unit
+    return long.join(top, "mode").select("i", "mode", re.alias("re"), im.alias("im")), found
+
+
+def dominant_mode(edges: DataFrame, tol: float = 1e-8, **kw) -> DataFrame:
+    """The eigenvector of largest modulus of a sparse square operator (i, j, v): (i, x), unit norm, its largest entry positive.
+
+    An error says so if that mode is one of a complex pair; :func:`leading_modes` gives those.
+    """
+    modes, found = leading_modes(edges, 1, tol=tol, **kw)
+    if abs(found[0]["im"]) > tol * abs(found[0]["re"]) + 1e-300:
+        raise ValueError("the dominant mode is one of a complex pair")
+    return modes.select("i", F.col("re").alias("x"))
 
 
 def rayleigh(edges: DataFrame, mode: DataFrame) -> DataFrame:
@@ -112,66 +226,72 @@ def rayleigh(edges: DataFrame, mode: DataFrame) -> DataFrame:
     return ax.agg((F.sum(F.col("ax") * F.col("x")) / den).alias("lambda"))
 
 
-def semi_nmf(rows: DataFrame, rank: int, width: int, iters: int = 100, restarts: int = 5, tol: float = 1e-4,
-             key: str = "t_idx", col: str = "m", seed: int = 0) -> tuple[DataFrame, np.ndarray, float]:
-    """M ~ W H with W >= 0: (rows with ``w``, H, error).
+def semi_nmf_models(rows: DataFrame, inits: list, rank: int, width: int, iters: int = 500, tol: float = 1e-4, col: str = "m") -> tuple[list[np.ndarray], list[float]]:
+    """H and error of one factorisation M ~ W H, W >= 0, per entry of ``inits``, columns with the first weights of a row.
 
-    Given H, a row's weights depend on that row only, so a round is one pass that rebuilds W and sums W'W and
-    W'M; all restarts share the pass and no lineage grows. Only the K x K and K x width sums reach the driver.
+    Given H, a row's weights depend on that row only, so a round is one pass that rebuilds W and sums W'W and W'M for
+    all models together. Only those K x K and K x width sums reach the driver; a model that has settled leaves the pass.
     """
-    rows = cut_lineage(rows)  # every round reads it
+    block, models = rank * rank + rank * width, len(inits)
 
-    def solve_h(wtw, wtm):
-        return np.linalg.solve(wtw + 1e-6 * np.eye(rank), wtm)
+    def solved(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        wtw, wtm = part[:rank * rank].reshape(rank, rank), part[rank * rank:].reshape(rank, width)
+        return wtw, wtm, np.linalg.solve(wtw + 1e-6 * np.eye(rank), wtm)
 
-    block = rank * rank + rank * width
-    start = rows.select(col, *[F.array(*[F.abs(hashing.normal(F.col(key), F.lit(k), seed=seed + s)) + F.lit(1e-4) for k in range(rank)]).alias(f"w{s}")
-                               for s in range(restarts)])
+    def sums_of(w: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
+        return [(w.T @ w).ravel(), (w.T @ m).ravel()]
+    start = rows.select(col, *[w.alias(f"w{s}") for s, w in enumerate(inits)])
 
     def first(pdf: pd.DataFrame) -> np.ndarray:
-        m, out = np.stack(pdf[col]), []
-        for s in range(restarts):
-            w = np.stack(pdf[f"w{s}"])
-            out += [(w.T @ w).ravel(), (w.T @ m).ravel()]
-        return np.concatenate([*out, [(m * m).sum()]])
-    sums = summed(start, first, restarts * block + 1)
-    total = sums[-1]
-    hs = [solve_h(sums[s * block:s * block + rank * rank].reshape(rank, rank),
-                  sums[s * block + rank * rank:(s + 1) * block].reshape(rank, width)) for s in range(restarts)]
-    errors, open_ = [np.inf] * restarts, [True] * restarts
-    data = rows.select(col)
+        m = np.stack(pdf[col])
+        return np.concatenate([x for s in range(models) for x in sums_of(np.stack(pdf[f"w{s}"]), m)] + [np.array([(m * m).sum()])])
+    sums = summed(start, first, models * block + 1)
+    total, data = sums[-1], rows.select(col)
+    hs = [solved(sums[s * block:(s + 1) * block])[2] for s in range(models)]
+    errors, open_ = [np.inf] * models, list(range(models))
     for _ in range(iters):
-        maps = [h.T @ np.linalg.inv(h @ h.T + 1e-6 * np.eye(rank)) for h in hs]
+        maps = [hs[s].T @ np.linalg.inv(hs[s] @ hs[s].T + 1e-6 * np.eye(rank)) for s in open_]
 
         def step(pdf: pd.DataFrame, maps=maps) -> np.ndarray:
-            m, out = np.stack(pdf[col]), []
-            for a in maps:
-                w = np.maximum(m @ a, 0.0)
-                out += [(w.T @ w).ravel(), (w.T @ m).ravel()]
-            return np.concatenate(out)
-        sums = summed(data, step, restarts * block)
-        for s in range(restarts):
-            if not open_[s]:
-                continue
-            wtw = sums[s * block:s * block + rank * rank].reshape(rank, rank)
-            wtm = sums[s * block + rank * rank:(s + 1) * block].reshape(rank, width)
+            m = np.stack(pdf[col])
+            return np.concatenate([x for a in maps for x in sums_of(np.maximum(m @ a, 0.0), m)])
+        sums, going = summed(data, step, len(open_) * block), []
+        for at, s in enumerate(open_):
+            wtw, wtm, better = solved(sums[at * block:(at + 1) * block])
             err = float(np.sqrt(max(total - 2 * (hs[s] * wtm).sum() + (wtw * (hs[s] @ hs[s].T)).sum(), 0.0)))
-            done = abs(errors[s] - err) / (errors[s] + 1e-8) < tol if np.isfinite(errors[s]) else False
+            settled = np.isfinite(errors[s]) and abs(errors[s] - err) / (errors[s] + 1e-8) < tol
             errors[s] = err
-            if done:
-                open_[s] = False
-            else:
-                hs[s] = solve_h(wtw, wtm)
-        if not any(open_):
+            if not settled:
+                hs[s] = better
+                going.append(s)
+        open_ = going
+        if not open_:
             break
+    return hs, errors
+
+
+def nmf_weights(h: np.ndarray) -> np.ndarray:
+    """The matrix that gives a row's weights under H, before negative ones are cut off."""
+    return h.T @ np.linalg.inv(h @ h.T + 1e-6 * np.eye(len(h)))
+
+
+def nmf_start(key, rank: int, seed: int) -> Column:
+    """First weights of a row, hashed from its key."""
+    return F.array(*[F.abs(hashing.normal(key, F.lit(k), seed=seed)) + F.lit(1e-4) for k in range(rank)])
+
+
+def semi_nmf(rows: DataFrame, rank: int, width: int, iters: int = 500, restarts: int = 5, tol: float = 1e-4,
+             key: str = "t_idx", col: str = "m", seed: int = 0) -> tuple[DataFrame, np.ndarray, float]:
+    """M ~ W H with W >= 0: (rows with ``w``, H, error), the best of several starts that share every pass."""
+    rows = cut_lineage(rows)  # every round reads it
+    hs, errors = semi_nmf_models(rows, [nmf_start(F.col(key), rank, seed + s) for s in range(restarts)], rank, width, iters, tol, col)
     best = int(np.argmin(errors))
-    h = hs[best]
-    a = h.T @ np.linalg.inv(h @ h.T + 1e-6 * np.eye(rank))
+    a = nmf_weights(hs[best])
 
     @F.pandas_udf("array<double>")
     def weights(m: pd.Series) -> pd.Series:
         return pd.Series(list(np.maximum(np.stack(m.to_numpy()) @ a, 0.0)))
-    return rows.withColumn("w", weights(col)), h, errors[best]
+    return rows.withColumn("w", weights(col)), hs[best], errors[best]
 
 
 def activations(factored: DataFrame, rank: int, keys: list[str] = ("t_idx", "t")) -> DataFrame:

@@ -1,7 +1,12 @@
 """Entropic transport between two row sets.
 
-Two forms: over a given cost table (i, j, c), and between two point sets, where packed blocks of rows are
-compared inside a task and only per-row partial sums leave it, so the pairs are never written out.
+Two forms: over a given cost table (i, j, c), and between two point sets, where packed blocks of rows are compared
+inside a task and only per-row partial sums leave it, so the pairs are never written out.
+
+Both go from coarse to fine and stop at a tolerance on the marginals. The table form keeps its kernel in two
+partitionings, so a half-step moves the scalings alone; epsilon falls by steps, and after each step the potentials go
+into the kernel and entries too small to matter leave it. The point form solves the cells of both sets first, starts
+from their potentials, and compares only pairs of cells whose bounds say that they can contribute.
 """
 
 from __future__ import annotations
@@ -17,8 +22,17 @@ from ..functions import hashing, ranking
 from ..functions.vectors import norm, sub, sum_vectors
 from ..session import cut_lineage
 from .neighbors import knn
+from .pivots import PivotIndex, distances
 
 BLOCK_ROWS = 512
+CELL_ROWS = 256       # rows a cell of a point set is meant to hold, and
+MOST_CELLS = 512      # cells at most; crowded cells are cut into blocks
+ROUNDS_PER_CUT = 4    # rounds between two looks at the error, over a cost table
+POINT_ROUNDS = 3      # and over points
+TOLERANCE = 1e-6      # summed difference between the row masses and the marginal
+FALL = 4.0            # by which epsilon falls
+ROUGH = 1e-2          # tolerance before the last epsilon
+FAR = 200.0           # logarithm of a scaling from which the potentials go into the kernel again
 
 
 def pair_cost(x: DataFrame, y: DataFrame, k: int) -> DataFrame:
@@ -28,114 +42,259 @@ def pair_cost(x: DataFrame, y: DataFrame, k: int) -> DataFrame:
     return a.union(b).groupBy("i", "j").agg(F.pow(F.min("dist"), 2).alias("c"))
 
 
-def _half(cost: DataFrame, known: DataFrame, at: str, other: str, eps: float, log_mass: Column, first: bool, prev: DataFrame | None) -> DataFrame:
-    """One potential update by a shifted log-sum-exp; ``known`` is (other, p), result (at, p)."""
-    j = cost.join(known.withColumnRenamed("p", "q"), other)
-    if first:
-        shift = j.groupBy(at).agg(F.max((F.col("q") - F.col("c")) / eps).alias("m"))
-    else:  # the previous potential keeps the exponents near zero, so no second pass is needed
-        shift = prev.select(at, (-F.col("p") / eps).alias("m"))
-    s = j.join(shift, at).groupBy(at).agg(F.first("m").alias("m"), F.sum(F.exp((F.col("q") - F.col("c")) / eps - F.col("m"))).alias("s"))
-    return s.select(at, (F.lit(-eps) * (F.log("s") + F.col("m") - log_mass)).alias("p"))
+def _scalings(kernel: DataFrame, known: DataFrame, at: str, other: str, mass: float, old: DataFrame) -> DataFrame:
+    """One half-step: (at, s, o) with s = mass / sum_other k * s(other) and o the scaling before. The kernel lies by ``other``."""
+    sums = kernel.join(known.select(other, F.col("s").alias("_w")), other).groupBy(at).agg(F.sum(F.col("k") * F.col("_w")).alias("_k"))
+    return sums.join(old.select(at, F.col("s").alias("o")), at).select(at, (F.lit(mass) / F.col("_k")).alias("s"), "o")
 
 
-def sinkhorn(cost: DataFrame, eps: float, iters: int, tol: float | None = None) -> dict[str, DataFrame]:
+def sinkhorn(cost: DataFrame, eps: float, iters: int = 1000, tol: float = TOLERANCE, partitions: int | None = None) -> dict:
     """Log-domain scaling of a cost table with uniform marginals over its rows and columns.
 
-    Returns potentials f (i, p), g (j, p) and the plan (i, j, c, p). The potentials (one row per source or
-    target) are materialised every half-step, the cost table once. With ``tol`` one scalar is read per round
-    to stop early.
+    Returns potentials f (i, p) and g (j, p) with the mean of g at 0, the plan (i, j, c, p), the rounds done and the
+    error reached: the summed difference of the row masses to 1/n. Column masses are exact. Rows of the table are
+    distinct pairs; pairs that are not in it carry no mass. It stops at ``tol`` or after ``iters`` rounds.
     """
-    cost = cut_lineage(cost.select("i", "j", "c"))
-    la = F.lit(-float(np.log(cost.select("i").distinct().count())))
-    lb = F.lit(-float(np.log(cost.select("j").distinct().count())))
-    f, g = None, cost.select("j").distinct().withColumn("p", F.lit(0.0))
-    for it in range(iters):
-        last = f
-        f = cut_lineage(_half(cost, g, "i", "j", eps, la, it == 0, f))
-        g = cut_lineage(_half(cost, f, "j", "i", eps, lb, it == 0, g))
-        if tol is not None and last is not None:
-            gap = f.join(last.withColumnRenamed("p", "o"), "i").agg(F.max(F.abs(F.col("p") - F.col("o")))).first()[0]
-            if gap < tol:
+    spark = cost.sparkSession
+    cost = cost.select("i", "j", F.col("c").cast("double").alias("c"))
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_i = cut_lineage(cost.repartition(n_parts, "i"))
+    stats = by_i.agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    f, g = cut_lineage(by_i.select("i").distinct().withColumn("p", F.lit(0.0))), cut_lineage(by_i.select("j").distinct().withColumn("p", F.lit(0.0)))
+    if not stats["n"]:
+        return {"f": f, "g": g, "plan": by_i.withColumn("p", F.lit(0.0)), "rounds": 0, "error": 0.0}
+    a, b = 1.0 / f.count(), 1.0 / g.count()
+    steps = [eps]
+    while steps[0] * 8.0 < stats["hi"] - stats["lo"]:
+        steps.insert(0, steps[0] * FALL)
+    rounds, error = 0, float("inf")
+    for e in steps:
+        want = tol if e == eps else max(tol, ROUGH)
+        drop = 0.0
+        while True:
+            # potentials into the kernel: each is joined where it lies, so the table moves twice
+            k = F.exp((F.col("_f") + F.col("_g") - F.col("c")) / F.lit(e))
+            both = by_i.join(f.select("i", F.col("p").alias("_f")), "i").repartition(n_parts, "j").join(g.select("j", F.col("p").alias("_g")), "j")
+            k_by_j = cut_lineage(both.select("i", "j", k.alias("k")).where(F.col("k") > F.lit(drop)).repartition(n_parts, "j"))
+            k_by_i = cut_lineage(k_by_j.repartition(n_parts, "i"))
+            u, v = f.select("i", F.lit(1.0).alias("s")), g.select("j", F.lit(1.0).alias("s"))
+            while True:
+                for _ in range(ROUNDS_PER_CUT):
+                    u = _scalings(k_by_j, v, "i", "j", a, u)
+                    v = _scalings(k_by_i, u, "j", "i", b, v)
+                u, v, rounds = cut_lineage(u), cut_lineage(v), rounds + ROUNDS_PER_CUT
+                seen = u.agg(F.sum(F.abs(F.col("o") / F.col("s") - 1.0) * a).alias("error"), F.max(F.abs(F.log("s"))).alias("far")).first()
+                error = seen["error"]
+                if error <= want or rounds >= iters or seen["far"] > FAR:
+                    break
+            f = cut_lineage(f.join(u, "i").select("i", (F.col("p") + F.lit(e) * F.log("s")).alias("p")))
+            g = cut_lineage(g.join(v, "j").select("j", (F.col("p") + F.lit(e) * F.log("s")).alias("p")))
+            if error <= want or rounds >= iters:
                 break
-    plan = (cost.join(f.withColumnRenamed("p", "f"), "i").join(g.withColumnRenamed("p", "g"), "j")
-            .select("i", "j", "c", F.exp((F.col("f") + F.col("g") - F.col("c")) / eps).alias("p")))
-    return {"f": f, "g": g, "plan": plan}
+            drop = tol * a * b * 1e-3 / stats["n"]  # what all dropped entries together can weigh is far below the tolerance
+        if rounds >= iters:
+            break
+    shift = g.agg(F.avg("p").alias("m")).first()["m"]
+    f, g = f.select("i", (F.col("p") + shift).alias("p")), g.select("j", (F.col("p") - shift).alias("p"))
+    plan = (by_i.join(f.withColumnRenamed("p", "f"), "i").join(g.withColumnRenamed("p", "g"), "j")
+            .select("i", "j", "c", F.exp((F.col("f") + F.col("g") - F.col("c")) / F.lit(float(eps))).alias("p")))
+    return {"f": f, "g": g, "plan": plan, "rounds": rounds, "error": error}
 
 
 def transport_cost(plan: DataFrame) -> Column:
     return plan.agg(F.sum(F.col("p") * F.col("c")).alias("cost")).scalar()
 
 
-def _pack(points: DataFrame, prefix: str, block_rows: int) -> tuple[DataFrame, int, int]:
-    n = points.count()
-    blocks = max(1, int(np.ceil(n / block_rows)))
-    packed = (points.withColumn("b", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int")).groupBy("b")
-              .agg(F.sort_array(F.collect_list(F.struct("cell_id", "x"))).alias("r"))
-              .select(F.col("b").alias(f"{prefix}b"), F.col("r.cell_id").alias(f"{prefix}_ids"), F.col("r.x").alias(f"{prefix}_x")))
-    return cut_lineage(packed), n, blocks
+class _Cells:
+    """A point set packed into blocks of its cells: the blocks, and per cell its centre, radius and rows."""
+
+    def __init__(self, points: DataFrame, block_rows: int):
+        spark = points.sparkSession
+        n = points.count()
+        wanted = max(1, min(MOST_CELLS, n // CELL_ROWS))
+        drawn = points.orderBy(F.xxhash64("cell_id", F.lit(5)), "cell_id").limit(wanted).select("x").collect()
+        index = PivotIndex(np.array([r[0] for r in drawn], dtype=float))
+        held = spark.sparkContext.broadcast(index)
+
+        @F.pandas_udf("struct<c:int,d:double>")
+        def near(x: pd.Series) -> pd.DataFrame:
+            own, d = held.value.nearest(np.stack(x.to_numpy()), cells=len(held.value.coarse))
+            return pd.DataFrame({"c": own.astype("int32"), "d": d})
+        placed = cut_lineage(points.withColumn("_a", near("x")).select("cell_id", "x", "_a.c", "_a.d"))
+        self.n, self.centres = n, index.pivots
+        self.size, self.radius = np.zeros(len(index.pivots)), np.zeros(len(index.pivots))
+        for r in placed.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect():
+            self.size[r["c"]], self.radius[r["c"]] = r["n"], r["r"]
+        parts = F.element_at(F.array(*[F.lit(int(max(1, -(-s // block_rows)))) for s in self.size]), F.col("c") + 1)
+        self.blocks = cut_lineage(placed.withColumn("b", F.pmod(F.xxhash64("cell_id"), parts).cast("int")).groupBy("c", "b")
+                                  .agg(F.sort_array(F.collect_list(F.struct("cell_id", "x"))).alias("r"))
+                                  .select("c", "b", F.col("r.cell_id").alias("ids"), F.col("r.x").alias("x")))
+        self.n_blocks = self.blocks.count()
+
+    def named(self, c: str, b: str, ids: str, x: str) -> DataFrame:
+        return self.blocks.select(F.col("c").alias(c), F.col("b").alias(b), F.col("ids").alias(ids), F.col("x").alias(x))
 
 
 def _cost_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2.0 * x @ y.T + (y * y).sum(1)[None, :], 0.0)
 
 
-def _point_half(xs: DataFrame, ys: DataFrame, y_blocks: int, pot: DataFrame, eps: float, log_mass: float) -> DataFrame:
-    """Potential of the packed x rows given the packed potential of the y rows: (xb, p array)."""
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for xb, xx, yx, q in zip(pdf["xb"], pdf["x_x"], pdf["y_x"], pdf["q"]):
-                e = (np.asarray(q)[None, :] - _cost_block(np.stack(xx), np.stack(yx))) / eps
-                m = e.max(axis=1)
-                yield pd.DataFrame({"xb": [xb], "m": [m], "s": [np.exp(e - m[:, None]).sum(axis=1)]})
-
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, s = np.stack(pdf["m"]), np.stack(pdf["s"])
-        top = m.max(axis=0)
-        lse = top + np.log((s * np.exp(m - top)).sum(axis=0))
-        return pd.DataFrame({"xb": [pdf["xb"].iloc[0]], "p": [-eps * (lse - log_mass)]})
-    y = ys.join(pot.withColumnRenamed("p", "q"), "yb").select("yb", "y_x", "q")
-    pairs = xs.select("xb", "x_x", F.explode(F.sequence(F.lit(0), F.lit(y_blocks - 1))).alias("yb")).join(y, "yb")
-    part = pairs.select("xb", "x_x", "y_x", "q").mapInPandas(partial, "xb int, m array<double>, s array<double>")
-    return part.groupBy("xb").applyInPandas(combine, "xb int, p array<double>")
-
-
-def sinkhorn_points(x: DataFrame, y: DataFrame, eps: float, iters: int, block_rows: int = BLOCK_ROWS) -> dict:
+def _cost_bounds(x: _Cells, y: _Cells) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest cost between rows of two cells."""
+    d, r = distances(x.centres, y.centres), x.radius[:, None] + y.radius[None, :]
+    return np.maximum(d - r, 0.0) ** 2, (d + r) ** 2
+
+
+def _coarse(x: _Cells, y: _Cells, eps: float, iters: int) -> np.ndarray:
+    """Potentials of the y cells from transport between centres, each weighing its rows; both sides are bounded."""
+    keep_x, keep_y = x.size > 0, y.size > 0
+    c = distances(x.centres[keep_x], y.centres[keep_y]) ** 2
+    la, lb = np.log(x.size[keep_x] / x.n), np.log(y.size[keep_y] / y.n)
+    f, g, e = np.zeros(len(la)), np.zeros(len(lb)), max(eps, float(np.ptp(c)) / 8.0)
+
+    def lse(z: np.ndarray, axis: int) -> np.ndarray:
+        top = z.max(axis=axis, keepdims=True)
+        return np.squeeze(top, axis) + np.log(np.exp(z - top).sum(axis=axis))
+    while True:
+        for _ in range(iters):
+            last = f
+            f = -e * lse((g[None, :] - c) / e + lb[None, :], 1)
+            g = -e * lse((f[:, None] - c) / e + la[:, None], 0)
+            if np.abs(f - last).max() < ROUGH * e:
+                break
+        if e <= eps:
+            break
+        e = max(eps, e / FALL)
+    out = np.zeros(len(y.size))
+    out[keep_y] = g - eps * np.log(y.n)  # of a single row, where the cell's mass is its rows times 1/n
+    return out
+
+
+def _kept(lo: np.ndarray, hi: np.ndarray, g_lo: np.ndarray, g_hi: np.ndarray, size: np.ndarray, own: np.ndarray, eps: float, loss: float) -> list[tuple[int, int]]:
+    """Pairs of cells (own, other) that an update of the own rows must compare: the rest adds less than ``loss`` of any row's sum."""
+    held = size > 0
+    with np.errstate(divide="ignore"):
+        rows = np.log(size)[None, :]
+    least = ((g_lo[None, :] - hi) / eps + rows)[:, held].max(axis=1, keepdims=True)
+    share = np.where(held[None, :], np.exp(np.minimum((g_hi[None, :] - lo) / eps + np.where(held, rows, 0.0) - least, 700.0)), 0.0)
+    order = np.argsort(share, axis=1)
+    small = np.take_along_axis(share, order, 1).cumsum(axis=1) <= loss
+    drop = np.zeros_like(small)
+    np.put_along_axis(drop, order, small, 1)
+    return [(int(i), int(j)) for i, j in np.argwhere(~drop & held[None, :] & (own > 0)[:, None])]
+
+
+def _lse(batches: Iterator[pd.DataFrame], eps: float) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for xc, xb, yc, yb, xx, yx, q in zip(pdf["xc"], pdf["xb"], pdf["yc"], pdf["yb"], pdf["xx"], pdf["yx"], pdf["q"]):
+            e = (np.asarray(q)[None, :] - _cost_block(np.stack(xx), np.stack(yx))) / eps
+            m = e.max(axis=1)
+            yield pd.DataFrame({"xc": [xc], "xb": [xb], "part": [yc * 1_000_003 + yb], "m": [m], "s": [np.exp(e - m[:, None]).sum(axis=1)]})
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    m, s = np.stack(pdf["m"]), np.stack(pdf["s"])
+    top = m.max(axis=0)
+    first = pdf.iloc[0]
+    return pd.DataFrame({"xc": [first["xc"]], "xb": [first["xb"]], "part": [int(first["part"]) // 64], "m": [top], "s": [(s * np.exp(m - top)).sum(axis=0)]})
+
+
+_PART = "xc int, xb int, part long, m array<double>, s array<double>"
+
+
+def _pairs(x: _Cells, y: _Cells, kept: list[tuple[int, int]], pot: DataFrame) -> DataFrame:
+    """Blocks of the kept pairs of cells with the potentials ``q`` of the y block."""
+    spark = pot.sparkSession
+    beside = spark.createDataFrame(kept, "xc int, yc int")
+    right = y.named("yc", "yb", "y_ids", "yx").join(pot.select(F.col("c").alias("yc"), F.col("b").alias("yb"), F.col("p").alias("q")), ["yc", "yb"])
+    return x.named("xc", "xb", "x_ids", "xx").join(beside, "xc").join(right, "yc")
+
+
+def _point_half(x: _Cells, y: _Cells, kept: list[tuple[int, int]], pot: DataFrame, eps: float, old: DataFrame | None) -> DataFrame:
+    """Potentials of the x blocks given those of the y blocks, (c, b, p, o), with the ones before as ``o``."""
+    part = _pairs(x, y, kept, pot).select("xc", "xb", "yc", "yb", "xx", "yx", "q").mapInPandas(lambda it: _lse(it, eps), _PART)
+    groups = y.n_blocks
+    while groups > 64:  # partial sums of a block are added in groups of bounded size
+        groups = -(-groups // 64)
+        part = part.groupBy("xc", "xb", F.pmod(F.xxhash64("part"), F.lit(groups))).applyInPandas(_merge, _PART)
+    part = part.groupBy("xc", "xb").applyInPandas(_merge, _PART)
+    lm = float(np.log(x.n))
+    p = F.transform(F.arrays_zip("m", "s"), lambda z: F.lit(-eps) * (z["m"] + F.log(z["s"]) + F.lit(lm)))
+    out = part.select(F.col("xc").alias("c"), F.col("xb").alias("b"), p.alias("p"))
+    if old is None:
+        return out.withColumn("o", F.lit(None).cast("array<double>"))
+    return out.join(old.select("c", "b", F.col("p").alias("o")), ["c", "b"])
+
+
+def _ranges(pot: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    lo, hi = np.zeros(cells), np.zeros(cells)
+    for r in pot.groupBy("c").agg(F.min(F.array_min("p")).alias("lo"), F.max(F.array_max("p")).alias("hi")).collect():
+        lo[r["c"]], hi[r["c"]] = r["lo"], r["hi"]
+    return lo, hi
+
+
+def _change(pot: DataFrame, eps: float, n: int) -> float:
+    """Summed difference of the row masses to 1/n before the update that made ``pot``."""
+    off = F.aggregate(F.zip_with("o", "p", lambda o, p: F.abs(F.exp((o - p) / F.lit(eps)) - 1.0)), F.lit(0.0), lambda a, v: a + v)
+    return pot.agg(F.sum(off).alias("e")).first()["e"] / n
+
+
+def sinkhorn_points(x: DataFrame, y: DataFrame, eps: float, iters: int = 1000, tol: float = TOLERANCE, block_rows: int = BLOCK_ROWS) -> dict:
     """Dense entropic transport between point sets (cell_id, x) with squared Euclidean cost, uniform marginals.
 
-    Returns potentials f and g as (cell_id, p), the scalar transport cost and the source map (cell_id, y_bar) of
-    plan-weighted target means (row mass 1/N is not divided out).
+    Returns potentials f and g as (cell_id, p), the source map ``per_source`` (cell_id, cost, mass, y_bar of
+    plan-weighted target means; row mass 1/N is not divided out), the rounds, the error reached and the share of pairs of
+    cells that the last round compared. Ids are distinct and neither set is empty.
     """
-    xs, n, xb = _pack(x, "x", block_rows)
-    ys, m, yb = _pack(y, "y", block_rows)
-    swap_x = xs.withColumnsRenamed({"xb": "yb", "x_ids": "y_ids", "x_x": "y_x"})
-    swap_y = ys.withColumnsRenamed({"yb": "xb", "y_ids": "x_ids", "y_x": "x_x"})
-    g = ys.select("yb", F.transform("y_ids", lambda _: F.lit(0.0)).alias("p"))
-    f = None
-    for _ in range(iters):
-        f = cut_lineage(_point_half(xs, ys, yb, g, eps, -float(np.log(n))))
-        g = cut_lineage(_point_half(swap_y, swap_x, xb, f.withColumnRenamed("xb", "yb"), eps, -float(np.log(m)))).withColumnRenamed("xb", "yb")
+    xs, ys = _Cells(x, block_rows), _Cells(y, block_rows)
+    if not xs.n or not ys.n:
+        raise ValueError("both point sets need rows")
+    lo, hi = _cost_bounds(xs, ys)
+    start = _coarse(xs, ys, eps, 200)
+    loss = tol / 10.0
+    at = F.element_at(F.array(*[F.lit(float(v)) for v in start]), F.col("c") + 1)
+    g = ys.blocks.select("c", "b", F.transform("ids", lambda _: at).alias("p"))
+    g_lo = g_hi = start
+    f, rounds, error = None, 0, float("inf")
+    while rounds < iters and error > tol:
+        # the pairs are chosen anew after each look at the potentials, and hold for the rounds up to the next
+        kept = _kept(lo, hi, g_lo, g_hi, ys.size, xs.size, eps, loss)
+        f = cut_lineage(_point_half(xs, ys, kept, g, eps, f))
+        f_lo, f_hi = _ranges(f, len(xs.size))
+        error = _change(f, eps, xs.n) if rounds else error
+        back = _kept(lo.T, hi.T, f_lo, f_hi, xs.size, ys.size, eps, loss)
+        g = _point_half(ys, xs, back, f, eps, None)
+        rounds += 1
+        for _ in range(min(POINT_ROUNDS, rounds) - 1 if error > tol else 0):
+            f = _point_half(xs, ys, kept, g, eps, f)
+            g = _point_half(ys, xs, back, f, eps, None)
+            rounds += 1
+        f, g = cut_lineage(f), cut_lineage(g)
+        g_lo, g_hi = _ranges(g, len(ys.size))
 
     def plan_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for ids, xx, yx, fp, gp in zip(pdf["x_ids"], pdf["x_x"], pdf["y_x"], pdf["f"], pdf["g"]):
+            for ids, xx, yx, fp, gp in zip(pdf["x_ids"], pdf["xx"], pdf["yx"], pdf["f"], pdf["q"]):
                 c = _cost_block(np.stack(xx), np.stack(yx))
                 p = np.exp((np.asarray(fp)[:, None] + np.asarray(gp)[None, :] - c) / eps)
                 yield pd.DataFrame({"cell_id": ids, "cost": (p * c).sum(1), "mass": p.sum(1), "ybar": list(p @ np.stack(yx))})
-    left = xs.join(f.withColumnRenamed("p", "f"), "xb").withColumn("yb", F.explode(F.sequence(F.lit(0), F.lit(yb - 1))))
-    right = ys.join(g.withColumnRenamed("p", "g"), "yb").select("yb", "y_x", "g")
-    dim = x.select(F.size("x")).first()[0]
+    kept = _kept(lo, hi, g_lo, g_hi, ys.size, xs.size, eps, loss)
+    pairs = _pairs(xs, ys, kept, g).join(f.select(F.col("c").alias("xc"), F.col("b").alias("xb"), F.col("p").alias("f")), ["xc", "xb"])
+    dim = xs.centres.shape[1]
     key_t = dict(x.dtypes)["cell_id"]
-    part = left.join(right, "yb").select("x_ids", "x_x", "y_x", "f", "g").mapInPandas(
-        plan_sums, f"cell_id {key_t}, cost double, mass double, ybar array<double>")
+    part = pairs.select("x_ids", "xx", "yx", "f", "q").mapInPandas(plan_sums, f"cell_id {key_t}, cost double, mass double, ybar array<double>")
     per = part.groupBy("cell_id").agg(F.sum("cost").alias("cost"), F.sum("mass").alias("mass"), sum_vectors("ybar", dim).alias("y_bar"))
-    unpack = lambda s, p, i, b: s.join(p, b).select(F.explode(F.arrays_zip(F.col(i).alias("cell_id"), F.col("p").alias("p"))).alias("z")).select("z.cell_id", "z.p")
-    return {"f": unpack(xs, f, "x_ids", "xb"), "g": unpack(ys, g, "y_ids", "yb"), "per_source": per}
+
+    def unpacked(cells: _Cells, pot: DataFrame) -> DataFrame:
+        rows = cells.blocks.select("c", "b", "ids").join(pot.select("c", "b", "p"), ["c", "b"])
+        return rows.select(F.explode(F.arrays_zip(F.col("ids").alias("cell_id"), "p")).alias("z")).select("z.cell_id", "z.p")
+    compared = len(kept) / max(1, int((xs.size > 0).sum() * (ys.size > 0).sum()))
+    return {"f": unpacked(xs, f), "g": unpacked(ys, g), "per_source": per, "rounds": rounds, "error": error, "compared": compared}
 
 
-def sinkhorn_divergence(x: DataFrame, y: DataFrame, eps: float, iters: int) -> DataFrame:
+def sinkhorn_divergence(x: DataFrame, y: DataFrame, eps: float, iters: int = 1000, tol: float = TOLERANCE) -> DataFrame:
     """OT(x, y) - (OT(x, x) + OT(y, y)) / 2, one row."""
-    total = [sinkhorn_points(a, b, eps, iters)["per_source"].agg(F.sum("cost").alias("c")).scalar() for a, b in ((x, y), (x, x), (y, y))]
+    total = [sinkhorn_points(a, b, eps, iters, tol)["per_source"].agg(F.sum("cost").alias("c")).scalar() for a, b in ((x, y), (x, x), (y, y))]
     one = x.sparkSession.range(1)
     return one.select(total[0].alias("ot_xy"), (total[0] - 0.5 * (total[1] + total[2])).alias("divergence"))
 

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ranking
 from ..functions.scalars import stat
+from ..session import cut_lineage
+from .kernels import curves, kernel_sums
+from .nearest import nearest_rows
 
 
 def linspace(lo: float, hi: float, n: int) -> list[float]:
@@ -58,41 +62,29 @@ def window_mean(rows: DataFrame, n: int = 100, overlap: float = 0.8, weight: str
         agg = F.avg("value")
     else:
         agg = F.sum(F.col(weight) * F.col("value")) / (F.sum(weight) + F.lit(1e-8))
-    full = overlapping_windows(rows, n, overlap).groupBy(*keys, "t_idx").agg(F.count(F.lit(1)).alias("n"), agg.alias("mean"))
+    full = cut_lineage(overlapping_windows(rows, n, overlap).groupBy(*keys, "t_idx").agg(F.count(F.lit(1)).alias("n"), agg.alias("mean")))  # one row per window
     centre = F.lit(step) * F.col("t_idx") + F.lit(width / 2.0)
     idx = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t_idx")
     frame = rows.select(*keys).distinct().select(*keys, idx) if keys else rows.sparkSession.range(n).select(F.col("id").cast("int").alias("t_idx"))
-    sparse = frame.join(full.where(F.col("n") >= min_rows), [*keys, "t_idx"], "left_anti").withColumn("_c", centre)
-    near = nearest_rows(rows, sparse, min_rows, keys, tie).groupBy(*keys, "t_idx").agg(F.count(F.lit(1)).alias("n"), agg.alias("mean"))
-    out = full.where(F.col("n") >= min_rows).unionByName(near)
+    out = full.where(F.col("n") >= min_rows)
+    sparse = frame.join(out, [*keys, "t_idx"], "left_anti").withColumn("_c", centre)
+    if not sparse.isEmpty():
+        near = nearest_rows(rows, sparse, min_rows, keys, tie).groupBy(*keys, "t_idx").agg(F.count(F.lit(1)).alias("n"), agg.alias("mean"))
+        out = out.unionByName(near)
     return out.select(*keys, "t_idx", centre.alias("t"), "n", "mean")
 
 
-def nearest_rows(rows: DataFrame, points: DataFrame, m: int, keys: list[str] = (), tie: str = "cell_id") -> DataFrame:
-    """The ``m`` rows nearest in t to each point (keys, t_idx, _c); smaller ``tie`` wins.
-
-    Rows are expanded over the points of their key (a bounded grid list), and ranked with the limit
-    applied in each map task, so what is shuffled is at most m rows per point and task.
-    """
-    keys = list(keys)
-    packed = points.groupBy(*keys).agg(F.collect_list(F.struct("t_idx", "_c")).alias("_p"))
-    if keys:
-        src = rows.join(packed, keys)
-    else:
-        src = rows.withColumn("_p", packed.scalar())
-    cand = src.withColumn("_q", F.explode("_p")).drop("_p")
-    cand = cand.withColumn("t_idx", F.col("_q.t_idx")).withColumn("_d", F.abs(F.col("t") - F.col("_q._c"))).drop("_q")
-    return ranking.top_n(cand, m, [F.col("_d"), F.col(tie)], [*keys, "t_idx"], "_rk")
-
-
 def nearest_m_mean(rows: DataFrame, bins: int = 30, m: int = 20, keys: list[str] = (), tie: str = "cell_id") -> DataFrame:
     """Per grid point on [0, 1], the mean of ``value`` over the ``m`` nearest rows: (keys, t_idx, t, mean)."""
     keys = list(keys)
-    grid = grid_struct(linspace(0.0, 1.0, bins), "_c")
-    cand = rows.withColumn("_g", F.explode(grid))
-    cand = cand.select(*keys, "value", tie, F.col("_g.t_idx").alias("t_idx"), F.col("_g._c").alias("t"), F.abs(F.col("t") - F.col("_g._c")).alias("_d"))
-    near = ranking.top_n(cand, m, [F.col("_d"), F.col(tie)], [*keys, "t_idx"], "_rk")
-    return near.groupBy(*keys, "t_idx").agg(F.first("t").alias("t"), F.avg("value").alias("mean"))
+    near = nearest_rows(rows.select(*keys, "t", "value", tie), _grid_points(rows, linspace(0.0, 1.0, bins), keys), m, keys, tie)
+    return near.groupBy(*keys, "t_idx").agg(F.first("_c").alias("t"), F.avg("value").alias("mean"))
+
+
+def _grid_points(rows: DataFrame, grid: list[float], keys: list[str]) -> DataFrame:
+    """(keys, t_idx, _c): the grid for each key."""
+    names = rows.select(*keys).distinct() if keys else rows.sparkSession.range(1)
+    return names.select(*keys, F.explode(grid_struct(grid, "_c")).alias("_g")).select(*keys, "_g.t_idx", "_g._c")
 
 
 def peak(curve: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
@@ -103,41 +95,33 @@ def peak(curve: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
 
 def knn_adaptive_bandwidth(rows: DataFrame, grid: list[float], k: int = 80, floor: float = 0.005, tie: str = "cell_id") -> DataFrame:
     """Distance from each grid point to the (k+1)-th closest t, at least ``floor``: (t_idx, t, h)."""
-    cand = rows.select("t", tie, F.explode(grid_struct(grid)).alias("p"))
-    cand = cand.select("p.t_idx", F.col("p.g").alias("t"), tie, F.abs(F.col("t") - F.col("p.g")).alias("d"))
-    near = ranking.top_n(cand, k + 1, [F.col("d"), F.col(tie)], ["t_idx"], "_rk")
-    return near.groupBy("t_idx").agg(F.first("t").alias("t"), F.greatest(F.max("d"), F.lit(float(floor))).alias("h"))
+    near = nearest_rows(rows.select("t", tie), _grid_points(rows, grid, []), k + 1, [], tie)
+    return near.groupBy("t_idx").agg(F.first("_c").alias("t"), F.greatest(F.max("_d"), F.lit(float(floor))).alias("h"))
 
 
 def kernel_smooth(rows: DataFrame, grid: list[float], h: float | DataFrame, weight: str | None = None, keys: list[str] = (),
                   reach: float | None = None, values: list[str] = ("value",)) -> DataFrame:
     """Gaussian-weighted mean of the value columns and n_eff = (sum w)^2 / sum w^2 per grid point.
 
-    Every row meets the grid literal in its own task and is reduced there before the shuffle, which
-    carries one row per grid point, key and task. ``h`` is a number or a table (t_idx, h); ``reach`` (in
-    bandwidths) leaves out farther rows.
+    The sums come from :func:`kernels.kernel_sums`. ``h`` is a number or a table (t_idx, h) with a row per grid point;
+    ``reach`` (in bandwidths) leaves out farther rows, and points that none is within reach of.
     """
     keys, values = list(keys), list(values)
-    src = rows.withColumn("_p", F.explode(grid_struct(grid)))
-    src = src.withColumn("t_idx", F.col("_p.t_idx")).withColumn("g", F.col("_p.g")).drop("_p")
     if isinstance(h, DataFrame):
-        src = src.join(F.broadcast(h.select("t_idx", F.col("h").alias("_h"))), "t_idx")  # one row per grid point
+        at = {r["t_idx"]: r["h"] for r in h.select("t_idx", "h").collect()}
+        grid, names = [grid[i] for i in sorted(at)], sorted(at)
+        widths = [[at[i] for i in names]]
     else:
-        src = src.withColumn("_h", F.lit(float(h)))
-    z = (F.col("g") - F.col("t")) / F.col("_h")
+        widths, names = [float(h)], None
+    if not grid:
+        raise ValueError("the grid is empty")
+    sums = kernel_sums(rows, grid, widths, values, weight, keys, reach=reach)
     if reach is not None:
-        src = src.where(F.abs(z) <= F.lit(float(reach)))
-    w = F.exp(F.lit(-0.5) * z * z)
-    if weight is not None:
-        w = w * F.col(weight)
-    src = src.withColumn("_w", w)
-    agg = src.groupBy(*keys, "t_idx").agg(
-        F.first("g").alias("t"), F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_w")).alias("_sq"),
-        *[F.sum(F.col("_w") * F.col(v)).alias(f"_s_{v}") for v in values])
-    out = [F.col(f"_s_{v}") / F.greatest(F.col("_sw"), F.lit(1e-12)) for v in values]
-    names = ["mean"] if values == ["value"] else values
-    return agg.select(*keys, "t_idx", "t", *[o.alias(n) for o, n in zip(out, names)],
-                      (F.col("_sw") * F.col("_sw") / F.greatest(F.col("_sq"), F.lit(1e-12))).alias("n_eff"))
+        sums = sums.where(F.col("n") > 0)
+    out = curves(sums, grid, keys, values)
+    if names is not None and names != list(range(len(names))):
+        out = out.withColumn("t_idx", F.element_at(F.array(*[F.lit(i) for i in names]), F.col("t_idx") + 1))
+    return out
 
 
 def gaussian_filter(curve: DataFrame, value: str, n: int, sigma: float, keys: list[str] = (), truncate: float = 4.0,
@@ -222,14 +206,12 @@ def window_from_centers(rows: DataFrame, centers: DataFrame, overlap: float, key
     bounded grid: they travel as one array and each row keeps the centres it lies near.
     """
     keys = list(keys)
-    w = W.orderBy("t_idx")
-    diffs = centers.select((F.col("t") - F.lag("t").over(w)).alias("d")).where(F.col("d").isNotNull())
-    stride = diffs.agg(F.percentile("d", 0.5).alias("s"))
-    half = stride.select(0.5 * F.col("s") / F.greatest(F.lit(1e-9), F.lit(1.0 - overlap))).scalar()
-    grid = centers.agg(F.sort_array(F.collect_list(F.struct("t_idx", F.col("t").alias("c")))).alias("g")).scalar()
-    e = rows.withColumn("_h", half).withColumn("_g", F.explode(grid))
-    e = e.where((F.col("t") >= F.col("_g.c") - F.col("_h")) & (F.col("t") <= F.col("_g.c") + F.col("_h")))
-    return (e.groupBy(*keys, F.col("_g.t_idx").alias("t_idx")).agg(F.first("_g.c").alias("t"), F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")))
+    points = sorted(tuple(r) for r in centers.select("t_idx", "t").collect())  # a grid
+    grid = [float(c) for _, c in points]
+    half = 0.5 * float(np.median(np.diff(grid))) / max(1e-9, 1.0 - overlap)
+    sums = kernel_sums(rows, grid, [half], keys=keys, box=True).where(F.col("n") > 0)
+    at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("t_idx") + 1)
+    return sums.select(*keys, at([i for i, _ in points]).alias("t_idx"), at(grid).alias("t"), (F.col("s_value") / F.col("sw")).alias("mean"), F.col("n").cast("long").alias("n"))
 
 
 def rolling_mean(rows: DataFrame, size: int, tie: str = "cell_id", block: int = 100_000) -> DataFrame:
@@ -282,31 +264,24 @@ def bandwidth_shape(curve: DataFrame, keys: list[str], value: str = "mean") -> D
     return e.select(*keys, (F.col("top") - F.col("med")).alias("c"), width.alias("fwhm"), ratio.alias("l"), F.col("top"))
 
 
-def bandwidth_score(rows: DataFrame, grid: list[float], bandwidths: list[float], n_boot: int = 20, seed: int = 0,
-                    key: str = "cell_id", n_eff_min: float = 30.0, interior: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
-    """One row per bandwidth: contrast C, sharpness L, reproducibility R over bootstraps, score S = R*C*L and
-    the smallest interior n_eff. All bandwidths and replicates run as one job keyed by (h, rep)."""
-    from .nulls import bootstrap_weights, mean_pairwise_correlation
-    hs = F.array(*[F.lit(float(h)) for h in bandwidths])
-    reps = bootstrap_weights(rows, key, n_boot, seed, include_observed=True)
-    curve = _keyed_kernel(reps.withColumn("h", F.explode(hs)), grid, ["h", "rep"])
-    obs = curve.where(F.col("rep") == -1)
-    shape = bandwidth_shape(obs, ["h"]).select("h", "c", "l")
-    inner = obs.where((F.col("t") >= interior[0]) & (F.col("t") <= interior[1])).groupBy("h").agg(F.min("n_eff").alias("n_eff_interior_min"))
-    r = mean_pairwise_correlation(curve.where(F.col("rep") >= 0), ["h"], "rep", "t_idx", "mean").withColumnRenamed("mean_r", "r")
-    out = shape.join(inner, "h").join(r, "h", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    return out.withColumn("s", F.col("r") * F.col("c") * F.col("l")).withColumn("valid", F.col("n_eff_interior_min") >= n_eff_min)
+BANDWIDTHS = (0.01, 0.02, 0.03, 0.05, 0.08, 0.10)
 
 
-def _keyed_kernel(rows: DataFrame, grid: list[float], keys: list[str]) -> DataFrame:
-    """kernel_smooth with the bandwidth and the replicate weight read from the row (columns h, w)."""
-    e = rows.select(*keys, "t", "value", "w", F.explode(grid_struct(grid)).alias("p"))
-    z = (F.col("p.g") - F.col("t")) / F.col("h")
-    e = e.select(*keys, F.col("p.t_idx").alias("t_idx"), F.col("p.g").alias("t"), "value", (F.exp(-0.5 * z * z)).alias("k"), F.col("w").alias("m"))
-    a = e.groupBy(*keys, "t_idx", "t").agg(F.sum(F.col("m") * F.col("k")).alias("sw"), F.sum(F.col("m") * F.col("k") * F.col("k")).alias("sq"),
-                                           F.sum(F.col("m") * F.col("k") * F.col("value")).alias("sv"))
-    return a.select(*keys, "t_idx", "t", (F.col("sv") / F.greatest("sw", F.lit(1e-12))).alias("mean"),
-                    (F.col("sw") * F.col("sw") / F.greatest("sq", F.lit(1e-12))).alias("n_eff"))
+def bandwidth_score(rows: DataFrame, grid: list[float], bandwidths: list[float] = BANDWIDTHS, n_boot: int = 20, seed: int = 0,
+                    key: str = "cell_id", n_eff_min: float = 30.0, interior: tuple[float, float] = (0.1, 0.9), weight: str | None = None) -> DataFrame:
+    """One row per bandwidth: contrast C, sharpness L, reproducibility R over bootstraps, score S = R*C*L and
+    the smallest interior n_eff. All bandwidths and replicates come from one pass over the rows."""
+    from .nulls import mean_pairwise_correlation
+    sums = kernel_sums(rows, grid, list(bandwidths), ["value"], weight, n_boot=n_boot, seed=seed, key=key)
+    curve = cut_lineage(curves(sums, grid, ["_h", "_rep"], ["value"]))  # bandwidths x replicates x grid points
+    obs = curve.where(F.col("_rep") == -1)
+    shape = bandwidth_shape(obs, ["_h"]).select("_h", "c", "l")
+    inner = obs.where((F.col("t") >= interior[0]) & (F.col("t") <= interior[1])).groupBy("_h").agg(F.min("n_eff").alias("n_eff_interior_min"))
+    r = mean_pairwise_correlation(curve.where(F.col("_rep") >= 0), ["_h"], "_rep", "t_idx", "mean").withColumnRenamed("mean_r", "r")
+    out = shape.join(inner, "_h").join(r, "_h", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    h = F.element_at(F.array(*[F.lit(float(x)) for x in bandwidths]), F.col("_h") + 1)
+    out = out.select(h.alias("h"), "c", "l", "n_eff_interior_min", "r")
+    return out.withColumn("s", F.col("r") * F.col("c") * F.col("l")).withColumn("valid", F.col("n_eff_interior_min") >= n_eff_min)
 
 
 def select_bandwidth(scores: DataFrame) -> DataFrame:

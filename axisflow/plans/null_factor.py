@@ -1,50 +1,52 @@
-"""Null models that repeat the factorisation: shuffled grid order and smoothed noise."""
+"""The null model that repeats the factorisation on a shuffled grid."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators.nulls import null_summary, pair_coordination
-from ..operators.spectra import activations, semi_nmf
-from ..operators.windows import gaussian_filter
+from ..operators.nulls import null_summary, pair_coordination, replicates
+from ..operators.spectra import nmf_start, nmf_weights, semi_nmf_models
+from ..session import cut_lineage
 
 METRICS = ["sequential_frac", "concurrent_frac", "mean_abs_corr"]
 
 
-def _coordination(rows: DataFrame, rank: int, width: int, iters: int) -> DataFrame:
-    fit, _, _ = semi_nmf(rows, rank, width, iters=iters, restarts=1)
-    return pair_coordination(activations(fit, rank, ["t_idx"]))
-
+def shuffled_coordination(rows: DataFrame, rank: int, width: int, n_rep: int, iters: int = 500, seed: int = 0) -> DataFrame:
+    """(rep, metrics) of the factorisation of the rows (t_idx, m) and, for rep 0 to n_rep-1, of permutations of their order.
 
-def shuffle_null(rows: DataFrame, rank: int, width: int, n_rep: int, iters: int = 50, seed: int = 0) -> DataFrame:
+    Replicate -1 is the order itself. A permutation gives every row another index, and with it other first weights and
+    another place of its activations; the rows themselves stay, so all factorisations share every pass over them.
+    """
+    rows = cut_lineage(rows.select("t_idx", "m"))
+    names = replicates(rows.select("t_idx"), n_rep)  # grid points x replicates
+    by_rep = W.partitionBy("rep")
+    to = names.withColumn("_p", F.row_number().over(by_rep.orderBy(hashing.uniform("t_idx", "rep", seed=seed), "t_idx")))
+    index = names.withColumn("_p", F.row_number().over(by_rep.orderBy("t_idx"))).withColumnRenamed("t_idx", "new")
+    moved = to.join(index, ["rep", "_p"]).groupBy("t_idx").agg(F.sort_array(F.collect_list(F.struct("rep", "new"))).alias("_to"))
+    data = cut_lineage(rows.join(moved, "t_idx") if n_rep else rows.withColumn("_to", F.array().cast("array<struct<rep:int,new:int>>")))
+    at = [F.col("t_idx"), *[F.col("_to")[r]["new"] for r in range(n_rep)]]
+    hs, _ = semi_nmf_models(data, [nmf_start(x, rank, seed) for x in at], rank, width, iters)
+    maps = np.concatenate([nmf_weights(h) for h in hs], axis=1)
+
+    @F.pandas_udf("array<double>")
+    def weights(m: pd.Series) -> pd.Series:
+        return pd.Series(list(np.maximum(np.stack(m.to_numpy()) @ maps, 0.0)))
+    cells = F.array(*[F.struct(F.lit(r - 1).alias("rep"), x.cast("int").alias("t_idx"), F.lit(k).alias("k"), F.col("_w")[r * rank + k].alias("a"))
+                      for r, x in enumerate(at) for k in range(rank)])
+    act = data.withColumn("_w", weights("m")).select(F.explode(cells).alias("_c")).select("_c.*")
+    return pair_coordination(act, ["rep"])
+
+
+def shuffle_null(rows: DataFrame, rank: int, width: int, n_rep: int = 100, iters: int = 500, seed: int = 0) -> DataFrame:
     """Permute the grid order (t_idx, m), refit and summarise against the observation.
 
     The factorisation hardly depends on row order, so this null is kept for comparison; circular shifts and
     block permutations are the informative ones.
     """
-    observed = _coordination(rows, rank, width, iters)
-    runs = []
-    for r in range(n_rep):
-        order = rows.select("t_idx").withColumn("to", F.row_number().over(W.orderBy(hashing.uniform("t_idx", seed=seed + r), "t_idx")) - 1)
-        names = rows.select("t_idx").withColumn("to", F.row_number().over(W.orderBy("t_idx")) - 1).withColumnRenamed("t_idx", "new")
-        moved = rows.join(order, "t_idx").join(names, "to").drop("to", "t_idx").withColumnRenamed("new", "t_idx")
-        runs.append(_coordination(moved, rank, width, iters))
-    return null_summary(reduce(DataFrame.unionByName, runs), observed, METRICS)
-
-
-def smooth_null(spark: SparkSession, n_t: int, d: int, rank: int, n_rep: int, iters: int = 50, sigma: float = 5.0, seed: int = 0) -> DataFrame:
-    """Coordination of factorised Gaussian-smoothed noise sequences: mean and population std over replicates."""
-    base = spark.range(n_t * d * d).select((F.col("id") / (d * d)).cast("int").alias("t_idx"), (F.col("id") % (d * d)).cast("int").alias("e"))
-    runs = []
-    for r in range(n_rep):
-        noise = base.withColumn("v", hashing.normal("t_idx", "e", seed=seed + r))
-        smooth = gaussian_filter(noise, "v", n_t, sigma, ["e"])
-        rows = smooth.groupBy("t_idx").agg(F.sort_array(F.collect_list(F.struct("e", "smooth"))).alias("z")).select("t_idx", F.col("z.smooth").alias("m"))
-        runs.append(_coordination(rows, rank, d * d, iters))
-    null = reduce(DataFrame.unionByName, runs).unpivot([], METRICS, "metric", "v")
-    return null.groupBy("metric").agg(F.avg("v").alias("null_mean"), F.stddev_pop("v").alias("null_std"))
+    both = cut_lineage(shuffled_coordination(rows, rank, width, n_rep, iters, seed))
+    return null_summary(both.where(F.col("rep") >= 0).drop("rep"), both.where(F.col("rep") < 0).drop("rep"), METRICS)

@@ -59,3 +59,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table that is written and read back."""
     return os.path.join(shared_dir(spark), f"stage-{uuid.uuid4().hex}", name)
+
+
+def cut_to_table(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as a table below the shared folder and read it back.
+
+    Unlike a checkpoint it also drops what the optimizer has inferred about the rows, which grows round by round in
+    long loops of conditional columns.
+    """
+    spark = df.sparkSession
+    at = staging_path(spark, name)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

@@ -206,21 +206,45 @@ def test_dft_round_trip_and_parseval(spark):
 
 
 # ---- transport ----
-def test_sinkhorn_marginals(spark):
-    cost = spark.createDataFrame([(i, j, float(abs(i - j))) for i in range(10) for j in range(10)], "i long, j long, c double")
-    plan = transport.sinkhorn(cost, 0.1, 4)["plan"]
-    for side in ("i", "j"):
-        assert all(abs(r["m"] - 0.1) < 1e-2 for r in plan.groupBy(side).agg(F.sum("p").alias("m")).collect())
-
-
-def test_point_and_table_sinkhorn_agree(spark):
+def plain_sinkhorn(c, eps, rounds=5000):
+    f, g = np.zeros(c.shape[0]), np.zeros(c.shape[1])
+    lse = lambda z, axis: np.log(np.exp(z - z.max(axis, keepdims=True)).sum(axis)) + z.max(axis)
+    for _ in range(rounds):
+        f = -eps * (lse((g[None] - c) / eps, 1) + np.log(len(f)))
+        g = -eps * (lse((f[:, None] - c) / eps, 0) + np.log(len(g)))
+    return np.exp((f[:, None] + g[None] - c) / eps)
+
+
+def test_sinkhorn_reaches_its_tolerance(spark):
+    c = np.abs(np.subtract.outer(np.arange(12), np.arange(9) * 1.4)) ** 1.5 * (1 + np.random.default_rng(1).random((12, 9)))
+    cost = spark.createDataFrame([(i, j, float(c[i, j])) for i in range(12) for j in range(9)], "i long, j long, c double")
+    done = transport.sinkhorn(cost, 0.5, tol=1e-8)
+    assert done["error"] <= 1e-8
+    got = np.zeros((12, 9))
+    for r in done["plan"].collect():
+        got[r["i"], r["j"]] = r["p"]
+    assert np.abs(got.sum(1) - 1 / 12).sum() < 1e-7 and np.abs(got.sum(0) - 1 / 9).sum() < 1e-7
+    assert np.allclose(got, plain_sinkhorn(c, 0.5), atol=1e-7)
+    assert abs(done["g"].agg(F.avg("p")).first()[0]) < 1e-9
+    assert transport.sinkhorn(cost.limit(0), 0.5)["plan"].count() == 0
+
+
+def test_point_sinkhorn_drops_far_cells_and_stays_exact(spark, monkeypatch):
+    monkeypatch.setattr(transport, "CELL_ROWS", 8)
     rng = np.random.default_rng(9)
-    a, b = rng.normal(size=(9, 3)), rng.normal(size=(7, 3))
-    cost = spark.createDataFrame([(i, j, float(((a[i] - b[j]) ** 2).sum())) for i in range(9) for j in range(7)], "i long, j long, c double")
-    one = transport.sinkhorn(cost, 0.5, 2)["f"].select("i", "p")
-    two = transport.sinkhorn_points(vectors(spark, a), vectors(spark, b), 0.5, 2, block_rows=4)["f"]
-    assert np.allclose([p for _, p in rows(one, "i")], [p for _, p in rows(two, "cell_id")])
-    assert transport.sinkhorn_divergence(vectors(spark, a), vectors(spark, a), 0.5, 1).first()["divergence"] == pytest.approx(0.0, abs=1e-9)
+    centres = rng.normal(size=(4, 3)) * 6
+    a, b = centres[rng.integers(0, 4, 60)] + rng.normal(size=(60, 3)) * 0.3, centres[rng.integers(0, 4, 50)] + rng.normal(size=(50, 3)) * 0.3
+    want = plain_sinkhorn(((a[:, None] - b[None]) ** 2).sum(2), 2.0, 20_000)
+    done = transport.sinkhorn_points(vectors(spark, a), vectors(spark, b), 2.0, tol=1e-7, block_rows=5)
+    per = {r["cell_id"]: r for r in done["per_source"].collect()}
+    assert done["error"] <= 1e-7 and done["compared"] < 1.0
+    assert np.allclose([per[i]["mass"] for i in range(60)], 1 / 60, atol=1e-7)
+    assert np.allclose([per[i]["y_bar"] for i in range(60)], want @ b, atol=1e-5)
+
+
+def test_divergence_of_a_set_from_itself(spark):
+    a = np.random.default_rng(9).normal(size=(9, 3))
+    assert transport.sinkhorn_divergence(vectors(spark, a), vectors(spark, a), 0.5).first()["divergence"] == pytest.approx(0.0, abs=1e-9)
 
 
 def test_coupling_samples_follow_the_mass(spark):
