@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import columns_of, components, release, small, worker_cache
+from .common import columns_of, components, give_back, release, small, worker_cache
 from .wordhash import per_text, shingles
 
 SIZE = 3          # words of a shingle
@@ -275,14 +275,27 @@ def _candidates(percent: int):
     return run
 
 
+def _blocks_of_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict[int, tuple[np.ndarray, int]]]:
+    """{class: (its set, part)} of each (cluster, block) of ordered rows; a text is dropped as soon as its set is made."""
+    now, wanted = None, {}
+    for batch in batches:
+        names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        rows = zip(names, batch.column(2).to_pylist(), batch.column(3).to_pylist(), _sets(batch.column(4), size))
+        for key, c, part, s in rows:
+            if key != now:
+                if wanted:
+                    yield wanted
+                now, wanted = key, {}
+            if c not in wanted and len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == c:
+                wanted[c] = (s, part)
+    if wanted:
+        yield wanted
+
+
 def _verified(size: int, percent: int):
     """Links of a block: exact intersections of the sets that the tree lets through, until the block's components stand."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (classes, parts, texts) in _groups(batches, 2):
-            wanted: dict[int, tuple[np.ndarray, int]] = {}
-            for c, part, s in zip(classes, parts, _sets(pa.array(texts, pa.large_string()), size)):
-                if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == c:
-                    wanted[c] = (s, part)
+        for wanted in _blocks_of_sets(batches, size):
             rows = sorted(wanted, key=lambda c: (len(wanted[c][0]), c))
             if len(rows) < 2:
                 continue
@@ -303,7 +316,10 @@ def _verified(size: int, percent: int):
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     tree.unite(i, j)
                     found.append((rows[i], rows[j]))
+            del sets, bits, tree
+            wanted.clear()
             yield _pairs(found)
+        give_back()
     return run
 
 
