@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.vectors import vec_sum
@@ -67,8 +69,11 @@ def _(t: Tables):
 # operators of 64 x 64, the outer products of the vectors: 4,096 columns by a randomised range
 @query("operator_embedding_wide")
 def _(t: Tables):
-    outer = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b)))
-    z, model = s.operator_embedding(t.emb.select("cell_id", outer.alias("j")), "pca", 6, 4096)
+    @F.pandas_udf("array<double>")
+    def outer(x: pd.Series) -> pd.Series:
+        v = np.stack(x.to_numpy())
+        return pd.Series(list((v[:, :, None] * v[:, None, :]).reshape(len(v), -1)))
+    z, model = s.operator_embedding(t.emb.select("cell_id", outer("x").alias("j")), "pca", 6, 4096)
     return rounded(z.select("cell_id", F.posexplode("z").alias("i", "z")).withColumn("explained", F.lit(float(model["ratio"].sum()))))
 
 
