@@ -13,7 +13,7 @@ from axisflow.llm.htmltext import Page, host_of, main_text
 from axisflow.llm.licenses import REACHES, SHINGLE, TEMPLATES, license_scan, miss_probability
 from axisflow.llm.linededup import line_dedup
 from axisflow.llm.rules import BASE, quality_rules, statistics, verdict
-from axisflow.llm.secrets import KINDS, REACH, base_spans, secrets_of, secret_scan
+from axisflow.llm.secrets import KINDS, base_spans, secrets_of, secret_scan
 
 DOCS = "doc_id long, text string"
 
@@ -138,7 +138,15 @@ def test_weak_parts_need_a_complement():
     assert "weak:" in secrets_of("user: anna\npwd: abc1")[5] and "identifier:0:10" in secrets_of("user: anna\npwd: abc1")[5]
     assert "endpoint:" in secrets_of("see https://db.example.org/x pwd: abc1")[5]
     assert secrets_of("user: anna\n\npwd: abc1")[3] == 0, "another scope"
-    assert secrets_of("user: anna " + "x" * REACH + " pwd: abc1")[3] == 0, "out of reach"
+    apart = "user: anna " + "x" * 320 + " pwd: abc1"
+    assert secrets_of(apart)[3] == 2 and secrets_of(apart, reach=300)[3] == 0, "the scope is the bound, a reach only if asked for"
+
+
+def test_linked_parts_lie_outside_all_base_spans():
+    text = "password=" + "ab12" * 8 + "/user=anna pwd=abc1 login=berta"  # the hex span ends inside the assignment
+    spans = secrets_of(text)[5].split(",")
+    ends = [int(x.split(":")[2]) for x in spans if x.split(":")[0] in ("assign", "access", "hex")]
+    assert not [x for x in spans if x.startswith("identifier") and int(x.split(":")[1]) < max(ends)] and any(x.startswith("identifier") for x in spans)
 
 
 def test_every_partner_within_reach_is_marked():
@@ -150,7 +158,7 @@ def test_every_partner_within_reach_is_marked():
     assert got.count("identifier:") == 2 and got.count("weak:") == 1
     assert secrets_of("see https://a.example.org/x https://b.example.org/y pwd=abc1 z")[5].count("endpoint:") == 2
     assert secrets_of("user=anna pwd=abc1 login=berta pass=abc2")[5].count("identifier:") == 2
-    assert secrets_of("user=anna\n\naccount=shop1 pwd=abc1 " + "x" * REACH + " login=berta")[5].count("identifier:") == 1
+    assert secrets_of("user=anna\n\naccount=shop1 pwd=abc1 " + "x" * 300 + " login=berta", reach=300)[5].count("identifier:") == 1
 
 
 def test_secret_scan_table(spark):
