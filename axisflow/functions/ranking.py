@@ -18,8 +18,7 @@ PER_SEGMENT = 1_000_000  # rows a segment is meant to hold
 
 def _splits(df: DataFrame, value: str, segments: int) -> Column:
     """Split points of the value axis as a scalar: ``segments``, doubled until a segment holds PER_SEGMENT rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    doubled = [segments << i for i in range(20) if segments << i <= max(min(MOST_SEGMENTS, 4 * cores), segments)]
+    doubled = [segments << i for i in range(20) if segments << i <= _most(df, segments)]
     most = doubled[-1]
     many = F.lit(most)
     for s in reversed(doubled[:-1]):
@@ -28,15 +27,32 @@ def _splits(df: DataFrame, value: str, segments: int) -> Column:
     return a.withColumn("m", many).select(F.filter("s", lambda _, i: (i + 1) % (F.lit(most) / F.col("m")).cast("int") == 0)).scalar()
 
 
-def with_segment(df: DataFrame, value: str, out: str, splits: Column) -> DataFrame:
-    """Add how many split points lie below the value (0 if there are none), by halving the range of split points.
+def with_segment(df: DataFrame, value: str, out: str, splits: Column, segments: int = SEGMENTS) -> DataFrame:
+    """Add how many split points lie below the value (0 if there are none).
 
     The scalar becomes a column first, since a scalar subquery may not stand inside a lambda.
     """
-    return df.withColumn("_splits", splits).withColumn(out, _below(value, F.col("_splits"))).drop("_splits")
+    return df.withColumn("_splits", splits).withColumn(out, _below(value, F.col("_splits"), _most(df, segments))).drop("_splits")
 
 
-def _below(value: str, splits: Column) -> Column:
+def _most(df: DataFrame, segments: int) -> int:
+    """Segments at most: four for each core, but not fewer than asked for."""
+    return max(min(MOST_SEGMENTS, 4 * df.sparkSession.sparkContext.defaultParallelism), segments)
+
+
+def _tree(value: str, splits: Column, lo: int, hi: int) -> Column:
+    """The split points below the value among those from ``lo`` to ``hi``, as nested conditions that compile; missing ones are not below."""
+    if lo == hi:
+        return F.lit(lo)
+    middle = (lo + hi) // 2
+    return F.when(F.get(splits, F.lit(middle)) < F.col(value), _tree(value, splits, middle + 1, hi)).otherwise(_tree(value, splits, lo, middle))
+
+
+def _below(value: str, splits: Column, most: int) -> Column:
+    """Halves the range of split points: nested conditions for one range of segments, a loop over the array beyond it."""
+    if most <= SEGMENTS:
+        return _tree(value, splits, 0, SEGMENTS - 1)
+
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
         below = F.coalesce(F.get(splits, middle) < F.col(value), F.lit(False))
@@ -57,7 +73,7 @@ def prefix_counts(df: DataFrame, keys: list[str], value: str, tie: str | None =
     src = df.where(F.col(value).isNotNull())
     order = [value] + ([tie] if tie else [])
     freq = src.groupBy(*keys, *order).agg(mass.alias("n"))
-    freq = with_segment(freq, value, "_seg", _splits(src, value, segments))
+    freq = with_segment(freq, value, "_seg", _splits(src, value, segments), segments)
     # one row per key and segment: at most ``segments`` rows per key
     seg = freq.groupBy(*keys, "_seg").agg(F.sum("n").alias("_sn"))
     part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
@@ -114,7 +130,7 @@ def row_positions(df: DataFrame, value: str, tie: str, keys: list[str] = (), out
     rows does not end in one task. ``tie`` must be unique and numeric.
     """
     keys = list(keys)
-    cut = with_segment(df, tie, "_sub", _splits(df, tie, segments))
+    cut = with_segment(df, tie, "_sub", _splits(df, tie, segments), segments)
     pre = prefix_counts(cut, keys, value, tie="_sub", segments=segments)
     inside = W.partitionBy(*keys, value, "_sub").orderBy(tie)
     return (cut.withColumn("_rn", F.row_number().over(inside) - 1)

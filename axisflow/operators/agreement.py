@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashing, ranking
@@ -102,15 +103,26 @@ def best_match(corr: DataFrame, k: int, keys: list[str] = ()) -> DataFrame:
 
 
 def peak_overlap(peaks: DataFrame, window: float = 0.1, keys: list[str] = ()) -> DataFrame:
-    """Population std of the peak position over runs and the share of run pairs within the window: (run, peak) rows."""
+    """Population std of the peak position over runs and the share of run pairs within the window: (run, peak) rows.
+
+    Runs with the same peak are counted once; a RANGE frame over the sorted peaks counts what lies within the window. The
+    axis is cut into buckets a window wide that also see their neighbours, so no task holds all runs of a key. Runs
+    without a peak are left out.
+    """
     keys = list(keys)
-    s = peaks.groupBy(*keys).agg(F.stddev_pop("peak").alias("peak_std"), F.count(F.lit(1)).alias("n_runs"),
-                                 F.sort_array(F.collect_list("peak")).alias("_p"))
-    # runs are few; pairs are counted inside the sorted array of run peaks
-    close = F.aggregate(F.transform("_p", lambda a: F.size(F.filter("_p", lambda b: F.abs(a - b) <= F.lit(window)))), F.lit(0), lambda x, y: x + y)
+    width = F.lit(float(window) if window > 0 else 1.0)
+    known = peaks.where(F.col("peak").isNotNull())
+    s = known.groupBy(*keys).agg(F.stddev_pop("peak").alias("peak_std"), F.count(F.lit(1)).alias("n_runs"))
+    counted = known.groupBy(*keys, F.col("peak").cast("double").alias("_at")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_home", F.floor(F.col("_at") / width))
+    halo = counted.withColumn("_b", F.explode(F.array(F.col("_home") - 1, F.col("_home"), F.col("_home") + 1)))
+    by = ", ".join(f"`{c}`" for c in [*keys, "_b"])
+    near = halo.withColumn("_near", F.expr(f"sum(_c) OVER (PARTITION BY {by} ORDER BY _at RANGE BETWEEN {float(window)!r}D PRECEDING AND {float(window)!r}D FOLLOWING)"))
+    near = near.where(F.col("_b") == F.col("_home"))
+    close = near.groupBy(*keys).agg(F.sum(F.col("_c") * F.col("_near")).alias("_close"))
+    both = s.join(close, keys) if keys else s.withColumn("_close", close.scalar())
     n = F.col("n_runs")
-    frac = (close - n) / 2 / F.greatest(n * (n - 1) / 2, F.lit(1.0))
-    return s.select(*keys, "n_runs", "peak_std", frac.alias("overlap_frac"))
+    frac = (F.coalesce("_close", n) - n) / 2 / F.greatest(n * (n - 1) / 2, F.lit(1.0))
+    return both.select(*keys, "n_runs", "peak_std", frac.alias("overlap_frac"))
 
 
 def sensitivity_report(patterns: DataFrame, curves: DataFrame, auroc: DataFrame, reference: str) -> DataFrame:
@@ -323,7 +335,6 @@ def benjamini_hochberg(df: DataFrame, keys: list[str] = (), p: str = "p", tie: s
     The running minimum is taken over position segments whose own minima are combined first, so a family of
     any size is spread over tasks.
     """
-    from pyspark.sql import Window as W
     keys = list(keys)
     pos = ranking.row_positions(df, p, tie, keys, "_pos")
     if keys:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, ranking
 from ..functions.special import t_two_sided
 from .spectra import activation_correlation
 
@@ -91,17 +91,17 @@ def peak_resample_null(act: DataFrame, n: int, n_rep: int, seed: int = 0) -> Dat
 def empirical_p(null: DataFrame, observed: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Add-one empirical p on both sides, mean, sample std, 5/50/95 % quantiles and fold over the null mean.
 
-    Replicates per key are the number drawn for the test, a bounded parameter.
+    Quantiles come from counted positions (:mod:`ranking`), so no task holds all null values of a key.
     """
     keys = list(keys)
     j = null.select(*keys, F.col(value).alias("v")).join(observed.select(*keys, F.col(value).alias("obs")), keys)
     n = F.count(F.lit(1))
     ge, le = F.sum(F.when(F.col("v") >= F.col("obs"), 1).otherwise(0)), F.sum(F.when(F.col("v") <= F.col("obs"), 1).otherwise(0))
-    q = F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return j.groupBy(*keys, "obs").agg(
+    q = ranking.quantiles(j, "v", {"q05": 0.05, "q50": 0.5, "q95": 0.95}, keys)
+    sums = j.groupBy(*keys, "obs").agg(
         ((1 + ge) / (1 + n)).alias("p_greater"), ((1 + le) / (1 + n)).alias("p_less"), F.avg("v").alias("null_mean"),
-        F.stddev_samp("v").alias("null_sd"), q[0].alias("q05"), q[1].alias("q50"), q[2].alias("q95"), n.alias("n_null"),
-        (F.first("obs") / F.greatest(F.avg("v"), F.lit(1e-9))).alias("fold"))
+        F.stddev_samp("v").alias("null_sd"), n.alias("n_null"), (F.first("obs") / F.greatest(F.avg("v"), F.lit(1e-9))).alias("fold"))
+    return sums.join(q, keys, "left").select(*keys, "obs", "p_greater", "p_less", "null_mean", "null_sd", "q05", "q50", "q95", "n_null", "fold")
 
 
 def bootstrap_weights(rows: DataFrame, key: str, n_boot: int, seed: int = 0, include_observed: bool = False) -> DataFrame:
@@ -223,6 +223,5 @@ def subsample(rows: DataFrame, key: str, frac: float, runs: int, seed: int = 0)
 
 
 def bootstrap_band(curves: DataFrame, lo: float = 0.1, hi: float = 0.9, keys: list[str] = ()) -> DataFrame:
-    """Pointwise quantiles over replicate curves (rep, t_idx, v); replicates per point are a bounded parameter."""
-    q = F.percentile("v", F.array(F.lit(lo), F.lit(hi)))
-    return curves.groupBy(*keys, "t_idx").agg(q[0].alias("lo"), q[1].alias("hi"))
+    """Pointwise quantiles over replicate curves (rep, t_idx, v), from counted positions however many replicates there are."""
+    return ranking.quantiles(curves, "v", {"lo": lo, "hi": hi}, [*keys, "t_idx"])

@@ -14,7 +14,7 @@ HEADLINE = [
     "interior_peak", "window_mean", "kernel_smooth", "kernel_smooth_operators", "normalize_total_log1p", "tfidf", "highly_variable", "residualise_one",
     "knn_exact", "pseudotime_velocity", "proximal_join", "global_feature_rank", "project_features", "regulator_scores", "enrichment", "infer_regulators",
     "binned_pullback", "refine_grn", "sinkhorn_plan", "sinkhorn_points", "compare_regimes_by_cell_type", "operator_spectrum", "dft", "ranking_overlap",
-    "rolling_mean", "empirical_p",
+    "rolling_mean", "empirical_p", "bandwidth_score",
 ]
 
 
