@@ -124,3 +124,27 @@ def test_approximate_neighbours_by_codes(spark, clustered):
     assert approx.groupBy("src").count().where("count <> 10").count() == 0
     few = neighbors.knn_approx(df.limit(3), 10)
     assert few.count() == 6 and neighbors.knn(df.limit(0), 3).count() == 0
+
+
+def test_neighbour_search_does_not_broadcast_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16))
+    spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "cell_id long, x array<double>").write.parquet(str(tmp_path / "v"))
+    out = neighbors.knn(spark.read.parquet(str(tmp_path / "v")), 5, block_rows=400)
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= 1  # the pairs of blocks
+    got = {(r["src"], r["rnk"]): r["dst"] for r in out.where("src % 100 = 0").collect()}
+    for i in range(0, 3000, 100):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert [got[i, r] for r in range(1, 6)] == list(np.argsort(d, kind="stable")[:5])
+
+
+def test_blocks_hold_a_bounded_number_of_rows():
+    index = PivotIndex(np.arange(6.0)[:, None])
+    n = np.array([3, 2, 9, 1, 1, 5])
+    index.bound(n, np.zeros(6), np.ones(6), np.ones(6)).blocked(5)
+    held = np.zeros(index.blocks)
+    for p, m in enumerate(n):
+        np.add.at(held, index.home(np.full(m, p), np.arange(m)), 1)
+    assert held.sum() == n.sum() and held.max() <= 5
+    assert set(index.blocks_of(np.array([2]))) == {index.first[2], index.first[2] + 1}
