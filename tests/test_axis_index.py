@@ -148,3 +148,17 @@ def test_blocks_hold_a_bounded_number_of_rows():
         np.add.at(held, index.home(np.full(m, p), np.arange(m)), 1)
     assert held.sum() == n.sum() and held.max() <= 5
     assert set(index.blocks_of(np.array([2]))) == {index.first[2], index.first[2] + 1}
+
+
+def test_proximal_results_without_pairs(spark):
+    from axisflow.operators import graph
+    rng = np.random.default_rng(5)
+    p = spark.createDataFrame([(i, "ab"[i % 2], int(x)) for i, x in enumerate(rng.integers(-60, 60, 300))], "point_id long, chrom string, pos long")
+    i = spark.createDataFrame([(i, "ab"[i % 2], int(x)) for i, x in enumerate(rng.integers(-90, 90, 60))] + [(99, None, 1)], "interval_id long, chrom string, centre long")
+    for reach in (0, 4, 7):
+        pairs = graph.proximal_join(p, i, reach)
+        want = pairs.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.sum("offset").alias("total"), F.min("interval_id").alias("first"))
+        got = graph.proximal_join(p, i, reach, summary=True)
+        assert "interval_id" not in got.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        net = p.select(F.concat(F.lit("s"), (F.col("point_id") % 7).cast("string")).alias("source"), F.col("point_id").alias("target"))
+        assert sorted(graph.regulon_peaks(net, i, p, reach).collect()) == sorted(graph.regulon_peaks(net, pairs, p).collect())
