@@ -84,32 +84,36 @@ def ari_nmi(df: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFrame:
                     F.when(h["a"] + h["b"] <= 0, 1.0).otherwise(mi / ((h["a"] + h["b"]) / 2)).alias("nmi"))
 
 
-def silhouette(df: DataFrame, label: str, dim: int, block_rows: int = 512) -> DataFrame:
+BLOCKS, BLOCK_ROWS, BLOCK_BYTES = 16, 512, 8 << 20  # of a block of rows: so many at least, its least rows and its most bytes
+CHUNK = 256                                         # rows of a block that are compared at once
+
+
+def silhouette(df: DataFrame, label: str, dim: int, block_rows: int | None = None) -> DataFrame:
     """Mean Euclidean silhouette over rows (cell_id, x, label), one row per call: (silhouette, n).
 
-    Packed blocks of rows meet packed blocks of rows; a task returns one distance sum per row and cluster, so
-    pairs are never written out. Singleton clusters score 0.
+    Blocks of rows meet blocks of rows, a pair of blocks in one group; a group returns one distance sum per row and cluster,
+    so pairs are never written out. Blocks grow with the rows, so that a row is sent to few of them. Singleton clusters score 0.
     """
     n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    packed = cut_lineage(df.select("cell_id", "x", F.col(label).cast("string").alias("l"))
-                         .withColumn("b", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int")).groupBy("b")
-                         .agg(F.collect_list(F.struct("cell_id", "x", "l")).alias("r"))
-                         .select("b", F.col("r.cell_id").alias("ids"), F.col("r.x").alias("x"), F.col("r.l").alias("l")))
-    left = packed.select(F.col("ids"), F.col("x"), F.col("l").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = packed.select("b", F.col("x").alias("y"), "l")
-
-    def run(batches):
-        for pdf in batches:
-            for ids, x, own, y, l in zip(pdf["ids"], pdf["x"], pdf["own"], pdf["y"], pdf["l"]):
-                a, b = np.stack(x), np.stack(y)
-                d = np.sqrt(np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0.0))
-                names, idx = np.unique(np.asarray(l, dtype=object).astype(str), return_inverse=True)
-                s = d @ np.eye(len(names))[idx]
-                yield pd.DataFrame({"cell_id": np.repeat(np.asarray(ids), len(names)), "own": np.repeat(np.asarray(own, dtype=object), len(names)),
-                                    "l": np.tile(names, len(ids)), "s": s.ravel()})
+    blocks = max(1, -(-n // (block_rows or max(1, min(max(BLOCK_ROWS, n // BLOCKS), BLOCK_BYTES // (8 * dim))))))
+    dealt = cut_lineage(df.select("cell_id", "x", F.col(label).cast("string").alias("l"), F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int").alias("b")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.select(F.col("b").alias("qb"), every.alias("rb"), F.col("cell_id").alias("cell_id"), F.col("x").alias("x"), F.col("l").alias("own"))
+    right = dealt.select(every.alias("qb"), F.col("b").alias("rb"), F.col("x").alias("x"), F.col("l").alias("l"))
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"cell_id": [], "own": [], "l": [], "s": []})
+        a, b = np.stack(q["x"].to_numpy()), np.stack(r["x"].to_numpy())
+        idx, names = pd.factorize(r["l"].to_numpy(), use_na_sentinel=False)
+        one, bb, out = np.eye(len(names))[idx], (b * b).sum(1), []
+        for at in range(0, len(a), CHUNK):
+            x = a[at:at + CHUNK]
+            out.append(np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ b.T + bb[None, :], 0.0)) @ one)
+        return pd.DataFrame({"cell_id": np.repeat(q["cell_id"].to_numpy(), len(names)), "own": np.repeat(q["own"].to_numpy(), len(names)),
+                             "l": np.tile(names, len(q)), "s": np.concatenate(out).ravel()})
     key_t = dict(df.dtypes)["cell_id"]
-    sums = left.join(right, "b").select("ids", "x", "own", "y", "l").mapInPandas(run, f"cell_id {key_t}, own string, l string, s double")
+    sums = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(run, f"cell_id {key_t}, own string, l string, s double")
     per = sums.groupBy("cell_id", "own", "l").agg(F.sum("s").alias("s"))
     size = df.groupBy(F.col(label).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("m"))
     per = per.join(size, "l")

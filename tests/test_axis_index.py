@@ -162,3 +162,20 @@ def test_proximal_results_without_pairs(spark):
         assert "interval_id" not in got.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         net = p.select(F.concat(F.lit("s"), (F.col("point_id") % 7).cast("string")).alias("source"), F.col("point_id").alias("target"))
         assert sorted(graph.regulon_peaks(net, i, p, reach).collect()) == sorted(graph.regulon_peaks(net, pairs, p).collect())
+
+
+def test_silhouette_groups_are_pairs_of_blocks(spark):
+    from axisflow.operators import clustering
+    rng = np.random.default_rng(8)
+    x, l = rng.normal(size=(700, 3)), rng.integers(0, 3, 700)
+    df = spark.createDataFrame([(i, [float(a) for a in v], int(c)) for i, (v, c) in enumerate(zip(x, l))], "cell_id long, x array<double>, l int")
+    out = clustering.silhouette(df, "l", 3)
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()  # whole packed blocks by the batch
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    per = np.stack([d[:, l == c].sum(1) for c in range(3)], 1)
+    size = np.bincount(l)
+    a = per[np.arange(700), l] / (size[l] - 1)
+    b = np.where(np.arange(3)[None] == l[:, None], np.inf, per / size).min(1)
+    want = ((b - a) / np.maximum(a, b)).mean()
+    for got in (out.first(), clustering.silhouette(df, "l", 3, block_rows=64).first()):
+        assert got["silhouette"] == pytest.approx(want) and got["n"] == 700
