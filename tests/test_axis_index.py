@@ -179,3 +179,16 @@ def test_silhouette_groups_are_pairs_of_blocks(spark):
     want = ((b - a) / np.maximum(a, b)).mean()
     for got in (out.first(), clustering.silhouette(df, "l", 3, block_rows=64).first()):
         assert got["silhouette"] == pytest.approx(want) and got["n"] == 700
+
+
+def test_pullback_totals_without_the_product(spark, monkeypatch):
+    from axisflow.operators import grn
+    monkeypatch.setattr(grn, "TOTAL_ROWS", 7)
+    rng = np.random.default_rng(9)
+    ops = spark.createDataFrame([(b, [float(a) for a in rng.normal(size=4)]) for b in range(3)], "bin int, j array<double>")
+    dec = spark.createDataFrame([(g, [float(a) for a in rng.normal(size=2)]) for g in range(25)], "gene long, d array<double>")
+    enc = spark.createDataFrame([(g, [float(a) for a in rng.normal(size=2)]) for g in range(9)], "tf long, e array<double>")
+    full = grn.pullback(ops, dec, enc, 2)
+    want = {(r["bin"], r["gene"]): r["t"] for r in full.groupBy("bin", "gene").agg(F.sum(F.abs("v")).alias("t")).collect()}
+    got = {(r["bin"], r["gene"]): r["total"] for r in grn.pullback(ops, dec, enc, 2, total=True).collect()}
+    assert len(got) == 75 and all(got[k] == pytest.approx(v) for k, v in want.items())
