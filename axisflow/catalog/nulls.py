@@ -167,7 +167,7 @@ def _(t: Tables):
     return rounded(r.join(ar, "k").select("k", "r", n.corr_t(F.col("r"), F.col("na"))[0].alias("t")))
 
 
-# p for an even number of degrees of freedom has a finite closed form, which checks the quadrature
+# p for an even number of degrees of freedom has a finite closed form, which checks the continued fraction
 @query("t_tail", f"""WITH s AS (SELECT c_custkey AS id, c_acctbal / 2500e0 AS t, 2 * (1 + c_nationkey) AS df FROM customer), th AS (SELECT id, df, abs(t) / sqrt(df) AS z, 1 / (1 + t * t / df) AS c2, abs(t) / sqrt(df + t * t) AS sn FROM s)
     SELECT id, {R('1 - sn * list_sum([exp(lgamma(2 * i + 1) - 2 * lgamma(i + 1) - i * ln(4e0)) * c2 ** i for i in range(df // 2)])')} AS p FROM th""")
 def _(t: Tables):
