@@ -108,6 +108,8 @@ def _moments(pdf: pd.DataFrame, grid: np.ndarray, h: float, dim: int) -> np.ndar
     """Kernel-weighted sums of a batch for all grid points."""
     x, v = np.stack(pdf["x"]), np.stack(pdf["v"])
     w = np.exp(-0.5 * ((grid[:, None] - pdf["t"].to_numpy()[None, :]) / h) ** 2)
+    if "_w" in pdf:
+        w = w * pdf["_w"].to_numpy()[None, :]
     n = len(pdf)
     block = np.concatenate([np.ones((n, 1)), x, v,
                             (x[:, :, None] * x[:, None, :]).reshape(n, -1),
@@ -153,8 +155,8 @@ def _solve(m: np.ndarray, dim: int, ridge: float) -> np.ndarray:
 
 
 def local_linear_operator(cells: DataFrame, grid: list[float], h: float, dim: int, ridge: float = 1e-3,
-                          keys: list[str] = ()) -> DataFrame:
-    """Operator at every grid point: kernel-weighted ridge regression of velocity on state.
+                          keys: list[str] = (), weight: str | None = None) -> DataFrame:
+    """Operator at every grid point: kernel-weighted ridge regression of velocity on state. A row counts ``weight`` times.
 
     ``cells`` is (cell_id, t, x, v[, keys]). Each task reduces its rows to one moment row per grid point;
     those rows are summed entrywise in Spark and the D x D solves run once per grid point.
@@ -164,7 +166,8 @@ def local_linear_operator(cells: DataFrame, grid: list[float], h: float, dim: in
     cols = [*keys, "t", "x", "v"]
     kinds = dict(cells.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "t_idx int, m array<double>"])
-    moments = cells.select(*cols).mapInPandas(_weighted_moments(g, h, dim, keys), schema)
+    rows = cells.select(*cols, *([F.col(weight).alias("_w")] if weight else []))
+    moments = rows.mapInPandas(_weighted_moments(g, h, dim, keys), schema)
     return _solve_moments(moments, [*keys, "t_idx"], dim, ridge, {i: float(v) for i, v in enumerate(g)})
 
 

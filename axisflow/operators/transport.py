@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ POINT_ROUNDS = 3      # and over points
 TOLERANCE = 1e-6      # summed difference between the row masses and the marginal
 FALL = 4.0            # by which epsilon falls
 ROUGH = 1e-2          # tolerance before the last epsilon
+HELD_SUMS = 4_000_000  # numbers of all keys that a task adds up before it hands them on
 FAR = 200.0           # logarithm of a scaling from which the potentials go into the kernel again
 
 
@@ -342,6 +344,72 @@ def interpolate(bary: DataFrame, x: DataFrame, t: float | Column) -> DataFrame:
     return j.select("i", F.zip_with("x", "y_bar", lambda a, b: (1.0 - F.col("_t")) * a + F.col("_t") * b).alias("x_t"))
 
 
+def _pair_sums(dim: int, keys: list[str]):
+    """Sums of [1, x0, x1] products per key and task, from Arrow batches; a task with very many keys hands on what it has."""
+    width = 1 + 2 * dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            names = [pa.array([k[c] for k in held], kinds[c]) for c in range(len(keys))]
+            made = pa.RecordBatch.from_arrays([*names, pa.array([m.ravel() for m in held.values()], pa.list_(pa.float64()))], [*keys, "m"])
+            held.clear()
+            return made
+
+        kinds = []
+        for batch in batches:
+            kinds = [f.type for f in batch.schema][2:]
+            if not batch.num_rows:
+                continue
+            sides = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for c in (0, 1)]
+            z = np.hstack([np.ones((batch.num_rows, 1)), *sides])
+            if keys:
+                names = batch.select(list(keys)).to_pandas()
+                parts = [(k, z[at]) for k, at in names.groupby(list(keys), sort=False, dropna=False).indices.items()]
+            else:
+                parts = [((), z)]
+            for key, rows in parts:
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                if key not in held and (len(held) + 1) * width * width > HELD_SUMS:
+                    yield out()
+                held[key] = held.get(key, 0.0) + rows.T @ rows
+        if held:
+            yield out()
+    return run
+
+
+def moment_pairs(pairs: DataFrame, x: DataFrame, y: DataFrame, dim: int, keys: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Few weighted pairs in place of ``pairs``: (pairs with weight, x, y), 4 * dim rows a key.
+
+    Together they have the count, the mean and all second moments of the coupled (x0, x1), so every sum of products of what
+    depends linearly on them, as both columns of :func:`bridge_targets` do at a given t, is the same as over all pairs.
+    They lie on the principal axes around the mean.
+    """
+    keys, both = list(keys), 2 * dim
+    j = (pairs.join(x.select(F.col("cell_id").alias("i"), F.col("x").alias("_x0")), "i")
+         .join(y.select(F.col("cell_id").alias("j"), F.col("x").alias("_x1")), "j").select("_x0", "_x1", *keys))
+    kinds = dict(pairs.dtypes)
+    part = j.mapInArrow(_pair_sums(dim, keys), ", ".join([*[f"{k} {kinds[k]}" for k in keys], "m array<double>"]))
+    summed = part.select(*keys, F.posexplode("m").alias("pos", "val")).groupBy(*keys, "pos").agg(F.sum("val").alias("val"))
+    packed = summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "val"))).alias("e")).select(*keys, F.col("e.val").alias("m"))
+
+    @F.pandas_udf("array<struct<weight:double,x0:array<double>,x1:array<double>>>")
+    def spread(m: pd.Series) -> pd.Series:
+        out = []
+        for sums in m:
+            g = np.asarray(sums, dtype=float).reshape(1 + both, 1 + both)
+            n, mean = g[0, 0], g[0, 1:] / g[0, 0]
+            vals, vecs = np.linalg.eigh(g[1:, 1:] / n - np.outer(mean, mean))
+            step = (vecs * np.sqrt(both * np.maximum(vals, 0.0))).T
+            out.append([{"weight": n / (2 * both), "x0": z[:dim], "x1": z[dim:]} for z in np.concatenate([mean + step, mean - step])])
+        return pd.Series(out)
+    few = packed.where(F.size("m") == (1 + both) ** 2).select(*keys, F.posexplode(spread("m")).alias("_p", "_z"))
+    few = cut_lineage(few.select(*keys, F.xxhash64("_p", *keys).alias("i"), "_z.weight", "_z.x0", "_z.x1"))
+    return (few.select("i", F.col("i").alias("j"), "weight", *keys), few.select(F.col("i").alias("cell_id"), F.col("x0").alias("x")),
+            few.select(F.col("i").alias("cell_id"), F.col("x1").alias("x")))
+
+
 def bridge_targets(pairs: DataFrame, x: DataFrame, y: DataFrame, t_values: list[float]) -> DataFrame:
     """Regression table of the bridge: (pair columns, direction, t, x, v).
 

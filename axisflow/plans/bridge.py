@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.field import local_linear_operator
 from ..operators.spectra import operator_spectrum
-from ..operators.transport import bridge_targets
+from ..operators.transport import bridge_targets, moment_pairs
 from ..operators.windows import linspace
 
 
@@ -29,9 +29,11 @@ def bridge_operators(pairs: DataFrame, x: DataFrame, y: DataFrame, dim: int, n_t
     """Local operators and spectra along both directions on ``n_t`` points of [0.03, 0.97].
 
     ``pairs`` (i, j[, keys]) are coupled rows; the regression table is built per t value and the fit at a grid
-    point weighs its neighbours by the kernel.
+    point weighs its neighbours by the kernel. State and velocity at a t are linear in the coupled rows and the fit takes their
+    second moments only, so the table is built from the few weighted pairs that have those of all pairs.
     """
     grid = linspace(0.03, 0.97, n_t)
-    table = bridge_targets(pairs, x, y, grid)
-    ops = local_linear_operator(table, grid, h, dim, ridge, keys=[*keys, "direction"])
+    few, x0, x1 = moment_pairs(pairs, x, y, dim, list(keys))
+    table = bridge_targets(few, x0, x1, grid)
+    ops = local_linear_operator(table, grid, h, dim, ridge, keys=[*keys, "direction"], weight="weight")
     return operator_spectrum(ops, dim)

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,3 +13,25 @@ def test_t_tail_of_many_degrees_of_freedom(spark):
     got = [r[0] for r in df.select(t_two_sided(F.col("t"), F.col("df"))).collect()]
     normal = math.erfc(math.sqrt(2.0))
     assert got[:5] == pytest.approx([normal, normal, 0.5, 1 - 1 / math.sqrt(3), 1.0], abs=1e-7) and got[5] is None
+
+
+def test_bridge_operators_equal_the_fit_over_all_pairs(spark):
+    from axisflow.operators.field import local_linear_operator
+    from axisflow.operators.spectra import operator_spectrum
+    from axisflow.operators.transport import bridge_targets, moment_pairs
+    from axisflow.operators.windows import linspace
+    from axisflow.plans.bridge import bridge_operators
+    rng = np.random.default_rng(4)
+    x = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=2)]) for i in range(40)], "cell_id long, x array<double>")
+    y = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=2) * [3, 1] + 2]) for i in range(60)], "cell_id long, x array<double>")
+    links = sorted({(int(a), int(b), k) for a, b, k in zip(rng.integers(0, 40, 400), rng.integers(0, 60, 400), ["a", "b", "b", "c"] * 100)}, key=str)
+    pairs = spark.createDataFrame(links, "i long, j long, k string").repartition(3)
+    grid = linspace(0.03, 0.97, 6)
+    for keys, some in (([], pairs.where("k = 'b'").drop("k")), (["k"], pairs)):
+        by = [*keys, "direction", "t_idx"]
+        whole = operator_spectrum(local_linear_operator(bridge_targets(some, x, y, grid), grid, 0.2, 2, 1e-3, keys=[*keys, "direction"]), 2)
+        few = bridge_operators(some, x, y, 2, 6, 0.2, 1e-3, keys)
+        one, two = ({tuple(r[c] for c in by): [r["n_rows"], *r["j"], r["lam"]] for r in d.collect()} for d in (whole, few))
+        assert one.keys() == two.keys() and len(one) == 12 * max(1, 3 * len(keys))
+        assert all(np.allclose(one[k], two[k], atol=1e-9) for k in one)
+        assert moment_pairs(some, x, y, 2, keys)[0].count() == 8 * max(1, 3 * len(keys))
