@@ -1,11 +1,15 @@
 """What must not grow with the rows: steps that larger tables have broken, on small inputs."""
 
+import glob
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_t_tail_of_many_degrees_of_freedom(spark):
     from axisflow.functions.special import t_two_sided
@@ -15,6 +19,18 @@ def test_t_tail_of_many_degrees_of_freedom(spark):
     assert got[:5] == pytest.approx([normal, normal, 0.5, 1 - 1 / math.sqrt(3), 1.0], abs=1e-7) and got[5] is None
 
 
+def test_matrix_is_written_and_numbered_in_pieces(spark, tmp_path, monkeypatch):
+    from axisflow.catalog import base, sources
+    from axisflow.sources import readers
+    monkeypatch.setattr(sources, "staging_path", lambda _, name: str(tmp_path / name))
+    got = base.QUERIES["matrix_triplets"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().count()
+    pieces = sorted(glob.glob(os.path.join(tmp_path, "mtx", "matrix.mtx", "part-*")))
+    assert len(pieces) > 1 and open(pieces[0]).readline().startswith("%%")
+    plan = readers.numbered_lines(spark, str(tmp_path / "mtx" / "matrix.mtx"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan
+
+
 def test_bridge_operators_equal_the_fit_over_all_pairs(spark):
     from axisflow.operators.field import local_linear_operator
     from axisflow.operators.spectra import operator_spectrum
