@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -66,13 +68,18 @@ def _(t: Tables):
     return rounded(z.select("cell_id", F.posexplode("z").alias("i", "z")).withColumn("explained", F.lit(float(model["ratio"].sum()))))
 
 
+WIDE_ROWS = 256  # operators of 64 x 64 that are made at once
+
+
 # operators of 64 x 64, the outer products of the vectors: 4,096 columns by a randomised range
 @query("operator_embedding_wide")
 def _(t: Tables):
     @F.pandas_udf("array<double>")
-    def outer(x: pd.Series) -> pd.Series:
-        v = np.stack(x.to_numpy())
-        return pd.Series(list((v[:, :, None] * v[:, None, :]).reshape(len(v), -1)))
+    def outer(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts:
+            for at in range(0, len(x), WIDE_ROWS):  # a row grows 64 times, so a batch goes out in pieces
+                v = np.stack(x.iloc[at:at + WIDE_ROWS].to_numpy())
+                yield pd.Series(list((v[:, :, None] * v[:, None, :]).reshape(len(v), -1)))
     z, model = s.operator_embedding(t.emb.select("cell_id", outer("x").alias("j")), "pca", 6, 4096)
     return rounded(z.select("cell_id", F.posexplode("z").alias("i", "z")).withColumn("explained", F.lit(float(model["ratio"].sum()))))
 

@@ -51,3 +51,14 @@ def test_bridge_operators_equal_the_fit_over_all_pairs(spark):
         assert one.keys() == two.keys() and len(one) == 12 * max(1, 3 * len(keys))
         assert all(np.allclose(one[k], two[k], atol=1e-9) for k in one)
         assert moment_pairs(some, x, y, 2, keys)[0].count() == 8 * max(1, 3 * len(keys))
+
+
+def test_wide_operators_go_out_in_pieces(spark, monkeypatch):
+    from axisflow.catalog import base, spectra
+    seen = []
+    monkeypatch.setattr(spectra.s, "operator_embedding", lambda df, *a: seen.append(df) or (df.select("cell_id", F.col("j").alias("z")), {"ratio": np.ones(1)}))
+    base.QUERIES["operator_embedding_wide"](spark, SF)
+    assert "], 204" in seen[0]._jdf.queryExecution().optimizedPlan().toString()  # an iterator of batches
+    rows = seen[0].join(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("cell_id") == F.col("vec_id"))
+    off = rows.select(F.max(F.abs(F.col("j")[65] - F.col("embedding")[1].cast("double") * F.col("embedding")[1].cast("double"))), F.count("*")).first()
+    assert off[0] < 1e-12 and off[1] == 500
