@@ -8,6 +8,7 @@ For others pass ``by_piece=False``; whole texts are then encoded without a cache
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +36,11 @@ def vocab_path(name: str) -> str:
 
 
 class Encoder:
-    """Encodes text without added special tokens, with the defaults of the vocabulary's library."""
+    """Encodes text without added special tokens, with the defaults of the vocabulary's library.
+
+    ``run`` is for runs of lower-case ASCII letters: where the vocabulary's normaliser and splitter leave those as they
+    are, the library's model is asked for their ids alone; elsewhere it is ``ids``.
+    """
 
     _made: dict[str, "Encoder"] = {}
 
@@ -46,11 +51,23 @@ class Encoder:
             made = Tokenizer.from_file(path)
             made.no_truncation()
             made.no_padding()
-            self.ids = lambda text: made.encode(text, add_special_tokens=False).ids
+            self.ids = self.run = lambda text: made.encode(text, add_special_tokens=False).ids
+            if self._plain(made):
+                tokenize = made.model.tokenize
+                self.run = lambda text: [t.id for t in tokenize(text)]
         else:
             import sentencepiece
             made = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.ids = lambda text: made.encode(text)
+            self.ids = self.run = lambda text: made.encode(text)
+
+    @staticmethod
+    def _plain(made) -> bool:
+        """Whether a run of lower-case ASCII letters reaches the model whole and unchanged, and no added token is one."""
+        probes = ["abcdefghijklmnopqrstuvwxyz", *"abcdefghijklmnopqrstuvwxyz", "ssttrreevvmmlldd"]
+        same = made.normalizer is None or all(made.normalizer.normalize_str(p) == p for p in probes)
+        whole = made.pre_tokenizer is None or all([s for s, _ in made.pre_tokenizer.pre_tokenize_str(p)] == [p] for p in probes)
+        letters = any(t.content.isascii() and t.content.isalpha() for t in made.get_added_tokens_decoder().values())
+        return same and whole and not letters and all(made.encode(p, add_special_tokens=False).ids == [t.id for t in made.model.tokenize(p)] for p in probes)
 
     @classmethod
     def of(cls, vocab: str) -> "Encoder":
@@ -113,7 +130,11 @@ def cache_of(vocab: str, kind: str) -> PieceCache:
     caches = worker_cache("tokens")  # kept from task to task
     if (vocab, kind) not in caches:
         encode = Encoder.of(vocab).ids
-        value = (lambda text: len(encode(text))) if kind == "count" else (lambda text: np.asarray(encode(text), "<u4").tobytes())
+        run = Encoder.of(vocab).run
+
+        def value(text: str):
+            ids = run(text) if text.isascii() and text.isalpha() and text.islower() else encode(text)
+            return len(ids) if kind == "count" else struct.pack(f"<{len(ids)}I", *ids)
         caches[vocab, kind] = PieceCache(value)
     return caches[vocab, kind]
 

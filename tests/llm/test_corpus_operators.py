@@ -106,6 +106,20 @@ def test_piece_cache_stays_exact_when_full(monkeypatch):
         assert cache[t.encode()] == len(encode(t))
 
 
+def test_plain_runs_go_to_the_model_alone(monkeypatch):
+    from axisflow.llm import tokens
+    encoder = Encoder.of(VOCAB)
+    whole = []
+    monkeypatch.setattr(encoder, "ids", lambda text, ids=encoder.ids: whole.append(text) or ids(text))
+    monkeypatch.setattr(tokens, "worker_cache", lambda owner, held={}: held)
+    text = "Invented wordings, thntored ofreblehehe " + " ".join(a + b for a in "abcdefgh" for b in ("s", "t", "zq", "thntored" * 9))
+    for t in [text, *(x for x in ODD if x)]:
+        got = np.frombuffer(tokens.id_bytes(VOCAB)(t), "<u4").tolist()
+        if t is text:
+            assert [w for w in whole if w.isalpha()] == []
+        assert got == Encoder(VOCAB).ids(t), repr(t)
+
+
 # ---------------------------------------------------------------- similarity join
 
 def plain_components(docs, size, percent):
