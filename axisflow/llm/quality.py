@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, put, small, worker_cache
+from .common import columns_of, give_back, put, small, worker_cache
 from .wordhash import mix, text_bytes, words
 
 BITS = 18             # log2 of the number of hashed features
@@ -106,7 +106,8 @@ def fit_hinge(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, cost
     """Dual coordinate descent for a linear model under hinge loss; rows are unit vectors of the scaled indicators."""
     weight, bias = np.zeros(len(ratio)), 0.0
     values = [ratio[r] for r in rows]
-    values = [v / max(np.sqrt((v * v).sum()), 1e-9) for v in values]
+    for v in values:  # in place: together they are the largest thing in the driver
+        v /= max(np.sqrt((v * v).sum()), 1e-9)
     sign = np.where(label > 0, 1.0, -1.0)
     square = np.array([float((v * v).sum()) + 1.0 for v in values])
     dual = np.zeros(len(rows))
@@ -188,12 +189,15 @@ def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "l
     picked.sort(key=lambda r: (r.pick, r.label, bytes(r.features)))
     features = [np.frombuffer(r.features, "<i4") for r in picked]
     label = np.array([r.label for r in picked])
-    test = np.arange(len(picked)) % 5 == 4
+    del picked
+    test = np.arange(len(features)) % 5 == 4
     weight, bias = fit_hinge([f for f, t in zip(features, test) if not t], label[~test], ratio)
     model = QualityModel(weight * ratio, ratio * ratio, bias, 1.0, 0.0)
     margin = np.array([(model.scaled[f].sum() / max(np.sqrt(model.square[f].sum()), 1e-9)) + bias for f, t in zip(features, test) if t])
     if len(margin):
         model.slope, model.shift = _calibrate(margin, label[test])
+    del features
+    give_back()  # else the rows' memory stays with the driver for as long as it runs
     return model
 
 

@@ -64,6 +64,17 @@ def test_held_out_accuracy(spark):
     assert got.where("score < 0 or score > 1 or predicted <> int(score >= 0.5)").count() == 0
 
 
+def test_fit_gives_its_memory_back(spark):
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) / 1024
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    before = held()
+    quality_classifier(docs, labels)
+    assert held() - before < 25
+
+
 def test_classifier_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "some words"), (4, "x " * 100_000), (4, "y")], DOCS)
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (4, 7), (4, 1), (4, 1)], "doc_id long, quality int")
