@@ -20,7 +20,7 @@ MAX_FIT = 12_000      # expected number of labelled rows that the linear model i
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 30
-BATCH = 512           # texts whose features are held at once
+BATCH = 128           # texts whose features are held at once
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True

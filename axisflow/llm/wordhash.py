@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21  # bytes that are hashed at once; a text may be longer
+SLICE = 1 << 18  # bytes that are hashed at once, some fifty bytes of arrays each; a text may be longer
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)

@@ -41,6 +41,18 @@ def test_word_hashes_follow_the_words(monkeypatch):
     assert len(shingles(np.array(whole[0], np.uint64), 3)) == 1 == len(shingles(np.array(whole[8], np.uint64), 3))
 
 
+def test_hashing_holds_little_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = pa.array([("w" * 99 + " ") * 5000] * 8)
+    tracemalloc.start()
+    assert [len(h) for h in per_text(texts)] == [5000] * 8
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000
+
+
 # ---------------------------------------------------------------- quality classifier
 
 def test_hinge_separates():
