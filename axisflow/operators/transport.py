@@ -44,10 +44,10 @@ def pair_cost(x: DataFrame, y: DataFrame, k: int) -> DataFrame:
     return a.union(b).groupBy("i", "j").agg(F.pow(F.min("dist"), 2).alias("c"))
 
 
-def _scalings(kernel: DataFrame, known: DataFrame, at: str, other: str, mass: float, old: DataFrame) -> DataFrame:
-    """One half-step: (at, s, o) with s = mass / sum_other k * s(other) and o the scaling before. The kernel lies by ``other``."""
-    sums = kernel.join(known.select(other, F.col("s").alias("_w")), other).groupBy(at).agg(F.sum(F.col("k") * F.col("_w")).alias("_k"))
-    return sums.join(old.select(at, F.col("s").alias("o")), at).select(at, (F.lit(mass) / F.col("_k")).alias("s"), "o")
+def _scalings(kernel: DataFrame, known: DataFrame, at: str, other: str, mass: float) -> DataFrame:
+    """One half-step: (at, s) with s = mass / sum_other k * s(other). The kernel lies by ``other``."""
+    sums = kernel.join(known.select(other, F.col("s").alias("_w")).hint("shuffle_hash"), other).groupBy(at).agg(F.sum(F.col("k") * F.col("_w")).alias("_k"))
+    return sums.select(at, (F.lit(mass) / F.col("_k")).alias("s"))
 
 
 def sinkhorn(cost: DataFrame, eps: float, iters: int = 1000, tol: float = TOLERANCE, partitions: int | None = None) -> dict:
@@ -81,10 +81,13 @@ def sinkhorn(cost: DataFrame, eps: float, iters: int = 1000, tol: float = TOLERA
             k_by_i = cut_lineage(k_by_j.repartition(n_parts, "i"))
             u, v = f.select("i", F.lit(1.0).alias("s")), g.select("j", F.lit(1.0).alias("s"))
             while True:
-                for _ in range(ROUNDS_PER_CUT):
-                    u = _scalings(k_by_j, v, "i", "j", a, u)
-                    v = _scalings(k_by_i, u, "j", "i", b, v)
-                u, v, rounds = cut_lineage(u), cut_lineage(v), rounds + ROUNDS_PER_CUT
+                # a half-step is computed once: the last two are cut one after the other, and only the last u meets the one before
+                for _ in range(ROUNDS_PER_CUT - 1):
+                    u = _scalings(k_by_j, v, "i", "j", a)
+                    v = _scalings(k_by_i, u, "j", "i", b)
+                before = u.select("i", F.col("s").alias("o"))
+                u = cut_lineage(_scalings(k_by_j, v, "i", "j", a).join(before, "i"))
+                v, rounds = cut_lineage(_scalings(k_by_i, u, "j", "i", b)), rounds + ROUNDS_PER_CUT
                 seen = u.agg(F.sum(F.abs(F.col("o") / F.col("s") - 1.0) * a).alias("error"), F.max(F.abs(F.log("s"))).alias("far")).first()
                 error = seen["error"]
                 if error <= want or rounds >= iters or seen["far"] > FAR:

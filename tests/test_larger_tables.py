@@ -62,3 +62,18 @@ def test_wide_operators_go_out_in_pieces(spark, monkeypatch):
     rows = seen[0].join(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("cell_id") == F.col("vec_id"))
     off = rows.select(F.max(F.abs(F.col("j")[65] - F.col("embedding")[1].cast("double") * F.col("embedding")[1].cast("double"))), F.count("*")).first()
     assert off[0] < 1e-12 and off[1] == 500
+
+
+def test_transport_rounds_compute_a_half_step_once(spark, monkeypatch):
+    from axisflow.operators import transport
+    seen = []
+    cut = transport.cut_lineage
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    monkeypatch.setattr(transport, "cut_lineage", lambda df: seen.append((df.columns[:2], joins(df))) or cut(df))
+    cost = spark.createDataFrame([(i, 100 + j, float((i * 7 + j * 3) % 5)) for i in range(6) for j in range(4)], "i long, j long, c double")
+    done = transport.sinkhorn(cost, 2.0, partitions=2)
+    masses = [r.m for r in done["plan"].groupBy("i").agg(F.sum("p").alias("m")).collect()]
+    assert done["error"] <= transport.TOLERANCE and len(masses) == 6 and max(abs(m - 1 / 6) for m in masses) < 1e-6
+    steps = [n for names, n in seen if names == ["j", "s"]]
+    assert steps and max(steps) == 1
+    assert max(n for names, n in seen if names == ["i", "s"]) <= 4 * transport.ROUNDS_PER_CUT
