@@ -222,7 +222,7 @@ def _drop_known(suspects, known, min_chars: int, keep_first: bool):
                 return True
             rows.append(_strip(raw, own, gone))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
-    return run
+    return run.asNondeterministic()  # else a filter on the result runs it once more, in a second worker beside the first
 
 
 def _suspected(suspects, min_chars: int):
@@ -247,7 +247,7 @@ def _drop_lines():
             drop = set() if g is None else {int(x) for x in g}
             rows.append(_strip(raw, [b"x"] * (raw.count(b"\n") + 1), lambda i, _, drop=drop: i in drop))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
-    return run
+    return run.asNondeterministic()
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text",

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import columns_of, put, worker_cache
 
 VOCAB = "word_bpe_49k.json"
@@ -42,8 +43,6 @@ class Encoder:
     are, the library's model is asked for their ids alone; elsewhere it is ``ids``.
     """
 
-    _made: dict[str, "Encoder"] = {}
-
     def __init__(self, vocab: str):
         path = vocab_path(vocab)
         if path.endswith(".json"):
@@ -71,9 +70,11 @@ class Encoder:
 
     @classmethod
     def of(cls, vocab: str) -> "Encoder":
-        if vocab not in cls._made:
-            cls._made[vocab] = cls(vocab)
-        return cls._made[vocab]
+        """The encoder of this process; it goes with the caches when another operator takes the worker."""
+        made = common.worker_cache("tokens")
+        if vocab not in made:
+            made[vocab] = cls(vocab)
+        return made[vocab]
 
 
 def pieces(text: bytes) -> list[bytes]:

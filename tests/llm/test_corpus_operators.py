@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from axisflow.llm import packing
+from axisflow.llm import linededup, packing
 from axisflow.llm.ngramjoin import SignatureTree, bitmap, bits_for, drop_similar, fold, prefix_size, similar_components
 from axisflow.llm.packing import fractional_plan, integer_plan, pack
 from axisflow.llm.quality import fit_hinge, quality_classifier
@@ -342,3 +342,21 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     check_pieces(now.collect(), clean, 4096, [2])
     whole = corpus_pipeline.run(spark, at).collect()
     check_pieces(whole, clean, 4096, [2])
+
+
+def test_lines_are_stripped_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"all\none {i}", "en", "s", 7 + len(str(i))) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    strip = lambda: corpus_pipeline.lines(spark, docs, SF)
+    whole = sorted((r.doc_id, r.text) for r in strip().collect())
+    assert whole == [(i, "all\none 0" if i == 0 else f"one {i}") for i in range(12)]
+    assert strip()._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    monkeypatch.setattr(corpus_pipeline, "line_dedup", lambda *a, **kw: linededup.line_dedup(*a, max_broadcast=0, **kw))
+    assert sorted((r.doc_id, r.text) for r in strip().collect()) == whole
+
+
+def test_the_encoder_goes_with_the_caches():
+    from axisflow.llm.common import worker_cache
+    first = Encoder.of(VOCAB)
+    assert Encoder.of(VOCAB) is first
+    worker_cache("lines")
+    assert Encoder.of(VOCAB) is not first
