@@ -6,7 +6,8 @@ inside a task and only per-row partial sums leave it, so the pairs are never wri
 Both go from coarse to fine and stop at a tolerance on the marginals. The table form keeps its kernel in two
 partitionings, so a half-step moves the scalings alone; epsilon falls by steps, and after each step the potentials go
 into the kernel and entries too small to matter leave it. The point form solves the cells of both sets first, starts
-from their potentials, and compares only pairs of cells whose bounds say that they can contribute.
+from their potentials, and compares only pairs of cells whose bounds say that they can contribute. Pairs of blocks are
+written once with their vectors, so a half-step moves potentials and partial sums alone.
 """
 
 from __future__ import annotations
@@ -25,7 +26,12 @@ from ..session import cut_lineage
 from .neighbors import knn
 from .pivots import PivotIndex, distances
 
-BLOCK_ROWS = 512
+BLOCKS = 16           # blocks of a point set, at least so many, and
+BLOCK_ROWS = 512      # no smaller ones than this;
+MOST_ROWS = 8192      # no larger ones than this, or
+BLOCK_BYTES = 4 << 20  # than this
+PAIRS_PER_TASK = 4    # pairs of blocks that a task holds
+TILE = 256            # rows of a block that are compared at once
 CELL_ROWS = 256       # rows a cell of a point set is meant to hold, and
 MOST_CELLS = 512      # cells at most; crowded cells are cut into blocks
 ROUNDS_PER_CUT = 4    # rounds between two looks at the error, over a cost table
@@ -111,9 +117,9 @@ def transport_cost(plan: DataFrame) -> Column:
 
 
 class _Cells:
-    """A point set packed into blocks of its cells: the blocks, and per cell its centre, radius and rows."""
+    """A point set packed into blocks of neighbouring cells, a row each; per cell its centre, radius and rows."""
 
-    def __init__(self, points: DataFrame, block_rows: int):
+    def __init__(self, points: DataFrame, block_rows: int | None):
         spark = points.sparkSession
         n = points.count()
         wanted = max(1, min(MOST_CELLS, n // CELL_ROWS))
@@ -130,14 +136,63 @@ class _Cells:
         self.size, self.radius = np.zeros(len(index.pivots)), np.zeros(len(index.pivots))
         for r in placed.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect():
             self.size[r["c"]], self.radius[r["c"]] = r["n"], r["r"]
-        parts = F.element_at(F.array(*[F.lit(int(max(1, -(-s // block_rows)))) for s in self.size]), F.col("c") + 1)
-        self.blocks = cut_lineage(placed.withColumn("b", F.pmod(F.xxhash64("cell_id"), parts).cast("int")).groupBy("c", "b")
-                                  .agg(F.sort_array(F.collect_list(F.struct("cell_id", "x"))).alias("r"))
-                                  .select("c", "b", F.col("r.cell_id").alias("ids"), F.col("r.x").alias("x")))
-        self.n_blocks = self.blocks.count()
-
-    def named(self, c: str, b: str, ids: str, x: str) -> DataFrame:
-        return self.blocks.select(F.col("c").alias(c), F.col("b").alias(b), F.col("ids").alias(ids), F.col("x").alias(x))
+        index.count = self.size.astype(int)
+        index.blocked(block_rows or max(BLOCK_ROWS, min(n // BLOCKS, MOST_ROWS, BLOCK_BYTES // (8 * index.pivots.shape[1]))))
+        self.n_blocks = index.blocks
+        self.lies = np.zeros((len(index.pivots), index.blocks), bool)  # which blocks a cell's rows lie in
+        for c in np.flatnonzero(self.size):
+            self.lies[c, index.first[c]:index.first[c] + index.parts[c]] = True
+        dealt = spark.sparkContext.broadcast((index.first, index.parts))
+
+        @F.pandas_udf("int")
+        def home(c: pd.Series, hashed: pd.Series) -> pd.Series:
+            first, parts = dealt.value
+            own = c.to_numpy()
+            return pd.Series(first[own] + hashed.to_numpy() % parts[own], dtype="int32")
+
+        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["c", "cell_id"])
+            return pd.DataFrame({"b": [pdf["b"].iloc[0]], "ids": [pdf["cell_id"].tolist()], "cells": [pdf["c"].to_numpy()], "x": [np.stack(pdf["x"].to_numpy()).astype(float).tobytes()]})
+        key_t = dict(points.dtypes)["cell_id"]
+        homed = placed.select("cell_id", "x", "c", home("c", F.pmod(F.xxhash64("cell_id"), F.lit(1 << 40))).alias("b"))
+        self.blocks = cut_lineage(homed.groupBy("b").applyInPandas(pack, f"b int, ids array<{key_t}>, cells array<int>, x binary"))
+
+
+class _Pairs:
+    """Pairs of blocks with the vectors of both, kept by pair: they are written once, and a half-step moves potentials alone."""
+
+    def __init__(self, x: _Cells, y: _Cells):
+        self.x, self.y = x, y
+        self.have = np.zeros((x.n_blocks, y.n_blocks), bool)
+
+    def hold(self, *kept: np.ndarray) -> None:
+        """See that all pairs of blocks with a kept pair of cells (x, y) are there."""
+        want = self.have.copy()
+        for k in kept:
+            want |= (self.x.lies.T.astype(float) @ k.astype(float) @ self.y.lies.astype(float)) > 0
+        if (want & ~self.have).any():
+            self.have = want
+            spark = self.x.blocks.sparkSession
+            both = [(int(i), int(j)) for i, j in np.argwhere(want)]
+            beside = F.broadcast(spark.createDataFrame(both, "xb int, yb int"))
+            n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(both) // PAIRS_PER_TASK))
+            side = lambda cells, v: (cells.blocks.select(F.col("b").alias(f"{v}b"), F.col("cells").alias(f"{v}c"), F.col("x").alias(f"{v}x"))
+                                     .join(beside, f"{v}b").repartition(n_parts, "xb", "yb"))
+            adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+            spark.conf.set("spark.sql.adaptive.enabled", "false")  # a checkpoint of an adaptive plan forgets how its rows are dealt
+            try:
+                self.table = cut_lineage(side(self.x, "x").join(side(self.y, "y").hint("shuffle_hash"), ["xb", "yb"]))
+            finally:
+                spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+    def beside(self, **pots: DataFrame) -> DataFrame:
+        """The pairs with potentials, each given as (b, p): ``f`` of the x block, ``g`` of the y block."""
+        out = self.table
+        for name, pot in pots.items():
+            own, other, n = ("xb", "yb", self.y.n_blocks) if name == "f" else ("yb", "xb", self.x.n_blocks)
+            spread = pot.select(F.col("b").alias(own), F.col("p").alias(name), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other))
+            out = out.join(spread.hint("shuffle_hash"), ["xb", "yb"])
+        return out
 
 
 def _cost_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -175,8 +230,8 @@ def _coarse(x: _Cells, y: _Cells, eps: float, iters: int) -> np.ndarray:
     return out
 
 
-def _kept(lo: np.ndarray, hi: np.ndarray, g_lo: np.ndarray, g_hi: np.ndarray, size: np.ndarray, own: np.ndarray, eps: float, loss: float) -> list[tuple[int, int]]:
-    """Pairs of cells (own, other) that an update of the own rows must compare: the rest adds less than ``loss`` of any row's sum."""
+def _kept(lo: np.ndarray, hi: np.ndarray, g_lo: np.ndarray, g_hi: np.ndarray, size: np.ndarray, own: np.ndarray, eps: float, loss: float) -> np.ndarray:
+    """Whether a pair of cells (own, other) is one that an update of the own rows must compare: the rest adds less than ``loss`` of any row's sum."""
     held = size > 0
     with np.errstate(divide="ignore"):
         rows = np.log(size)[None, :]
@@ -186,54 +241,85 @@ def _kept(lo: np.ndarray, hi: np.ndarray, g_lo: np.ndarray, g_hi: np.ndarray, si
     small = np.take_along_axis(share, order, 1).cumsum(axis=1) <= loss
     drop = np.zeros_like(small)
     np.put_along_axis(drop, order, small, 1)
-    return [(int(i), int(j)) for i, j in np.argwhere(~drop & held[None, :] & (own > 0)[:, None])]
-
-
-def _lse(batches: Iterator[pd.DataFrame], eps: float) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for xc, xb, yc, yb, xx, yx, q in zip(pdf["xc"], pdf["xb"], pdf["yc"], pdf["yb"], pdf["xx"], pdf["yx"], pdf["q"]):
-            e = (np.asarray(q)[None, :] - _cost_block(np.stack(xx), np.stack(yx))) / eps
-            m = e.max(axis=1)
-            yield pd.DataFrame({"xc": [xc], "xb": [xb], "part": [yc * 1_000_003 + yb], "m": [m], "s": [np.exp(e - m[:, None]).sum(axis=1)]})
+    return ~drop & held[None, :] & (own > 0)[:, None]
+
+
+def _tiles(own: np.ndarray, other: np.ndarray, kept: np.ndarray) -> Iterator[tuple[slice, slice | np.ndarray]]:
+    """Rows of two blocks to compare, given the cell of each, in order: a few own rows, and the other rows of cells kept for them."""
+    names, place = np.unique(other, return_inverse=True)
+    for at in range(0, len(own), TILE):
+        part = own[at:at + TILE]
+        cells = np.unique(part)
+        met = kept[np.ix_(cells, names)]
+        if met.all():
+            yield slice(at, at + len(part)), slice(None)
+            continue
+        starts = np.searchsorted(part, [*cells, cells[-1] + 1])
+        for m, i, j in zip(met, starts[:-1], starts[1:]):
+            if m.any():
+                yield slice(at + int(i), at + int(j)), np.flatnonzero(m[place])
+
+
+def _sides(batch: pa.RecordBatch, v: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each row the cells and the vectors of its block."""
+    for c, x in zip(batch.column(f"{v}c"), batch.column(f"{v}x")):
+        cells = c.values.to_numpy()
+        yield cells, np.frombuffer(x.as_buffer(), float).reshape(len(cells), -1)
+
+
+def _lse(own: str, other: str, pot: str, kept, eps: float):
+    """Per pair of blocks the log of the sum over the other rows, for each own row, as a maximum and a sum beside it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, ((xc, x), (yc, y)) in enumerate(zip(_sides(batch, own), _sides(batch, other))):
+                q = batch.column(pot)[r].values.to_numpy()
+                m, s = np.full(len(x), -np.inf), np.zeros(len(x))
+                for i, j in _tiles(xc, yc, kept.value):
+                    e = (q[j][None, :] - _cost_block(x[i], y[j])) / eps
+                    m[i] = e.max(axis=1)
+                    s[i] = np.exp(e - m[i][:, None]).sum(axis=1)
+                if s.any():
+                    yield pa.RecordBatch.from_arrays([batch.column(f"{own}b").slice(r, 1), batch.column(f"{other}b").slice(r, 1), pa.array([m]), pa.array([s])], ["b", "part", "m", "s"])
+    return run
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     m, s = np.stack(pdf["m"]), np.stack(pdf["s"])
     top = m.max(axis=0)
     first = pdf.iloc[0]
-    return pd.DataFrame({"xc": [first["xc"]], "xb": [first["xb"]], "part": [int(first["part"]) // 64], "m": [top], "s": [(s * np.exp(m - top)).sum(axis=0)]})
-
-
-_PART = "xc int, xb int, part long, m array<double>, s array<double>"
+    with np.errstate(invalid="ignore"):  # rows for which none of these blocks is kept
+        total = np.where(s > 0, s * np.exp(m - top), 0.0).sum(axis=0)
+    return pd.DataFrame({"b": [first["b"]], "part": [int(first["part"]) // 64], "m": [top], "s": [total]})
 
 
-def _pairs(x: _Cells, y: _Cells, kept: list[tuple[int, int]], pot: DataFrame) -> DataFrame:
-    """Blocks of the kept pairs of cells with the potentials ``q`` of the y block."""
-    spark = pot.sparkSession
-    beside = spark.createDataFrame(kept, "xc int, yc int")
-    right = y.named("yc", "yb", "y_ids", "yx").join(pot.select(F.col("c").alias("yc"), F.col("b").alias("yb"), F.col("p").alias("q")), ["yc", "yb"])
-    return x.named("xc", "xb", "x_ids", "xx").join(beside, "xc").join(right, "yc")
+_PART = "b int, part int, m array<double>, s array<double>"
 
 
-def _point_half(x: _Cells, y: _Cells, kept: list[tuple[int, int]], pot: DataFrame, eps: float, old: DataFrame | None) -> DataFrame:
-    """Potentials of the x blocks given those of the y blocks, (c, b, p, o), with the ones before as ``o``."""
-    part = _pairs(x, y, kept, pot).select("xc", "xb", "yc", "yb", "xx", "yx", "q").mapInPandas(lambda it: _lse(it, eps), _PART)
-    groups = y.n_blocks
+def _point_half(pairs: _Pairs, to: str, kept: np.ndarray, pot: DataFrame, eps: float, old: DataFrame | None) -> DataFrame:
+    """Potentials of the blocks of the side ``to`` given those of the other, (b, p, o), with the ones before as ``o``."""
+    other, cells, rest = ("y", pairs.x, pairs.y) if to == "x" else ("x", pairs.y, pairs.x)
+    name = "g" if to == "x" else "f"
+    held = pot.sparkSession.sparkContext.broadcast(kept)
+    part = (pairs.beside(**{name: pot}).select(f"{to}b", f"{to}c", f"{to}x", f"{other}b", f"{other}c", f"{other}x", name)
+            .mapInArrow(_lse(to, other, name, held, eps), _PART))
+    groups = rest.n_blocks
     while groups > 64:  # partial sums of a block are added in groups of bounded size
         groups = -(-groups // 64)
-        part = part.groupBy("xc", "xb", F.pmod(F.xxhash64("part"), F.lit(groups))).applyInPandas(_merge, _PART)
-    part = part.groupBy("xc", "xb").applyInPandas(_merge, _PART)
-    lm = float(np.log(x.n))
+        part = part.groupBy("b", F.pmod(F.xxhash64("part"), F.lit(groups))).applyInPandas(_merge, _PART)
+    part = part.groupBy("b").applyInPandas(_merge, _PART)
+    lm = float(np.log(cells.n))
     p = F.transform(F.arrays_zip("m", "s"), lambda z: F.lit(-eps) * (z["m"] + F.log(z["s"]) + F.lit(lm)))
-    out = part.select(F.col("xc").alias("c"), F.col("xb").alias("b"), p.alias("p"))
+    out = part.select("b", p.alias("p"))
     if old is None:
         return out.withColumn("o", F.lit(None).cast("array<double>"))
-    return out.join(old.select("c", "b", F.col("p").alias("o")), ["c", "b"])
+    return out.join(old.select("b", F.col("p").alias("o")), "b")
 
 
-def _ranges(pot: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    lo, hi = np.zeros(cells), np.zeros(cells)
-    for r in pot.groupBy("c").agg(F.min(F.array_min("p")).alias("lo"), F.max(F.array_max("p")).alias("hi")).collect():
+def _ranges(pot: DataFrame, cells: _Cells) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest potential in each cell."""
+    lo, hi = np.zeros(len(cells.size)), np.zeros(len(cells.size))
+    rows = pot.select("b", "p").join(cells.blocks.select("b", "cells"), "b").select(F.explode(F.arrays_zip(F.col("cells").alias("c"), "p")).alias("z"))
+    for r in rows.groupBy("z.c").agg(F.min("z.p").alias("lo"), F.max("z.p").alias("hi")).collect():
         lo[r["c"]], hi[r["c"]] = r["lo"], r["hi"]
     return lo, hi
 
@@ -244,7 +330,7 @@ def _change(pot: DataFrame, eps: float, n: int) -> float:
     return pot.agg(F.sum(off).alias("e")).first()["e"] / n
 
 
-def sinkhorn_points(x: DataFrame, y: DataFrame, eps: float, iters: int = 1000, tol: float = TOLERANCE, block_rows: int = BLOCK_ROWS) -> dict:
+def sinkhorn_points(x: DataFrame, y: DataFrame, eps: float, iters: int = 1000, tol: float = TOLERANCE, block_rows: int | None = None) -> dict:
     """Dense entropic transport between point sets (cell_id, x) with squared Euclidean cost, uniform marginals.
 
     Returns potentials f and g as (cell_id, p), the source map ``per_source`` (cell_id, cost, mass, y_bar of
@@ -257,43 +343,51 @@ def sinkhorn_points(x: DataFrame, y: DataFrame, eps: float, iters: int = 1000, t
     lo, hi = _cost_bounds(xs, ys)
     start = _coarse(xs, ys, eps, 200)
     loss = tol / 10.0
-    at = F.element_at(F.array(*[F.lit(float(v)) for v in start]), F.col("c") + 1)
-    g = ys.blocks.select("c", "b", F.transform("ids", lambda _: at).alias("p"))
+    at = F.array(*[F.lit(float(v)) for v in start])
+    g = ys.blocks.select("b", F.transform("cells", lambda c: F.get(at, c)).alias("p"))
     g_lo = g_hi = start
+    pairs = _Pairs(xs, ys)
     f, rounds, error = None, 0, float("inf")
     while rounds < iters and error > tol:
         # the pairs are chosen anew after each look at the potentials, and hold for the rounds up to the next
         kept = _kept(lo, hi, g_lo, g_hi, ys.size, xs.size, eps, loss)
-        f = cut_lineage(_point_half(xs, ys, kept, g, eps, f))
-        f_lo, f_hi = _ranges(f, len(xs.size))
+        pairs.hold(kept)
+        f = cut_lineage(_point_half(pairs, "x", kept, g, eps, f))
+        f_lo, f_hi = _ranges(f, xs)
         error = _change(f, eps, xs.n) if rounds else error
         back = _kept(lo.T, hi.T, f_lo, f_hi, xs.size, ys.size, eps, loss)
-        g = _point_half(ys, xs, back, f, eps, None)
+        pairs.hold(back.T)
+        g = _point_half(pairs, "y", back, f, eps, None)
         rounds += 1
         for _ in range(min(POINT_ROUNDS, rounds) - 1 if error > tol else 0):
-            f = _point_half(xs, ys, kept, g, eps, f)
-            g = _point_half(ys, xs, back, f, eps, None)
+            f = _point_half(pairs, "x", kept, g, eps, f)
+            g = _point_half(pairs, "y", back, f, eps, None)
             rounds += 1
         f, g = cut_lineage(f), cut_lineage(g)
-        g_lo, g_hi = _ranges(g, len(ys.size))
-
-    def plan_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ids, xx, yx, fp, gp in zip(pdf["x_ids"], pdf["xx"], pdf["yx"], pdf["f"], pdf["q"]):
-                c = _cost_block(np.stack(xx), np.stack(yx))
-                p = np.exp((np.asarray(fp)[:, None] + np.asarray(gp)[None, :] - c) / eps)
-                yield pd.DataFrame({"cell_id": ids, "cost": (p * c).sum(1), "mass": p.sum(1), "ybar": list(p @ np.stack(yx))})
+        g_lo, g_hi = _ranges(g, ys)
     kept = _kept(lo, hi, g_lo, g_hi, ys.size, xs.size, eps, loss)
-    pairs = _pairs(xs, ys, kept, g).join(f.select(F.col("c").alias("xc"), F.col("b").alias("xb"), F.col("p").alias("f")), ["xc", "xb"])
+    pairs.hold(kept)
+    held = x.sparkSession.sparkContext.broadcast(kept)
+
+    def plan_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, ((xc, xx), (yc, yy)) in enumerate(zip(_sides(batch, "x"), _sides(batch, "y"))):
+                fp, gp = batch.column("f")[r].values.to_numpy(), batch.column("g")[r].values.to_numpy()
+                for i, j in _tiles(xc, yc, held.value):
+                    c = _cost_block(xx[i], yy[j])
+                    p = np.exp((fp[i][:, None] + gp[j][None, :] - c) / eps)
+                    n = len(p)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("xb")[r].as_py(), np.int32)), pa.array(np.arange(i.start, i.start + n, dtype=np.int32)), pa.array((p * c).sum(1)),
+                                                      pa.array(p.sum(1)), pa.array(list(p @ yy[j]), pa.list_(pa.float64()))], ["b", "pos", "cost", "mass", "ybar"])
     dim = xs.centres.shape[1]
-    key_t = dict(x.dtypes)["cell_id"]
-    part = pairs.select("x_ids", "xx", "yx", "f", "q").mapInPandas(plan_sums, f"cell_id {key_t}, cost double, mass double, ybar array<double>")
-    per = part.groupBy("cell_id").agg(F.sum("cost").alias("cost"), F.sum("mass").alias("mass"), sum_vectors("ybar", dim).alias("y_bar"))
+    part = pairs.beside(f=f, g=g).select("xb", "xc", "xx", "yc", "yx", "f", "g").mapInArrow(plan_sums, "b int, pos int, cost double, mass double, ybar array<double>")
+    per = part.groupBy("b", "pos").agg(F.sum("cost").alias("cost"), F.sum("mass").alias("mass"), sum_vectors("ybar", dim).alias("y_bar"))
+    per = xs.blocks.select("b", F.posexplode("ids").alias("pos", "cell_id")).join(per, ["b", "pos"]).select("cell_id", "cost", "mass", "y_bar")
 
     def unpacked(cells: _Cells, pot: DataFrame) -> DataFrame:
-        rows = cells.blocks.select("c", "b", "ids").join(pot.select("c", "b", "p"), ["c", "b"])
+        rows = cells.blocks.select("b", "ids").join(pot.select("b", "p"), "b")
         return rows.select(F.explode(F.arrays_zip(F.col("ids").alias("cell_id"), "p")).alias("z")).select("z.cell_id", "z.p")
-    compared = len(kept) / max(1, int((xs.size > 0).sum() * (ys.size > 0).sum()))
+    compared = int(kept.sum()) / max(1, int((xs.size > 0).sum() * (ys.size > 0).sum()))
     return {"f": unpacked(xs, f), "g": unpacked(ys, g), "per_source": per, "rounds": rounds, "error": error, "compared": compared}
 
 

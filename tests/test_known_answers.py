@@ -242,6 +242,19 @@ def test_point_sinkhorn_drops_far_cells_and_stays_exact(spark, monkeypatch):
     assert np.allclose([per[i]["y_bar"] for i in range(60)], want @ b, atol=1e-3)
 
 
+def test_point_sinkhorn_half_steps_move_no_vectors(spark):
+    rng = np.random.default_rng(4)
+    a, b = (transport._Cells(vectors(spark, rng.normal(size=(n, 3))), 8) for n in (40, 30))
+    pairs = transport._Pairs(a, b)
+    pairs.hold(np.ones((len(a.size), len(b.size)), bool))
+    table, pot = pairs.table, b.blocks.select("b", F.transform("cells", lambda _: F.lit(0.0)).alias("p"))
+    pairs.hold(np.ones((len(a.size), len(b.size)), bool))
+    assert pairs.table is table
+    step = pairs.beside(g=pot)
+    assert step.count() == a.n_blocks * b.n_blocks
+    assert step._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_divergence_of_a_set_from_itself(spark):
     a = np.random.default_rng(9).normal(size=(9, 3))
     assert transport.sinkhorn_divergence(vectors(spark, a), vectors(spark, a), 0.5, iters=3).first()["divergence"] == pytest.approx(0.0, abs=1e-9)
