@@ -2,9 +2,10 @@
 
 1. Texts with one shingle set form a class; every later step sees a class once, however many copies it has.
 2. Two sets can only reach the similarity if their prefixes share a shingle (rare shingles first). Classes that share
-   one meet in that shingle's group. A signature tree over the group - nodes with OR-ed bitmaps, size and bit ranges -
-   is traversed against itself; node pairs whose greatest possible overlap is too small are pruned, as are pairs that
-   are joined already. What is left connects classes to clusters, a superset of the true components.
+   one meet in that shingle's group; groups of the same classes are one. A signature tree over the group - nodes with
+   OR-ed bitmaps, size and bit ranges - is traversed against itself; node pairs whose greatest possible overlap is too
+   small are pruned, as are pairs that are joined already. What is left connects classes to clusters, a superset of the
+   true components. A large group is cut into blocks; what its greatest part leaves out meets every block.
 3. Each cluster's texts are gathered once, in blocks of bounded size, and a tree with sharper bitmaps decides which sets
    are compared exactly. Pairs already in one component are pruned, so copies by the thousand cost a chain of links.
 """
@@ -28,7 +29,7 @@ PERCENT = 90      # intersection over union
 HEAVY = 1000      # a shingle in more than one of so many texts is ordered last
 GROUP = 1024      # classes of a prefix group that are traversed together
 CLUSTER = 1500    # classes of a cluster that are compared in one task
-ANCHORS = 24      # classes of a large cluster that every block sees
+ANCHORS = 24      # classes of a large group or cluster that every block sees
 HELD = 1 << 21    # shingles that a task holds before it counts them
 
 
@@ -76,8 +77,8 @@ def heavy_shingles(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def bits_for(n: int) -> int:
-    """Bits of a signature, about one for each shingle."""
-    return 1 << min(max(int(n).bit_length() - 1, 7), 15)
+    """Bits of a signature, one or two for each shingle: with fewer, unrelated sets of almost twice as many shingles pass at 80 percent."""
+    return 1 << min(max(int(n).bit_length(), 7), 16)
 
 
 def bitmap(s: np.ndarray, bits: int) -> bytes:
@@ -255,16 +256,25 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _unite_parts(tree: SignatureTree, parts: list) -> None:
+    """Leaves of one part were joined in an earlier round."""
+    first: dict[int, int] = {}
+    for i, part in enumerate(parts):
+        if part is not None:
+            tree.unite(first.setdefault(part, i), i)
+
+
 def _candidates(percent: int):
     """Edges that connect the classes of a prefix group that may be similar: at most one fewer than there are classes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for _, (classes, sizes, maps) in _groups(batches, 2):
-            own = {c: (n, c, m) for c, n, m in zip(classes, sizes, maps)}
+        for _, (classes, sizes, maps, parts) in _groups(batches, 2):
+            own = {c: (n, c, m, p) for c, n, m, p in zip(classes, sizes, maps, parts)}
             rows = sorted(own.values(), key=lambda r: r[:2])
             if len(rows) < 2:
                 continue
             tree = SignatureTree([r[0] for r in rows], [int.from_bytes(r[2], "little") for r in rows], [8 * len(r[2]) for r in rows], percent)
+            _unite_parts(tree, [r[3] for r in rows])
             for i, j in tree.join():
                 if tree.unite(i, j):
                     found.add((rows[i][1], rows[j][1]))
@@ -300,13 +310,9 @@ def _verified(size: int, percent: int):
             if len(rows) < 2:
                 continue
             sets = [wanted[c][0] for c in rows]
-            bits = [min(4 * bits_for(len(s)), 1 << 17) for s in sets]
+            bits = [min(2 * bits_for(len(s)), 1 << 17) for s in sets]
             tree = SignatureTree([len(s) for s in sets], [int.from_bytes(bitmap(s, b), "little") for s, b in zip(sets, bits)], bits, percent)
-            first: dict[int, int] = {}
-            for i, c in enumerate(rows):  # joined in an earlier round
-                part = wanted[c][1]
-                if part is not None:
-                    tree.unite(first.setdefault(part, i), i)
+            _unite_parts(tree, [wanted[c][1] for c in rows])
             found = []
             for i, j in tree.join():
                 if tree.find(i) == tree.find(j):
@@ -338,6 +344,39 @@ def _check(docs: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFr
     return rows.mapInArrow(_verified(size, percent), "a long, b long")
 
 
+def _meet(signs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+    """Edges inside (token, block) groups of classes; ``dealt`` has token, block, class, part, ``signs`` class, n, bits."""
+    rows = dealt.join(signs, "class").select("token", "block", "class", "n", "bits", "part")
+    rows = rows.repartition("token", "block").sortWithinPartitions("token", "block")
+    return rows.mapInArrow(_candidates(percent), "a long, b long")
+
+
+def _anchored(own: DataFrame, key: str) -> DataFrame:
+    """Members (key, blocks, block, class and more) without ``blocks``, some of each large group in every block of it, so that what is linked joins."""
+    rest = [c for c in own.columns if c not in (key, "blocks", "block")]
+    some = own.where("blocks > 1").withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("class", F.lit(5))))).where(F.col("_r") <= ANCHORS)
+    spread = some.select(key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), *rest)
+    return own.drop("blocks").select(key, "block", *rest).union(spread).distinct()
+
+
+def _outside(own: DataFrame, links: DataFrame, key: str, per: int) -> DataFrame | None:
+    """What the links of a large group's blocks leave outside its greatest part meets everything, block by block: members with part, or none."""
+    rest = [c for c in own.columns if c not in (key, "blocks", "block", "class")]
+    parts = components(links)
+    placed = own.where("blocks > 1").join(parts, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("root", "class")).drop("node", "root")
+    placed = cut_lineage(placed)
+    sizes = placed.groupBy(key, "part").agg(F.count("*").alias("_p"))
+    top = sizes.groupBy(key).agg(F.max(F.struct("_p", "part")).alias("_t")).select(key, F.col("_t.part").alias("_top"))
+    minor = placed.join(top, key).where("part <> _top")
+    slices = minor.groupBy(key).agg(F.expr(f"cast((count(*) + {per - 1}) div {per} as int)").alias("slices"))
+    if slices.isEmpty():
+        return None
+    minor = minor.join(slices, key).withColumn("slice", F.pmod(F.xxhash64("class", F.lit(9)), F.col("slices")))
+    left = minor.select(key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("_j"), F.col("slice").alias("_i"), "class", "part", *rest)
+    right = placed.join(slices, key).select(key, F.col("block").alias("_j"), F.explode(F.expr("sequence(0, slices - 1)")).alias("_i"), "class", "part", *rest)
+    return left.union(right).select(key, (F.col("_j").cast("long") * (1 << 31) + F.col("_i")).alias("block"), "class", "part", *rest).distinct()
+
+
 def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, cluster: int = CLUSTER) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -365,48 +404,39 @@ def _labelled(docs: DataFrame, size: int, percent: int, id_col: str, text_col: s
     # in order of size: if neither neighbour is near enough in size, no class of the group is
     fits = (F.col("_b.class") != F.col("class")) & (100 * F.col("_b.n") >= percent * F.col("n")) | (F.col("_a.class") != F.col("class")) & (100 * F.col("n") >= percent * F.col("_a.n"))
     near = near.where(F.coalesce(fits, F.lit(False))).withColumn("block", F.expr(f"cast((_r - 1) div {group} as int)"))
-    near = cut_lineage(near.select("token", "block", "class"))
+    near = near.withColumn("blocks", F.max("block").over(Window.partitionBy("token")) + 1)
+    groups = near.groupBy("token", "block", "blocks").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+    # copies share many shingles, so most groups have the classes of another
+    wide = F.col("blocks") > 1
+    groups = groups.groupBy(F.when(wide, F.col("token")).alias("_t"), F.when(wide, F.col("block")).alias("_b"), "classes").agg(*[F.min(c).alias(c) for c in ("token", "block", "blocks")])
+    groups = cut_lineage(groups.select("token", "block", "blocks", "classes"))
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     classes = cut_lineage(classes)
-    del shared
+    del shared, near
     release(docs.sparkSession)
-    grouped = near.join(classes.select("class", "n", "bits"), "class").select("token", "block", "class", "n", "bits")
-    grouped = grouped.repartition("token", "block").sortWithinPartitions("token", "block")
-    edges = grouped.mapInArrow(_candidates(percent), "a long, b long")
-    # blocks of one group are taken as connected: the cluster may grow, no pair is lost
-    firsts = near.groupBy("token", "block").agg(F.min("class").alias("a"))
-    chain = firsts.where("block > 0").select("token", (F.col("block") - 1).alias("block"), F.col("a").alias("b")).join(firsts, ["token", "block"]).select("a", "b")
-    inside = near.where("block > 0").join(firsts.where("block > 0"), ["token", "block"]).select("a", F.col("class").alias("b")).union(
-        near.where("block = 0").join(firsts.where("block = 1").select("token"), "token", "left_semi").join(firsts.where("block = 0").select("token", "a"), "token").select("a", F.col("class").alias("b")))
-    clusters = components(edges.union(chain).union(inside)).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    signs, none = classes.select("class", "n", "bits"), F.lit(None).cast("long").alias("part")
+    own = groups.select("token", "blocks", "block", F.explode("classes").alias("class"))
+    if own.where("blocks > 1").isEmpty():
+        edges = _meet(signs, own.select("token", "block", "class", none), percent)
+    else:
+        edges = cut_lineage(_meet(signs, _anchored(own, "token").select("token", "block", "class", none), percent))
+        both = _outside(own, edges, "token", group)
+        if both is not None:
+            edges = edges.union(_meet(signs, both, percent))
+    clusters = components(edges).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     members = cut_lineage(clusters.join(classes.select("class", "doc_id"), "class"))
-    del grouped, edges, firsts, chain, inside, clusters
+    del groups, own, edges, clusters
     release(docs.sparkSession)
 
     counted = members.groupBy("cluster").agg(F.count("*").alias("_n")).where("_n > 1")
     members = cut_lineage(members.join(counted, "cluster").withColumn("blocks", F.expr(f"cast((_n + {cluster - 1}) div {cluster} as int)")))
     own = members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = own.select("cluster", "block", "class", "doc_id")
-    large = own.where("blocks > 1")
-    anchors = large.withColumn("_r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("class", F.lit(5))))).where(F.col("_r") <= ANCHORS)
-    spread = anchors.select("cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "class", "doc_id")
-    dealt = dealt.union(spread).distinct().withColumn("part", F.lit(None).cast("long"))
-    links = cut_lineage(_check(docs, dealt, size, percent))
+    own = own.select("cluster", "blocks", "block", "class", "doc_id")
+    links = cut_lineage(_check(docs, _anchored(own, "cluster").withColumn("part", none), size, percent))
     release(docs.sparkSession)
-    if not large.isEmpty():
-        # what is outside a large cluster's greatest component meets everything, block by block
-        parts = components(links)
-        placed = own.where("blocks > 1").join(parts, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("root", "class")).drop("node", "root")
-        placed = cut_lineage(placed)
-        sizes = placed.groupBy("cluster", "part").agg(F.count("*").alias("_p"))
-        top = sizes.groupBy("cluster").agg(F.max(F.struct("_p", "part")).alias("_t")).select("cluster", F.col("_t.part").alias("_top"))
-        minor = placed.join(top, "cluster").where("part <> _top")
-        slices = minor.groupBy("cluster").agg(F.expr(f"cast((count(*) + {cluster - 1}) div {cluster} as int)").alias("slices"))
-        if not slices.isEmpty():
-            minor = minor.join(slices, "cluster").withColumn("slice", F.pmod(F.xxhash64("class", F.lit(9)), F.col("slices")))
-            left = minor.select("cluster", F.explode(F.expr("sequence(0, blocks - 1)")).alias("_j"), F.col("slice").alias("_i"), "class", "part", "doc_id")
-            right = placed.join(slices, "cluster").select("cluster", F.col("block").alias("_j"), F.explode(F.expr("sequence(0, slices - 1)")).alias("_i"), "class", "part", "doc_id")
-            both = left.union(right).select("cluster", (F.col("_j").cast("long") * (1 << 31) + F.col("_i")).alias("block"), "class", "doc_id", "part").distinct()
+    if not own.where("blocks > 1").isEmpty():
+        both = _outside(own, links, "cluster", cluster)
+        if both is not None:
             links = cut_lineage(links.union(_check(docs, both, size, percent)))
 
     root = components(links).select(F.col("node").alias("class"), "root")

@@ -244,6 +244,36 @@ def test_null_and_repeated_ids_lose_only_copies(spark):
     assert {(1, text(2)), (2, text(4)), (3, text(5))} <= set(got)
 
 
+def test_unrelated_sets_are_no_candidates():
+    rng = np.random.default_rng(8)
+    for n in (255, 511, 1023):  # signatures were weakest just below a power of two
+        sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(40)]
+        tree = SignatureTree([len(s) for s in sets], [int.from_bytes(bitmap(s, bits_for(len(s))), "little") for s in sets], [bits_for(len(s)) for s in sets], 80)
+        assert list(tree.join()) == []
+
+
+def test_what_only_shares_a_shingle_is_not_gathered(spark, monkeypatch):
+    import pyarrow as pa
+
+    from axisflow.llm import ngramjoin
+    met, checked = [], []
+    meet, check = ngramjoin._meet, ngramjoin._check
+    monkeypatch.setattr(ngramjoin, "_meet", lambda signs, dealt, percent: met.append(dealt.count()) or meet(signs, dealt, percent))
+    monkeypatch.setattr(ngramjoin, "_check", lambda docs, dealt, *a: checked.append({r[0] for r in dealt.select("doc_id").collect()}) or check(docs, dealt, *a))
+    names = sorted((f"w{i}" for i in range(2000)), key=lambda w: shingles(next(iter(per_text(pa.array([w])))), 1)[0])
+    least, rest = names[0], names[1:]  # a shingle of every prefix, in too few texts to be a common one
+    texts = [[least, *rest[25 * i:25 * i + 24]] for i in range(6)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, " ".join([*texts[3], "end"]))]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(docs, DOCS), size=1, percent=80, group=2).collect()}
+    assert got == {**{i: i for i in range(6)}, 900: 3}
+    assert checked == [{3, 900}] and len(met) == 2  # the blocks, and what they leave apart
+    met.clear(), checked.clear()
+    pairs = [(10 * i + j, " ".join([*rest[30 * i:30 * i + 30], *["end"] * j])) for i in range(20) for j in range(2)]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(pairs, DOCS), size=1, percent=80).collect()}
+    assert got == {10 * i + j: 10 * i for i in range(20) for j in range(2)}
+    assert len(met) == 1 and met[0] <= 80  # a pair has up to seven shingles in common prefixes
+
+
 def test_tree_never_prunes_a_similar_pair():
     rng = np.random.default_rng(5)
     sets = []
