@@ -77,3 +77,11 @@ def test_transport_rounds_compute_a_half_step_once(spark, monkeypatch):
     steps = [n for names, n in seen if names == ["j", "s"]]
     assert steps and max(steps) == 1
     assert max(n for names, n in seen if names == ["i", "s"]) <= 4 * transport.ROUNDS_PER_CUT
+
+
+def test_binned_pullback_has_every_supplier_part_and_bin(spark):
+    from axisflow.catalog import load
+    got = load()[0]["binned_pullback"](spark, SF)
+    rows, parts = got.count(), spark.read.parquet(f"{SF}/part.parquet").count()
+    tfs, bins = got.select("tf").distinct().count(), got.select("bin").distinct().count()
+    assert tfs == spark.read.parquet(f"{SF}/supplier.parquet").count() and rows == tfs * parts * bins and bins > 1
