@@ -85,3 +85,9 @@ def test_binned_pullback_has_every_supplier_part_and_bin(spark):
     rows, parts = got.count(), spark.read.parquet(f"{SF}/part.parquet").count()
     tfs, bins = got.select("tf").distinct().count(), got.select("bin").distinct().count()
     assert tfs == spark.read.parquet(f"{SF}/supplier.parquet").count() and rows == tfs * parts * bins and bins > 1
+
+
+def test_graph_smooth_takes_every_component(spark):
+    from axisflow.catalog import load
+    got = load()[0]["graph_smooth"](spark, SF).groupBy("feature").count().collect()
+    assert {r["feature"] for r in got} == set(range(1, 9)) and {r["count"] for r in got} == {spark.read.parquet(f"{SF}/embeddings.parquet").count()}
