@@ -131,7 +131,7 @@ def _(t: Tables):
 def _(t: Tables):
     from ..operators.graph import symmetric_graph
     g = symmetric_graph(t.nn.withColumn("w", F.exp(-F.col("dist"))), "w")
-    return c.label_propagation(g, 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return c.label_propagation(g).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _ari_sql(table: str, a: str, b: str) -> dict[str, str]:

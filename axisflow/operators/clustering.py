@@ -45,21 +45,26 @@ def kmeans(features: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=30).fit(v).transform(v).select("cell_id", F.col("prediction").alias("cluster"))
 
 
-def label_propagation(graph: DataFrame, rounds: int = 10, checkpoint_every: int = 3) -> DataFrame:
+def label_propagation(graph: DataFrame, rounds: int | None = None, log: list | None = None) -> DataFrame:
     """Community labels on a weighted graph (src, dst, w): heaviest neighbour label wins, smaller label on ties.
 
-    A row also votes for its own label with half of its mean edge weight, which damps flip-flops.
+    A row also votes for its own label with half of its mean edge weight, which damps flip-flops. It ends when no label
+    changes, or when labels flip-flop all the same and those of an earlier round return, or after ``rounds``. ``log``
+    takes a hash of the labels after each round.
     """
     g = cut_lineage(graph.where(F.col("src") != F.col("dst")).select("src", "dst", "w"))
     own = g.groupBy("src").agg((F.avg("w") / 2).alias("w"))
     lab = g.select(F.col("src").alias("cell_id")).union(g.select("dst")).distinct().withColumn("cluster", F.col("cell_id"))
-    for r in range(rounds):
+    seen = log if log is not None else []
+    while rounds is None or len(seen) < rounds:
         votes = (g.join(lab.withColumnRenamed("cell_id", "dst"), "dst").select("src", "cluster", "w")
                  .union(own.join(lab.withColumnRenamed("cell_id", "src"), "src").select("src", "cluster", "w")))
         tally = votes.groupBy("src", "cluster").agg(F.sum("w").alias("w"))
-        lab = tally.groupBy("src").agg(F.min(F.struct(-F.col("w"), "cluster")).alias("b")).select(F.col("src").alias("cell_id"), F.col("b.cluster").alias("cluster"))
-        if (r + 1) % checkpoint_every == 0 or r + 1 == rounds:
-            lab = cut_lineage(lab)
+        lab = cut_lineage(tally.groupBy("src").agg(F.min(F.struct(-F.col("w"), "cluster")).alias("b")).select(F.col("src").alias("cell_id"), F.col("b.cluster").alias("cluster")))
+        state = lab.agg(*[F.coalesce(F.bit_xor(F.xxhash64("cell_id", "cluster", F.lit(i))), F.lit(0)) for i in range(2)]).first()
+        seen.append(tuple(state))
+        if seen[-1] in seen[:-1]:
+            break
     return lab
 
 

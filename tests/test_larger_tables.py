@@ -91,3 +91,15 @@ def test_graph_smooth_takes_every_component(spark):
     from axisflow.catalog import load
     got = load()[0]["graph_smooth"](spark, SF).groupBy("feature").count().collect()
     assert {r["feature"] for r in got} == set(range(1, 9)) and {r["count"] for r in got} == {spark.read.parquet(f"{SF}/embeddings.parquet").count()}
+
+
+def test_labels_spread_until_they_settle(spark):
+    from axisflow.operators.clustering import label_propagation
+    line = [(i, i + 1, 2.0 ** (9 - i)) for i in range(9)]  # the heavier neighbour is the one with the smaller id
+    graph = spark.createDataFrame(line + [(b, a, w) for a, b, w in line], "src long, dst long, w double")
+    labels = lambda **k: sorted(map(tuple, label_propagation(graph, **k).collect()))
+    log = []
+    settled = labels(log=log)
+    assert len(log) > 5 and log[-1] in log[:-1] and settled == labels(rounds=len(log)) != labels(rounds=4)
+    pair = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, w double")  # takes turns for ever
+    assert {r.cell_id for r in label_propagation(pair).collect()} == {1, 2}
