@@ -124,3 +124,19 @@ def test_products_of_one_sign_are_summed_at_once(spark, monkeypatch):
     for k in range(4):
         per = np.abs(a @ b[k::4].T).sum(1).reshape(-1, 2).sum(1)
         assert np.allclose([out[k, g] for g in range(1024)], per, rtol=1e-12)
+
+
+def test_rows_of_a_product_are_sent_to_few_blocks(spark, monkeypatch):
+    from axisflow.operators import grn
+    rng = np.random.default_rng(3)
+    table = lambda n, names: spark.createDataFrame([(*(i % 2 for _ in names[2:]), i, [float(v) for v in rng.normal(size=2)]) for i in range(n)], names[0])
+    decode, vectors = table(900, ["gene long, d array<double>", ""]), table(3000, ["bin int, tf long, u array<double>", "", ""])
+    genes, packed, pairs = grn._dealt(decode, vectors, ["bin"])
+    assert genes.count() == 900 and packed.count() == pairs == 32  # a gene goes to one block, not to one of each 256 vectors
+    monkeypatch.setattr(grn, "DOT_ROWS", 100)
+    genes, packed, pairs = grn._dealt(decode, vectors, ["bin"])
+    assert pairs == 9 * 30 and genes.count() == 900 * 30 and packed.count() <= pairs
+    got = grn._outer_dot(decode, vectors, ["bin"], 2)
+    want = vectors.crossJoin(decode).select("bin", "tf", "gene", (F.col("d")[0] * F.col("u")[0] + F.col("d")[1] * F.col("u")[1]).alias("w"))
+    off = got.join(want, ["bin", "tf", "gene"]).agg(F.count("*"), F.max(F.abs(F.col("v") - F.col("w")))).first()
+    assert got.count() == off[0] == 900 * 3000 and off[1] < 1e-12
