@@ -140,3 +140,15 @@ def test_rows_of_a_product_are_sent_to_few_blocks(spark, monkeypatch):
     want = vectors.crossJoin(decode).select("bin", "tf", "gene", (F.col("d")[0] * F.col("u")[0] + F.col("d")[1] * F.col("u")[1]).alias("w"))
     off = got.join(want, ["bin", "tf", "gene"]).agg(F.count("*"), F.max(F.abs(F.col("v") - F.col("w")))).first()
     assert got.count() == off[0] == 900 * 3000 and off[1] < 1e-12
+
+
+def test_wide_text_is_written_in_pieces(spark, tmp_path, monkeypatch):
+    from axisflow.catalog import load, sources
+    monkeypatch.setattr(sources, "staging_path", lambda _, name: str(tmp_path / name))
+    got = load()[0]["gene_major_matrix"](spark, SF)
+    pairs = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().count()
+    pieces = sorted(glob.glob(os.path.join(tmp_path, "wide", "part-*")))
+    lines = [line.rstrip("\n").split("\t") for p in pieces for line in open(p)]
+    cells = sorted(r[0] for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect())
+    assert len([p for p in pieces if os.path.getsize(p)]) > 2 and lines[0] == ["GENE", *[f"c{c}" for c in cells]]
+    assert {len(line) for line in lines} == {len(cells) + 1} and sum(v != "0.0" for line in lines[1:] for v in line[1:]) == pairs == got.count()
